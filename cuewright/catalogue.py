@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cuewright.plans import media, registry, transcripts  # noqa: F401  (they register their queries)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return registry.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return registry.ORACLES
