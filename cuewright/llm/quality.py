@@ -95,6 +95,7 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "qualit
         docs.select("doc_id", "text")
         .join(F.broadcast(sample), "doc_id")  # at most about max_rows rows
         .repartition(p.shards, F.xxhash64("doc_id"))
+        .coalesce(p.shards)  # whatever the session makes of the number above, so many states reach the driver
         .select("text", "label")
     )
     z, n = np.zeros(dims + 1), np.zeros(dims + 1)
