@@ -1,18 +1,48 @@
 """Connected components of an undirected graph, on Spark throughout.
 
-Alternates the large-star and small-star steps: every node points its larger (smaller)
-neighbours at the least node it knows, until nothing changes. Each step is one
-aggregation to the minimum per node and one join with it, so a node with very many
-links costs one partially aggregated group and one skewed join, which AQE splits.
-Steps are written to the shared folder: no lineage grows and lost executors cost one step."""
+First tasks contract links: each takes at most ``per_task`` of them, joins their nodes by
+union-find and passes on one link per node, to the least node it knows. If the links
+fit one task of that size, that is all. Else large-star and small-star steps follow:
+every node points its larger (smaller) neighbours at the least node it knows, until
+nothing changes. A step is one aggregation to the minimum per node and one join with
+it, so a node with very many links costs one partially aggregated group and one skewed
+join, which AQE splits. Steps are written to the shared folder: no lineage grows and
+lost executors cost one step."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
+PER_TASK = 500_000
+
+
+def _contract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links of one task -> (node, least node of its part)."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = root.setdefault(x, x)
+        while root[top] != top:
+            top = root[top]
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    for f in frames:
+        for a, b in zip(f["a"].tolist(), f["b"].tolist(), strict=True):
+            a, b = find(a), find(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    nodes = [x for x in root if root[x] != x]
+    if nodes:
+        yield pd.DataFrame({"a": nodes, "b": [find(x) for x in nodes]})
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -26,20 +56,23 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b")
 
 
-def components(edges: DataFrame, name: str = "components", most: int = 60) -> DataFrame:
-    """(a, b) links of orderable nodes -> (node, root): root is the least node reachable.
+def components(edges: DataFrame, name: str = "components", per_task: int = PER_TASK, most: int = 60) -> DataFrame:
+    """(a, b) links of long nodes -> (node, root): root is the least node reachable.
 
     Only nodes with a link to another node are listed. Null ends and self links are ignored."""
-    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    now = materialize(edges.where("a <> b").select("a", "b"), name)
+    tasks = max(1, -(-now.count() // per_task))
+    dealt = now.repartition(tasks) if tasks > 1 else now.coalesce(1)  # one task of at most per_task links
+    now = materialize(dealt.mapInPandas(_contract, "a long, b long"), name)
     before = None
-    for _ in range(most):
-        stars = _star(_star(now, True).distinct(), False).distinct()
-        now = materialize(stars, name)
+    for _ in range(most if tasks > 1 else 0):
+        now = materialize(_star(_star(now, True).distinct(), False).distinct(), name)
         seen = now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("b", "a").cast("decimal(20,0)"))).first()
         if seen == before:
             break
         before = seen
     else:
-        raise RuntimeError("components did not settle")
+        if tasks > 1:
+            raise RuntimeError("components did not settle")
     leaves = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return leaves.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
