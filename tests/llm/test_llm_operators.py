@@ -434,10 +434,11 @@ def test_warc_carries_between_blocks(spark):
     assert {x.record_id: x.source_id for x in warc.resolve(r).collect()} == want
 
 
-def test_components_against_brute_force(spark):
+@pytest.mark.parametrize("per_task", [30, 10_000])
+def test_components_against_brute_force(spark, per_task):
     rng = random.Random(7)
     pairs = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1080)] + [(5, 5), (None, 3)]
-    got = {r.node: r.root for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(pairs, "a long, b long"), per_task=per_task).collect()}
     root = {}
     for a, b in pairs:
         for x in (a, b):
