@@ -94,26 +94,51 @@ def pair_table(c: DataFrame) -> DataFrame:
     )
 
 
-UNION = F.col("len_a") + F.col("len_b") - F.col("inter")
+def union() -> Column:
+    return F.col("len_a") + F.col("len_b") - F.col("inter")
 
 
-def iou_at_least(tenths: int) -> Column:
-    return F.col("inter") * 10 >= UNION * tenths
+def _inter(x: Column, y: Column) -> Column:
+    return overlap(x["s"], x["e"], y["s"], y["e"])
 
 
-def greedy(ranked: DataFrame, clashes: DataFrame, most: int | None = None) -> DataFrame:
+def _union(x: Column, y: Column) -> Column:
+    return x["e"] - x["s"] + y["e"] - y["s"] - _inter(x, y)
+
+
+def iou_at_least(x: Column, y: Column, tenths: int) -> Column:
+    return _inter(x, y) * 10 >= _union(x, y) * tenths
+
+
+def near_duplicate(x: Column, y: Column, cfg: Fusion) -> Column:
+    """High overlap, or some overlap with nearly the same words."""
+    alike = X.jaccard(x["words"], y["words"]) >= cfg.near_similarity
+    return iou_at_least(x, y, round(cfg.diversity_iou * 10)) | (iou_at_least(x, y, round(cfg.near_iou * 10)) & alike)
+
+
+def greedy(ranked: DataFrame, clash, most: int | None = None) -> DataFrame:
     """Keep rows in rank order unless they clash with one kept before; at most ``most``.
 
-    ranked: (video_id, rk, ...), clashes: (video_id, rk, e_rk). The distributed part is the clash
-    join; the fold sees only small integers. Adds ``kept`` and ``winner`` (the first kept rank it clashes with)."""
-    own = clashes.groupBy("video_id", "rk").agg(F.array_sort(F.collect_list("e_rk")).alias("es"))
-    r = ranked.join(own, ["video_id", "rk"], "left").withColumn("es", F.coalesce("es", F.array().cast("array<int>")))
+    ranked: (video_id, rk, s, e, words, ...); clash(later, earlier) is a column over two such
+    rows. One shuffle by video; the fold compares a row with the kept ones only. Adds
+    ``kept`` and ``winner`` (the rank of the first kept row it clashes with)."""
+    rest = [c for c in ranked.columns if c not in ("video_id", "rk")]
+    rows = ranked.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("rk", *rest))).alias("xs"))
+    kind = rows.schema["xs"].dataType
     room = (lambda k: F.size(k) < most) if most else (lambda k: F.lit(True))
-    xs = r.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("rk", "es"))).alias("xs"))
-    kept = F.aggregate("xs", F.array().cast("array<int>"), lambda k, x: F.when(room(k) & ~F.arrays_overlap(k, x["es"]), F.concat(k, F.array(x["rk"]))).otherwise(k))
-    out = r.join(xs.select("video_id", kept.alias("kept_rks")), "video_id")
-    winner = F.get(F.array_intersect("es", "kept_rks"), 0)
-    return out.withColumns({"kept": F.array_contains("kept_rks", F.col("rk")), "winner": winner}).drop("es", "kept_rks")
+    kept = F.aggregate("xs", F.array().cast(kind), lambda k, x: F.when(room(k) & ~F.exists(k, lambda y: clash(x, y)), F.concat(k, F.array(x))).otherwise(k))
+    rows = rows.withColumn("ks", kept)
+
+    def judged(x):
+        own = F.exists("ks", lambda y: y["rk"] == x["rk"])
+        winner = F.get(F.filter("ks", lambda y: (y["rk"] < x["rk"]) & clash(x, y)), 0)["rk"]
+        return F.struct(x["rk"].alias("rk"), *[x[c].alias(c) for c in rest], own.alias("kept"), F.when(~own, winner).alias("winner"))
+
+    return rows.select("video_id", F.inline(F.transform("xs", judged)))
+
+
+def with_words(c: DataFrame) -> DataFrame:
+    return c.withColumn("words", F.array_distinct(X.split_words(F.lower("hook"))))
 
 
 def ranked(c: DataFrame, *order: Column) -> DataFrame:
@@ -123,37 +148,36 @@ def ranked(c: DataFrame, *order: Column) -> DataFrame:
 def merge_overlaps(c: DataFrame, cfg: Fusion = Fusion()) -> DataFrame:
     """Candidates in order of uncertainty; one that overlaps a kept one by merge_iou or more is merged into the first such."""
     r = ranked(c, F.asc("uncertainty"), F.asc("cand_id"))
-    g = greedy(r, pair_table(r).where(iou_at_least(round(cfg.merge_iou * 10))).select("video_id", "rk", "e_rk"))
-    names = r.select("video_id", F.col("rk").alias("winner"), F.col("cand_id").alias("winner_id"))
-    g = g.join(names, ["video_id", "winner"], "left")
-    return g.withColumn("winner_id", F.when(~F.col("kept"), F.col("winner_id"))).drop("winner", "rk")
+    g = greedy(r, lambda x, y: iou_at_least(x, y, round(cfg.merge_iou * 10)))
+    first = F.max(F.when(F.col("kept"), F.col("cand_id"))).over(Window.partitionBy("video_id", F.coalesce("winner", "rk")))
+    return g.withColumn("winner_id", F.when(~F.col("kept"), first)).drop("winner", "rk")
 
 
 def select_diverse(c: DataFrame, campaign: str = "", cfg: Fusion = Fusion()) -> DataFrame:
     """Score what merging kept, and take the best that are not near-duplicates of one taken, up to the target.
 
-    Near-duplicate: IoU of diversity_iou, or of near_iou with nearly the same words."""
+    Rows under the quality floor rank last and are never taken."""
     kept = merge_overlaps(c, cfg).where("kept").drop("kept", "winner_id")
-    s = scores(kept, campaign, cfg)
-    r = ranked(s.where(F.col("total") >= cfg.min_score), F.desc("total"), F.asc("cand_id"))
-    alike = X.jaccard(F.array_distinct(X.split_words(F.lower("hook_a"))), F.array_distinct(X.split_words(F.lower("hook_b")))) >= cfg.near_similarity
-    p = pair_table(r).where(iou_at_least(round(cfg.diversity_iou * 10)) | (iou_at_least(round(cfg.near_iou * 10)) & alike))
-    g = greedy(r, p.select("video_id", "rk", "e_rk"), cfg.target)
-    last = F.max(F.when(F.col("kept"), F.col("rk"))).over(Window.partitionBy("video_id"))
-    full = F.sum(F.col("kept").cast("int")).over(Window.partitionBy("video_id")) >= cfg.target
-    status = F.when(F.col("kept"), "selected").when(full & (F.col("rk") > last), "surplus").otherwise("near_duplicate")
-    low = s.where(F.col("total") < cfg.min_score).select("video_id", "cand_id", "total", F.lit("below_floor").alias("status"))
-    return g.select("video_id", "cand_id", "total", status.alias("status")).unionByName(low)
+    s = with_words(scores(kept, campaign, cfg)).select("video_id", "cand_id", "s", "e", "words", "total", (F.col("total") < cfg.min_score).alias("low"))
+    r = ranked(s, F.asc("low"), F.desc("total"), F.asc("cand_id"))
+    g = greedy(r, lambda x, y: x["low"] | near_duplicate(x, y, cfg), cfg.target)
+    video = Window.partitionBy("video_id")
+    taken = F.col("kept") & ~F.col("low")
+    last = F.max(F.when(taken, F.col("rk"))).over(video)
+    full = F.sum(taken.cast("int")).over(video) >= cfg.target
+    status = F.when(F.col("low"), "below_floor").when(F.col("kept"), "selected").when(full & (F.col("rk") > last), "surplus").otherwise("near_duplicate")
+    return g.select("video_id", "cand_id", "total", status.alias("status"))
 
 
 def dedup_refined(c: DataFrame, cfg: Fusion = Fusion()) -> DataFrame:
     """Clips in order of score; one goes when IoU, coverage of the shorter, or overlap with the same words is high."""
-    r = ranked(scores(c, "", cfg), F.desc("total"), F.asc("cand_id"))
-    small = F.least("len_a", "len_b")
-    alike = X.jaccard(F.array_distinct(X.split_words(F.lower("hook_a"))), F.array_distinct(X.split_words(F.lower("hook_b")))) >= cfg.near_similarity
-    covered = F.col("inter") * 10 >= small * round(cfg.coverage * 10)
-    p = pair_table(r).where(iou_at_least(round(cfg.diversity_iou * 10)) | covered | (iou_at_least(round(cfg.near_iou * 10)) & alike))
-    return greedy(r, p.select("video_id", "rk", "e_rk")).select("video_id", "cand_id", "total", "kept")
+    r = ranked(with_words(scores(c, "", cfg)).select("video_id", "cand_id", "s", "e", "words", "total"), F.desc("total"), F.asc("cand_id"))
+
+    def clash(x, y):
+        small = F.least(x["e"] - x["s"], y["e"] - y["s"])
+        return near_duplicate(x, y, cfg) | (_inter(x, y) * 10 >= small * round(cfg.coverage * 10))
+
+    return greedy(r, clash).select("video_id", "cand_id", "total", "kept")
 
 
 def dedup_near_starts(c: DataFrame, within_ms: int = 5000) -> DataFrame:

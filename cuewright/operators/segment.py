@@ -11,8 +11,12 @@ from pyspark.sql.window import Window
 from cuewright.config import Chunking, Sentences
 from cuewright.functions import text as X
 
-VIDEO = Window.partitionBy("video_id").orderBy("pos")
-BEFORE = VIDEO.rowsBetween(Window.unboundedPreceding, -1)
+def _video():
+    return Window.partitionBy("video_id").orderBy("pos")
+
+
+def _before():
+    return _video().rowsBetween(Window.unboundedPreceding, -1)
 
 
 def sentence_of_word(words: DataFrame, cfg: Sentences = Sentences()) -> DataFrame:
@@ -21,9 +25,9 @@ def sentence_of_word(words: DataFrame, cfg: Sentences = Sentences()) -> DataFram
     A sentence ends at closing punctuation, at the last word, or at a long pause once it
     has min_words words. Only the last rule looks at earlier decisions, and only inside a
     run between punctuation marks, so it is a fold over that run's few pauses."""
-    pause = F.lead("start_ms").over(VIDEO) - F.col("end_ms") >= cfg.pause_ms
-    w = words.withColumns({"punct": X.ends_sentence(F.col("word")), "pause": F.coalesce(pause, F.lit(False)), "last": F.lead("pos").over(VIDEO).isNull()})
-    w = w.withColumn("run", F.coalesce(F.sum(F.col("punct").cast("int")).over(BEFORE), F.lit(0)))
+    pause = F.lead("start_ms").over(_video()) - F.col("end_ms") >= cfg.pause_ms
+    w = words.withColumns({"punct": X.ends_sentence(F.col("word")), "pause": F.coalesce(pause, F.lit(False)), "last": F.lead("pos").over(_video()).isNull()})
+    w = w.withColumn("run", F.coalesce(F.sum(F.col("punct").cast("int")).over(_before()), F.lit(0)))
     run = Window.partitionBy("video_id", "run")
     at = F.row_number().over(run.orderBy("pos")) - 1
     w = w.withColumn("at", at)
@@ -32,7 +36,7 @@ def sentence_of_word(words: DataFrame, cfg: Sentences = Sentences()) -> DataFram
     cuts = F.aggregate(pauses, start, lambda s, x: F.when(x - F.element_at(s, -1) >= cfg.min_words, F.concat(s, F.array(x))).otherwise(s))
     end = F.col("punct") | F.col("last") | F.array_contains(cuts, F.col("at"))
     w = w.withColumn("end", end)
-    sentence = F.coalesce(F.sum(F.col("end").cast("int")).over(BEFORE), F.lit(0)).cast("long")
+    sentence = F.coalesce(F.sum(F.col("end").cast("int")).over(_before()), F.lit(0)).cast("long")
     return w.withColumn("sentence", sentence).drop("run", "at", "pause", "last", "end")
 
 
@@ -54,15 +58,15 @@ def sentences(words: DataFrame, cfg: Sentences = Sentences()) -> DataFrame:
 def raw_chunk_of_word(words: DataFrame, cfg: Chunking = Chunking()) -> DataFrame:
     """words with ``chunk_start``: cuts at silences, moved to the next sentence end within reach, and one
     extra cut near the middle of a span over the token budget (not of the last span, and not again)."""
-    ahead = VIDEO.rowsBetween(0, cfg.look_ahead - 1)
-    w = words.withColumns({"stop": X.ends_chunk(F.col("word")), "gap": F.col("start_ms") - F.lag("end_ms").over(VIDEO)})
+    ahead = _video().rowsBetween(0, cfg.look_ahead - 1)
+    w = words.withColumns({"stop": X.ends_chunk(F.col("word")), "gap": F.col("start_ms") - F.lag("end_ms").over(_video())})
     nearest = F.min(F.when(F.col("stop"), F.col("pos") + 1)).over(ahead)
-    clean = F.lag("stop").over(VIDEO)
+    clean = F.lag("stop").over(_video())
     target = F.when(F.col("gap") >= cfg.silence_ms, F.when(clean, F.col("pos")).otherwise(F.coalesce(nearest, F.col("pos"))))
     w = w.withColumn("target", target).withColumn("n", F.count("*").over(Window.partitionBy("video_id")))
     cuts = w.where("target is not null").select("video_id", F.col("target").alias("pos"), F.lit(True).alias("cut")).distinct()
     w = w.join(cuts, ["video_id", "pos"], "left")
-    w = w.withColumn("span", F.count("cut").over(VIDEO))
+    w = w.withColumn("span", F.count("cut").over(_video()))
     span = Window.partitionBy("video_id", "span")
     last = F.max("pos").over(span)
     tokens = F.floor((F.sum(F.length("word") + 1).over(span) - 1) / 4)

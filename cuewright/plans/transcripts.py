@@ -95,7 +95,7 @@ def candidate_validation(spark, d):
 
 def cands(spark: SparkSession, d: str) -> DataFrame:
     s = sents(spark, d)
-    return C.candidates(C.validate(C.proposals(s), s)).persist()  # ranked and paired several times; a row per candidate
+    return C.candidates(C.validate(C.proposals(s), s))
 
 
 KEYWORDS = X.keywords(sql.CAMPAIGN)
@@ -120,7 +120,7 @@ def pairwise_iou(spark, d):
     i = F.col("inter")
     return C.pair_table(r).select(
         "video_id", F.col("rk").alias("cand_a"), F.col("e_rk").alias("cand_b"), i.alias("inter_ms"),
-        half_up(i / C.UNION, 6).alias("iou"), half_up(i / F.least("len_a", "len_b"), 6).alias("coverage"),
+        half_up(i / C.union(), 6).alias("iou"), half_up(i / F.least("len_a", "len_b"), 6).alias("coverage"),
     )
 
 
