@@ -61,30 +61,27 @@ def sentence_at(points: DataFrame, sents: DataFrame, point_id: str, t: str, out:
     return u.where("kind = 1").select("video_id", point_id, got.alias(out))
 
 
-def with_neighbours(sents: DataFrame, words: DataFrame) -> DataFrame:
-    """Sentences with the end of the word before and the start of the word after them."""
-    w = Window.partitionBy("video_id").orderBy("id")
-    return sents.withColumns({"prev_end": F.lag("end_ms").over(w), "next_start": F.lead("start_ms").over(w)})
-
-
-def snapped_start(s: Column, prev_end: Column, pad: int) -> Column:
-    return F.greatest(F.lit(0).cast("long"), s - pad, F.coalesce(prev_end + 10, F.lit(0)))
-
-
-def snapped_end(e: Column, next_start: Column, pad: int) -> Column:
-    return F.least(e + pad, next_start - 10)
-
-
 def snap(clips: DataFrame, sents: DataFrame, cfg: Refine = Refine()) -> DataFrame:
-    """clips (video_id, clip_id, s, e) with det_s, det_e: moved to sentence bounds with padding, not into other words."""
-    a = sentence_at(clips, sents, "clip_id", "s", "s_id")
-    b = sentence_at(clips, sents, "clip_id", "e", "e_id")
-    n = with_neighbours(sents, None)
-    c = clips.join(a, ["video_id", "clip_id"]).join(b, ["video_id", "clip_id"])
-    left = n.select("video_id", F.col("id").alias("s_id"), snapped_start(F.col("start_ms"), F.col("prev_end"), cfg.pad_before_ms).alias("det_s"))
-    right = n.select("video_id", F.col("id").alias("e_id"), snapped_end(F.col("end_ms"), F.col("next_start"), cfg.pad_after_ms).alias("det_e"))
-    c = c.join(left, ["video_id", "s_id"]).join(right, ["video_id", "e_id"])
-    return c.withColumn("det_e", F.greatest("det_e", F.col("det_s") + 500))
+    """clips (video_id, clip_id, s, e) with s_id, e_id, det_s, det_e: moved to sentence bounds with padding, not into other words.
+
+    Both ends are looked up in one pass: sentences, with their neighbours' bounds, and the
+    clips' ends are ordered by time together, and the last sentence so far is carried along."""
+    by_id = Window.partitionBy("video_id").orderBy("id")
+    fields = ["id", "start_ms", "end_ms", "prev_end", "next_start"]
+    n = sents.select("video_id", "id", "start_ms", "end_ms").withColumns({"prev_end": F.lag("end_ms").over(by_id), "next_start": F.lead("start_ms").over(by_id)})
+    marks = n.select("video_id", F.col("start_ms").alias("at"), F.struct(*fields).alias("m"))
+    ends = F.explode(F.array(F.struct(F.col("s").alias("at"), F.lit(0).alias("which")), F.struct(F.col("e").alias("at"), F.lit(1).alias("which"))))
+    asked = clips.select("video_id", F.struct("clip_id", "s", "e").alias("c"), ends.alias("p")).select("video_id", "p.at", "p.which", "c")
+    u = marks.unionByName(asked, allowMissingColumns=True)
+    w = Window.partitionBy("video_id").orderBy("at", F.col("which").asc_nulls_first())  # a sentence that starts at a point holds it
+    so_far = F.last("m", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    first = F.first("m", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    found = u.withColumn("m", F.coalesce(so_far, first)).where("c is not null and m is not null")
+    g = found.groupBy("video_id", "c").agg(F.max(F.when(F.col("which") == 0, F.col("m"))).alias("a"), F.max(F.when(F.col("which") == 1, F.col("m"))).alias("b"))
+    det_s = F.greatest(F.lit(0).cast("long"), F.col("a.start_ms") - cfg.pad_before_ms, F.coalesce(F.col("a.prev_end") + 10, F.lit(0)))
+    det_e = F.least(F.col("b.end_ms") + cfg.pad_after_ms, F.col("b.next_start") - 10)
+    out = g.select("video_id", "c.clip_id", "c.s", "c.e", F.col("a.id").alias("s_id"), F.col("b.id").alias("e_id"), det_s.alias("det_s"), det_e.alias("det_e"))
+    return out.withColumn("det_e", F.greatest("det_e", F.col("det_s") + 500))
 
 
 def refine(clips: DataFrame, sents: DataFrame, cfg: Refine = Refine()) -> DataFrame:
@@ -92,36 +89,39 @@ def refine(clips: DataFrame, sents: DataFrame, cfg: Refine = Refine()) -> DataFr
 
     Returns clip_id, video_id, refined_s, refined_e, refine_status, method. The sentences in a clip's
     context are gathered by one join, then every rule is one column."""
+    keys = ["video_id", "clip_id", "s", "e"]
     bad = F.col("e") <= F.col("s")
-    c = snap(clips.where(~bad), sents, cfg)
+    c = clips.select(*keys).where(~bad).join(snap(clips.where(~bad), sents, cfg), keys, "left")
     around = sents.select(F.col("video_id").alias("v"), "id", "start_ms", "end_ms", "ends_with_punctuation")
     near = (F.col("video_id") == F.col("v")) & (F.col("end_ms") >= F.col("s") - cfg.context_ms) & (F.col("start_ms") <= F.col("e") + cfg.context_ms)
-    ctx = c.join(around, near)
     cap = F.col("e") + cfg.extension_ms
     over = F.col("det_e") > cap
-    capped = F.max_by(F.when((F.col("end_ms") + cfg.pad_after_ms <= cap) & F.col("ends_with_punctuation"), F.col("end_ms") + cfg.pad_after_ms), F.when((F.col("end_ms") + cfg.pad_after_ms <= cap) & F.col("ends_with_punctuation"), F.col("id")))
-    keys = ["video_id", "clip_id", "s", "e", "det_s", "det_e"]
-    g = ctx.groupBy(*keys).agg(capped.alias("capped"), F.array_sort(F.collect_list("start_ms")).alias("starts"))
+    padded = F.col("end_ms") + cfg.pad_after_ms
+    fits = (padded <= cap) & F.col("ends_with_punctuation")
+    g = c.join(around, near, "left").groupBy(*keys, "det_s", "det_e").agg(
+        F.count("id").alias("n"), F.max_by(F.when(fits, padded), F.when(fits, F.col("id"))).alias("capped"), F.array_sort(F.collect_list("start_ms")).alias("starts")
+    )
     g = g.withColumn("new_e", F.when(over, F.col("capped")).otherwise(F.col("det_e")))
     first = F.get(F.filter("starts", lambda x: (x >= F.col("new_e") - cfg.max_ms) & (x >= F.col("det_s"))), 0)
     g = g.withColumns({"dur": F.col("new_e") - F.col("det_s"), "trim": first})
     long = F.col("dur") > cfg.max_ms
+    trimmed = long & F.col("trim").isNotNull()
     status = (
-        F.when(F.col("new_e").isNull(), "rejected_extension")
+        F.when(F.col("n") == 0, "passthrough_no_transcript")
+        .when(F.col("new_e").isNull(), "rejected_extension")
         .when(long & F.col("trim").isNull(), "rejected_duration")
         .when(F.col("dur") < 1000, "rejected_short")
         .otherwise("refined")
     )
-    new_s = F.when(long & F.col("trim").isNotNull(), F.greatest(F.col("det_s"), F.col("trim") - cfg.pad_before_ms)).otherwise(F.col("det_s"))
-    method = F.concat(F.lit("snap"), F.when(over, "+capped").otherwise(""), F.when(long & F.col("trim").isNotNull(), "+trimmed").otherwise(""))
-    ok = F.col("status") != "rejected_extension"
+    new_s = F.when(trimmed, F.greatest(F.col("det_s"), F.col("trim") - cfg.pad_before_ms)).otherwise(F.col("det_s"))
+    method = F.concat(F.lit("snap"), F.when(over, "+capped").otherwise(""), F.when(trimmed, "+trimmed").otherwise(""))
+    as_was = F.col("status").isin("passthrough_no_transcript", "rejected_extension")
     done = g.withColumn("status", status).select(
-        "video_id", "clip_id", F.when(ok, new_s).otherwise(F.col("s")).alias("refined_s"), F.when(ok, F.col("new_e")).otherwise(F.col("e")).alias("refined_e"),
-        F.col("status").alias("refine_status"), method.alias("method"),
+        "video_id", "clip_id", F.when(as_was, F.col("s")).otherwise(new_s).alias("refined_s"), F.when(as_was, F.col("e")).otherwise(F.col("new_e")).alias("refined_e"),
+        F.col("status").alias("refine_status"), F.when(F.col("n") > 0, method).otherwise("").alias("method"),
     )
-    rejected = lambda d, why: d.select("video_id", "clip_id", F.col("s").alias("refined_s"), F.col("e").alias("refined_e"), F.lit(why).alias("refine_status"), F.lit("").alias("method"))
-    no_context = clips.where(~bad).join(done.select("video_id", "clip_id"), ["video_id", "clip_id"], "left_anti")
-    return done.unionByName(rejected(clips.where(bad), "rejected_range")).unionByName(rejected(no_context, "passthrough_no_transcript"))
+    refused = clips.where(bad).select("video_id", "clip_id", F.col("s").alias("refined_s"), F.col("e").alias("refined_e"), F.lit("rejected_range").alias("refine_status"), F.lit("").alias("method"))
+    return done.unionByName(refused)
 
 
 def stitch_limits(primary: DataFrame, more: DataFrame, max_gap_ms: int = 45_000, max_total_ms: int = 90_000) -> DataFrame:
