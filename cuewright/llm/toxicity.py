@@ -157,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic"
 
     sums = rows.mapInPandas(counted, "kind int, bucket int, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n"))
     t = np.zeros((4, size))
-    got = sums.toPandas()  # at most 4 * 2**bits rows of counts
+    got = sums.toArrow()  # at most 4 * 2**bits rows of counts
     t[got["kind"].to_numpy(), got["bucket"].to_numpy()] = got["n"].to_numpy()
     clean, toxic = t[0].sum(), t[1].sum()
     nobody = ToxicityModel(np.zeros(size, np.float32), np.zeros(size, np.float32))
@@ -171,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic"
     stem = np.log(stem_share / (1 - stem_share)) - odds - p.drift
     # the words' prior is their stem's share; buckets of words and stems differ, so the pairs come with the texts
     pairs = (
-        rows.mapInPandas(lambda frames: _pairs(frames, p), "word int, stem int").groupBy("word").agg(F.max("stem").alias("stem")).toPandas()
+        rows.mapInPandas(lambda frames: _pairs(frames, p), "word int, stem int").groupBy("word").agg(F.max("stem").alias("stem")).toArrow()
     )  # at most 2**bits rows
     of = np.full(size, -1, np.int64)
     of[pairs["word"].to_numpy()] = pairs["stem"].to_numpy()
