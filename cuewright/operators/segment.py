@@ -34,7 +34,7 @@ def sentence_of_word(words: DataFrame, cfg: Sentences = Sentences()) -> DataFram
     pauses = F.array_sort(F.collect_list(F.when(F.col("pause") & ~F.col("punct"), F.col("at"))).over(run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     start = F.array(F.lit(-1))
     cuts = F.aggregate(pauses, start, lambda s, x: F.when(x - F.element_at(s, -1) >= cfg.min_words, F.concat(s, F.array(x))).otherwise(s))
-    end = F.col("punct") | F.col("last") | F.array_contains(cuts, F.col("at"))
+    end = F.col("punct") | F.col("last") | (F.col("pause") & F.array_contains(cuts, F.col("at")))  # the fold runs at pauses only
     w = w.withColumn("end", end)
     sentence = F.coalesce(F.sum(F.col("end").cast("int")).over(_before()), F.lit(0)).cast("long")
     return w.withColumn("sentence", sentence).drop("run", "at", "pause", "last", "end")
@@ -64,9 +64,10 @@ def raw_chunk_of_word(words: DataFrame, cfg: Chunking = Chunking()) -> DataFrame
     clean = F.lag("stop").over(_video())
     target = F.when(F.col("gap") >= cfg.silence_ms, F.when(clean, F.col("pos")).otherwise(F.coalesce(nearest, F.col("pos"))))
     w = w.withColumn("target", target).withColumn("n", F.count("*").over(Window.partitionBy("video_id")))
-    cuts = w.where("target is not null").select("video_id", F.col("target").alias("pos"), F.lit(True).alias("cut")).distinct()
-    w = w.join(cuts, ["video_id", "pos"], "left")
-    w = w.withColumn("span", F.count("cut").over(_video()))
+    # a cut lies at most look_ahead words after its silence, so it is found looking back: no join
+    back = F.collect_list("target").over(_video().rowsBetween(-cfg.look_ahead, 0))
+    w = w.withColumn("cut", F.array_contains(back, F.col("pos")))
+    w = w.withColumn("span", F.sum(F.col("cut").cast("int")).over(_video()))
     span = Window.partitionBy("video_id", "span")
     last = F.max("pos").over(span)
     tokens = F.floor((F.sum(F.length("word") + 1).over(span) - 1) / 4)

@@ -89,12 +89,12 @@ def speech_coverage(spark, d):
 
 @query(f"WITH {sql.PROPOSALS} SELECT video_id, proposal_id, lo, hi, n_sentences, s, e, reject_reason FROM p")
 def candidate_validation(spark, d):
-    s = sents(spark, d)
+    s = sents(spark, d).persist()  # proposed from twice and looked up once
     return C.validate(C.proposals(s), s).select("video_id", "proposal_id", "lo", "hi", "n_sentences", "s", "e", "reject_reason")
 
 
-def cands(spark: SparkSession, d: str) -> DataFrame:
-    s = sents(spark, d)
+def cands(spark: SparkSession, d: str, s: DataFrame | None = None) -> DataFrame:
+    s = s or sents(spark, d).persist()
     return C.candidates(C.validate(C.proposals(s), s))
 
 
@@ -173,9 +173,8 @@ def near_start_dedup(spark, d):
 
 def clips(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Clips off the sentence grid: candidates shifted by a few hundred milliseconds; and the sentences."""
-    s = sents(spark, d)
-    s = s.drop("text").persist()  # looked up several times; a row per sentence, without its text
-    c = cands(spark, d)
+    s = sents(spark, d).persist()  # looked up several times
+    c = cands(spark, d, s)
     i = F.col("cand_id")
     return c.select(
         "video_id", (F.col("video_id") * 10_000_000 + i).alias("clip_id"), (F.col("s") + i % 7 * 311).alias("s"),
