@@ -1,5 +1,6 @@
-"""The corpus pipeline: toxic documents go, then poor ones, near-duplicates, and those
-that hold benchmark items; what is left is packed into sequences.
+"""The corpus pipeline: toxic documents go, then poor ones, near-duplicates, those that
+hold benchmark items, and near copies by exact shingle similarity, which fingerprints
+three bits apart miss; what is left is packed into sequences.
 
 Every stage takes the documents its predecessor kept, whole, and writes what it keeps."""
 
@@ -8,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuewright.llm import decontamination, packing, quality, simhash, toxicity
+from cuewright.llm import decontamination, packing, quality, shingles, simhash, toxicity
 from cuewright.llm.common import held_out, materialize
 
 
@@ -36,6 +37,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return decontamination.clean(docs, _table(spark, sf_dir, "benchmark"))
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Five-word shingles, Jaccard similarity of 0.8 or more."""
+    return shingles.keep_one(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
@@ -45,6 +51,7 @@ STAGES = [
     ("quality", drop_poor),
     ("simhash", drop_near_duplicates),
     ("decontamination", drop_contaminated),
+    ("near_copies", drop_near_copies),
     ("packing", pack),
 ]
 #: Trained classifiers and tokenizers are not SQL; tests hold the stages against brute-force versions.
