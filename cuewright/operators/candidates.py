@@ -28,8 +28,10 @@ def proposals(sents: DataFrame) -> DataFrame:
 def validate(props: DataFrame, sents: DataFrame, min_ms: int = 15_000, max_ms: int = 90_000, max_sentences: int = 120) -> DataFrame:
     """Proposals with their known sentences' span and the first rule they break (null: accepted). Reversed ids are swapped."""
     p = props.select("video_id", "proposal_id", F.least("start_id", "end_id").alias("lo"), F.greatest("start_id", "end_id").alias("hi"))
-    # spans are short, so the join is on equal sentence ids, not on a range
-    ids = p.where(F.col("hi") - F.col("lo") <= 10 * max_sentences).withColumn("id", F.explode(F.sequence("lo", "hi")))
+    # the join is on equal sentence ids, not on a range; ids beyond the video's own are unknown
+    ends = sents.groupBy("video_id").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    known = p.where("lo is not null and hi is not null").join(ends, "video_id").where("lo <= most and hi >= least")
+    ids = known.withColumn("id", F.explode(F.sequence(F.greatest("lo", "least"), F.least("hi", "most")))).drop("least", "most")
     s = sents.select("video_id", "id", "start_ms", "end_ms", "text")
     g = ids.join(s, ["video_id", "id"]).groupBy("video_id", "proposal_id").agg(
         F.count("*").alias("n_sentences"), F.min("start_ms").alias("s"), F.max("end_ms").alias("e"), F.min_by("text", "id").alias("first_text")
