@@ -181,6 +181,8 @@ def read_index(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, n_chunks) of all documents, from the files, verified.
 
     start: the ids of all documents before it in (doc_id, row) order. ids_crc32: of the ids as little-endian unsigned 32-bit integers."""
+    if not verify(spark, path):
+        raise ValueError("the recipes do not match the manifest")
     kind = "<u2" if width == 2 else "<u4"
     chunks = spark.read.schema("chunk_id binary, n int, payload binary").parquet(f"{path}/chunks").where("payload is not null")
 
