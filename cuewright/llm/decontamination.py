@@ -1,7 +1,8 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Items and documents are sequences of words (lower-cased letter and digit runs). An
-item of n words may be hit with k = floor(error_rate * n) word edits. It is cut into
+Items and documents are sequences of words: lower-cased letter and digit runs, and each
+character of a script written without spaces (Chinese, Japanese, Thai, Lao, Khmer,
+Burmese); signs of any script separate. An item of n words may be hit with k = floor(error_rate * n) word edits. It is cut into
 k + 1 pieces, so one piece at least stands unedited in any hit: documents are scanned
 for the pieces' hashes (rolling n-gram hashes against a bit table, then exactly), and
 around each piece hit Myers' bit-parallel algorithm finds the least edit distance of
@@ -10,12 +11,13 @@ the whole item to any stretch of words.
 Items are sent to the tasks in blocks of bounded bytes; each block scans the documents
 once, so a larger benchmark costs passes, not memory. Documents are never shuffled.
 
-Defined cases: null, empty and wordless documents match nothing; items of under
-``min_words`` words, null items among them, carry no five-word passage and match
-nothing; repeated items each match; null ids are carried."""
+Defined cases: null, empty and wordless documents and items match nothing; items of
+under ``min_words`` words match unedited only, as a whole word sequence; repeated items each match; null ids are carried."""
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from dataclasses import dataclass
 from functools import reduce
 
@@ -47,6 +49,39 @@ def words_of(texts: list[str | None]):
         yield first, count, doc[word], h[word]
 
 
+#: Texts of these characters alone need no look at each: ASCII and Latin letters.
+_LATIN = re.compile("[\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\u024f]*")
+_UNSPACED = [
+    (0x0E01, 0x0E4E), (0x0E81, 0x0ECE), (0x1000, 0x103F), (0x1050, 0x109F), (0x1780, 0x17D3), (0x1950, 0x19DF), (0x1A20, 0x1A7F),
+    (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x3029), (0x3031, 0x303C), (0x3041, 0x3096), (0x3099, 0x309A), (0x309D, 0x309F),
+    (0x30A1, 0x30FA), (0x30FC, 0x30FF), (0x3105, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF),
+    (0xA9E0, 0xA9FE), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x16FE0, 0x16FFF), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFD),
+]
+
+
+class _Apart(dict):
+    """What stands for a character: a sign gives a space, a character of an unspaced script stands alone."""
+
+    def __missing__(self, code: int) -> str:
+        c = out = chr(code)
+        if code > 127:
+            kind = unicodedata.category(c)
+            if any(lo <= code <= hi for lo, hi in _UNSPACED) and not kind.startswith(("P", "Sc", "N", "Z")) or code in (0x3007, *range(0x3021, 0x302A)):
+                out = f" {c} "
+            elif kind[0] in "PSZ" or kind == "Cc" or code == 0x200B:
+                out = " "
+        self[code] = out
+        return out
+
+
+_APART = _Apart()
+
+
+def passage_words(texts: list[str | None]):
+    """As words_of, with unspaced scripts in characters and no signs of any script in words."""
+    return words_of([t if not t or _LATIN.fullmatch(t) else t.lower().translate(_APART) for t in texts])
+
+
 def myers(pattern: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     """(least distance of ``pattern`` to any stretch of ``text``, where the first such stretch ends), Myers 1999."""
     m = len(pattern)
@@ -81,14 +116,14 @@ class Index:
         self.ids, self.words, self.budget = [], [], []
         length, key, item, offset = [], [], [], []
         texts = [t for _, t in items]
-        for first, count, doc, h in words_of(texts):
+        for first, count, doc, h in passage_words(texts):
             cuts = np.searchsorted(doc, np.arange(count + 1))
             for i in range(count):
                 w = h[cuts[i] : cuts[i + 1]]
                 n = len(w)
-                if n < p.min_words:
+                if not n:
                     continue
-                k = int(p.error_rate * n)
+                k = int(p.error_rate * n) if n >= p.min_words else 0
                 bounds = [n * j // (k + 1) for j in range(k + 2)]
                 for s, e in zip(bounds, bounds[1:], strict=False):
                     length.append(e - s)
@@ -126,6 +161,11 @@ class Index:
             n, k = len(self.words[i]), self.budget[i]
             best, end = n + 1, 0
             starts.sort()
+            if k == 0:  # one piece: the whole item
+                at = next((x for x in starts if np.array_equal(w[x : x + n], self.words[i])), None)
+                if at is not None:
+                    out.append({"item_id": self.ids[i], "distance": 0, "start_word": at, "end_word": at + n, "n_words": n})
+                continue
             a = 0
             while a < len(starts):  # neighbouring hits share one window
                 b = a
@@ -178,7 +218,7 @@ def _matcher(docs: DataFrame, block: list[tuple], p: MatchParams):
             built.append(Index(held.value, p))
         index = built[0]
         out: list = [[] for _ in range(len(texts))]
-        for first, count, doc, h in words_of(texts.tolist()):
+        for first, count, doc, h in passage_words(texts.tolist()):
             cuts = np.searchsorted(doc, np.arange(count + 1))
             for i in range(count):
                 out[first + i] = index.matches(h[cuts[i] : cuts[i + 1]])
