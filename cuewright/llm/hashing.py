@@ -42,6 +42,14 @@ _VALUE_FOLD[65:91] = _VALUE[97:123]
 _PLACE = mix(np.arange(1001, 1065, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
 
 
+def _factors(place: np.ndarray) -> np.ndarray:
+    """An odd factor for each place in a token, another for every place."""
+    out = _PLACE[place & 63]
+    far = np.flatnonzero(place > 63)
+    out[far] = mix(place[far].astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
+    return out
+
+
 def _tokens(buf: np.ndarray, fold: bool, stem: int = 0) -> tuple[np.ndarray, ...]:
     """starts, hashes, flags, whether the first byte is an ASCII capital, and (stem > 0) the hashes of the first ``stem`` bytes, of one buffer's tokens."""
     cls = CLASS[buf]
@@ -55,7 +63,7 @@ def _tokens(buf: np.ndarray, fold: bool, stem: int = 0) -> tuple[np.ndarray, ...
     first = starts[0]
     span = np.diff(np.append(starts, len(buf)))
     place = np.arange(first, len(buf)) - np.repeat(starts, span)
-    value = (_VALUE_FOLD if fold else _VALUE)[buf[first:]] * _PLACE[place & 63]
+    value = (_VALUE_FOLD if fold else _VALUE)[buf[first:]] * _factors(place)
     h = mix(np.add.reduceat(value, starts - first))
     flags = np.bitwise_or.reduceat(FLAG[buf[first:]], starts - first)
     head = buf[starts]

@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -60,6 +61,12 @@ def test_hashes_do_not_depend_on_batches():
         assert [x for _, _, _, h, *_ in hashing.batches([t], True) for x in h.tolist()] == whole[i]
 
 
+def test_long_tokens_that_swap_bytes_differ():
+    a, b = "a" * 64 + "b" * 64, "b" * 64 + "a" * 64
+    (_, _, _, h, *_), = hashing.batches([f"{a} {b} {a}b {b}a {'ab' * 64} {'a' * 65} {'a' * 66}"], True)
+    assert len(set(h.tolist())) == 7
+
+
 def test_token_store_round_trip(spark, awkward, tmp_path):
     path = f"file://{tmp_path}/store"
     token_store.write_store(docs(spark, awkward), path)
@@ -379,17 +386,18 @@ def test_search_against_brute_force(spark, awkward):
     rows = awkward + [(200 + i, words(rng, rng.randint(1, 60))) for i in range(150)]
     d = docs(spark, rows)
     queries = spark.createDataFrame([(i, t) for i, t in rows if i is not None and i % 5 == 0], "query_id long, text string")
-    p = search.SearchParams(k=4, shard_docs=70, batch=3, block_terms=400)
+    p = search.SearchParams(k=4, buffer_docs=50, shard_docs=20, common=4, batch=3, block_terms=400, sample=2)
     got = collections.defaultdict(list)
     for r in search.top_k(d, queries, p).collect():
         got[r.query_id].append((r["rank"], r.doc_id, r.score))
-    vec = [(i, collections.Counter(x for _, _, _, h in decontamination.words_of([t]) for x in h.tolist())) for i, t in rows if i is not None]
+    words_in = lambda t: collections.Counter(w for w in re.findall("[a-z0-9_\x80-\U0010ffff]+", (t or "").lower()) if w.strip("_"))
+    vec = [(i, words_in(t)) for i, t in rows if i is not None]
     n, mean = len(vec), sum(sum(c.values()) for _, c in vec) / len(vec)
     df = collections.Counter(x for _, c in vec for x in c)
     for q, t in rows:
         if q is None or q % 5:
             continue
-        qv = collections.Counter(x for _, _, _, h in decontamination.words_of([t]) for x in h.tolist())
+        qv = words_in(t)
         scored = []
         for i, c in vec:
             size = sum(c.values())
