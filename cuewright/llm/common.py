@@ -5,13 +5,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 _OWN: dict[str, str] = {}
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,7 +37,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for df, when all that reads it has been written itself."""
+    path = _PATHS.pop(df, None)
+    if path:
+        jvm, jsession = df.sparkSession._jvm, df.sparkSession._jsparkSession
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(jsession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each lengthened until df has no such column, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def require(df: DataFrame, *names: str) -> None:
@@ -90,5 +114,3 @@ def block_offsets(counts: DataFrame, keys: list[str], value: str, out: str) -> D
     w = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     return counts.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)).cast("long"))
 
-
-LONG = T.LongType()

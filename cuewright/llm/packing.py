@@ -1,35 +1,42 @@
 """Bulk-synchronous best-fit packing of documents into sequences of bounded length.
 
 A document (its ids and an end id) longer than a sequence is cut; only its first piece
-may be shorter. Pieces of one length are interchangeable, so documents and gaps are
-kept range-sorted as size classes with counts: ``capacity`` classes at most, however
-large the corpus. Superstep l takes all pieces of length l, longest first: a successor
-sweep over the sorted gaps matches them to the tightest gaps that hold them, conflicts
-for a gap go by rank in the class, the gaps shrink, what is left opens sequences, and
-the next step follows. It equals best-fit decreasing over the single pieces.
-
-The rows stay distributed: each knows its rank in its class (rank within its task plus
-an offset per task and class), and rank and class give sequence and place by a table
-of the matches, whose size depends on ``capacity`` alone. No text is shuffled."""
+may be shorter. Pieces over half a sequence each open one, under their own id. The others
+are placed band by band of lengths, the longest first, in supersteps over two tables of
+rows, the pieces left and the open gaps:
+1. Both are range-sorted together, the largest first. A gap is there once for every piece
+   of the band that it surely holds.
+2. Successor sweep: each range matches its pieces to the tightest gaps before them; a
+   piece takes the last gap not taken yet, so conflicts go by rank in the order. What a
+   range leaves, gaps and pieces, is ranked; one row a range carries how many, and pieces
+   are matched by rank to the gaps that earlier ranges carry over.
+3. The gaps shrink by what they took, and the step is repeated until no piece fits. Then
+   as many sequences are opened as the pieces left need at least, and it goes on.
+The plan's size is the number of ranges; pieces and gaps stay in Spark's tables, written
+to the shared folder after each step. No text is shuffled."""
 
 from __future__ import annotations
 
-import bisect
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import tokens
-from .common import materialize, require
+from .common import materialize, release, require
 
 CAPACITY = 1024
-_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, task_rank long"
+RANGE_ROWS = 100_000  # pieces and gaps that one task sweeps, about
+_PIECES = "pid long, doc_id long, piece int, start long, length int, ids_crc32 long"
+_STEP = "block int, kind int, id long, size int, at long, slots long, seq long, gap int, slot long"
+GAP, LEFT, MATCHED = 0, 1, 2
+NEW = 1 << 62  # ids of sequences opened empty start here
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -40,93 +47,187 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece with its rank among the pieces of its length in the same task."""
+    """One row per piece, with an id of its own."""
 
     def made(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        pid = TaskContext.get().partitionId() << 40
         for f in frames:
             rows: list[tuple] = []
             for at, ids in enumerate(tokens.encoder(path).documents(f["text"].tolist())):
                 raw = ids.astype("<u4").tobytes()
                 for k, (s, n) in enumerate(cut(len(ids), capacity)):
-                    rows.append((at, k, s, n, zlib.crc32(raw[4 * s : 4 * (s + n)]), seen[n]))
-                    seen[n] += 1
+                    rows.append((at, k, s, n, zlib.crc32(raw[4 * s : 4 * (s + n)])))
             if rows:
-                at, k, s, n, crc, rank = map(list, zip(*rows, strict=True))
+                at, k, s, n, crc = map(list, zip(*rows, strict=True))
                 yield pd.DataFrame(
-                    {"doc_id": f["doc_id"].astype("Int64").array.take(at), "piece": k, "start": s, "length": n, "ids_crc32": crc, "task": task, "task_rank": rank}
+                    {"pid": np.arange(pid, pid + len(at)), "doc_id": f["doc_id"].astype("Int64").array.take(at), "piece": k, "start": s, "length": n, "ids_crc32": crc}
                 )
+                pid += len(at)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(made, _PIECES)
 
 
-def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """Matches (length, first rank, pieces per sequence, first sequence, offset) from the counts of each length.
-
-    Ranks of a length from ``first rank`` up to the next match of that length fill its
-    sequences one after the other, so many pieces in each, from that offset."""
-    bins: dict[int, list[tuple[int, int]]] = {}  # gap -> runs of sequences (first, how many)
-    gaps: list[int] = []  # the sorted gaps
-    out: list[tuple[int, int, int, int, int]] = []
-    opened = 0
-
-    def put(gap: int, first: int, many: int) -> None:
-        if gap and many:
-            if gap not in bins:
-                bins[gap] = []
-                bisect.insort(gaps, gap)
-            bins[gap].append((first, many))
-
-    for length in sorted(counts, reverse=True):
-        left, rank = counts[length], 0
-        while left:
-            at = bisect.bisect_left(gaps, length)
-            if at == len(gaps):
-                each = capacity // length
-                gap, first, many = capacity, opened, -(-left // each)
-                opened += many
-            else:
-                gap = gaps[at]
-                first, many = bins[gap].pop()
-                if not bins[gap]:
-                    del bins[gap], gaps[at]
-                each = gap // length
-            full, rest = min(many, left // each), 0
-            out.append((length, rank, each, first, capacity - gap))
-            if full < many:
-                rest = left - full * each if left - full * each < each else 0
-                if rest:
-                    put(gap - rest * length, first + full, 1)
-                put(gap, first + full + bool(rest), many - full - bool(rest))
-            put(gap - each * length, first, full)
-            rank += full * each + rest
-            left -= full * each + rest
+def sweep(kind: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Matches of one range's rows in order: (rows of pieces, rows of their gaps, their slots, slots left of every row).
+
+    A piece takes the last slot before it that is free. Runs of pieces and of gaps are taken whole."""
+    ends = np.cumsum(slots)
+    free: list[list[int]] = []  # [first, end) of free slots, the tightest last
+    piece, slot = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    edges = np.flatnonzero(np.diff(kind)) + 1
+    bounds = [0, *edges.tolist(), len(kind)] if len(kind) else [0]
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        if kind[a] == GAP:
+            free.append([int(ends[a] - slots[a]), int(ends[b - 1])])
+            continue
+        while a < b and free:
+            first, end = free[-1]
+            n = min(b - a, end - first)
+            piece.append(np.arange(a, a + n))
+            slot.append(np.arange(end - 1, end - 1 - n, -1))
+            a, free[-1][1] = a + n, end - n
+            if end - n == first:
+                free.pop()
+    piece, slot = np.concatenate(piece), np.concatenate(slot)
+    gap = np.searchsorted(ends, slot, side="right")
+    left = slots - np.bincount(gap, minlength=len(slots))
+    return piece, gap, slot - (ends - slots)[gap], left
+
+
+def _swept(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of one range, sorted, -> its matches, the pieces left and the gaps left, both ranked."""
+    rows = list(frames)
+    if not rows:
+        return
+    f = pd.concat(rows)
+    kind, ids, size, slots = (f[c].to_numpy(np.int64) for c in ("kind", "id", "size", "slots"))
+    piece, gap, slot, left = sweep(kind, slots)
+    alone = kind == LEFT
+    alone[piece] = False
+    alone, some = np.flatnonzero(alone), np.flatnonzero(left > 0)
+    block, none = TaskContext.get().partitionId(), np.zeros(0, np.int64)
+    out = [
+        (MATCHED, ids[piece], size[piece], none, none, ids[gap], size[gap], slot),
+        (LEFT, ids[alone], size[alone], np.arange(len(alone)), none, none, none, none),
+        (GAP, ids[some], size[some], np.cumsum(left[some]) - left[some], left[some], none, none, none),
+    ]
+    for k, i, s, *rest in out:
+        if len(i):
+            more = {c: x if len(x) else 0 for c, x in zip(("at", "slots", "seq", "gap", "slot"), rest, strict=True)}
+            yield pd.DataFrame({"block": block, "kind": k, "id": i, "size": s, **more})
+
+
+def carried(counts: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int, int, int]], dict[int, int]]:
+    """From (range, pieces left, slots left), in order: which ranks of pieces take which slots of earlier ranges.
+
+    Returns (range, first rank, end rank, gaps' range, slot of the first rank; the next ranks go down from it),
+    and the least slot that was taken of every range."""
+    free: list[list[int]] = []
+    out, least = [], {}
+    for block, n, slots in counts:
+        rank = 0
+        while rank < n and free:
+            of, have = free[-1]
+            take = min(n - rank, have)
+            out.append((block, rank, rank + take, of, have - 1))
+            rank += take
+            least[of] = free[-1][1] = have - take
+            if have == take:
+                free.pop()
+        if slots:
+            free.append([block, slots])
+    return out, least
+
+
+def superstep(left: DataFrame, gaps: DataFrame, longest: int, ranges: int, capacity: int) -> tuple[DataFrame, DataFrame, int]:
+    """One sweep: (placed, pieces left, number placed). left: (pid, length); gaps: (seq, gap); placed: (pid, seq, offset, length)."""
+    spark = left.sparkSession
+    room = F.greatest(F.floor(F.col("gap") / longest), F.lit(1)).cast("long")
+    rows = left.select(F.lit(LEFT).alias("kind"), F.col("pid").alias("id"), F.col("length").alias("size"), F.lit(0).cast("long").alias("slots")).union(
+        gaps.select(F.lit(GAP), "seq", "gap", room)
+    )
+    order = [F.desc("size"), F.asc("kind"), F.asc("id")]
+    step = materialize(rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInPandas(_swept, _STEP), "packing-sweep")
+    some = lambda k, c: F.sum(F.when(F.col("kind") == k, c).otherwise(0)).cast("long")
+    counts = step.groupBy("block").agg(some(LEFT, F.lit(1)).alias("left"), some(GAP, F.col("slots")).alias("slots"), some(MATCHED, F.lit(1)).alias("matched")).collect()  # one row a range
+    plan, least = carried(sorted((r["block"], r["left"], r["slots"]) for r in counts))
+    own = step.where(F.col("kind") == MATCHED).select(F.col("id").alias("pid"), F.col("size").alias("length"), "seq", "gap", "slot")
+    rest = step.where(F.col("kind") == LEFT)
+    if plan:
+        p = F.broadcast(spark.createDataFrame(plan, "b int, lo long, hi long, of int, top long"))  # at most two rows a range
+        q = F.broadcast(spark.createDataFrame(sorted(least.items()), "b int, least long"))
+        hit = (F.col("block") == F.col("b")) & (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi"))
+        asking = rest.join(p, hit).select(F.col("id").alias("pid"), F.col("size").alias("length"), "of", (F.col("top") - F.col("at") + F.col("lo")).alias("place"))
+        taken = (F.col("block") == F.col("b")) & (F.col("at") + F.col("slots") > F.col("least"))
+        open_ = step.where(F.col("kind") == GAP).join(q, taken).select(
+            F.col("block").alias("of"), F.col("id").alias("seq"), F.col("size").alias("gap"), "at", F.explode(F.sequence(F.greatest("at", "least"), F.col("at") + F.col("slots") - 1)).alias("place")
+        )
+        own = own.unionByName(asking.join(open_, ["of", "place"]).select("pid", "length", "seq", "gap", (F.col("place") - F.col("at")).alias("slot")))
+        done = {}
+        for block, _, end, *_ in plan:
+            done[block] = end
+        d = F.broadcast(spark.createDataFrame(sorted(done.items()), "b int, end long"))
+        rest = rest.join(d, F.col("block") == F.col("b"), "left").where(F.coalesce(F.col("at") >= F.col("end"), F.lit(True)))
+    before = Window.partitionBy("seq").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)  # a sequence holds at most capacity pieces
+    offset = F.lit(capacity) - F.col("gap") + F.coalesce(F.sum("length").over(before), F.lit(0))
+    placed = materialize(own.select("pid", "seq", offset.cast("long").alias("offset"), "length"), "packing-placed")
+    n = sum(r["matched"] for r in counts) + sum(hi - lo for _, lo, hi, *_ in plan)
+    return placed, rest.select(F.col("id").alias("pid"), F.col("size").alias("length")), n
+
+
+def bands(counts: dict[int, int], longest: int) -> list[tuple[int, int, int]]:
+    """(over, to, pieces): bands of lengths from ``longest`` down; each spans a factor of two, more where that holds few of the pieces."""
+    out, hi = [], longest
+    few = sum(counts.values()) / 64
+    while hi > 0 and (hi := max((n for n in counts if n <= hi), default=0)):
+        lo = hi // 2
+        while lo and sum(c for n, c in counts.items() if lo < n <= hi) < few:
+            lo //= 2
+        out.append((lo, hi, sum(c for n, c in counts.items() if lo < n <= hi)))
+        hi = lo
     return out
 
 
+def _shrunk(gaps: DataFrame, change: DataFrame) -> DataFrame:
+    """gaps (seq, gap) after the rows (seq, gap) of ``change`` were added; full sequences go."""
+    return gaps.union(change).groupBy("seq").agg(F.sum("gap").cast("int").alias("gap")).where("gap > 0")
+
+
+def place(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(pid, sequence_id, offset) of every row of rows (pid, length), lengths from 1 to capacity."""
+    spark: SparkSession = rows.sparkSession
+    half = capacity // 2
+    counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
+    long = rows.where(F.col("length") > half)
+    out = [long.select("pid", F.col("pid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    gaps = long.where(F.col("length") < capacity).select(F.col("pid").alias("seq"), (F.lit(capacity) - F.col("length")).cast("int").alias("gap"))
+    n_gaps, opened, old = sum(c for n, c in counts.items() if half < n < capacity), 0, []
+    for lo, hi, n in bands({k: c for k, c in counts.items() if k <= half}, half):
+        left = rows.where(F.col("length").between(lo + 1, hi)).select("pid", "length")
+        while n:
+            ranges = max(1, -(-(n + n_gaps) // RANGE_ROWS))
+            placed, left, done = superstep(left, gaps.where(F.col("gap") > lo), hi, ranges, capacity)
+            change = placed.select("seq", -F.col("length"))
+            n -= done
+            if done:
+                out.append(placed.select("pid", F.col("seq").alias("sequence_id"), "offset"))
+            if n and done * 64 < n + done:  # few or none fitted: open what the rest needs at least
+                need = -(-left.agg(F.sum("length")).first()[0] // capacity)
+                change = change.union(spark.range(NEW + opened, NEW + opened + need).select("id", F.lit(capacity)))
+                opened, n_gaps = opened + need, n_gaps + need
+            gaps = materialize(_shrunk(gaps, change), "packing-gaps")
+            old.append(gaps)
+            if len(old) > 2:
+                release(old.pop(0))
+    return reduce(DataFrame.union, out)
+
+
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every row of docs.
 
     Null texts are empty (the end id alone); repeated rows and null ids are packed as
-    rows of their own; an empty table gives no rows."""
+    rows of their own; very long texts are cut; an empty table gives no rows; other columns are ignored."""
     require(docs, "doc_id", "text")
-    spark = docs.sparkSession
     rows = materialize(pieces(docs, path or tokens.vocabulary_path(), capacity), "packing-pieces")
-    by_task = rows.groupBy("length", "task").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = by_task.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
-    plan = np.array(best_fit(counts, capacity), np.int64).reshape(-1, 5)
-    plan = plan[np.lexsort((plan[:, 1], plan[:, 0]))]
-    held = spark.sparkContext.broadcast(plan)  # depends on capacity, not on the corpus
-
-    @F.pandas_udf("struct<sequence_id:long,offset:long>")
-    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        p, n, r = held.value, length.to_numpy(np.int64), rank.to_numpy(np.int64)
-        big = 1 << 40
-        at = np.searchsorted(p[:, 0] * big + p[:, 1], n * big + r, side="right") - 1
-        past = r - p[at, 1]
-        return pd.DataFrame({"sequence_id": p[at, 3] + past // p[at, 2], "offset": p[at, 4] + past % p[at, 2] * n})
-
-    placed = rows.join(offsets, ["length", "task"]).withColumn("at", place("length", F.col("before") + F.col("task_rank")))
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "at.sequence_id", "at.offset")
+    placed = place(rows.select("pid", "length"), capacity)
+    return rows.join(placed, "pid").select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")

@@ -119,29 +119,67 @@ def test_packing(spark, awkward):
         assert at <= packing.CAPACITY
 
 
-def test_best_fit_equals_the_row_by_row_loop():
-    rng = random.Random(4)
-    for _ in range(50):
-        counts = collections.Counter(rng.randint(1, 64) for _ in range(rng.randint(1, 300)))
-        gaps = []
-        for n in sorted(counts.elements(), reverse=True):
-            fit = [g for g in gaps if g >= n]
-            if fit:
-                gaps.remove(min(fit))
-                gaps.append(min(fit) - n)
+def loop_of_sweeps(lengths, capacity):
+    """The supersteps on plain lists: (how many sequences, their free room) and the pieces of each."""
+    half, gaps, members = capacity // 2, {}, collections.defaultdict(list)
+    for i, n in enumerate(lengths):
+        if n > half:
+            gaps[i], members[i] = capacity - n, [i]
+    new = packing.NEW
+    for lo, hi, _ in packing.bands(collections.Counter(n for n in lengths if n <= half), half):
+        left = [i for i, n in enumerate(lengths) if lo < n <= hi]
+        while left:
+            rows = sorted([(-lengths[i], 1, i) for i in left] + [(-g, 0, s) for s, g in gaps.items() if g > lo])
+            stack, left, took = [], [], collections.defaultdict(list)
+            for size, kind, i in rows:
+                if not kind:
+                    stack += [(i, k) for k in range(max(1, -size // hi))]
+                elif stack:
+                    s, k = stack.pop()
+                    took[s].append((k, i))
+                else:
+                    left.append(i)
+            for s, some in took.items():
+                members[s] += [i for _, i in sorted(some)]
+                gaps[s] -= sum(lengths[i] for _, i in some)
+            done = sum(map(len, took.values()))
+            if left and done * 64 < len(left) + done:
+                for _ in range(-(-sum(lengths[i] for i in left) // capacity)):
+                    gaps[new], new = capacity, new + 1
+    return members
+
+
+@pytest.mark.parametrize("ranges", [7, 1_000])
+def test_supersteps_equal_the_loop(spark, monkeypatch, ranges):
+    monkeypatch.setattr(packing, "RANGE_ROWS", ranges)
+    rng = random.Random(ranges)
+    for capacity, n, top in ((64, 150, 64), (64, 40, 3), (10, 60, 10)):
+        lengths = [min(top, rng.choice([rng.randint(1, top), rng.randint(1, 8), top])) for _ in range(n)]
+        rows = spark.createDataFrame(list(enumerate(lengths)), "pid long, length int")
+        got = collections.defaultdict(list)
+        for r in packing.place(rows, capacity).collect():
+            got[r.sequence_id].append((r.offset, r.pid))
+        for s, some in got.items():
+            at = 0
+            for offset, i in sorted(some):
+                assert offset == at, s
+                at += lengths[i]
+            assert at <= capacity
+        want = loop_of_sweeps(lengths, capacity)
+        assert {s: [i for _, i in sorted(x)] for s, x in got.items()} == {s: x for s, x in want.items() if x}
+        # best-fit decreasing, one piece at a time
+        room = []
+        for x in sorted(lengths, reverse=True):
+            fit = min((g for g in room if g >= x), default=None)
+            if fit is None:
+                room.append(capacity - x)
             else:
-                gaps.append(64 - n)
-        plan = packing.best_fit(dict(counts), 64)
-        used = collections.Counter()
-        ends = {}
-        for length, rank, each, first, offset in plan:
-            later = [r for n, r, *_ in plan if n == length and r > rank]
-            for r in range(rank, min(later, default=counts[length])):
-                s = first + (r - rank) // each
-                assert ends.get(s, 0) == offset + (r - rank) % each * length
-                ends[s] = ends.get(s, 0) + length
-                used[length] += 1
-        assert used == counts and sorted(64 - e for e in ends.values()) == sorted(gaps)
+                room[room.index(fit)] -= x
+        assert len(got) <= len(room) + 1
+
+
+def test_no_pieces_no_sequences(spark):
+    assert packing.pack(docs(spark, [])).collect() == []
 
 
 def brute_components(values, near):
