@@ -2,18 +2,17 @@
 
 A document (its ids and an end id) longer than a sequence is cut; only its first piece
 may be shorter. Pieces over half a sequence each open one, under their own id. The others
-are placed band by band of lengths, the longest first, in supersteps over two tables of
-rows, the pieces left and the open gaps:
-1. Both are range-sorted together, the largest first. A gap is there once for every piece
-   of the band that it surely holds.
-2. Successor sweep: each range matches its pieces to the tightest gaps before them; a
-   piece takes the last gap not taken yet, so conflicts go by rank in the order. What a
-   range leaves, gaps and pieces, is ranked; one row a range carries how many, and pieces
-   are matched by rank to the gaps that earlier ranges carry over.
-3. The gaps shrink by what they took, and the step is repeated until no piece fits. Then
-   as many sequences are opened as the pieces left need at least, and it goes on.
-The plan's size is the number of ranges; pieces and gaps stay in Spark's tables, written
-to the shared folder after each step. No text is shuffled."""
+are placed in supersteps over two tables of rows, the pieces left and the open gaps:
+1. Both are range-sorted together, the largest first.
+2. Successor sweep: every range takes its rows in order; a piece goes to the tightest gap
+   that holds it, and the gap that is left comes up again at its new size. The first range
+   opens sequences for pieces without a gap; other ranges rank them, and every range ranks
+   the gaps that it leaves. One row a range carries how many, and the pieces left are
+   matched by rank to the gaps that earlier ranges carry over.
+3. The gaps shrink by what they took, and the step is repeated until all pieces are
+   placed. When few were, as many sequences are opened as the rest needs at least.
+With one range this is best-fit decreasing. The driver sees one row a range; pieces and
+gaps stay in Spark's tables, written to the shared folder after each step. No text is shuffled."""
 
 from __future__ import annotations
 
@@ -35,7 +34,7 @@ CAPACITY = 1024
 RANGE_ROWS = 100_000  # pieces and gaps that one task sweeps, about
 _PIECES = "pid long, doc_id long, piece int, start long, length int, ids_crc32 long"
 _STEP = "block int, kind int, id long, size int, at long, slots long, seq long, gap int, slot long"
-GAP, LEFT, MATCHED = 0, 1, 2
+GAP, LEFT, MATCHED, OPENED = 0, 1, 2, 3
 NEW = 1 << 62  # ids of sequences opened empty start here
 
 
@@ -67,54 +66,61 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(made, _PIECES)
 
 
-def sweep(kind: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Matches of one range's rows in order: (rows of pieces, rows of their gaps, their slots, slots left of every row).
-
-    A piece takes the last slot before it that is free. Runs of pieces and of gaps are taken whole."""
-    ends = np.cumsum(slots)
-    free: list[list[int]] = []  # [first, end) of free slots, the tightest last
-    piece, slot = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    edges = np.flatnonzero(np.diff(kind)) + 1
-    bounds = [0, *edges.tolist(), len(kind)] if len(kind) else [0]
-    for a, b in zip(bounds, bounds[1:], strict=False):
-        if kind[a] == GAP:
-            free.append([int(ends[a] - slots[a]), int(ends[b - 1])])
+def sweep(kind: list[int], ids: list[int], size: list[int], first: bool, capacity: int) -> tuple[list[tuple], list[int], list[int], list[list[int]]]:
+    """One range's rows in order -> matches (piece, length, sequence, its gap before, how many it took before),
+    rows of pieces without a gap, sequences opened, and [sequence, gap before, room] of the gaps left, the tightest last."""
+    free: list[list[int]] = []  # [sequence, gap before, room, taken]; the tightest last
+    later: list[list[list[int]]] = [[] for _ in range(capacity + 1)]  # gaps that fit no piece yet, by room
+    matched, alone, opened = [], [], []
+    now = capacity + 1
+    for i, (k, x, n) in enumerate(zip(kind, ids, size, strict=True)):
+        while now > n:
+            now -= 1
+            if later[now]:
+                free += later[now]
+                later[now] = []
+        if k == GAP:
+            free.append([x, n, n, 0])
             continue
-        while a < b and free:
-            first, end = free[-1]
-            n = min(b - a, end - first)
-            piece.append(np.arange(a, a + n))
-            slot.append(np.arange(end - 1, end - 1 - n, -1))
-            a, free[-1][1] = a + n, end - n
-            if end - n == first:
-                free.pop()
-    piece, slot = np.concatenate(piece), np.concatenate(slot)
-    gap = np.searchsorted(ends, slot, side="right")
-    left = slots - np.bincount(gap, minlength=len(slots))
-    return piece, gap, slot - (ends - slots)[gap], left
-
-
-def _swept(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The rows of one range, sorted, -> its matches, the pieces left and the gaps left, both ranked."""
+        if free:
+            gap = free.pop()
+        elif first:
+            gap = [x, capacity, capacity, 0]
+            opened.append(x)
+        else:
+            alone.append(i)
+            continue
+        matched.append((x, n, gap[0], gap[1], gap[3]))
+        gap[2] -= n
+        gap[3] += 1
+        if gap[2] >= n:
+            free.append(gap)
+        elif gap[2]:
+            later[gap[2]].append(gap)
+    return matched, alone, opened, [g[:3] for g in free]
+
+
+def _swept(frames: Iterator[pd.DataFrame], capacity: int) -> Iterator[pd.DataFrame]:
+    """The rows of one range, sorted, -> its matches, sequences opened, the pieces left and the gaps left, both ranked."""
     rows = list(frames)
     if not rows:
         return
     f = pd.concat(rows)
-    kind, ids, size, slots = (f[c].to_numpy(np.int64) for c in ("kind", "id", "size", "slots"))
-    piece, gap, slot, left = sweep(kind, slots)
-    alone = kind == LEFT
-    alone[piece] = False
-    alone, some = np.flatnonzero(alone), np.flatnonzero(left > 0)
-    block, none = TaskContext.get().partitionId(), np.zeros(0, np.int64)
-    out = [
-        (MATCHED, ids[piece], size[piece], none, none, ids[gap], size[gap], slot),
-        (LEFT, ids[alone], size[alone], np.arange(len(alone)), none, none, none, none),
-        (GAP, ids[some], size[some], np.cumsum(left[some]) - left[some], left[some], none, none, none),
-    ]
-    for k, i, s, *rest in out:
-        if len(i):
-            more = {c: x if len(x) else 0 for c, x in zip(("at", "slots", "seq", "gap", "slot"), rest, strict=True)}
-            yield pd.DataFrame({"block": block, "kind": k, "id": i, "size": s, **more})
+    block = TaskContext.get().partitionId()
+    kind, ids, size = (f[c].tolist() for c in ("kind", "id", "size"))
+    matched, alone, opened, free = sweep(kind, ids, size, block == 0, capacity)
+    columns = ["id", "size", "seq", "gap", "slot"]
+    if matched:
+        yield pd.DataFrame(matched, columns=columns).assign(block=block, kind=MATCHED, at=0, slots=0)
+    if opened:
+        yield pd.DataFrame({"block": block, "kind": OPENED, "id": opened, "size": capacity, "at": 0, "slots": 0, "seq": 0, "gap": 0, "slot": 0})
+    if alone:
+        at = np.arange(len(alone))
+        yield pd.DataFrame({"block": block, "kind": LEFT, "id": [ids[i] for i in alone], "size": [size[i] for i in alone], "at": at, "slots": 0, "seq": 0, "gap": 0, "slot": 0})
+    if free:  # pieces of later ranges are no longer than the last row here
+        seq, gap, room = zip(*free, strict=True)
+        slots = np.array(room) // size[-1]
+        yield pd.DataFrame({"block": block, "kind": GAP, "id": seq, "size": room, "at": np.cumsum(slots) - slots, "slots": slots, "seq": seq, "gap": gap, "slot": 0})
 
 
 def carried(counts: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int, int, int]], dict[int, int]]:
@@ -139,15 +145,14 @@ def carried(counts: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, in
     return out, least
 
 
-def superstep(left: DataFrame, gaps: DataFrame, longest: int, ranges: int, capacity: int) -> tuple[DataFrame, DataFrame, int]:
-    """One sweep: (placed, pieces left, number placed). left: (pid, length); gaps: (seq, gap); placed: (pid, seq, offset, length)."""
+def superstep(left: DataFrame, gaps: DataFrame, ranges: int, capacity: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """One sweep: (placed, sequences opened, pieces left, number placed).
+
+    left: (pid, length); gaps: (seq, gap), as is what was opened; placed: (pid, seq, offset, length)."""
     spark = left.sparkSession
-    room = F.greatest(F.floor(F.col("gap") / longest), F.lit(1)).cast("long")
-    rows = left.select(F.lit(LEFT).alias("kind"), F.col("pid").alias("id"), F.col("length").alias("size"), F.lit(0).cast("long").alias("slots")).union(
-        gaps.select(F.lit(GAP), "seq", "gap", room)
-    )
+    rows = left.select(F.lit(LEFT).alias("kind"), F.col("pid").alias("id"), F.col("length").alias("size")).union(gaps.select(F.lit(GAP), "seq", "gap"))
     order = [F.desc("size"), F.asc("kind"), F.asc("id")]
-    step = materialize(rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInPandas(_swept, _STEP), "packing-sweep")
+    step = materialize(rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInPandas(lambda it: _swept(it, capacity), _STEP), "packing-sweep")
     some = lambda k, c: F.sum(F.when(F.col("kind") == k, c).otherwise(0)).cast("long")
     counts = step.groupBy("block").agg(some(LEFT, F.lit(1)).alias("left"), some(GAP, F.col("slots")).alias("slots"), some(MATCHED, F.lit(1)).alias("matched")).collect()  # one row a range
     plan, least = carried(sorted((r["block"], r["left"], r["slots"]) for r in counts))
@@ -159,67 +164,46 @@ def superstep(left: DataFrame, gaps: DataFrame, longest: int, ranges: int, capac
         hit = (F.col("block") == F.col("b")) & (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi"))
         asking = rest.join(p, hit).select(F.col("id").alias("pid"), F.col("size").alias("length"), "of", (F.col("top") - F.col("at") + F.col("lo")).alias("place"))
         taken = (F.col("block") == F.col("b")) & (F.col("at") + F.col("slots") > F.col("least"))
-        open_ = step.where(F.col("kind") == GAP).join(q, taken).select(
-            F.col("block").alias("of"), F.col("id").alias("seq"), F.col("size").alias("gap"), "at", F.explode(F.sequence(F.greatest("at", "least"), F.col("at") + F.col("slots") - 1)).alias("place")
-        )
-        own = own.unionByName(asking.join(open_, ["of", "place"]).select("pid", "length", "seq", "gap", (F.col("place") - F.col("at")).alias("slot")))
-        done = {}
-        for block, _, end, *_ in plan:
-            done[block] = end
-        d = F.broadcast(spark.createDataFrame(sorted(done.items()), "b int, end long"))
-        rest = rest.join(d, F.col("block") == F.col("b"), "left").where(F.coalesce(F.col("at") >= F.col("end"), F.lit(True)))
+        places = F.explode(F.sequence(F.greatest("at", "least"), F.col("at") + F.col("slots") - 1))
+        open_ = step.where(F.col("kind") == GAP).join(q, taken).select(F.col("block").alias("of"), "seq", "gap", "at", places.alias("place"))
+        after = F.lit(capacity) + F.col("place") - F.col("at")  # what came from other ranges stands behind a range's own
+        own = own.unionByName(asking.join(open_, ["of", "place"]).select("pid", "length", "seq", "gap", after.alias("slot")))
+        done = F.broadcast(spark.createDataFrame(sorted({block: end for block, _, end, *_ in plan}.items()), "b int, end long"))
+        rest = rest.join(done, F.col("block") == F.col("b"), "left").where(F.coalesce(F.col("at") >= F.col("end"), F.lit(True)))
     before = Window.partitionBy("seq").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)  # a sequence holds at most capacity pieces
     offset = F.lit(capacity) - F.col("gap") + F.coalesce(F.sum("length").over(before), F.lit(0))
     placed = materialize(own.select("pid", "seq", offset.cast("long").alias("offset"), "length"), "packing-placed")
     n = sum(r["matched"] for r in counts) + sum(hi - lo for _, lo, hi, *_ in plan)
-    return placed, rest.select(F.col("id").alias("pid"), F.col("size").alias("length")), n
-
-
-def bands(counts: dict[int, int], longest: int) -> list[tuple[int, int, int]]:
-    """(over, to, pieces): bands of lengths from ``longest`` down; each spans a factor of two, more where that holds few of the pieces."""
-    out, hi = [], longest
-    few = sum(counts.values()) / 64
-    while hi > 0 and (hi := max((n for n in counts if n <= hi), default=0)):
-        lo = hi // 2
-        while lo and sum(c for n, c in counts.items() if lo < n <= hi) < few:
-            lo //= 2
-        out.append((lo, hi, sum(c for n, c in counts.items() if lo < n <= hi)))
-        hi = lo
-    return out
-
-
-def _shrunk(gaps: DataFrame, change: DataFrame) -> DataFrame:
-    """gaps (seq, gap) after the rows (seq, gap) of ``change`` were added; full sequences go."""
-    return gaps.union(change).groupBy("seq").agg(F.sum("gap").cast("int").alias("gap")).where("gap > 0")
+    opened = step.where(F.col("kind") == OPENED).select(F.col("id").alias("seq"), F.col("size").alias("gap"))
+    return placed, opened, rest.select(F.col("id").alias("pid"), F.col("size").alias("length")), n
 
 
 def place(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(pid, sequence_id, offset) of every row of rows (pid, length), lengths from 1 to capacity."""
     spark: SparkSession = rows.sparkSession
     half = capacity // 2
-    counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     long = rows.where(F.col("length") > half)
     out = [long.select("pid", F.col("pid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     gaps = long.where(F.col("length") < capacity).select(F.col("pid").alias("seq"), (F.lit(capacity) - F.col("length")).cast("int").alias("gap"))
-    n_gaps, opened, old = sum(c for n, c in counts.items() if half < n < capacity), 0, []
-    for lo, hi, n in bands({k: c for k, c in counts.items() if k <= half}, half):
-        left = rows.where(F.col("length").between(lo + 1, hi)).select("pid", "length")
-        while n:
-            ranges = max(1, -(-(n + n_gaps) // RANGE_ROWS))
-            placed, left, done = superstep(left, gaps.where(F.col("gap") > lo), hi, ranges, capacity)
-            change = placed.select("seq", -F.col("length"))
-            n -= done
-            if done:
-                out.append(placed.select("pid", F.col("seq").alias("sequence_id"), "offset"))
-            if n and done * 64 < n + done:  # few or none fitted: open what the rest needs at least
-                need = -(-left.agg(F.sum("length")).first()[0] // capacity)
+    left, opened, old = rows.where(F.col("length") <= half).select("pid", "length"), 0, None
+    while True:
+        n, total, shortest = left.agg(F.count("*"), F.sum("length"), F.min("length")).first()
+        if old is not None:  # few were placed: open what the rest needs at least
+            if n and done * 4 < n:
+                need = -(-total // capacity)
                 change = change.union(spark.range(NEW + opened, NEW + opened + need).select("id", F.lit(capacity)))
-                opened, n_gaps = opened + need, n_gaps + need
-            gaps = materialize(_shrunk(gaps, change), "packing-gaps")
-            old.append(gaps)
-            if len(old) > 2:
-                release(old.pop(0))
-    return reduce(DataFrame.union, out)
+                opened += need
+            if n:
+                gaps = materialize(gaps.union(change).groupBy("seq").agg(F.sum("gap").cast("int").alias("gap")).where("gap > 0"), "packing-gaps")
+                release(old)
+                old = gaps
+        if not n:
+            return reduce(DataFrame.union, out)
+        fit = gaps.where(F.col("gap") >= shortest)
+        placed, fresh, left, done = superstep(left, fit, max(1, -(-(n + fit.count()) // RANGE_ROWS)), capacity)
+        out.append(placed.select("pid", F.col("seq").alias("sequence_id"), "offset"))
+        change = fresh.union(placed.select("seq", -F.col("length")))
+        old = old or gaps
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
