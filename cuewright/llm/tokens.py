@@ -64,7 +64,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")  # texts that hold one are encoded as a whole
         self.width = np.zeros(self.library.get_vocab_size(), np.int64)  # bytes of each id: one letter stands for each
         for token, i in self.library.get_vocab().items():
             self.width[i] = len(token)
@@ -124,8 +125,9 @@ class Encoder:
         out = self._find(a, b)
         new = np.flatnonzero(out < 0)
         if len(new):
-            _, once = np.unique(a[new], return_index=True)
-            new = new[np.sort(once)]
+            by = new[np.lexsort((b[new], a[new]))]
+            fresh = np.append(True, (a[by[1:]] != a[by[:-1]]) | (b[by[1:]] != b[by[:-1]]))
+            new = np.sort(by[fresh])
             for lo in range(0, len(new), 4096 if space else 1):  # a word's space opens a pre-token: words are encoded in a row, and cut by their bytes
                 some = new[lo : lo + (4096 if space else 1)]
                 each = [data[s : s + n].tobytes() for s, n in zip(start[some].tolist(), size[some].tolist(), strict=True)]
@@ -190,7 +192,7 @@ class Encoder:
         held: list[str] = []
         size = 0
         for t in texts:
-            plain = bool(t) and _plain(t)
+            plain = bool(t) and _plain(t) and not self.added.search(t)
             if plain:
                 held.append(t)
                 size += len(t)
