@@ -7,18 +7,19 @@ uni-, bi- and trigrams). All n-grams share one hashed weight vector of 2**bits
 entries. A text is the mean of its n-grams' one-hot vectors times ``scale``, so its
 length does not matter.
 
-Training reads a bounded sample of labelled rows (``max_rows``); its shards stream
-their rows through FTRL in parallel and the accumulators are averaged after every
-round. Only the vectors of 2**bits numbers per shard reach the driver.
+Training writes a bounded sample of labelled rows (``max_rows``) once and reads that. Its
+shards, by a hash of the id, stream their rows in the order of id and text through FTRL in
+parallel, and the accumulators are averaged in the shards' order after every round, so that
+runs agree. Only the vectors of 2**bits numbers per shard reach the driver.
 
-Defined cases: null and empty texts have no n-grams and score by the bias alone; ids
-repeated in ``labels`` count once with the larger label; null ids are scored, never
-learnt from; without labelled rows, or with one class only, the bias carries the
-(smoothed) share of label 1; columns of ``docs`` named like an output are replaced."""
+Defined cases: null and empty texts have no n-grams and score by the bias alone; very long
+texts count whole; ids repeated in ``labels`` count once with the larger label; null ids are
+scored, never learnt from; repeated rows score alike; without labelled rows of both classes
+every score is the smoothed share of label 1, (ones + 1) / (rows + 2), so 0.5 without any;
+an empty table gives no rows; columns of ``docs`` named like an output are replaced."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import held_out, label_sample, require
+from .common import held_out, label_sample, materialize, release, require
 
 
 @dataclass(frozen=True)
@@ -44,6 +45,14 @@ class QualityParams:
     threshold: float = 0.3
 
 
+@dataclass
+class QualityModel:
+    """Fixed-size state: 2**bits weights and the bias, whatever the corpus."""
+
+    weights: np.ndarray
+    fitted: bool = True
+
+
 def _features(h: np.ndarray, flags: np.ndarray, cap: np.ndarray, doc: np.ndarray, bits: int) -> list[np.ndarray]:
     """Hashed n-gram buckets, one array per kind, all as long as the token stream."""
     p1, p2 = H.previous(doc, h, 1, 0), H.previous(doc, h, 2, 0)
@@ -85,41 +94,43 @@ def _train_shard(texts: list[str], labels: np.ndarray, z: np.ndarray, n: np.ndar
             n[ids] = ni + g * g
 
 
-def train(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "quality", params: QualityParams = QualityParams()) -> np.ndarray:
-    """Weights (2**bits, then the bias) learnt from rows of ``docs`` whose id is labelled and satisfies ``keep``."""
+def _one_pass(state, p: QualityParams):
+    """One shard's rows -> its accumulators after a pass over them that starts from ``state``."""
+
+    def one(f: pd.DataFrame) -> pd.DataFrame:
+        z, n = (x.astype(np.float64) for x in state.value)
+        f = f.assign(text=f["text"].fillna("")).sort_values(["doc_id", "text"])
+        _train_shard(f["text"].tolist(), f["label"].to_numpy(), z, n, p)
+        return pd.DataFrame({"shard": f["shard"].iloc[:1], "rows": [len(f)], "z": [z.astype(np.float32).tobytes()], "n": [n.astype(np.float32).tobytes()]})
+
+    return one
+
+
+def train(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "quality", params: QualityParams = QualityParams()) -> QualityModel:
+    """The model learnt from rows of ``docs`` whose id is labelled and satisfies ``keep``."""
     p = params
     require(docs, "doc_id", "text")
     spark, dims = docs.sparkSession, 1 << p.bits
     sample = label_sample(labels, label, keep, p.max_rows)
-    rows = (
-        docs.select("doc_id", "text")
-        .join(F.broadcast(sample), "doc_id")  # at most about max_rows rows
-        .repartition(p.shards, F.xxhash64("doc_id"))
-        .coalesce(p.shards)  # whatever the session makes of the number above, so many states reach the driver
-        .select("text", "label")
-    )
+    shard = F.pmod(F.xxhash64("doc_id"), F.lit(p.shards)).cast("int").alias("shard")
+    rows = materialize(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(shard, "doc_id", "text", "label"), "quality-sample")  # at most about max_rows rows
+    count, ones = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if ones in (0, count):
+        bias = np.log((ones + 1) / (count - ones + 1))
+        release(rows)
+        return QualityModel(np.append(np.zeros(dims), bias).astype(np.float32), False)
     z, n = np.zeros(dims + 1), np.zeros(dims + 1)
     for _ in range(p.rounds):
         state = spark.sparkContext.broadcast((z.astype(np.float32), n.astype(np.float32)))
 
-        def shard(frames: Iterator[pd.DataFrame], state=state, p=p) -> Iterator[pd.DataFrame]:
-            z, n = (x.astype(np.float64) for x in state.value)
-            seen = 0
-            for f in frames:
-                _train_shard(f["text"].tolist(), f["label"].to_numpy(), z, n, p)
-                seen += len(f)
-            if seen:
-                yield pd.DataFrame({"rows": [seen], "z": [z.astype(np.float32).tobytes()], "n": [n.astype(np.float32).tobytes()]})
-
-        got = rows.mapInPandas(shard, "rows long, z binary, n binary").collect()  # one row per shard
+        got = sorted(rows.groupBy("shard").applyInPandas(_one_pass(state, p), "shard int, rows long, z binary, n binary").collect(), key=lambda r: r["shard"])  # one row per shard
         state.unpersist()
-        if not got:
-            return np.zeros(dims + 1, np.float32)
         share = np.array([r["rows"] for r in got], float)
         share /= share.sum()
         z = sum(s * np.frombuffer(r["z"], np.float32) for s, r in zip(share, got, strict=True)).astype(np.float64)
         n = sum(s * np.frombuffer(r["n"], np.float32) for s, r in zip(share, got, strict=True)).astype(np.float64)
-    return _weights(z, n, p).astype(np.float32)
+    release(rows)
+    return QualityModel(_weights(z, n, p).astype(np.float32))
 
 
 def score_texts(texts: list[str | None], w: np.ndarray, p: QualityParams) -> np.ndarray:
@@ -134,9 +145,9 @@ def score_texts(texts: list[str | None], w: np.ndarray, p: QualityParams) -> np.
     return out
 
 
-def score(docs: DataFrame, weights: np.ndarray, params: QualityParams = QualityParams(), out: str = "score") -> DataFrame:
+def score(docs: DataFrame, model: QualityModel, params: QualityParams = QualityParams(), out: str = "score") -> DataFrame:
     """docs with the probability of label 1 in ``out``; weights are 2**bits numbers, so the broadcast is bounded."""
-    held = docs.sparkSession.sparkContext.broadcast(weights)
+    held = docs.sparkSession.sparkContext.broadcast(model.weights)
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
@@ -148,7 +159,7 @@ def score(docs: DataFrame, weights: np.ndarray, params: QualityParams = QualityP
 def quality(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0, params: QualityParams = QualityParams()) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of docs; learns from the other folds only."""
     fold = held_out("doc_id", modulus, remainder)
-    w = train(docs, labels, ~fold, "quality", params)
-    return score(docs.select("doc_id", "text"), w, params).select(
+    model = train(docs, labels, ~fold, "quality", params)
+    return score(docs.select("doc_id", "text"), model, params).select(
         "doc_id", fold, "score", (F.col("score") >= params.threshold).cast("int").alias("predicted")
     )

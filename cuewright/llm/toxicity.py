@@ -13,11 +13,13 @@
 4. A text's evidence is the sum of the significant segments' log-significance; a
    logistic curve fitted to the labelled sample maps evidence to the score.
 
-The log-odds come from a bounded sample of labelled rows (``max_rows``); every whole
-text is scored. Defined cases: null and empty texts have no segments and get the
-score of zero evidence; ids repeated in ``labels`` count once with the larger label;
-null ids are scored, never learnt from; without labelled rows of both classes every
-score is the smoothed share of label 1, or 0 without labels; columns of ``docs`` named like an output are replaced."""
+The log-odds come from a bounded sample of labelled rows (``max_rows``), written once and
+read by every pass of the training; every whole text is scored. Defined cases: null and
+empty texts have no segments and get the score of zero evidence; very long texts count whole;
+ids repeated in ``labels`` count once with the larger label; null ids are scored, never learnt
+from; repeated rows score alike; without labelled rows of both classes every score is the
+smoothed share of label 1, (ones + 1) / (rows + 2), so 0.5 without any; an empty table gives
+no rows; columns of ``docs`` named like an output are replaced."""
 
 from __future__ import annotations
 
@@ -30,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import held_out, label_sample, require
+from .common import held_out, label_sample, materialize, release, require
 
 
 @dataclass(frozen=True)
@@ -54,7 +56,8 @@ class ToxicityModel:
     lam: float = 1.0
     k: float = 1.0
     slope: float = 0.0
-    bias: float = -30.0
+    bias: float = 0.0
+    fitted: bool = True
 
 
 def _words(texts: list[str | None], p: ToxicityParams):
@@ -141,7 +144,13 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic"
     p = params
     require(docs, "doc_id", "text")
     sc, size = docs.sparkSession.sparkContext, 1 << p.bits
-    rows = docs.select("doc_id", "text").join(F.broadcast(label_sample(labels, label, keep, p.max_rows)), "doc_id").select("text", "label")
+    sample = F.broadcast(label_sample(labels, label, keep, p.max_rows))  # at most about max_rows rows
+    rows = materialize(docs.select("doc_id", "text").join(sample, "doc_id").select("text", "label"), "toxicity-sample")
+    count, ones = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if ones in (0, count):
+        release(rows)
+        empty = np.zeros(size, np.float32)
+        return ToxicityModel(empty, empty, bias=float(np.log((ones + 1) / (count - ones + 1))), fitted=False)
 
     def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tables = np.zeros((4, size), np.int32)  # word and stem, by label
@@ -160,11 +169,8 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic"
     got = sums.toArrow()  # at most 4 * 2**bits rows of counts
     t[got["kind"].to_numpy(), got["bucket"].to_numpy()] = got["n"].to_numpy()
     clean, toxic = t[0].sum(), t[1].sum()
-    nobody = ToxicityModel(np.zeros(size, np.float32), np.zeros(size, np.float32))
-    if not clean or not toxic:
-        share = rows.agg((F.sum("label") + 1) / (F.count("*") + 2)).first()[0] if clean or toxic else 0.0
-        nobody.bias = float(np.log(share / (1 - share))) if share else -35.0
-        return nobody
+    if not clean or not toxic:  # wordless texts on one side
+        clean, toxic = clean + 1, toxic + 1
     base = toxic / (clean + toxic)
     odds = np.log(base / (1 - base))
     stem_share = (t[3] + p.prior * base) / (t[2] + t[3] + p.prior)
@@ -207,6 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic"
     bins = rows.select(F.round(weighed("text"), 1).alias("e"), "label").groupBy("e", "label").count().toPandas()  # tenths of a logarithm
     m.slope, m.bias = _logistic(bins["e"].to_numpy(float), bins["label"].to_numpy(float), bins["count"].to_numpy(float))
     held.unpersist()
+    release(rows)
     return m
 
 
