@@ -8,8 +8,10 @@ for the pieces' hashes (rolling n-gram hashes against a bit table, then exactly)
 around each piece hit Myers' bit-parallel algorithm finds the least edit distance of
 the whole item to any stretch of words.
 
-Items are sent to the tasks in blocks of bounded bytes; each block scans the documents
-once, so a larger benchmark costs passes, not memory. Documents are never shuffled.
+Items are read and sent to the tasks in blocks of bounded bytes, one after the other; each
+block scans the documents once and writes what it found, so a larger benchmark costs passes,
+not memory. Documents are never shuffled. A match starts where Myers' algorithm, run backwards
+from its end, finds the same distance.
 
 Defined cases: null, empty and wordless documents and items match nothing; items of
 under ``min_words`` words match unedited only, as a whole word sequence; repeated items each match; null ids are carried."""
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import require
+from .common import materialize, release, require
 
 
 @dataclass(frozen=True)
@@ -82,8 +85,10 @@ def passage_words(texts: list[str | None]):
     return words_of([t if not t or _LATIN.fullmatch(t) else t.lower().translate(_APART) for t in texts])
 
 
-def myers(pattern: np.ndarray, text: np.ndarray) -> tuple[int, int]:
-    """(least distance of ``pattern`` to any stretch of ``text``, where the first such stretch ends), Myers 1999."""
+def myers(pattern: np.ndarray, text: np.ndarray, anchored: bool = False) -> tuple[int, int]:
+    """(least distance of ``pattern`` to any stretch of ``text``, where the first such stretch ends), Myers 1999.
+
+    anchored: to any stretch from the start of ``text`` on."""
     m = len(pattern)
     peq: dict[int, int] = {}
     for i, c in enumerate(pattern.tolist()):
@@ -101,7 +106,7 @@ def myers(pattern: np.ndarray, text: np.ndarray) -> tuple[int, int]:
             score += 1
         elif mh & high:
             score -= 1
-        ph, mh = ph << 1 & full, mh << 1 & full
+        ph, mh = (ph << 1 | anchored) & full, mh << 1 & full
         pv = mh | (~(xv | ph) & full)
         mv = ph & xv
         if score < best:
@@ -177,7 +182,8 @@ class Index:
                     best, end = d, lo + at
                 a = b + 1
             if best <= k:
-                out.append({"item_id": self.ids[i], "distance": best, "start_word": max(0, end - n), "end_word": end, "n_words": n})
+                _, back = myers(self.words[i][::-1], w[max(0, end - n - k) : end][::-1], anchored=True)
+                out.append({"item_id": self.ids[i], "distance": best, "start_word": end - back, "end_word": end, "n_words": n})
         return out
 
 
@@ -198,14 +204,15 @@ def _grams(w: np.ndarray, lengths: list[int]):
         yield target, H.mix(acc)
 
 
-def _blocks(benchmark: DataFrame, p: MatchParams) -> list[list[tuple]]:
-    """Items in lists of at most block_bytes of text, read block by block."""
+def _blocks(benchmark: DataFrame, p: MatchParams) -> Iterator[list[tuple]]:
+    """Items in lists of about block_bytes of text, one at a time."""
     require(benchmark, "item_id", "text")
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null")
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n = -(-size // p.block_bytes)
     key = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(n, 1)))
-    return [[(r["item_id"], r["text"]) for r in items.where(key == i).collect()] for i in range(n)]
+    for i in range(n):
+        yield [(r["item_id"], r["text"]) for r in items.where(key == i).collect()]  # one bounded block
 
 
 def _matcher(docs: DataFrame, block: list[tuple], p: MatchParams):
@@ -224,21 +231,33 @@ def _matcher(docs: DataFrame, block: list[tuple], p: MatchParams):
                 out[first + i] = index.matches(h[cuts[i] : cuts[i + 1]])
         return pd.Series(out)
 
-    return found
+    return found, held
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, params: MatchParams = MatchParams()) -> DataFrame:
-    """(doc_id, item_id, distance, start_word, end_word, n_words): the nearest match of every item in every document that holds one."""
+    """(doc_id, item_id, distance, start_word, end_word, n_words): the nearest match of every item in every document that holds one.
+
+    Repeated rows of docs match each; very long texts are searched whole; an empty table of
+    documents or items gives no rows; other columns are ignored."""
     require(docs, "doc_id", "text")
     base = docs.select(F.col("doc_id").cast("long"), "text")
-    parts = [base.select("doc_id", F.inline(_matcher(docs, block, params)("text"))) for block in _blocks(benchmark, params)]
-    empty = base.select("doc_id", F.inline(F.lit(None).cast(_MATCH)))
-    return reduce(DataFrame.union, parts) if parts else empty
+    parts = [base.limit(0).select("doc_id", F.inline(F.lit(None).cast(_MATCH)))]
+    for block in _blocks(benchmark, params):
+        found, held = _matcher(docs, block, params)
+        parts.append(materialize(base.select("doc_id", F.inline(found("text"))), "decontamination-found"))
+        held.unpersist()
+    return reduce(DataFrame.union, parts[1:] or parts)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, params: MatchParams = MatchParams()) -> DataFrame:
-    """docs without those that hold a benchmark item."""
+    """docs without those that hold a benchmark item; all columns are kept."""
     require(docs, "doc_id", "text")
+    own = None  # what the block before left
     for block in _blocks(benchmark, params):
-        docs = docs.where(F.size(_matcher(docs, block, params)("text")) == 0)
+        found, held = _matcher(docs, block, params)
+        kept = materialize(docs.where(F.size(found("text")) == 0), "decontamination-clean")
+        held.unpersist()
+        if own is not None:
+            release(own)
+        docs = own = kept
     return docs
