@@ -4,16 +4,22 @@ Listed rules name a host (with all its subdomains) and a path prefix; the longes
 fits decides. Other URLs are judged by association rules: every labelled URL is a set of
 tokens (host labels, registered name, path words, query keys) and its class, Spark's
 FP-growth mines frequent sets, and rules from tokens to the class ``bad`` are kept by
-support, confidence and lift. Rules match by an inverted index from token to rule: a
-rule fires when all its tokens are met. URLs with equal token sets are judged once.
+support, confidence and lift. Of tokens that occur in the same labelled URLs only one is
+mined, so sets of them are not multiplied; of rules only the shortest are kept, as a rule
+whose tokens hold another's fires nowhere else. Rules match by an inverted index from
+token to rule: a rule fires when all its tokens are met. What is shuffled goes by the
+number of the row, so no token, host or URL makes a hot key.
 
 Defined cases: null URLs and URLs without ``://`` have an empty host and path, no
-tokens, and are allowed unless a listed rule with an empty host fits; repeated rows are
-judged alike; without labels, or when no rule passes the bars, the verdict is allow."""
+tokens, and are allowed unless a listed rule with an empty host fits; empty and very long
+URLs are taken whole; repeated rows are judged alike, as are null page ids; an empty table
+gives no rows; other columns are ignored; without labels, or when no rule passes the bars,
+the verdict is allow."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
@@ -28,8 +34,10 @@ BAD = "class=bad"
 @dataclass(frozen=True)
 class MiningParams:
     support: float = 0.002  # of the labelled URLs, for tokens and class together
+    least: int = 25  # bad URLs that a rule must rest on, however few are labelled
     confidence: float = 0.5
     lift: float = 1.2
+    index_rows: int = 200_000  # entries of the index that are broadcast at once
 
 
 @dataclass(frozen=True)
@@ -81,33 +89,61 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_sort(F.array_distinct(parts))
 
 
+def _one_of_each(marked: DataFrame) -> DataFrame:
+    """(token): of tokens that occur in the same rows the first, by two sums of hashes over their rows."""
+    each = marked.select("row", F.explode("tokens").alias("token"))
+    same = each.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("a"), F.sum(F.xxhash64(F.lit(1), "row").cast("decimal(38,0)")).alias("b"))
+    return same.groupBy("n", "a", "b").agg(F.min("token").alias("token")).select("token")
+
+
 def mine(pages: DataFrame, labels: DataFrame, params: MiningParams = MiningParams()) -> DataFrame:
-    """(rule_id, antecedent, confidence, lift, support) of rules from tokens to the bad class.
+    """(rule_id, antecedent, confidence, lift, support) of rules from tokens to the bad class, of pages (row, page_id, tokens).
 
     A page's label is that of its page_id in ``labels``: bad when quality is 0 or toxic is 1."""
+    none = pages.sparkSession.createDataFrame([], "rule_id long, antecedent array<string>, confidence double, lift double, support double")
     known = (
         labels.where(F.col("doc_id").isNotNull())
         .groupBy("doc_id")
         .agg(F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("bad"))
         .where("bad is not null")
     )
-    marked = pages.select(F.col("page_id").alias("doc_id"), "tokens").join(known, "doc_id")
-    items = F.when(F.col("bad") == 1, F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens"))
-    baskets = materialize(marked.select(items.alias("items")).where(F.size("items") > 0), "url-baskets")
-    if baskets.isEmpty():
-        return pages.sparkSession.createDataFrame([], "rule_id long, antecedent array<string>, confidence double, lift double, support double")
-    model = FPGrowth(itemsCol="items", minSupport=params.support, minConfidence=params.confidence).fit(baskets)
+    marked = pages.select(F.col("page_id").alias("doc_id"), "row", "tokens").join(known, "doc_id").where(F.size("tokens") > 0)
+    marked = materialize(marked.select("row", "tokens", "bad"), "url-marked")
+    n = marked.count()
+    if not n:
+        return none
+    kept = marked.select("row", "bad", F.explode("tokens").alias("token")).join(_one_of_each(marked), "token")
+    items = F.array_sort(F.collect_list("token"))  # of one URL
+    baskets = kept.groupBy("row", "bad").agg(items.alias("items"))
+    baskets = materialize(baskets.select(F.when(F.col("bad") == 1, F.array_append("items", F.lit(BAD))).otherwise(F.col("items")).alias("items")), "url-baskets")
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(params.support, params.least / n)), minConfidence=params.confidence).fit(baskets)
     rules = model.associationRules.where((F.element_at("consequent", 1) == BAD) & (F.col("lift") >= params.lift))
-    rules = rules.withColumn("antecedent", F.array_sort("antecedent"))
-    return materialize(rules.select(F.xxhash64("antecedent").alias("rule_id"), "antecedent", "confidence", "lift", "support"), "url-rules")
+    rules = rules.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "lift", "support").withColumn("rule_id", F.monotonically_increasing_id())
+    return shortest(materialize(rules.select("rule_id", "antecedent", "confidence", "lift", "support"), "url-rules"))
+
+
+def shortest(rules: DataFrame) -> DataFrame:
+    """rules without those whose tokens hold all of another rule's: the other fires wherever they do."""
+    index = rules.select(F.col("rule_id").alias("other"), F.size("antecedent").alias("need"), F.explode("antecedent").alias("token"))
+    met = rules.select("rule_id", F.size("antecedent").alias("size"), F.explode("antecedent").alias("token")).join(index, "token").where("need < size")
+    longer = met.groupBy("rule_id", "other", "need").agg(F.count("*").alias("have")).where("have = need").select("rule_id").distinct()
+    return materialize(rules.join(longer, "rule_id", "left_anti"), "url-shortest")
+
 
+def fired(rows: DataFrame, rules: DataFrame, params: MiningParams = MiningParams()) -> DataFrame:
+    """(row) of rows (row, tokens) for which some rule has all its tokens, by an inverted index from token to rule.
 
-def fired(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """(signature, confidence): the strongest rule that fires for each token set, by an inverted index."""
-    index = rules.select("rule_id", "confidence", F.size("antecedent").alias("need"), F.explode("antecedent").alias("token"))
-    met = token_sets.select("signature", F.explode("tokens").alias("token")).join(index, "token")
-    whole = met.groupBy("signature", "rule_id", "need", "confidence").agg(F.count("*").alias("have")).where("have = need")
-    return whole.groupBy("signature").agg(F.max("confidence").alias("confidence"))
+    The index is broadcast in parts of about ``index_rows`` entries; only pairs of a row and a token that a rule has are shuffled."""
+    size = rules.agg(F.sum(F.size("antecedent"))).first()[0] or 0
+    parts = max(1, -(-size // params.index_rows))
+    each = rows.select("row", F.explode("tokens").alias("token"))
+    met = []
+    for i in range(parts):
+        own = rules.where(F.pmod(F.xxhash64("rule_id"), F.lit(parts)) == i)
+        index = own.select("rule_id", F.size("antecedent").alias("need"), F.explode("antecedent").alias("token"))
+        met.append(each.join(F.broadcast(index), "token"))
+    whole = reduce(DataFrame.union, met).groupBy("row", "rule_id", "need").agg(F.count("*").alias("have")).where("have = need")
+    return whole.select("row").distinct()
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[Rule], params: MiningParams = MiningParams()) -> DataFrame:
@@ -115,8 +151,8 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[Rule], params: Mining
     require(pages, "page_id", "url")
     host, path = host_and_path(F.col("url"))
     rows = with_listed_rule(pages.select("page_id", "url").withColumns({"host": host, "path": path}), rules)
-    rows = rows.withColumn("tokens", tokens(F.col("url"), F.col("host"), F.col("path"))).withColumn("signature", F.xxhash64("tokens"))
-    sets = rows.where("rule is null").groupBy("signature").agg(F.first("tokens").alias("tokens"))
-    hits = fired(sets, mine(rows, labels, params))
-    mined = F.when(F.col("confidence").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
-    return rows.join(hits, "signature", "left").select("page_id", "host", "path", "rule", F.coalesce("listed", mined).alias("verdict"))
+    rows = rows.withColumn("tokens", tokens(F.col("url"), F.col("host"), F.col("path"))).drop("url")
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "url-pages")
+    hits = fired(rows.where("rule is null"), mine(rows, labels, params), params).withColumn("fires", F.lit(True))
+    mined = F.when(F.col("fires"), "block").otherwise("allow")
+    return rows.join(hits, "row", "left").select("page_id", "host", "path", "rule", F.coalesce("listed", mined).alias("verdict"))
