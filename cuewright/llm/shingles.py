@@ -4,15 +4,21 @@ Words are as in ``simhash`` (between ASCII white space, A-Z lowered); a text is
 of its shingles of ``width`` words, a shorter one has its words as its only shingle.
 Two texts are linked when |A & B| / |A | B| is at least ``similarity``, t below.
 
-Shingles have one order for all texts: by how often a sample of the texts holds them,
-then by hash. Linked sets of a and b shingles share one of the first n - ceil(t n) + 1 of
-each, so only these are dealt out. Pairs under a shingle are dropped where the sizes, or
-the places of the shingle in both sets, allow no t; the rest are compared whole. The
-order decides the cost only: no link is lost whatever the sample holds.
-
-Texts of one set are one node. Under a shingle of more than ``NEXT`` + 1 nodes only some
-pivots are paired with all others; the others meet again in a further round, with more
-pivots, unless the links found by then have joined them."""
+1. Shingles have one order for all texts: by how often a sample of the texts holds them,
+   then by hash. Linked sets of a and b shingles share one of the first n - ceil(t n) + 1 of
+   each, so only these are dealt out. The order decides the cost only: no link is lost
+   whatever the sample holds.
+2. Pairs under a shingle are dropped where the sizes, or the places of the shingle in both
+   sets, allow no t. Under a shingle of more than ``NEXT`` + 1 texts only some pivots are
+   paired with all others; the others meet again in a further round, with more pivots,
+   unless the links found by then have joined them.
+3. Every text has a bitmap of its shingles' parities, of about as many bits as shingles. Two
+   bitmaps differ in at most as many bits as the sets do in shingles, so pairs whose bitmaps
+   differ in more than t allows are dropped.
+4. Of the pairs left, those that join new parts (a forest) are compared whole, by their
+   exact sets; pairs that would still join parts afterwards are compared in turn.
+
+Texts of one set are one node. Only small rows are shuffled, and the texts of nodes in step 4."""
 
 from __future__ import annotations
 
@@ -22,17 +28,17 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, require
+from .common import materialize, require, spare
 from .components import components
 from .hashing import mix
 
 _STEP = 0x9E3779B97F4A7C15
 NEXT = 16
 PIVOTS = 8
+PER_TASK = 500_000  # pairs of one forest
 #: One of so many nodes is counted; shingles that so many of those hold count as common, the most common of them first.
 SAMPLE, LEAST, COMMON = 16, 4, 1 << 18
 
@@ -51,34 +57,36 @@ def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
     return np.unique(mix(total))
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """(row, _id, _text, node, shingles) of (_id, _text, text)."""
+def parities(h: np.ndarray) -> np.ndarray:
+    """Words of a bitmap: bit i is the parity of the number of shingles i by its low bits; a power of two of bits, at least len(h)."""
+    bits = max(64, 1 << max(0, len(h) - 1).bit_length())
+    odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def fewest_differences(a: np.ndarray, b: np.ndarray) -> int:
+    """At least so many shingles are in one set alone: the larger bitmap is folded to the smaller, parities add."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _common(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, and counts of at most COMMON shingles that a sample of the texts holds most often."""
 
     def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        row = TaskContext.get().partitionId() << 40
         for f in frames:
-            held, size, at = [], 0, 0
-            for i, t in enumerate(f["text"].tolist(), 1):
-                held.append(shingle_set(t, width))
-                size += len(held[-1])
-                if size > 1 << 20 or i == len(f):
-                    node = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), 42) for x in held), np.uint64, len(held)).view(np.int64)
-                    own = f.iloc[at:i]
-                    yield pd.DataFrame(
-                        {"row": np.arange(row, row + len(held)), "_id": own["_id"].to_numpy(), "_text": own["_text"].to_numpy(), "node": node, "shingles": [x.view(np.int64) for x in held]}
-                    )
-                    row += len(held)
-                    held, size, at = [], 0, i
-
-    return docs.mapInPandas(hashed, "row long, _id long, _text long, node long, shingles array<long>")
-
-
-def _common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, ascending, and counts of at most COMMON shingles that a sample of the nodes holds most often."""
-    some = sets.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0)
-    counts = materialize(some.select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST), "shingles-common")
+            for lo in range(0, len(f), 256):
+                own = [shingle_set(t, width) for t in f["text"].iloc[lo : lo + 256].tolist()]
+                h, n = np.unique(np.concatenate(own), return_counts=True)
+                yield pd.DataFrame({"h": h.view(np.int64), "n": n})
+
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").mapInPandas(hashed, "h long, n long")
+    counts = materialize(some.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST), "shingles-common")
     total, bound = 0, None
-    for r in sorted(counts.groupBy("n").agg(F.count("*").alias("m")).collect(), key=lambda r: -r["n"]):
+    for r in sorted(counts.groupBy("n").agg(F.count("*").alias("m")).collect(), key=lambda r: -r["n"]):  # at most as many rows as different counts
         total += r["m"]
         if total > COMMON:
             break
@@ -91,32 +99,36 @@ def _common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[order], n[order]
 
 
-def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """(key, node, n, pos, root): the first shingles of each set of n, and their places."""
-    held = sets.sparkSession.sparkContext.broadcast(_common(sets))
+def _nodes(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(id, hash, node, n, bits, keys) of (id, hash, text): keys are the first shingles of a set in the common order."""
+    held = docs.sparkSession.sparkContext.broadcast(_common(docs, width))
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, count = held.value
         for f in frames:
-            for lo in range(0, len(f), 1024):
-                own = f.iloc[lo : lo + 1024]
-                each = own["shingles"].tolist()
-                n = np.fromiter(map(len, each), np.int64, len(each))
-                if not n.sum():
-                    continue
-                flat = np.concatenate(each).astype(np.int64).view(np.uint64)
-                doc = np.repeat(np.arange(len(each)), n)
+            for lo in range(0, len(f), 512):
+                own = f.iloc[lo : lo + 512]
+                sets = [shingle_set(t, width) for t in own["text"].tolist()]
+                n = np.fromiter(map(len, sets), np.int64, len(sets))
+                flat = np.concatenate(sets)
+                doc = np.repeat(np.arange(len(sets)), n)
                 rank = np.zeros(len(flat), np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
                     rank = np.where(known[at] == flat, count[at], 0)
                 order = np.lexsort((flat, rank, doc))
-                pos = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-                first = pos < np.repeat(n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, n)
-                node = own["node"].to_numpy()[doc[first]]
-                yield pd.DataFrame({"key": flat[order][first].view(np.int64), "node": node, "n": n[doc[first]], "pos": pos[first], "root": node})
+                first = np.where(n > 0, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
+                starts = np.cumsum(n) - n
+                ordered = flat[order].view(np.int64)
+                yield pd.DataFrame(
+                    {
+                        "id": own["id"].to_numpy(), "hash": own["hash"].to_numpy(), "n": n, "bits": [parities(x).tobytes() for x in sets],
+                        "node": np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets), np.uint64, len(sets)).view(np.int64),
+                        "keys": [ordered[s : s + k] for s, k in zip(starts.tolist(), first.tolist(), strict=True)],
+                    }
+                )
 
-    return sets.select("node", "shingles").mapInPandas(cut, "key long, node long, n long, pos long, root long")
+    return docs.mapInPandas(made, "id long, hash long, node long, n long, bits binary, keys array<long>")
 
 
 def _may(n: np.ndarray, pos: np.ndarray, root: np.ndarray, a, b, similarity: float) -> np.ndarray:
@@ -178,45 +190,112 @@ def _search(frames: Iterator[pd.DataFrame], similarity: float, pivots: int) -> I
         yield from met(*held)
 
 
-def _compared(pairs: DataFrame, own: DataFrame, similarity: float) -> DataFrame:
-    """The pairs of nodes whose whole sets are similar."""
-    x, y = own.select(F.col("node").alias("a"), F.col("shingles").alias("x")), own.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    near = pairs.join(x, "a").join(y, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("sum"))
-    return near.where(F.col("both") / (F.col("sum") - F.col("both")) >= similarity).select("a", "b")
+def _likely(pairs: DataFrame, bits: DataFrame, similarity: float) -> DataFrame:
+    """The pairs of nodes whose bitmaps allow the similarity."""
+
+    @F.pandas_udf("boolean")
+    def may(x: pd.Series, y: pd.Series, total: pd.Series) -> pd.Series:
+        most = np.floor((1 - similarity) / (1 + similarity) * total.to_numpy() + 1e-9)  # differences of similar sets
+        return pd.Series([fewest_differences(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) <= m for a, b, m in zip(x, y, most.tolist(), strict=True)], dtype=bool)
+
+    x = bits.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("x"))
+    y = bits.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y"))
+    return pairs.join(x, "a").join(y, "b").where(may("x", "y", F.col("na") + F.col("nb"))).select("a", "b")
+
+
+def _forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The pairs (a, b; joined as roots ra, rb) of one task that join parts not joined before."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root.setdefault(up, up)
+            x = up
+        return x
+
+    for f in frames:
+        keep = np.zeros(len(f), bool)
+        for i, (a, b) in enumerate(zip(f["ra"].tolist(), f["rb"].tolist(), strict=True)):
+            a, b = find(a), find(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                keep[i] = True
+        yield f[keep]
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs of nodes with whether their whole sets are similar."""
+    x, y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    both, total = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", (both / (total - both) >= similarity).alias("near"))
 
 
-def links(sets: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+def _confirmed(pairs: DataFrame, known: DataFrame | None, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) among ``pairs`` that, with the ``known`` ones, give the components of all similar pairs."""
+    found, left = known, pairs
+    while True:
+        if found is None:
+            rooted = left.select("a", "b", F.col("a").alias("ra"), F.col("b").alias("rb"))
+        else:
+            roots = components(found, "shingles-components")
+            x, y = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+            rooted = left.join(x, "a", "left").join(y, "b", "left").select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).where("ra <> rb")
+        left = materialize(rooted, "shingles-left")
+        n = left.count()
+        if not n:
+            return found if found is not None else left.select("a", "b")
+        tried = left.repartition(-(-n // PER_TASK)).mapInPandas(_forest, left.schema).select("a", "b")
+        tried = materialize(_compared(tried, sets, similarity), "shingles-compared")
+        near = tried.where("near").select("a", "b")
+        found = near if found is None else found.union(near)
+        left = left.select("a", "b").join(tried.select("a", "b"), ["a", "b"], "left_anti")
+
+
+def links(docs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int, similarity: float) -> DataFrame:
     """(a, b): links of nodes with the same components as all similar pairs."""
-    rows, found, own, pivots = _prefixes(sets, similarity), None, None, PIVOTS
+    keyed = rows.select("node", "n", F.posexplode("keys").alias("pos", "key")).select("key", "node", "n", F.col("pos").cast("long").alias("pos"), F.col("node").alias("root"))
+    bits = nodes.select("node", "least.n", "least.bits")
+    found, pivots = None, PIVOTS
     while True:
         now = pivots
-        step = materialize(rows.repartition("key").sortWithinPartitions("key", "node").mapInPandas(lambda it: _search(it, similarity, now), _STEPS), "shingles-pairs")  # noqa: B023
-        pairs = materialize(step.where("n = 0").select("a", "b").distinct(), "shingles-distinct")
+        step = materialize(keyed.repartition("key").sortWithinPartitions("key", "node").mapInPandas(lambda it: _search(it, similarity, now), _STEPS), "shingles-pairs")  # noqa: B023
+        pairs = materialize(_likely(step.where("n = 0").select("a", "b").distinct(), bits, similarity), "shingles-likely")
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("node", "least.id", "least.hash")
+        sets = materialize(_sets(docs.join(ends, ["id", "hash"]).select("node", "text"), width), "shingles-sets")
+        found = _confirmed(pairs, found, sets, similarity)
         again = step.where("n > 0").select("key", F.col("a").alias("node"), "n", "pos")
-        if own is None:  # later rounds pair only nodes that meet again: the sets are dealt out once
-            ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(again.select("node")).distinct()
-            kept = ends.join(nodes, "node").select("least.row")
-            own = materialize(sets.select("row", "node", "shingles").join(kept, "row").select("node", "shingles"), "shingles-ends")
-        near = materialize(_compared(pairs, own, similarity), "shingles-links")
-        found = near if found is None else found.union(near)
         if again.isEmpty():
             return found
-        rows = again.join(components(found, "shingles-components"), "node", "left").select("key", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
+        keyed = again.join(components(found, "shingles-components"), "node", "left").select("key", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
         pivots *= 8
 
 
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """(node, shingles) of (node, text); of repeated rows one."""
+
+    def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for lo in range(0, len(f), 256):
+                own = f.iloc[lo : lo + 256]
+                yield pd.DataFrame({"node": own["node"].to_numpy(), "shingles": [shingle_set(t, width).view(np.int64) for t in own["text"].tolist()]})
+
+    return texts.dropDuplicates(["node"]).mapInPandas(hashed, "node long, shingles array<long>")
+
+
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one document of each group joined by links: the smallest (doc_id, hash of the text).
 
     Null ids come last; rows repeated with the same id and text count as one document.
-    Null, empty and wordless texts are one group."""
+    Null, empty and wordless texts are one group. An empty table gives no rows. All
+    columns are kept, whatever their names."""
     require(docs, "doc_id", "text")
-    id_key, text_key = F.coalesce("doc_id", F.lit((1 << 63) - 1)), F.xxhash64("text")
-    sets = materialize(_sets(docs.select(id_key.alias("_id"), text_key.alias("_text"), "text"), width), "shingles-sets")
-    nodes = materialize(sets.groupBy("node").agg(F.min(F.struct("_id", "_text", "row")).alias("least")), "shingles-nodes")
-    roots = components(links(sets, nodes, similarity), "shingles-components")
-    of = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    keep = of.groupBy("root").agg(F.min("least").alias("least")).select("least._id", "least._text")
-    kept = docs.withColumns({"_id": id_key, "_text": text_key}).join(keep, ["_id", "_text"], "left_semi")
-    return kept.dropDuplicates(["_id", "_text"]).select(*docs.columns)
+    own_id, own_hash = spare(docs, "key_id", "key_text")
+    id_key, text_key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), F.xxhash64("text")
+    texts = docs.select(id_key.alias("id"), text_key.alias("hash"), "text")
+    rows = materialize(_nodes(texts, width, similarity), "shingles-rows")
+    nodes = materialize(rows.groupBy("node").agg(F.min_by(F.struct("id", "hash", "n", "bits"), F.struct("id", "hash")).alias("least")), "shingles-nodes")
+    roots = components(links(texts, rows, nodes, width, similarity), "shingles-components")
+    of = nodes.select("node", F.struct("least.id", "least.hash").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    keep = of.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.id").alias(own_id), F.col("least.hash").alias(own_hash))
+    kept = docs.withColumns({own_id: id_key, own_hash: text_key}).join(keep, [own_id, own_hash], "left_semi")
+    return kept.dropDuplicates([own_id, own_hash]).select(*docs.columns)

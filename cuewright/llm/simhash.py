@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, require
+from .common import materialize, require, spare
 from .components import components
 
 BITS = 3
@@ -54,12 +54,12 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(total * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def with_fingerprints(docs: DataFrame, out: str = "fp") -> DataFrame:
-    """docs with the fingerprint as a signed long."""
+def with_fingerprints(docs: DataFrame, out: str = "fp", width: int = 3) -> DataFrame:
+    """docs with the fingerprint of their shingles of ``width`` words as a signed long."""
 
     @F.pandas_udf("long")
     def fps(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64))
+        return pd.Series(np.fromiter((fingerprint(t, width) for t in texts), np.uint64, len(texts)).view(np.int64))
 
     return docs.withColumn(out, fps("text"))
 
@@ -229,16 +229,19 @@ def _classes(rows: DataFrame, bucket: int) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame, bucket: int = 4096) -> DataFrame:
+def keep_one(docs: DataFrame, bucket: int = 4096, width: int = 3) -> DataFrame:
     """docs with one document of each group of near-duplicates: the smallest (doc_id, hash of the text).
 
-    Null ids come last; rows repeated with the same id and text count as one document."""
+    Null ids come last; rows repeated with the same id and text count as one document.
+    Null, empty and wordless texts are one group. An empty table gives no rows. All
+    columns are kept, whatever their names."""
     require(docs, "doc_id", "text")
-    id_key, text_key = F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_id"), F.xxhash64("text").alias("_text")
-    rows = materialize(with_fingerprints(docs.select("doc_id", "text")).select(id_key, text_key, "fp"), "simhash-rows")
-    nodes = materialize(rows.groupBy("fp").agg(F.min(F.struct("_id", "_text")).alias("least")), "simhash-nodes")
+    own_id, own_hash = spare(docs, "key_id", "key_text")
+    id_key, text_key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), F.xxhash64("text")
+    rows = materialize(with_fingerprints(docs.select(id_key.alias("id"), text_key.alias("hash"), "text"), width=width).select("id", "hash", "fp"), "simhash-rows")
+    nodes = materialize(rows.groupBy("fp").agg(F.min(F.struct("id", "hash")).alias("least")), "simhash-nodes")
     roots = components(links(nodes, bucket), "simhash-components")
     of = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    keep = of.groupBy("root").agg(F.min("least").alias("least")).select("least.*")
-    kept = docs.withColumns({"_id": F.coalesce("doc_id", F.lit((1 << 63) - 1)), "_text": F.xxhash64("text")}).join(keep, ["_id", "_text"], "left_semi")
-    return kept.dropDuplicates(["_id", "_text"]).select(*docs.columns)
+    keep = of.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.id").alias(own_id), F.col("least.hash").alias(own_hash))
+    kept = docs.withColumns({own_id: id_key, own_hash: text_key}).join(keep, [own_id, own_hash], "left_semi")
+    return kept.dropDuplicates([own_id, own_hash]).select(*docs.columns)

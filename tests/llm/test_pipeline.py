@@ -10,6 +10,7 @@ pytest.importorskip("cuewright.llm.queries")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from test_llm_operators import brute_components, brute_fingerprint, reference_ids
+from test_shingles import brute_set, near
 
 from cuewright.llm import packing
 
@@ -50,14 +51,39 @@ def test_labelled_documents_fare_as_labelled(spark, steps):
 
 
 def test_one_document_of_each_group_stays(steps):
+    """Groups by SimHash of five-word shingles, and by their exact similarity."""
     before, after = steps["simhash"]
-    roots = brute_components([brute_fingerprint(r.text) for r in before], lambda a, b: (a ^ b).bit_count() <= 3)
+    marks = [(brute_fingerprint(r.text, 5), brute_set(r.text)) for r in before]
+    roots = brute_components(marks, lambda a, b: (a[0] ^ b[0]).bit_count() <= 3 or near(a[1], b[1]))
     least = {}
     for r, root in zip(before, roots, strict=True):
         least[root] = min(least.get(root, r.doc_id), r.doc_id)
     assert sorted(r.doc_id for r in after) == sorted(least.values())
 
 
+ODD = "doc_id long, text string, Score double, _score string, score_ int, key_id string, KEY_TEXT long, _id string, _text string, id int, hash string"
+
+
+def test_stages_keep_odd_rows_and_columns(spark, tmp_path):
+    texts = ["some plain words here", None, "", " ", "long " * 40_000, "some plain words here"]
+    rows = [(i % 5 if i else None, t, 0.5, f"a{i}", i, f"b{i}", i, f"c{i}", f"d{i}", i, f"e{i}") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, ODD)
+    spark.createDataFrame([(0, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for table in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            got = stage(spark, table, f"file://{tmp_path}")
+            assert got.columns == docs.columns, name
+            kept = [tuple(r) for r in got.collect()]
+            assert set(kept) <= set(rows), name
+            if name in ("toxicity", "quality", "decontamination"):  # nothing to learn from, nothing to find
+                assert len(kept) == table.count()
+            if name == "simhash":
+                assert len(kept) == (3 if table is docs else 0)
+        packed = corpus_pipeline.pack(spark, table, f"file://{tmp_path}").collect()
+        assert {r.doc_id for r in packed} == {r[0] for r in rows if table is docs}
+
+
 def test_no_benchmark_text_is_left(spark, steps):
     items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     before, after = steps["decontamination"]
