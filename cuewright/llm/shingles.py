@@ -16,7 +16,7 @@ Two texts are linked when |A & B| / |A | B| is at least ``similarity``, t below.
    bitmaps differ in at most as many bits as the sets do in shingles, so pairs whose bitmaps
    differ in more than t allows are dropped.
 4. Of the pairs left, those that join new parts (a forest) are compared whole, by their
-   exact sets; pairs that would still join parts afterwards are compared in turn.
+   exact sets, then all those that still would join parts.
 
 Texts of one set are one node. Only small rows are shuffled, and the texts of nodes in step 4."""
 
@@ -231,24 +231,25 @@ def _compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 
 def _confirmed(pairs: DataFrame, known: DataFrame | None, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) among ``pairs`` that, with the ``known`` ones, give the components of all similar pairs."""
-    found, left = known, pairs
-    while True:
+    """Links (a, b) among ``pairs`` that, with the ``known`` ones, give the components of all similar pairs.
+
+    First a forest of the pairs is compared, then all pairs that still join parts."""
+    found = known
+    for forest in (True, False):
         if found is None:
-            rooted = left.select("a", "b", F.col("a").alias("ra"), F.col("b").alias("rb"))
+            crossing = pairs.select("a", "b", F.col("a").alias("ra"), F.col("b").alias("rb"))
         else:
             roots = components(found, "shingles-components")
             x, y = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-            rooted = left.join(x, "a", "left").join(y, "b", "left").select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).where("ra <> rb")
-        left = materialize(rooted, "shingles-left")
-        n = left.count()
+            crossing = pairs.join(x, "a", "left").join(y, "b", "left").select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).where("ra <> rb")
+        crossing = materialize(crossing, "shingles-crossing")
+        n = crossing.count()
         if not n:
-            return found if found is not None else left.select("a", "b")
-        tried = left.repartition(-(-n // PER_TASK)).mapInPandas(_forest, left.schema).select("a", "b")
-        tried = materialize(_compared(tried, sets, similarity), "shingles-compared")
-        near = tried.where("near").select("a", "b")
+            break
+        tried = crossing.repartition(-(-n // PER_TASK)).mapInPandas(_forest, crossing.schema) if forest else crossing
+        near = materialize(_compared(tried.select("a", "b"), sets, similarity).where("near").select("a", "b"), "shingles-near")
         found = near if found is None else found.union(near)
-        left = left.select("a", "b").join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    return pairs.limit(0) if found is None else found
 
 
 def links(docs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int, similarity: float) -> DataFrame:
