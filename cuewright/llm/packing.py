@@ -152,7 +152,8 @@ def superstep(left: DataFrame, gaps: DataFrame, ranges: int, capacity: int) -> t
     spark = left.sparkSession
     rows = left.select(F.lit(LEFT).alias("kind"), F.col("pid").alias("id"), F.col("length").alias("size")).union(gaps.select(F.lit(GAP), "seq", "gap"))
     order = [F.desc("size"), F.asc("kind"), F.asc("id")]
-    step = materialize(rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInPandas(lambda it: _swept(it, capacity), _STEP), "packing-sweep")
+    dealt = rows.repartitionByRange(ranges, *order) if ranges > 1 else rows.coalesce(1)
+    step = materialize(dealt.sortWithinPartitions(*order).mapInPandas(lambda it: _swept(it, capacity), _STEP), "packing-sweep")
     some = lambda k, c: F.sum(F.when(F.col("kind") == k, c).otherwise(0)).cast("long")
     counts = step.groupBy("block").agg(some(LEFT, F.lit(1)).alias("left"), some(GAP, F.col("slots")).alias("slots"), some(MATCHED, F.lit(1)).alias("matched")).collect()  # one row a range
     plan, least = carried(sorted((r["block"], r["left"], r["slots"]) for r in counts))
@@ -186,6 +187,7 @@ def place(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     out = [long.select("pid", F.col("pid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     gaps = long.where(F.col("length") < capacity).select(F.col("pid").alias("seq"), (F.lit(capacity) - F.col("length")).cast("int").alias("gap"))
     left, opened, old = rows.where(F.col("length") <= half).select("pid", "length"), 0, None
+    known = gaps.count()  # open sequences, at most
     while True:
         n, total, shortest = left.agg(F.count("*"), F.sum("length"), F.min("length")).first()
         if old is not None:  # few were placed: open what the rest needs at least
@@ -200,7 +202,7 @@ def place(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         if not n:
             return reduce(DataFrame.union, out)
         fit = gaps.where(F.col("gap") >= shortest)
-        placed, fresh, left, done = superstep(left, fit, max(1, -(-(n + fit.count()) // RANGE_ROWS)), capacity)
+        placed, fresh, left, done = superstep(left, fit, -(-(n + known + opened) // RANGE_ROWS), capacity)
         out.append(placed.select("pid", F.col("seq").alias("sequence_id"), "offset"))
         change = fresh.union(placed.select("seq", -F.col("length")))
         old = old or gaps
