@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Patterns of sentence ends and of sentences that are filler only.
 SENTENCE_END = "[.!?…]+$"
 FILLER_ONLY = r"(?i)^(so|and|well|you know|um|uh|like)[,.\s]*$"
 
@@ -77,6 +78,54 @@ def drawtext_escape(text: Column) -> Column:
     return text
 
 
+def shown(display: Column, word: Column) -> Column:
+    """The display text if there is one, the empty one too, else the word."""
+    return F.coalesce(display, word)
+
+
+#: How many characters of a field are kept.
+CAPS = {"title": 80, "merged_hook": 120, "idea": 200, "hook": 300, "enriched": 400, "refine_reason": 500, "text": 600}
+
+
+def capped(text: Column, field: str) -> Column:
+    return F.substring(text, 1, CAPS[field])
+
+
+def model_json(reply: Column) -> Column:
+    """The JSON list in a model's reply: think blocks off, the first fenced part that starts a list or object,
+    the outermost list, else an object wrapped in one, else a list inside the think block; null if there is none."""
+    bare = F.trim(F.regexp_replace(reply, r"(?s)<think>.*?</think>", ""))
+
+    def fenced(x: Column) -> Column:
+        parts = F.transform(F.split(x, "```"), lambda p: F.trim(F.regexp_replace(F.trim(p), r"^json", ""), F.lit(" \n\r\t")))
+        first = F.get(F.filter(parts, lambda p: p.startswith("[") | p.startswith("{")), 0)
+        return F.when(F.contains(x, F.lit("```")), F.coalesce(first, x)).otherwise(x)
+
+    def inside(x: Column, pattern: str) -> Column:
+        got = F.regexp_extract(x, pattern, 1)
+        return F.when(got != "", got)
+
+    body = fenced(bare)
+    thought = fenced(F.regexp_extract(reply, r"(?s)<think>(.*?)</think>", 1))
+    wrapped = F.concat(F.lit("["), inside(body, r"(?s)(\{.*\})"), F.lit("]"))
+    return F.coalesce(inside(body, r"(?s)(\[.*\])"), wrapped, inside(thought, r"(?s).*(\[.*\])"))
+
+
+def content_signature(text: Column) -> Column:
+    """A stable id of a transcript: size and digest of its content (times of files say nothing)."""
+    return F.concat(F.octet_length(text).cast("string"), F.lit(":"), F.substring(F.sha2(text, 256), 1, 16))
+
+
+def ranges_key(video: Column, ranges: Column) -> Column:
+    """``video:a-b,a-b`` with seconds to one digit, of ranges (s, e) in milliseconds."""
+    second = lambda ms: F.format_string("%.1f", half_up_tenth(ms))
+    return F.concat(video.cast("string"), F.lit(":"), F.array_join(F.transform(ranges, lambda r: F.concat(second(r["s"]), F.lit("-"), second(r["e"]))), ","))
+
+
+def half_up_tenth(ms: Column) -> Column:
+    return F.floor(ms / 100.0 + 0.5) / 10.0
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Similarity of two word sets; 0 when both are empty."""
     union = F.size(F.array_union(a, b))

@@ -10,6 +10,8 @@ from cuewright.config import Fusion
 from cuewright.functions import text as X
 from cuewright.functions.numeric import clamp, half_up, overlap
 
+from .intervals import overlap_join
+
 #: Openers that weaken a hook, pronouns that lean on earlier talk.
 FILLER_OPENERS = ["so", "and", "well", "you know", "um", "uh", "like", "okay", "right", "now"]
 PRONOUN_OPENERS = ["it", "this", "that", "these", "those", "they", "them", "he", "she", "his", "her", "its", "there"]
@@ -25,28 +27,55 @@ def proposals(sents: DataFrame) -> DataFrame:
     return p.unionByName(lost)
 
 
-def validate(props: DataFrame, sents: DataFrame, min_ms: int = 15_000, max_ms: int = 90_000, max_sentences: int = 120) -> DataFrame:
-    """Proposals with their known sentences' span and the first rule they break (null: accepted). Reversed ids are swapped."""
-    p = props.select("video_id", "proposal_id", F.least("start_id", "end_id").alias("lo"), F.greatest("start_id", "end_id").alias("hi"))
+def validate(props: DataFrame, sents: DataFrame, min_ms: int = 15_000, max_ms: int = 90_000, max_sentences: int = 120, join_gap_ms: int = 60_000) -> DataFrame:
+    """Proposals with their known sentences' span and the first rule they break (null: accepted). Reversed ids are swapped.
+
+    Proposals may name further sentences in ``join_ids`` (an array; those unknown or inside the
+    span are ignored): at least one must be left, and they must start or end within
+    join_gap_ms of the span. ``sentence_ids`` are all known ids, joined ones last."""
+    if "join_ids" not in props.columns:
+        props = props.withColumn("join_ids", F.lit(None).cast("array<bigint>"))
+    p = props.select("video_id", "proposal_id", F.least("start_id", "end_id").alias("lo"), F.greatest("start_id", "end_id").alias("hi"), "join_ids")
     # the join is on equal sentence ids, not on a range; ids beyond the video's own are unknown
     ends = sents.groupBy("video_id").agg(F.min("id").alias("least"), F.max("id").alias("most"))
-    known = p.where("lo is not null and hi is not null").join(ends, "video_id").where("lo <= most and hi >= least")
-    ids = known.withColumn("id", F.explode(F.sequence(F.greatest("lo", "least"), F.least("hi", "most")))).drop("least", "most")
+    known = p.where("lo is not null and hi is not null").join(ends, "video_id")
+    span = F.when((F.col("lo") <= F.col("most")) & (F.col("hi") >= F.col("least")), F.sequence(F.greatest("lo", "least"), F.least("hi", "most")))
+    inside = F.coalesce(span, F.array().cast("array<bigint>"))
+    further = F.filter(F.array_distinct(F.coalesce("join_ids", F.array().cast("array<bigint>"))), lambda i: i.isNotNull() & ~i.between(F.col("lo"), F.col("hi")))
+    ids = known.select("video_id", "proposal_id", F.explode(F.concat(F.transform(inside, lambda i: F.struct(i.alias("id"), F.lit(False).alias("extra"))), F.transform(further, lambda i: F.struct(i.alias("id"), F.lit(True).alias("extra"))))).alias("x"))
+    ids = ids.select("video_id", "proposal_id", "x.*")
     s = sents.select("video_id", "id", "start_ms", "end_ms", "text")
+    of = lambda c, extra: F.when(F.col("extra") == extra, F.col(c))
     g = ids.join(s, ["video_id", "id"]).groupBy("video_id", "proposal_id").agg(
-        F.count("*").alias("n_sentences"), F.min("start_ms").alias("s"), F.max("end_ms").alias("e"), F.min_by("text", "id").alias("first_text")
-    )
+        F.count(of("id", False)).alias("n_sentences"), F.min(of("start_ms", False)).alias("s"), F.max(of("end_ms", False)).alias("e"), F.min_by("text", of("id", False)).alias("first_text"),
+        F.count(of("id", True)).alias("n_joins"), F.min(of("start_ms", True)).alias("join_s"), F.max(of("end_ms", True)).alias("join_e"),
+        F.array_sort(F.collect_list(F.struct("extra", "id"))).alias("ids"),
+    )
     out = p.join(g, ["video_id", "proposal_id"], "left")
-    span = F.col("e") - F.col("s")
+    length = F.col("e") - F.col("s")
+    joins = F.size("join_ids") > 0
+    away = F.least(F.abs(F.col("join_s") - F.col("e")), F.abs(F.col("s") - F.col("join_e")))
     reason = (
         F.when(F.col("lo").isNull() | F.col("hi").isNull(), "missing ids")
-        .when(F.col("n_sentences").isNull(), "no known sentences")
+        .when(F.coalesce("n_sentences", F.lit(0)) == 0, "no known sentences")
         .when(F.col("n_sentences") > max_sentences, "too many sentences")
-        .when(span <= 0, "degenerate")
-        .when(span < min_ms, "too short")
-        .when(span > max_ms, "too long")
+        .when(joins & (F.col("n_joins") == 0), "unknown joins")
+        .when(joins & (away > join_gap_ms), "joins too far")
+        .when(length <= 0, "degenerate")
+        .when(length < min_ms, "too short")
+        .when(length > max_ms, "too long")
     )
-    return out.select("video_id", "proposal_id", "lo", "hi", F.coalesce("n_sentences", F.lit(0)).alias("n_sentences"), "s", "e", "first_text", reason.alias("reject_reason"))
+    sentence_ids = F.transform("ids", lambda x: x["id"])
+    return out.select(
+        "video_id", "proposal_id", "lo", "hi", F.coalesce("n_sentences", F.lit(0)).alias("n_sentences"), "s", "e", "first_text", reason.alias("reject_reason"),
+        F.coalesce("n_joins", F.lit(0)).alias("n_joins"), "join_s", "join_e", sentence_ids.alias("sentence_ids"),
+    )
+
+
+def first_accepted(valid: DataFrame, most: int = 24) -> DataFrame:
+    """At most ``most`` accepted proposals of each video, in their order."""
+    w = Window.partitionBy("video_id").orderBy("proposal_id")
+    return valid.where("reject_reason is null").withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).drop("n")
 
 
 def candidates(valid: DataFrame) -> DataFrame:
@@ -54,14 +83,20 @@ def candidates(valid: DataFrame) -> DataFrame:
     i = F.col("proposal_id")
     hook = F.array_join(F.slice(X.split_words(F.col("first_text")), 1, 8), " ")
     return valid.where("reject_reason is null").select(
-        "video_id", i.alias("cand_id"), "s", "e", hook.alias("hook"),
+        "video_id", i.alias("cand_id"), "s", "e", X.capped(hook, "hook").alias("hook"), X.capped(F.array_join(F.slice(X.split_words(F.col("first_text")), 9, 12), " "), "text").alias("main_idea"),
+        F.when((i % 24 == 0) & (i % 7 > 0), (i % 7).cast("double")).alias("energy_increase"), "sentence_ids",
         F.when(i % 3 == 0, "").otherwise("payoff").alias("payoff"), F.when(i % 5 == 0, "context").otherwise("").alias("required_context"),
         ((i * 37 + F.col("video_id")) % 100 / 100.0).alias("uncertainty"), F.when(i % 8 == 0, "audio_event").otherwise("outline").alias("source"),
     )
 
 
 def scores(cands: DataFrame, campaign: str = "", cfg: Fusion = Fusion()) -> DataFrame:
-    """cands with the seven component scores and their weighted total."""
+    """cands with the seven component scores and their weighted total.
+
+    Relevance looks for the campaign's keywords in hook and main idea; a rise in energy
+    makes a clip easier to edit and is the best audio support. Both columns may lack."""
+    idea = F.col("main_idea") if "main_idea" in cands.columns else F.lit("")
+    loud = F.coalesce(F.col("energy_increase"), F.lit(0.0)) != 0 if "energy_increase" in cands.columns else F.lit(False)
     hook, first = F.trim("hook"), X.first_word(F.col("hook"))
     n = F.size(X.split_words(F.col("hook")))
     opening = F.when(hook == "", 0.3).otherwise(
@@ -72,13 +107,15 @@ def scores(cands: DataFrame, campaign: str = "", cfg: Fusion = Fusion()) -> Data
     complete = clamp(1.0 - 0.6 * clamp(F.col("uncertainty")) - F.when(has_payoff, 0.0).otherwise(0.2))
     span = (F.col("e") - F.col("s")) / 1000.0
     edit = F.when(span < 20, F.greatest(F.lit(0.2), span / 20)).when(span <= 90, 1.0).otherwise(F.greatest(F.lit(0.2), 1.0 - (span - 90) / 120))
+    edit = F.when(loud, F.least(F.lit(1.0), edit + 0.1)).otherwise(edit)
     words = X.keywords(campaign)
-    hits = sum((F.contains(F.lower("hook"), F.lit(w)).cast("int") for w in words), F.lit(0))
+    told = F.lower(F.concat_ws(" ", F.coalesce("hook", F.lit("")), F.coalesce(idea, F.lit(""))))
+    hits = sum((F.contains(told, F.lit(w)).cast("int") for w in words), F.lit(0))
     relevance = F.least(F.lit(1.0), hits / float(max(1, min(len(words), 6)))) if words else F.lit(0.5)
     parts = {
         "opening": half_up(opening, 3), "standalone": half_up(alone, 3), "payoff_score": F.when(has_payoff, 1.0).otherwise(0.4),
         "completeness": half_up(complete, 3), "relevance": half_up(relevance, 3), "editability": half_up(edit, 3),
-        "audio_support": F.when(F.col("source") == "audio_event", 0.7).otherwise(0.3),
+        "audio_support": F.when(loud, 0.8).when(F.col("source") == "audio_event", 0.7).otherwise(0.3),
     }
     out = cands.withColumns(parts)
     total = sum((F.col(k) * cfg.weights["payoff" if k == "payoff_score" else k] for k in parts), F.lit(0.0))
@@ -121,22 +158,26 @@ def near_duplicate(x: Column, y: Column, cfg: Fusion) -> Column:
 def greedy(ranked: DataFrame, clash, most: int | None = None) -> DataFrame:
     """Keep rows in rank order unless they clash with one kept before; at most ``most``.
 
-    ranked: (video_id, rk, s, e, words, ...); clash(later, earlier) is a column over two such
-    rows. One shuffle by video; the fold compares a row with the kept ones only. Adds
-    ``kept`` and ``winner`` (the rank of the first kept row it clashes with)."""
-    rest = [c for c in ranked.columns if c not in ("video_id", "rk")]
-    rows = ranked.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("rk", *rest))).alias("xs"))
-    kind = rows.schema["xs"].dataType
+    ranked: (video_id, rk, s, e, words, ...); clash(later, earlier) is a column over two
+    structs of such rows and true only for rows that overlap in time. Clashing pairs come
+    from a bucketed overlap join; the fold over a video carries ranks alone, for each row
+    the earlier ranks it clashes with. Adds ``kept`` and ``winner`` (the rank of the first
+    kept row it clashes with)."""
+    fields = [c for c in ranked.columns if c != "video_id"]
+    low, high = F.coalesce(F.least("s", "e"), F.lit(-1)), F.coalesce(F.greatest("s", "e"), F.lit(-1))
+    x = ranked.select("video_id", low.alias("x0"), high.alias("x1"), F.struct(*fields).alias("x"))
+    y = ranked.select("video_id", low.alias("y0"), high.alias("y1"), F.struct(*fields).alias("y"))
+    met = overlap_join(x, y, "video_id", ("x0", "x1"), ("y0", "y1")).where(F.col("y.rk") <= F.col("x.rk"))  # every row meets itself
+    earlier = F.when((F.col("y.rk") < F.col("x.rk")) & clash(F.col("x"), F.col("y")), F.col("y.rk"))
+    rows = met.groupBy("video_id", F.col("x.rk").alias("rk")).agg(F.first("x").alias("x"), F.array_sort(F.collect_list(earlier)).alias("es"))
+    barred = F.col("x.low") if "low" in fields else F.lit(False)
+    g = rows.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("rk", "es", barred.alias("low"), "x")), lambda p, q: p["rk"] - q["rk"]).alias("xs"))
     room = (lambda k: F.size(k) < most) if most else (lambda k: F.lit(True))
-    kept = F.aggregate("xs", F.array().cast(kind), lambda k, x: F.when(room(k) & ~F.exists(k, lambda y: clash(x, y)), F.concat(k, F.array(x))).otherwise(k))
-    rows = rows.withColumn("ks", kept)
-
-    def judged(x):
-        own = F.exists("ks", lambda y: y["rk"] == x["rk"])
-        winner = F.get(F.filter("ks", lambda y: (y["rk"] < x["rk"]) & clash(x, y)), 0)["rk"]
-        return F.struct(x["rk"].alias("rk"), *[x[c].alias(c) for c in rest], own.alias("kept"), F.when(~own, winner).alias("winner"))
-
-    return rows.select("video_id", F.inline(F.transform("xs", judged)))
+    kept = F.aggregate("xs", F.array().cast("array<int>"), lambda k, z: F.when(room(k) & ~z["low"] & ~F.arrays_overlap(k, z["es"]), F.concat(k, F.array(z["rk"]))).otherwise(k))
+    out = g.withColumn("ks", kept).select("video_id", "ks", F.inline("xs"))
+    own = F.array_contains("ks", F.col("rk"))
+    winner = F.array_min(F.array_intersect("es", "ks"))
+    return out.select("video_id", *[F.col("x")[c].alias(c) for c in fields], own.alias("kept"), F.when(~own, winner).alias("winner"))
 
 
 def with_words(c: DataFrame) -> DataFrame:
@@ -148,10 +189,17 @@ def ranked(c: DataFrame, *order: Column) -> DataFrame:
 
 
 def merge_overlaps(c: DataFrame, cfg: Fusion = Fusion()) -> DataFrame:
-    """Candidates in order of uncertainty; one that overlaps a kept one by merge_iou or more is merged into the first such."""
+    """Candidates in order of uncertainty; one that overlaps a kept one by merge_iou or more is merged into the first such.
+
+    ``winner_id`` is where it went; the winner's ``sentence_ids`` (where candidates have
+    them) are the sorted union, its span does not grow."""
     r = ranked(c, F.asc("uncertainty"), F.asc("cand_id"))
     g = greedy(r, lambda x, y: iou_at_least(x, y, round(cfg.merge_iou * 10)))
-    first = F.max(F.when(F.col("kept"), F.col("cand_id"))).over(Window.partitionBy("video_id", F.coalesce("winner", "rk")))
+    group = Window.partitionBy("video_id", F.coalesce("winner", "rk"))
+    if "sentence_ids" in c.columns:
+        every = F.array_sort(F.array_distinct(F.flatten(F.collect_list("sentence_ids").over(group))))
+        g = g.withColumn("sentence_ids", F.when(F.col("kept"), every).otherwise(F.col("sentence_ids")))
+    first = F.max(F.when(F.col("kept"), F.col("cand_id"))).over(group)
     return g.withColumn("winner_id", F.when(~F.col("kept"), first)).drop("winner", "rk")
 
 
@@ -162,7 +210,7 @@ def select_diverse(c: DataFrame, campaign: str = "", cfg: Fusion = Fusion()) ->
     kept = merge_overlaps(c, cfg).where("kept").drop("kept", "winner_id")
     s = with_words(scores(kept, campaign, cfg)).select("video_id", "cand_id", "s", "e", "words", "total", (F.col("total") < cfg.min_score).alias("low"))
     r = ranked(s, F.asc("low"), F.desc("total"), F.asc("cand_id"))
-    g = greedy(r, lambda x, y: x["low"] | near_duplicate(x, y, cfg), cfg.target)
+    g = greedy(r, lambda x, y: near_duplicate(x, y, cfg), cfg.target)
     video = Window.partitionBy("video_id")
     taken = F.col("kept") & ~F.col("low")
     last = F.max(F.when(taken, F.col("rk"))).over(video)
@@ -182,6 +230,55 @@ def dedup_refined(c: DataFrame, cfg: Fusion = Fusion()) -> DataFrame:
     return greedy(r, clash).select("video_id", "cand_id", "total", "kept")
 
 
+def similar_pairs(c: DataFrame, text: str = "hook") -> DataFrame:
+    """(video_id, cand_a, cand_b, similarity): content similarity of all pairs of a video's candidates, by their word sets.
+
+    A video's candidates are few; they meet by word, so pairs without a common word (similarity 0) are not made."""
+    w = c.select("video_id", "cand_id", F.array_distinct(X.split_words(F.lower(text))).alias("ws")).withColumn("n", F.size("ws"))
+    each = w.select("video_id", "cand_id", "n", F.explode("ws").alias("w"))
+    other = each.select("video_id", F.col("cand_id").alias("cand_b"), F.col("n").alias("m"), "w")
+    j = each.withColumnRenamed("cand_id", "cand_a").join(other, ["video_id", "w"]).where("cand_a < cand_b")
+    g = j.groupBy("video_id", "cand_a", "cand_b", "n", "m").agg(F.count("*").alias("both"))
+    return g.select("video_id", "cand_a", "cand_b", half_up(F.col("both") / (F.col("n") + F.col("m") - F.col("both")), 6).alias("similarity"))
+
+
+def insert_winners(selected: DataFrame, chunks: DataFrame, least_ms: int = 15_000) -> DataFrame:
+    """Selected candidates (video_id, cand_id, rank, s, e, hook, main_idea, rationale, total) as numbered clips.
+
+    Those under least_ms are refused. Texts are cut to their fields' lengths. ``source_chunks``
+    are the chunks (video_id, chunk_index, start_ms, end_ms) whose closed range meets the clip's."""
+    rows = selected.where(F.col("e") - F.col("s") >= least_ms)
+    number = F.row_number().over(Window.partitionBy("video_id").orderBy("rank", "cand_id")).cast("long")
+    hook, idea, why = (F.coalesce(F.col(x), F.lit("")) for x in ("hook", "main_idea", "rationale"))
+    said = F.filter(F.array(why, F.when(idea != "", F.concat(F.lit("idea: "), X.capped(idea, "idea"))).otherwise("")), lambda x: x != "")
+    none = lambda x: F.when(x != "", x)
+    clips = rows.select(
+        "video_id", number.alias("clip_number"), "cand_id", "s", "e", (F.col("e") - F.col("s")).alias("duration_ms"), none(hook).alias("hook"),
+        none(X.capped(F.array_join(said, " "), "text")).alias("reason"), none(X.capped(F.when(hook != "", hook).otherwise(idea), "title")).alias("title"), "total",
+    )
+    met = overlap_join(clips.select("video_id", "cand_id", "s", "e"), chunks.select("video_id", "chunk_index", "start_ms", "end_ms"), "video_id", ("s", "e"), ("start_ms", "end_ms"))
+    of = met.groupBy("video_id", "cand_id").agg(F.array_sort(F.collect_list("chunk_index")).alias("source_chunks"))
+    return clips.join(of, ["video_id", "cand_id"], "left").withColumn("source_chunks", F.coalesce("source_chunks", F.array().cast("array<bigint>")))
+
+
+def extracted_clips(replies: DataFrame, least_s: float = 15.0) -> DataFrame:
+    """(chunk_id, n, start, end, duration_s, hook) from a model's replies (chunk_id, reply), a JSON list of clips each.
+
+    Clips without both times (HH:MM:SS), with unreadable ones, or under least_s are left out."""
+    kind = "array<struct<start_time:string,end_time:string,hook:string>>"
+    c = replies.select("chunk_id", F.posexplode(F.from_json(X.model_json(F.col("reply")), kind)).alias("n", "c"))
+    dur = X.parse_clock(F.col("c.end_time")) - X.parse_clock(F.col("c.start_time"))
+    return c.select("chunk_id", F.col("n").cast("long").alias("n"), F.col("c.start_time").alias("start"), F.col("c.end_time").alias("end"), dur.alias("duration_s"), F.col("c.hook").alias("hook")).where(F.col("duration_s") >= least_s)
+
+
+def enriched(cues: DataFrame, replies: DataFrame) -> DataFrame:
+    """cues with hook, main_idea and payoff of a model's replies (video_id, peak_ms, hook, main_idea, payoff) where it gave some."""
+    r = replies.select("video_id", "peak_ms", *[F.col(c).alias(f"new_{c}") for c in ("hook", "main_idea", "payoff")])
+    j = cues.join(r, ["video_id", "peak_ms"], "left")
+    old = lambda c: F.col(c) if c in cues.columns else F.lit(None).cast("string")
+    return j.withColumns({c: F.when(F.col(f"new_{c}") != "", X.capped(F.col(f"new_{c}"), "enriched")).otherwise(old(c)) for c in ("hook", "main_idea", "payoff")}).drop("new_hook", "new_main_idea", "new_payoff")
+
+
 def dedup_near_starts(c: DataFrame, within_ms: int = 5000) -> DataFrame:
     """Clips by start; one that starts within within_ms of the last kept replaces it if longer, else goes.
 

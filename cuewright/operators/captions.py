@@ -15,13 +15,17 @@ def cue_of_word(words: DataFrame, cfg: Captions = Captions(), run_key: str = "ru
 
     Closing punctuation always ends a cue, so a run between punctuation marks is folded on
     its own: a cue closes at max_words words, max_chars letters, max_ms, or at a comma once it
-    has three words and six tenths of the time. The fold is an aggregate over the run's array
-    and carries four numbers and the cue of each word."""
+    has three words and six tenths of the time. Letters are those shown: ``display`` where
+    words have one. The fold is an aggregate over the run's array and carries four numbers
+    and the cue of each word."""
+    if "display" not in words.columns:
+        words = words.withColumn("display", F.col("word"))
+    words = words.withColumn("display", X.shown(F.col("display"), F.col("word")))
     video = Window.partitionBy("video_id").orderBy("pos")
     ends = X.ends_sentence(F.col("word"))
     w = words.withColumn(run_key, F.coalesce(F.sum(ends.cast("int")).over(video.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    size = (F.length("word") + 1).cast("long").alias("size")
-    items = F.array_sort(F.collect_list(F.struct("pos", "word", "start_ms", "end_ms", size, F.endswith("word", F.lit(",")).alias("comma"))))
+    size = (F.length("display") + 1).cast("long").alias("size")
+    items = F.array_sort(F.collect_list(F.struct("pos", "word", "display", "start_ms", "end_ms", size, F.endswith("word", F.lit(",")).alias("comma"))))
     g = w.groupBy("video_id", run_key).agg(items.alias("items"))
     zero = F.struct(
         F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("chars"), F.lit(0).cast("long").alias("from"), F.lit(0).cast("long").alias("cue"),
@@ -39,33 +43,62 @@ def cue_of_word(words: DataFrame, cfg: Captions = Captions(), run_key: str = "ru
         )
 
     g = g.withColumn("cues", F.aggregate("items", zero, step, lambda s: s["cues"]))
-    return g.select("video_id", run_key, F.inline(F.arrays_zip("items", "cues"))).select("video_id", run_key, "items.pos", "items.word", "items.start_ms", "items.end_ms", F.col("cues").alias("cue"))
+    return g.select("video_id", run_key, F.inline(F.arrays_zip("items", "cues"))).select("video_id", run_key, "items.pos", "items.word", "items.display", "items.start_ms", "items.end_ms", F.col("cues").alias("cue"))
 
 
 def caption_cues(words: DataFrame, cfg: Captions = Captions()) -> DataFrame:
     """One row per cue, numbered per video: times, number of words, text."""
     g = cue_of_word(words, cfg).groupBy("video_id", "run", "cue").agg(
         F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n_words"), F.min("pos").alias("first_word"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("text"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "display"))), lambda x: x["display"]), " ").alias("text"),
     )
     number = F.row_number().over(Window.partitionBy("video_id").orderBy("first_word")).cast("long")
     return g.withColumn("cue_id", number).select("video_id", "cue_id", "start_ms", "end_ms", "n_words", "text")
 
 
-def srt_lines(words: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Words inside a clip's ranges (up to half a second over the end), on the clip's output time.
+def on_output_time(words: DataFrame, ranges: DataFrame, slack_ms: int = 500) -> DataFrame:
+    """Words of clips on their output time; words outside the ranges, but for ``slack_ms`` over an end, are left out.
 
-    ranges: (clip_id, video_id, s, e), disjoint. A word maps by the first range that holds it.
-    Returns clip_id, n (from 1, in source order), start_ms, end_ms, line."""
+    ranges: (clip_id, video_id, s, e). A word maps by the first range that holds it. The join
+    is on video and minute. Returns clip_id and the words' columns with the new times."""
     w = Window.partitionBy("clip_id").orderBy("s", "e")
     r = ranges.withColumn("out", F.coalesce(F.sum(F.col("e") - F.col("s")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("k", F.row_number().over(w))
-    r = r.withColumnRenamed("video_id", "v")
-    hit = (F.col("video_id") == F.col("v")) & (F.col("start_ms") >= F.col("s")) & (F.col("end_ms") <= F.col("e") + 500)
-    m = words.join(r, hit).select("clip_id", "k", "pos", "word", (F.col("start_ms") - F.col("s") + F.col("out")).alias("a"), (F.col("end_ms") - F.col("s") + F.col("out")).alias("b"))
-    first = m.groupBy("clip_id", "pos").agg(F.min_by(F.struct("word", "a", "b"), "k").alias("x"))
+    r = r.withColumn("cell", F.explode(F.sequence(F.floor(F.col("s") / 60_000), F.floor((F.col("e") + slack_ms) / 60_000))))
+    m = words.withColumn("cell", F.floor(F.col("start_ms") / 60_000)).join(r, ["video_id", "cell"])
+    m = m.where((F.col("start_ms") >= F.col("s")) & (F.col("end_ms") <= F.col("e") + slack_ms))
+    rest = [c for c in words.columns if c not in ("video_id", "pos", "start_ms", "end_ms")]
+    moved = F.struct((F.col("start_ms") - F.col("s") + F.col("out")).alias("start_ms"), (F.col("end_ms") - F.col("s") + F.col("out")).alias("end_ms"), *rest)
+    return m.groupBy("clip_id", "video_id", "pos").agg(F.min_by(moved, "k").alias("x")).select("clip_id", "video_id", "pos", "x.*")
+
+
+def srt_lines(words: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Words inside a clip's ranges (up to half a second over the end), on the clip's output time.
+
+    ranges: (clip_id, video_id, s, e), disjoint. Returns clip_id, n (from 1, in source order), start_ms, end_ms, line."""
+    m = on_output_time(words, ranges)
     n = F.row_number().over(Window.partitionBy("clip_id").orderBy("pos")).cast("long")
-    line = F.concat(X.srt_time(F.col("x.a")), F.lit(" --> "), X.srt_time(F.col("x.b")), F.lit(" "), F.col("x.word"))
-    return first.withColumn("n", n).select("clip_id", "n", F.col("x.a").alias("start_ms"), F.col("x.b").alias("end_ms"), line.alias("line"))
+    line = F.concat(X.srt_time(F.col("start_ms")), F.lit(" --> "), X.srt_time(F.col("end_ms")), F.lit(" "), F.col("word"))
+    return m.withColumn("n", n).select("clip_id", "n", "start_ms", "end_ms", line.alias("line"))
+
+
+def burn_passes(lines: DataFrame, size: int = 80) -> DataFrame:
+    """lines (clip_id, n from 1) with the pass of the renderer that burns them, ``size`` in each."""
+    return lines.withColumn("burn_pass", F.floor((F.col("n") - 1) / size).cast("long"))
+
+
+def clip_cues(words: DataFrame, ranges: DataFrame, cfg: Captions = Captions()) -> DataFrame:
+    """Caption cues of clips: words on output time, shown by their ``display`` where there is one."""
+    w = on_output_time(words, ranges).drop("video_id").withColumnRenamed("clip_id", "video_id")
+    return caption_cues(w, cfg).withColumnRenamed("video_id", "clip_id")
+
+
+def placement(tracks: DataFrame, height: int = 720, forced: str = "auto") -> DataFrame:
+    """(clip_id, placement) of face rows (clip_id, cy): top when at least three faces stand low, by their upper median."""
+    g = tracks.where("cy is not null").groupBy("clip_id").agg(F.array_sort(F.collect_list("cy")).alias("ys"))
+    low = (F.size("ys") >= 3) & (F.get("ys", F.floor(F.size("ys") / 2).cast("int")) > height * 0.6)
+    at = F.lit(forced.lower()) if forced.lower() in ("top", "bottom") else F.when(low, "top").otherwise("bottom")
+    clips = tracks.select("clip_id").distinct()
+    return clips.join(g, "clip_id", "left").select("clip_id", F.coalesce(at, F.lit("bottom")).alias("placement"))
 
 
 def srt_files(lines: DataFrame) -> DataFrame:
@@ -80,8 +113,8 @@ def glossary_display(words: DataFrame, entries: list[tuple[str, str]]) -> DataFr
 
     Matches of one entry do not overlap, left to right; later entries overwrite. The
     replacement stands at the first word, the others are shown empty. Entries that are
-    empty or change nothing are skipped. A match of an entry that overlaps itself is
-    settled by its distance in a chain of overlapping matches: every len-th stays."""
+    empty or change nothing are skipped. Of matches of one entry that overlap each other a
+    scan from the left takes the first, then the first that does not overlap it."""
     video = Window.partitionBy("video_id").orderBy("pos")
     out = words.withColumn("display", F.col("word"))
     for match, replacement in entries:

@@ -9,9 +9,7 @@ from pyspark.sql.window import Window
 from cuewright.functions import text as X
 from cuewright.functions.numeric import half_up, overlap
 
-#: Layouts that a user may name.
-LAYOUTS = ["auto", "speaker_crop", "stacked_split", "center_crop", "split_screen"]
-
+from .adapters import LAYOUTS
 
 def caption_lines(cue_words: DataFrame) -> DataFrame:
     """Words with video_id, run, cue, pos, word -> (video_id, first_word, line_1, line_2): a cue in at most two lines.
@@ -61,10 +59,11 @@ def override_region(regions: Column, new: Column) -> Column:
     return F.when(F.exists(regions, same), F.transform(regions, lambda r: F.when(same(r), new).otherwise(r))).otherwise(F.concat(regions, F.array(new)))
 
 
-def layout(cli: Column, campaign: Column, default: Column) -> Column:
-    """The first layout given, in lower case; one that is not known becomes auto."""
+def layout(cli: Column, campaign: Column, default: Column, full_screen: bool = True) -> Column:
+    """The first layout given, in lower case; one that is not known becomes auto, as does a fitted frame where every shot must fill the screen."""
     v = F.lower(F.trim(F.coalesce(cli, campaign, default, F.lit("auto"))))
-    return F.when(v.isin(LAYOUTS), v).otherwise("auto")
+    known = F.when(v.isin(LAYOUTS), v).otherwise("auto")
+    return F.when(known == "branded_fit", "auto").otherwise(known) if full_screen else known
 
 
 def dedupe_words(words: DataFrame) -> DataFrame:
@@ -100,6 +99,90 @@ def content_bounds(lines: DataFrame, dark: int = 8) -> DataFrame:
     return b.select("clip_id", F.when(ok, F.col("a")).otherwise(0).alias("top"), F.when(ok, F.col("b")).otherwise(F.col("last")).alias("bottom"))
 
 
+def bounds_in_use(clips: DataFrame, estimated: DataFrame, threshold: int = 8, width: int = 1280, height: int = 720) -> DataFrame:
+    """clips (clip_id, override (x, y, w, h), analysed (x, y, w, h)) with ``bounds``: the override if it has a size, else what
+    an analysis stored, else the whole frame where detection is off (threshold 0), else the estimate (clip_id, x, y, w, h)."""
+    whole = F.struct(*[F.lit(v).cast("long").alias(k) for k, v in (("x", 0), ("y", 0), ("w", width), ("h", height))])
+    part = lambda c: F.struct(*[F.col(f"{c}.{k}").cast("long").alias(k) for k in "xywh"])
+    e = estimated.select("clip_id", F.struct("x", "y", "w", "h").alias("found"))
+    set_ = (F.col("override.w") > 0) & (F.col("override.h") > 0)
+    found = whole if threshold <= 0 else F.when(F.col("found").isNotNull(), part("found")).otherwise(whole)
+    bounds = F.when(set_, part("override")).when(F.col("analysed").isNotNull(), part("analysed")).otherwise(found)
+    return clips.join(e, "clip_id", "left").withColumn("bounds", bounds).drop("found")
+
+
+def speaker_tracks(clips: DataFrame, speech: DataFrame, faces: DataFrame, speaker_map: dict[str, str], enabled: bool = True, auto_match: bool = False) -> DataFrame:
+    """(clip_id, status, mapping {speaker: track}): voices to faces, by an explicit map of speakers to sides only.
+
+    clips: (clip_id); speech: (clip_id, speaker); faces: (clip_id, track_id, cx). left is the
+    track of the least mean place, right that of the greatest; without two tracks, speech or a
+    map there is no mapping, and nothing is guessed."""
+    g = faces.where("track_id is not null").groupBy("clip_id", "track_id").agg(F.avg("cx").alias("x"))
+    t = g.groupBy("clip_id").agg(F.count_distinct("track_id").alias("tracks"), F.min_by("track_id", F.struct("x", "track_id")).alias("left"), F.max_by("track_id", F.struct("x", -F.col("track_id"))).alias("right"))
+    j = clips.join(t, "clip_id", "left").join(speech.select("clip_id", F.lit(True).alias("spoken")).distinct(), "clip_id", "left")
+    sides = {k: v for k, v in speaker_map.items() if v in ("left", "right")}
+    entries = F.map_from_arrays(F.array(*map(F.lit, sides)), F.array(*map(F.col, sides.values()))) if sides else None
+    status = (
+        F.when(F.lit(not enabled), "disabled")
+        .when(F.col("spoken").isNull(), "unavailable_no_diarization")
+        .when(F.coalesce("tracks", F.lit(0)) < 2, "unavailable_no_faces")
+        .otherwise("mapped_explicit" if sides else "unavailable_uncertain_map" if speaker_map else "unavailable_unevaluated" if auto_match else "unavailable_no_map")
+    )
+    none = F.lit(None).cast("map<string,bigint>")
+    mapping = F.when(status == "mapped_explicit", entries.cast("map<string,bigint>")) if sides else none
+    return j.select("clip_id", status.alias("status"), mapping.alias("mapping"))
+
+
+def edit_plan(clips: DataFrame, cues: DataFrame, scenes: DataFrame, rois: DataFrame, settings: dict[str, str]) -> DataFrame:
+    """(clip_id, plan, fingerprint): everything a renderer needs of a clip as one struct.
+
+    clips: clip_id, clip_number, layout, ranges [(s, e)], timeline [(s, e, out_s, out_e)];
+    cues: (clip_id, cue_id, start_ms, end_ms, text); scenes: (clip_id, scene, kind, cx, cy,
+    needs_review); rois: (clip_id, idx, x, y, w, h), kept as they are. The fingerprint covers
+    the settings and the layout, so equal ones give equal renders."""
+    per = lambda d, order, *cols, name: d.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct(order, *cols))).alias(name))
+    c = per(cues, "cue_id", "start_ms", "end_ms", "text", name="cues")
+    s = per(scenes, "scene", "kind", "cx", "cy", "needs_review", name="scene_crops")
+    r = per(rois, "idx", "x", "y", "w", "h", name="manual_rois")
+    j = clips.join(c, "clip_id", "left").join(s, "clip_id", "left").join(r, "clip_id", "left")
+    kind = {x: d.schema[x].dataType for d, x in ((c, "cues"), (s, "scene_crops"), (r, "manual_rois"))}
+    j = j.withColumns({k: F.coalesce(k, F.array().cast(t)) for k, t in kind.items()})
+    length = F.aggregate("ranges", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"])
+    review = F.exists("scene_crops", lambda x: x["needs_review"])
+    plan = F.struct(
+        F.lit(1).alias("plan_version"), "clip_number", "clip_id", F.col("ranges").alias("source_ranges"), "timeline", length.alias("output_ms"), "layout",
+        F.struct("cues", F.size("cues").alias("cue_count")).alias("captions"),
+        F.struct("scene_crops", F.size("scene_crops").alias("scene_count"), "manual_rois", review.alias("needs_review")).alias("framing"),
+        F.struct(*[F.lit(v).alias(k) for k, v in sorted(settings.items())]).alias("settings"),
+    )
+    mark = X.fingerprint(*[F.lit(f"{k}={v}") for k, v in sorted(settings.items())], F.col("layout"))
+    return j.select("clip_id", plan.alias("plan"), mark.alias("fingerprint"))
+
+
+def review_list(clips: DataFrame, plans: DataFrame, cands: DataFrame) -> DataFrame:
+    """clips (clip_id, ...) with ``plan_version`` of their latest plan (clip_id, version) and the totals of their candidates (clip_id, cand_id, total)."""
+    v = plans.groupBy("clip_id").agg(F.max("version").alias("plan_version"))
+    c = cands.groupBy("clip_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("cand_id", "total"))), lambda x: x["total"]).alias("candidate_scores"))
+    return clips.join(v, "clip_id", "left").join(c, "clip_id", "left").withColumn("candidate_scores", F.coalesce("candidate_scores", F.array().cast("array<double>")))
+
+
+def only_clips(clips: DataFrame, numbers: list[int] | None) -> DataFrame:
+    """The clips to render again: those of the given numbers, or all."""
+    return clips if numbers is None else clips.where(F.col("clip_number").isin(numbers))
+
+
+#: What a reviewer may set a candidate to.
+STATUSES = ["selected", "rejected", "proposed", "shortlisted"]
+
+
+def set_statuses(cands: DataFrame, edits: DataFrame) -> DataFrame:
+    """cands (cand_id, status, ...) with the statuses of edits (cand_id, status); ``error`` where one is not known, the old one stays."""
+    e = edits.select("cand_id", F.col("status").alias("wanted"))
+    j = cands.join(e, "cand_id", "left")
+    bad = F.col("wanted").isNotNull() & ~F.col("wanted").isin(STATUSES)
+    return j.withColumns({"status": F.when(F.col("wanted").isNull() | bad, F.col("status")).otherwise(F.col("wanted")), "error": F.when(bad, "bad status")}).drop("wanted")
+
+
 def main_tracks(faces: DataFrame) -> DataFrame:
     """(clip_id, left_track, right_track): the two most frequent tracks by mean place; clips with one track give none."""
     g = faces.where("track_id is not null").groupBy("clip_id", "track_id").agg(F.count("*").alias("n"), F.avg("cx").alias("x"))

@@ -29,13 +29,26 @@ def output_timeline(ranges: DataFrame, key: str) -> DataFrame:
     return ranges.withColumn("out_s", out).withColumn("out_e", F.col("out_s") + F.col("e") - F.col("s"))
 
 
+BUCKET_MS = 60_000
+
+
+def overlap_join(left: DataFrame, right: DataFrame, key: str, l: tuple[str, str], r: tuple[str, str], width: int = BUCKET_MS) -> DataFrame:
+    """Pairs of rows with equal keys whose closed intervals meet, once each.
+
+    Both sides are dealt to buckets of the time axis, so the join is on (key, bucket) and a
+    long video is many groups; a pair counts in the first bucket that both cover. ``right``
+    must not share column names with ``left`` but for the key. Empty intervals meet nothing."""
+    cell = lambda c: F.floor(F.col(c) / width)
+    deal = lambda d, x: d.where(F.col(x[0]) <= F.col(x[1])).withColumn("_cell", F.explode(F.sequence(cell(x[0]), cell(x[1]))))
+    j = deal(left, l).join(deal(right, r), [key, "_cell"])
+    once = F.col("_cell") == F.greatest(cell(l[0]), cell(r[0]))
+    return j.where(once & (F.col(l[0]) <= F.col(r[1])) & (F.col(r[0]) <= F.col(l[1]))).drop("_cell")
+
+
 def speech_coverage(ranges: DataFrame, words: DataFrame, key: str, range_id: str) -> DataFrame:
     """(key, range_id, speech_ms, span_ms): summed overlap of words with each range; overlapping words count twice."""
-    w = words.select(F.col(key).alias("_key"), "start_ms", "end_ms")
-    hit = (F.col(key) == F.col("_key")) & (F.col("start_ms") < F.col("e")) & (F.col("end_ms") > F.col("s"))
-    got = ranges.join(w, hit).groupBy(key, range_id).agg(
-        F.sum(overlap(F.col("start_ms"), F.col("end_ms"), F.col("s"), F.col("e"))).cast("long").alias("speech_ms")
-    )
+    got = overlap_join(ranges.select(key, range_id, "s", "e"), words.select(key, "start_ms", "end_ms"), key, ("s", "e"), ("start_ms", "end_ms"))
+    got = got.groupBy(key, range_id).agg(F.sum(overlap(F.col("start_ms"), F.col("end_ms"), F.col("s"), F.col("e"))).cast("long").alias("speech_ms"))
     out = ranges.join(got, [key, range_id], "left")
     return out.select(key, range_id, F.coalesce("speech_ms", F.lit(0)).alias("speech_ms"), F.greatest(F.col("e") - F.col("s"), F.lit(0)).alias("span_ms"))
 
@@ -84,46 +97,104 @@ def snap(clips: DataFrame, sents: DataFrame, cfg: Refine = Refine()) -> DataFram
     return out.withColumn("det_e", F.greatest("det_e", F.col("det_s") + 500))
 
 
-def refine(clips: DataFrame, sents: DataFrame, cfg: Refine = Refine()) -> DataFrame:
-    """Clips refined without a validator: snap, cap the extension, trim the start to the longest duration.
+def refine(clips: DataFrame, sents: DataFrame, cfg: Refine = Refine(), verdicts: DataFrame | None = None, durations: DataFrame | None = None) -> DataFrame:
+    """Clips refined: snap or a validator's verdict, cap the extension, trim the start to the longest duration.
 
-    Returns clip_id, video_id, refined_s, refined_e, refine_status, method. The sentences in a clip's
-    context are gathered by one join, then every rule is one column."""
+    verdicts: (video_id, clip_id, start_id, end_id, complete), of a validator that names
+    sentences and never times; ids outside the clip's context are ignored, reversed ones
+    swapped, and an incomplete thought ends at the last punctuated sentence before.
+    durations: (video_id, duration_ms); bounds stay inside.
+    Returns clip_id, video_id, refined_s, refined_e, refine_status, method. The sentences in
+    a clip's context are gathered by one bucketed join, then every rule is one column."""
     keys = ["video_id", "clip_id", "s", "e"]
+    own = clips.select(*keys)
+    if durations is not None:
+        own = own.join(durations.select("video_id", "duration_ms"), "video_id", "left").withColumn("e", F.least("e", "duration_ms"))
+    else:
+        own = own.withColumn("duration_ms", F.lit(None).cast("long"))
     bad = F.col("e") <= F.col("s")
-    c = clips.select(*keys).where(~bad).join(snap(clips.where(~bad), sents, cfg), keys, "left")
-    around = sents.select(F.col("video_id").alias("v"), "id", "start_ms", "end_ms", "ends_with_punctuation")
-    near = (F.col("video_id") == F.col("v")) & (F.col("end_ms") >= F.col("s") - cfg.context_ms) & (F.col("start_ms") <= F.col("e") + cfg.context_ms)
-    cap = F.col("e") + cfg.extension_ms
-    over = F.col("det_e") > cap
-    padded = F.col("end_ms") + cfg.pad_after_ms
-    fits = (padded <= cap) & F.col("ends_with_punctuation")
-    g = c.join(around, near, "left").groupBy(*keys, "det_s", "det_e").agg(
-        F.count("id").alias("n"), F.max_by(F.when(fits, padded), F.when(fits, F.col("id"))).alias("capped"), F.array_sort(F.collect_list("start_ms")).alias("starts")
+    good = own.where(~bad)
+    c = good.join(snap(good, sents, cfg), keys, "left")
+    if verdicts is not None:
+        c = c.join(verdicts.select("video_id", "clip_id", F.least("start_id", "end_id").alias("v0"), F.greatest("start_id", "end_id").alias("v1"), "complete"), ["video_id", "clip_id"], "left")
+    else:
+        c = c.withColumns({"v0": F.lit(None).cast("long"), "v1": F.lit(None).cast("long"), "complete": F.lit(None).cast("boolean")})
+    by_id = Window.partitionBy("video_id").orderBy("id")
+    around = sents.select(
+        "video_id", "id", "start_ms", "end_ms", "ends_with_punctuation", F.lag("end_ms").over(by_id).alias("prev_end"), F.lead("start_ms").over(by_id).alias("next_start")
     )
-    g = g.withColumn("new_e", F.when(over, F.col("capped")).otherwise(F.col("det_e")))
-    first = F.get(F.filter("starts", lambda x: (x >= F.col("new_e") - cfg.max_ms) & (x >= F.col("det_s"))), 0)
-    g = g.withColumns({"dur": F.col("new_e") - F.col("det_s"), "trim": first})
+    c = c.withColumns({"c0": F.col("s") - cfg.context_ms, "c1": F.col("e") + cfg.context_ms, "cap": F.col("e") + cfg.extension_ms})
+    near = overlap_join(c.select("video_id", "clip_id", "c0", "c1"), around, "video_id", ("c0", "c1"), ("start_ms", "end_ms"))
+    fields = ["id", "start_ms", "end_ms", "ends_with_punctuation", "prev_end", "next_start"]
+    window = near.groupBy("video_id", "clip_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("around"))
+    g = c.join(window, ["video_id", "clip_id"], "left").withColumn("around", F.coalesce("around", F.array().cast(window.schema["around"].dataType)))
+    # the validator's sentences
+    at = lambda x: F.get(F.filter("around", lambda z: z["id"] == x), 0)
+    g = g.withColumns({"a": at(F.col("v0")), "b": at(F.col("v1"))}).withColumn("judged", F.col("a").isNotNull() & F.col("b").isNotNull())
+    llm_s = F.greatest(F.col("a.start_ms") - cfg.pad_before_ms, F.coalesce(F.col("a.prev_end") + 10, F.lit(0)), F.lit(0))
+    g = g.withColumn("llm_s", F.when(F.col("judged"), F.greatest(F.least(llm_s, F.col("duration_ms") - 500), F.lit(0))))
+    whole = F.filter("around", lambda z: (z["id"] <= F.col("v1")) & z["ends_with_punctuation"] & (z["start_ms"] >= F.col("llm_s")))
+    g = g.withColumn("earlier", F.when(F.col("judged") & ~F.col("complete"), F.try_element_at(whole, F.lit(-1))))
+    g = g.withColumn("moved", F.coalesce(F.col("earlier.id") != F.col("b.id"), F.lit(False))).withColumn("b", F.when(F.col("moved"), F.col("earlier")).otherwise(F.col("b")))
+    llm_e = F.least(F.col("b.end_ms") + cfg.pad_after_ms, F.col("b.next_start") - 10, F.when(~F.col("moved"), F.col("duration_ms")))
+    g = g.withColumns({"new_s": F.coalesce("llm_s", "det_s"), "raw_e": F.when(F.col("judged"), F.greatest(llm_e, F.col("llm_s") + 500)).otherwise(F.col("det_e"))})
+    # the longest extension
+    over = F.col("raw_e") > F.col("cap")
+    capped = F.try_element_at(F.filter("around", lambda z: (z["end_ms"] + cfg.pad_after_ms <= F.col("cap")) & z["ends_with_punctuation"]), F.lit(-1))["end_ms"] + cfg.pad_after_ms
+    g = g.withColumn("capped", capped)
+    g = g.withColumn("new_e", F.when(over, F.coalesce("capped", F.when(F.col("det_e") <= F.col("cap"), F.col("det_e")))).otherwise(F.col("raw_e")))
+    first = F.get(F.filter("around", lambda z: (z["start_ms"] >= F.col("new_e") - cfg.max_ms) & (z["start_ms"] >= F.col("new_s"))), 0)["start_ms"]
+    g = g.withColumns({"dur": F.col("new_e") - F.col("new_s"), "trim": first})
     long = F.col("dur") > cfg.max_ms
     trimmed = long & F.col("trim").isNotNull()
     status = (
-        F.when(F.col("n") == 0, "passthrough_no_transcript")
+        F.when(F.size("around") == 0, "passthrough_no_transcript")
         .when(F.col("new_e").isNull(), "rejected_extension")
         .when(long & F.col("trim").isNull(), "rejected_duration")
         .when(F.col("dur") < 1000, "rejected_short")
         .otherwise("refined")
     )
-    new_s = F.when(trimmed, F.greatest(F.col("det_s"), F.col("trim") - cfg.pad_before_ms)).otherwise(F.col("det_s"))
-    method = F.concat(F.lit("snap"), F.when(over, "+capped").otherwise(""), F.when(trimmed, "+trimmed").otherwise(""))
+    start = F.when(trimmed, F.greatest(F.col("new_s"), F.col("trim") - cfg.pad_before_ms)).otherwise(F.col("new_s"))
+    how = F.when(F.col("moved"), "earlier_ending").when(F.col("judged"), "validated").otherwise("snap")
+    method = F.concat(how, F.when(over & (F.col("capped").isNotNull() | F.col("new_e").isNull()), "+capped").otherwise(""), F.when(trimmed, "+trimmed").otherwise(""))
     as_was = F.col("status").isin("passthrough_no_transcript", "rejected_extension")
     done = g.withColumn("status", status).select(
-        "video_id", "clip_id", F.when(as_was, F.col("s")).otherwise(new_s).alias("refined_s"), F.when(as_was, F.col("e")).otherwise(F.col("new_e")).alias("refined_e"),
-        F.col("status").alias("refine_status"), F.when(F.col("n") > 0, method).otherwise("").alias("method"),
+        "video_id", "clip_id", F.when(as_was, F.col("s")).otherwise(start).alias("refined_s"), F.when(as_was, F.col("e")).otherwise(F.col("new_e")).alias("refined_e"),
+        F.col("status").alias("refine_status"), F.when(F.size("around") > 0, method).otherwise("").alias("method"),
     )
-    refused = clips.where(bad).select("video_id", "clip_id", F.col("s").alias("refined_s"), F.col("e").alias("refined_e"), F.lit("rejected_range").alias("refine_status"), F.lit("").alias("method"))
+    refused = own.where(bad).select("video_id", "clip_id", F.col("s").alias("refined_s"), F.col("e").alias("refined_e"), F.lit("rejected_range").alias("refine_status"), F.lit("").alias("method"))
     return done.unionByName(refused)
 
 
+def refine_all(clips: DataFrame, more: DataFrame, sents: DataFrame, cfg: Refine = Refine()) -> DataFrame:
+    """Whole clips: the refined clip and its refined continuations, merged and put on an output timeline.
+
+    clips: (video_id, clip_id, s, e); more: (video_id, clip_id, seg_id, s, e), of which
+    ``stitch_limits`` keeps some. A rejected clip has no ranges; a rejected continuation is
+    left out. Returns clip_id, video_id, refine_status, ranges [(s, e, out_s, out_e)], output_ms."""
+    kept = more.join(stitch_limits(clips.select("clip_id", "s", "e"), more.select("clip_id", "seg_id", "s", "e")).where("outcome = 'kept'"), ["clip_id", "seg_id"], "left_semi")
+    parts = clips.select("video_id", F.struct("clip_id", F.lit(None).cast("long").alias("seg_id")).alias("clip_id"), "s", "e").union(
+        kept.select("video_id", F.struct("clip_id", F.col("seg_id").cast("long").alias("seg_id")), "s", "e")
+    )
+    r = refine(parts, sents, cfg).select("video_id", "clip_id.*", F.col("refined_s").alias("s"), F.col("refined_e").alias("e"), "refine_status")
+    status = r.where("seg_id is null").select("video_id", "clip_id", "refine_status")
+    fine = status.where(~F.startswith("refine_status", F.lit("rejected"))).select("clip_id")
+    ranges = r.where(~F.startswith("refine_status", F.lit("rejected"))).join(fine, "clip_id", "left_semi").select("clip_id", "s", "e")
+    line = output_timeline(merge_ranges(ranges, "clip_id"), "clip_id").groupBy("clip_id").agg(
+        F.array_sort(F.collect_list(F.struct("s", "e", "out_s", "out_e"))).alias("ranges"), F.sum(F.col("e") - F.col("s")).alias("output_ms")
+    )
+    return status.join(line, "clip_id", "left").select("video_id", "clip_id", "refine_status", "ranges", F.coalesce("output_ms", F.lit(0)).cast("long").alias("output_ms"))
+
+
+def cut_ranges(clips: DataFrame) -> DataFrame:
+    """(clip_id, cuts): an explicit timeline in output order where there is one, else the merged source ranges.
+
+    clips: clip_id, ranges and timeline, arrays of (s, e) and of (s, e, out_s)."""
+    ordered = F.transform(F.array_sort(F.transform("timeline", lambda t: F.struct(t["out_s"].alias("o"), t["s"].alias("s"), t["e"].alias("e")))), lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e")))
+    merged = merge_ranges(clips.select("clip_id", F.inline("ranges")), "clip_id").groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("merged"))
+    return clips.join(merged, "clip_id", "left").select("clip_id", F.when(F.size("timeline") > 0, ordered).otherwise(F.col("merged")).alias("cuts"))
+
+
 def stitch_limits(primary: DataFrame, more: DataFrame, max_gap_ms: int = 45_000, max_total_ms: int = 90_000) -> DataFrame:
     """Which continuations of each clip are kept, in order of start: not empty, not too far after the end so far, not too long in all.
 

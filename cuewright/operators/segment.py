@@ -83,41 +83,52 @@ def raw_chunk_of_word(words: DataFrame, cfg: Chunking = Chunking()) -> DataFrame
     return w.withColumn("chunk_start", F.when(second, F.col("extra")).otherwise(F.col("lo"))).select(*words.columns, "gap", "chunk_start")
 
 
-def silence_chunks(words: DataFrame, cfg: Chunking = Chunking()) -> DataFrame:
-    """Chunks between silences, those under the least duration dropped, renumbered."""
+def _chunks(words: DataFrame, cfg: Chunking, *more) -> DataFrame:
     g = raw_chunk_of_word(words, cfg).groupBy("video_id", "chunk_start")
     c = g.agg(
-        F.min("start_ms").alias("start_ms"), F.max_by("end_ms", "pos").alias("end_ms"), ordered_text().alias("text"),
-        F.coalesce(F.min_by("gap", "pos"), F.lit(0)).cast("long").alias("silence_gap_before_ms"), F.max("pos").alias("end_word"),
+        F.min("start_ms").alias("start_ms"), F.max_by("end_ms", "pos").alias("end_ms"), F.coalesce(F.min_by("gap", "pos"), F.lit(0)).cast("long").alias("silence_gap_before_ms"),
+        F.max("pos").alias("end_word"), F.array_sort(F.collect_list(F.struct("pos", "word", "start_ms", "end_ms"))).alias("items"), *more,
     )
-    c = c.where(F.col("end_ms") - F.col("start_ms") >= cfg.min_ms).withColumn("token_count", X.approx_tokens(F.col("text")))
+    c = c.where(F.col("end_ms") - F.col("start_ms") >= cfg.min_ms).withColumn("text", _text(F.col("items"))).withColumn("token_count", X.approx_tokens(F.col("text")))
     index = F.row_number().over(Window.partitionBy("video_id").orderBy("chunk_start")) - 1
     return c.withColumn("chunk_index", index.cast("long")).withColumnRenamed("chunk_start", "start_word")
 
 
+def _text(items):
+    return F.array_join(F.transform(items, lambda x: x["word"]), " ")
+
+
+def silence_chunks(words: DataFrame, cfg: Chunking = Chunking()) -> DataFrame:
+    """Chunks between silences, those under the least duration dropped, renumbered."""
+    return _chunks(words, cfg).drop("items")
+
+
 def overlap_chunks(words: DataFrame, cfg: Chunking = Chunking()) -> DataFrame:
-    """Chunks with the words of the chunk before that end within overlap_ms of the start put in front."""
-    c = silence_chunks(words, cfg)
-    w = Window.partitionBy("video_id").orderBy("chunk_index")
-    c = c.withColumns({"p0": F.lag("start_word").over(w), "p1": F.lag("end_word").over(w), "cutoff": F.col("start_ms") - cfg.overlap_ms})
-    spans = c.where("p0 is not null").select(F.col("video_id").alias("v"), "chunk_index", "p0", "p1", "cutoff")
-    hit = (F.col("video_id") == F.col("v")) & F.col("pos").between(F.col("p0"), F.col("p1")) & (F.col("end_ms") >= F.col("cutoff"))
-    lead = words.join(spans, hit).groupBy("video_id", "chunk_index").agg(F.min("start_ms").alias("lead_ms"), ordered_text().alias("lead_text"))
-    out = c.drop("p0", "p1", "cutoff").join(lead, ["video_id", "chunk_index"], "left")
-    text = F.concat_ws(" ", "lead_text", "text")
-    return out.select(
-        "video_id", "chunk_index", F.coalesce("lead_ms", "start_ms").alias("start_ms"), "end_ms", text.alias("text"), X.approx_tokens(text).alias("token_count"),
-        F.col("lead_ms").isNotNull().alias("is_overlap_tail"), "silence_gap_before_ms",
+    """Chunks with the words of the chunk before that end within overlap_ms of the start put in front.
+
+    A chunk carries its words, so the chunk before is one row back: words are shuffled once."""
+    before = F.lag("items").over(Window.partitionBy("video_id").orderBy("chunk_index"))
+    c = _chunks(words, cfg).withColumn("before", before)
+    lead = F.filter("before", lambda x: x["end_ms"] >= F.col("start_ms") - cfg.overlap_ms)
+    c = c.withColumn("lead", F.when(F.size(lead) > 0, lead))
+    text = F.concat_ws(" ", _text(F.col("lead")), "text")
+    return c.select(
+        "video_id", "chunk_index", F.coalesce(F.get("lead", 0)["start_ms"], F.col("start_ms")).alias("start_ms"), "end_ms", text.alias("text"), X.approx_tokens(text).alias("token_count"),
+        F.col("lead").isNotNull().alias("is_overlap_tail"), "silence_gap_before_ms",
     )
 
 
-def outline_windows(sents: DataFrame, size: int = 40, overlap: int = 4) -> DataFrame:
-    """Overlapping windows of sentences with times, first ids and a title from the first eight words."""
-    step = max(1, size - overlap)
+def outline_windows(sents: DataFrame, size: int = 40, overlap: int = 4, most: int = 12) -> DataFrame:
+    """Overlapping windows of sentences with times, first ids and a title from the first eight words.
+
+    A video of more than ``most`` windows gets wider ones, so that they still cover all of it."""
     n = F.count("*").over(Window.partitionBy("video_id"))
-    windows = F.when(F.col("n") <= size, 1).otherwise(F.ceil((F.col("n") - size) / step) + 1)
+    count = lambda size: F.when(F.col("n") <= size, 1).otherwise(F.ceil((F.col("n") - size) / F.greatest(F.lit(1), size - overlap)) + 1)
+    wider = F.greatest(F.lit(size), F.ceil(F.col("n") / most) + 4)
+    sents = sents.withColumn("n", n).withColumn("size", F.when(count(F.lit(size)) > most, wider).otherwise(size).cast("long"))
+    size, step = F.col("size"), F.greatest(F.lit(1), F.col("size") - overlap)
     ks = F.sequence(F.greatest(F.ceil((F.col("id") - size + 1) / step), F.lit(0)), F.least(F.floor(F.col("id") / step), F.col("windows") - 1))
-    s = sents.withColumn("n", n).withColumn("windows", windows.cast("long"))
+    s = sents.withColumn("windows", F.least(count(size), F.lit(most)).cast("long"))
     s = s.withColumn("window", F.explode(ks))
     first = F.col("id") - F.col("window") * step < 3
     g = s.groupBy("video_id", "window").agg(

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cuewright.functions.text import fingerprint
+
 #: Which stages a changed stage makes stale.
 DEPENDS = {
     "audio_events": ["analyze", "similarity", "refine", "render"],
@@ -45,6 +49,71 @@ def upsert(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return latest(log, keys, order)
 
 
+def start_stage(log: DataFrame, starts: DataFrame) -> DataFrame:
+    """log (video_id, stage, status, seq) after ``starts`` (video_id, stage, seq): rows of them that are not done go, a running one comes."""
+    key = ["video_id", "stage"]
+    gone = log.join(starts.select(*key).distinct(), key, "left_semi").where("status <> 'done'")
+    kept = log.join(gone.select(*key, "seq"), [*key, "seq"], "left_anti")
+    return kept.unionByName(starts.select(*key, F.lit("running").alias("status"), "seq"), allowMissingColumns=True)
+
+
+def finish_stage(log: DataFrame, ends: DataFrame) -> DataFrame:
+    """log with the running rows of ``ends`` (video_id, stage, outcome: done or failed) set to the outcome; other rows stay."""
+    e = ends.select("video_id", "stage", "outcome")
+    hit = (F.col("status") == "running") & F.col("outcome").isNotNull()
+    return log.join(e, ["video_id", "stage"], "left").withColumn("status", F.when(hit, F.col("outcome")).otherwise(F.col("status"))).drop("outcome")
+
+
+def fingerprint_matches(wanted: DataFrame, stored: DataFrame) -> DataFrame:
+    """wanted (video_id, stage, fingerprint) with ``matches``: whether the stored one is equal; false where none is stored."""
+    s = stored.select("video_id", "stage", F.col("fingerprint").alias("had"))
+    return wanted.join(s, ["video_id", "stage"], "left").withColumn("matches", F.coalesce(F.col("had") == F.col("fingerprint"), F.lit(False))).drop("had")
+
+
+#: The settings that each stage's fingerprint covers, besides its inputs.
+STAGE_SETTINGS = {
+    "outline": ["transcript", "model", "prompt", "window_sentences"],
+    "discovery": ["transcript", "outline", "model", "prompt", "target_clips", "max_candidates", "min_span", "max_span", "allow_noncontiguous"],
+    "audio_events": ["audio", "win_ms", "baseline_sec", "min_duration", "max_event", "threshold_db", "merge_gap", "pre", "post", "min_cov", "classifier"],
+}
+
+
+def stage_fingerprints(jobs: DataFrame) -> DataFrame:
+    """(video_id, stage, fingerprint) of jobs (video_id, stage, settings map): over the stage's own settings in a fixed order."""
+    digest = F.lit(None).cast("string")
+    for stage, names in STAGE_SETTINGS.items():
+        fields = [F.concat(F.lit(f"{n}="), F.coalesce(F.try_element_at("settings", F.lit(n)), F.lit(""))) for n in names]
+        digest = F.when(F.col("stage") == stage, fingerprint(F.lit(stage), *fields)).otherwise(digest)
+    return jobs.select("video_id", "stage", digest.alias("fingerprint"))
+
+
+#: Stages whose runs a rerun from the embeddings forgets.
+RERUN = ["audio_events", "embed", "outline", "analyze", "similarity", "refine", "render"]
+
+
+def clean_up(tables: dict[str, DataFrame], videos: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The tables without the derived rows of ``videos`` (video_id), and how many rows of each went: (video_id, table, removed).
+
+    tables: related_segments (clip_id), clips (clip_id, video_id), candidates, outlines, and
+    pipeline_runs (stage), these by video_id."""
+    v = videos.select("video_id").distinct()
+    gone = {n: t.join(v, "video_id", "left_semi") for n, t in tables.items() if n != "related_segments"}
+    gone["pipeline_runs"] = gone["pipeline_runs"].where(F.col("stage").isin(RERUN))
+    links = tables["related_segments"].join(gone["clips"].select("clip_id", "video_id"), "clip_id")
+    counts = [t.groupBy("video_id").agg(F.count("*").alias("removed")).select("video_id", F.lit(n).alias("table"), "removed") for n, t in {**gone, "related_segments": links}.items()]
+    left = {n: t.join(v, "video_id", "left_anti") for n, t in tables.items() if n not in ("related_segments", "pipeline_runs")}
+    left["related_segments"] = tables["related_segments"].join(gone["clips"].select("clip_id"), "clip_id", "left_anti")
+    runs = tables["pipeline_runs"].join(v.withColumn("_gone", F.lit(True)), "video_id", "left")
+    left["pipeline_runs"] = runs.where(F.col("_gone").isNull() | ~F.col("stage").isin(RERUN)).drop("_gone")
+    return left, reduce(DataFrame.union, counts)
+
+
+def mark_stitched(links: DataFrame, clips: DataFrame) -> DataFrame:
+    """links (clip_id, confirmed, stitched) with the confirmed ones of ``clips`` (clip_id) marked as stitched."""
+    c = clips.select("clip_id").distinct().withColumn("_used", F.lit(True))
+    return links.join(c, "clip_id", "left").withColumn("stitched", F.coalesce(F.col("stitched"), F.lit(False)) | (F.coalesce("_used", F.lit(False)) & F.col("confirmed"))).drop("_used")
+
+
 def replace_by(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """table with all rows of the keys in ``new`` replaced by new's rows."""
     return table.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)

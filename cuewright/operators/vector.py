@@ -1,19 +1,18 @@
-"""Vector operators: exact top-k per video, hashing embedder, LSH as the approximate index."""
+"""Vector operators: exact and approximate top-k per video, related segments, hashing embedder."""
 
 from __future__ import annotations
 
-import hashlib
-
-import numpy as np
-import pandas as pd
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cuewright.functions import text as X
 from cuewright.functions.numeric import dot, half_up, norm
 
+from .adapters import classify_continuations
+
 
 def top_k(queries: DataFrame, chunks: DataFrame, k: int = 3, threshold: float = 0.5) -> DataFrame:
     """(video_id, clip_id, chunk_id, similarity, rank): the k most similar chunks of the clip's video, then the threshold.
@@ -24,32 +23,78 @@ def top_k(queries: DataFrame, chunks: DataFrame, k: int = 3, threshold: float =
     c = chunks.where("embedding is not null").select("video_id", "chunk_id", F.col("embedding").alias("c"), one(norm(F.col("embedding"))).alias("cn"))
     sim = half_up(dot(F.col("q"), F.col("c")) / (F.col("qn") * F.col("cn")), 6)
     s = q.join(c, "video_id").select("video_id", "clip_id", "chunk_id", sim.alias("similarity"))
-    w = Window.partitionBy("clip_id").orderBy(F.desc("similarity"), "chunk_id")
+    w = Window.partitionBy("video_id", "clip_id").orderBy(F.desc("similarity"), "chunk_id")
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).where(F.coalesce("similarity", F.lit(0.0)) >= threshold)
 
 
-def approximate_index(chunks: DataFrame, bucket: float = 0.5, tables: int = 4, seed: int = 42):
-    """A fitted LSH model over the chunks' vectors, and the chunks with the vector column it reads."""
-    v = chunks.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
-    return BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(v), v
+def _unit(v: Column) -> Column:
+    n = norm(v)
+    return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
+
+
+def approximate_index(chunks: DataFrame, bucket: float = 0.8, tables: int = 24, seed: int = 42):
+    """A fitted LSH model over the chunks' unit vectors, and the chunks with their hashes.
+
+    The model holds random directions only; all chunks are hashed."""
+    v = chunks.where("embedding is not null").withColumn("features", array_to_vector(_unit(F.col("embedding").cast("array<double>"))))
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(v)
+    return model, model.transform(v)
+
+
+def approximate_top_k(queries: DataFrame, index, k: int = 3, threshold: float = 0.5) -> DataFrame:
+    """As ``top_k``, over the chunks that share a bucket of some table with the query (``approximate_index``).
+
+    Candidates meet by (video, table, bucket), are told apart once, and are scored exactly."""
+    model, hashed = index
+    q = model.transform(queries.where("embedding is not null").withColumn("features", array_to_vector(_unit(F.col("embedding").cast("array<double>")))))
+    key = lambda d, i: d.select("video_id", i, F.posexplode("hashes").alias("table", "h")).select("video_id", i, "table", F.col("h").cast("string").alias("h"))
+    pairs = key(q, "clip_id").join(key(hashed, "chunk_id"), ["video_id", "table", "h"]).select("video_id", "clip_id", "chunk_id").distinct()
+    one = lambda n: F.when(n == 0, 1.0).otherwise(n)
+    a = queries.select("video_id", "clip_id", F.col("embedding").alias("q"), one(norm(F.col("embedding"))).alias("qn"))
+    c = hashed.select("video_id", "chunk_id", F.col("embedding").alias("c"), one(norm(F.col("embedding"))).alias("cn"))
+    sim = half_up(dot(F.col("q"), F.col("c")) / (F.col("qn") * F.col("cn")), 6)
+    s = pairs.join(a, ["video_id", "clip_id"]).join(c, ["video_id", "chunk_id"]).select("video_id", "clip_id", "chunk_id", sim.alias("similarity"))
+    w = Window.partitionBy("video_id", "clip_id").orderBy(F.desc("similarity"), "chunk_id")
+    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).where(F.coalesce("similarity", F.lit(0.0)) >= threshold)
+
+
+def related_segments(clips: DataFrame, chunks: DataFrame, k: int = 3, threshold: float = 0.5, classify=classify_continuations) -> DataFrame:
+    """The top-k chunks of each clip but its own ones, with a decision on each.
+
+    clips: video_id, clip_id, embedding, source_chunks (ids), e; chunks: video_id, chunk_id,
+    embedding, start_ms. A clip's own chunks go after the limit, so fewer than k may stay;
+    clips without an embedding have none. classify adds ``decision`` and ``confirmed``
+    from similarity and gap_ms."""
+    top = top_k(clips.where("embedding is not null"), chunks, k, threshold)
+    j = top.join(clips.select("video_id", "clip_id", "source_chunks", "e"), ["video_id", "clip_id"]).join(chunks.select("video_id", "chunk_id", "start_ms"), ["video_id", "chunk_id"])
+    j = j.where(~F.coalesce(F.array_contains("source_chunks", F.col("chunk_id")), F.lit(False)))
+    return classify(j.withColumn("gap_ms", F.col("start_ms") - F.col("e"))).drop("source_chunks", "e", "start_ms")
+
+
+def head(v: Column, dims: int) -> Column:
+    """The first ``dims`` entries, of a vector that was normalised before: not of unit length when something is cut."""
+    return F.slice(v, 1, dims)
 
 
 def embed(texts: DataFrame, text: str = "text", dims: int = 64, out: str = "embedding") -> DataFrame:
-    """The offline embedder: signed feature hashing of words, L2-normalised; rows that have an embedding keep it."""
-
-    @F.pandas_udf("array<float>")
-    def hashed(values: pd.Series) -> pd.Series:
-        def one(t):
-            v = np.zeros(dims)
-            for w in (t or "").lower().split():
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                v[h % dims] += 1 if h >> 63 else -1
-            n = np.linalg.norm(v)
-            return (v / n if n else v).astype(np.float32)
-
-        return values.map(one)
-
-    if out in texts.columns:
-        todo = texts.where(F.col(out).isNull() | (F.size(out) == 0)).drop(out).withColumn(out, hashed(text))
-        return texts.where(F.size(out) > 0).unionByName(todo)
-    return texts.withColumn(out, hashed(text))
+    """The offline embedder: signed feature hashing of words, L2-normalised; rows that have an embedding keep it.
+
+    Higher-order functions over the words, so it stays inside the JVM and needs no shuffle."""
+    let = lambda v, f: F.get(F.transform(F.array(v), f), 0)  # noqa: E731  (v is worked out once, not in every turn of a lambda)
+    words = X.split_words(F.lower(F.coalesce(text, F.lit(""))))
+    hashed = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"))
+    cells = F.transform(hashed, lambda x: F.pmod(x, F.lit(dims)) * 2 + (x < 1 << 31).cast("int"))  # place and sign
+    every = F.sequence(F.lit(0), F.lit(2 * dims - 1)).cast("array<bigint>")
+    ordered = F.array_sort(F.concat(cells, every))  # every cell once more, so each has a first place
+    first = let(ordered, lambda o: F.concat(F.transform(every, lambda c: F.array_position(o, c)), F.array(F.size(o).cast("bigint") + 1)))
+    seen = lambda p, c: F.get(p, (c + 1).cast("int")) - F.get(p, c.cast("int"))
+    counts = let(first, lambda p: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: (seen(p, i * 2) - seen(p, i * 2 + 1)).cast("double")))
+    found = let(counts, lambda v: let(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: (x / n).cast("float"))).otherwise(F.transform(v, lambda x: x.cast("float")))))
+    return texts.withColumn(out, F.when(F.size(out) > 0, F.col(out)).otherwise(found) if out in texts.columns else found)
+
+
+def migrate_dimension(chunks: DataFrame, links: DataFrame, dims: int) -> tuple[DataFrame, DataFrame]:
+    """(chunks, links) for vectors of another size: embeddings of any other size are null, links of their chunks go."""
+    fits = F.size("embedding") == dims
+    stale = chunks.where(~F.coalesce(fits, F.lit(False))).select("chunk_id")
+    return chunks.withColumn("embedding", F.when(fits, F.col("embedding"))), links.join(stale, "chunk_id", "left_anti")

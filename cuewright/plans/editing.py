@@ -128,26 +128,41 @@ def region_overrides(spark, d):
     return g.select("clip_id", plan.alias("plan")).select("clip_id", F.size("plan").cast("long").alias("regions"), text.alias("plan"))
 
 
-@query("""SELECT c_custkey AS clip_id, CASE WHEN lower(trim(v)) IN ('auto', 'speaker_crop', 'stacked_split', 'center_crop', 'split_screen') THEN lower(trim(v)) ELSE 'auto' END AS layout FROM (
-  SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 = 0 THEN ' Speaker_Crop ' END, CASE WHEN c_custkey % 4 = 0 THEN 'mosaic' WHEN c_custkey % 4 = 1 THEN 'CENTER_CROP' END, 'stacked_split') AS v FROM customer)""")
+@query("""SELECT c_custkey AS clip_id, CASE WHEN lower(trim(v)) IN ('auto', 'speaker_crop', 'stacked_split', 'center_crop') THEN lower(trim(v)) ELSE 'auto' END AS layout FROM (
+  SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 = 0 THEN ' Speaker_Crop ' END, CASE WHEN c_custkey % 4 = 0 THEN 'mosaic' WHEN c_custkey % 4 = 1 THEN 'CENTER_CROP' WHEN c_custkey % 4 = 2 THEN 'branded_fit' END, 'stacked_split') AS v FROM customer)""")
 def layout_precedence(spark, d):
     k = F.col("c_custkey")
     return table(spark, d, "customer").select(
-        k.alias("clip_id"), E.layout(F.when(k % 3 == 0, " Speaker_Crop "), F.when(k % 4 == 0, "mosaic").when(k % 4 == 1, "CENTER_CROP"), F.lit("stacked_split")).alias("layout")
+        k.alias("clip_id"), E.layout(F.when(k % 3 == 0, " Speaker_Crop "), F.when(k % 4 == 0, "mosaic").when(k % 4 == 1, "CENTER_CROP").when(k % 4 == 2, "branded_fit"), F.lit("stacked_split")).alias("layout")
     )
 
 
-@query("""WITH t AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'Podcast with LOGO' WHEN 1 THEN 'no subtitles, split screen' WHEN 2 THEN 'a reaction, then motivational' WHEN 3 THEN 'STACKED split screen' WHEN 4 THEN p_name END AS t FROM part),
-l AS (SELECT p_partkey, lower(coalesce(t, '')) AS t FROM t)
-SELECT p_partkey AS campaign_id, contains(t, 'logo') AS use_logo, NOT contains(t, 'no subtitles') AS subtitles,
-  CASE WHEN contains(t, 'reaction') THEN 'reaction' WHEN contains(t, 'motivational') THEN 'motivational' WHEN contains(t, 'podcast') THEN 'podcast' ELSE 'default' END AS template,
-  CASE WHEN contains(t, 'stacked') THEN 'stacked_split' WHEN contains(t, 'split screen') THEN 'split_screen' ELSE 'auto' END AS layout FROM l""")
+_TOLD = ["Podcast with LOGO", "no subtitles, split screen", "a reaction, then motivational podcast", "STACKED, our logo", "Split-Screen podcast", "Face Track it", "full frame, motivational", "split screen, speaker crop"]
+
+
+@query(f"""WITH t AS (SELECT p_partkey, CASE WHEN p_partkey % 10 < 8 THEN {_TOLD!r}[p_partkey % 10 + 1] WHEN p_partkey % 10 = 8 THEN p_name END AS t FROM part),
+r AS (SELECT p_partkey, coalesce(t, '') AS t FROM t)
+SELECT p_partkey AS campaign_id, CASE WHEN contains(t, 'logo') THEN 'assets/logos/logo.png' END AS logo, contains(t, 'split screen') AS split_screen, NOT contains(t, 'no subtitles') AS subtitles,
+  CASE WHEN contains(t, 'reaction') THEN 'tiktok_reaction' WHEN contains(t, 'motivational') THEN 'motivational_reel' WHEN contains(t, 'podcast') THEN 'podcast_clip' END AS template,
+  CASE WHEN regexp_matches(lower(t), 'stacked|split-screen|split screen') THEN 'stacked_split' WHEN regexp_matches(lower(t), 'speaker crop|face-track|face track') THEN 'speaker_crop'
+    WHEN regexp_matches(lower(t), 'branded|full frame') THEN 'branded_fit' ELSE 'auto' END AS layout FROM r""")
 def campaign_rules(spark, d):
     k = F.col("p_partkey")
-    t = F.when(k % 6 == 0, "Podcast with LOGO").when(k % 6 == 1, "no subtitles, split screen").when(k % 6 == 2, "a reaction, then motivational").when(k % 6 == 3, "STACKED split screen").when(k % 6 == 4, F.col("p_name"))
+    t = F.when(k % 10 < 8, F.get(F.array(*map(F.lit, _TOLD)), (k % 10).cast("int"))).when(k % 10 == 8, F.col("p_name"))
     return table(spark, d, "part").select(k.alias("campaign_id"), *[c.alias(n) for n, c in adapters.campaign_columns(t).items()])
 
 
+@query("""WITH c AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN ' Auto' WHEN 1 THEN 'mosaic' WHEN 2 THEN 'Speaker_Crop' END AS v, p_partkey % 3 = 0 AS split, p_partkey % 5 = 0 AS explicit FROM part),
+v AS (SELECT *, CASE WHEN lower(trim(v)) IN ('auto', 'speaker_crop', 'stacked_split', 'center_crop', 'branded_fit') THEN lower(trim(v)) ELSE 'auto' END AS l FROM c)
+SELECT p_partkey AS campaign_id, CASE WHEN split AND NOT explicit AND l = 'auto' THEN 'stacked_split' ELSE l END AS layout, 'karaoke' AS subtitle_style, CASE WHEN split THEN 30 ELSE 45 END AS min_clip_duration, true AS subtitles, NULL::VARCHAR AS template FROM v""")
+def campaign_defaults(spark, d):
+    """Campaigns checked, and filled with the default campaign's values."""
+    k = F.col("p_partkey")
+    raw = F.when(k % 4 == 0, " Auto").when(k % 4 == 1, "mosaic").when(k % 4 == 2, "Speaker_Crop")
+    c = table(spark, d, "part").select(k.alias("campaign_id"), adapters.campaign_layout(raw, k % 3 == 0, k % 5 == 0).alias("layout"), F.when(k % 3 == 0, 30).alias("min_clip_duration"))
+    return adapters.with_default_campaign(c).select("campaign_id", "layout", "subtitle_style", "min_clip_duration", "subtitles", "template")
+
+
 @query("""WITH t AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN printf('%d:%02d', l_partkey % 90, l_orderkey % 60) WHEN 1 THEN printf('%02d:%02d:%02d.5', l_partkey % 9, l_suppkey % 60, l_orderkey % 60)
   WHEN 2 THEN (l_partkey % 1000)::VARCHAR ELSE 'soon' END AS t FROM lineitem),
 p AS (SELECT *, string_split(t, ':') AS x FROM t),
@@ -189,13 +204,14 @@ def render_manifest(spark, d):
     return m.select("clip_id", "output_ms", F.size("cuts").cast("long").alias("n_cuts"), text.alias("cuts"))
 
 
-@query(f"""WITH {sql.PROPOSALS},
-ev AS (SELECT video_id, s.id AS cand_id, start_ms AS s, end_ms AS e FROM s WHERE id % 25 = 3)
-SELECT video_id, cand_id, s, e, source, hook FROM k UNION ALL SELECT video_id, cand_id + 2000000, s, e, 'audio_event', NULL FROM ev WHERE cand_id % 2 = 1""")
+@query(f"""WITH {sql.PROPOSALS}, {media._SPIKES.strip()},
+x AS (SELECT spk.key AS video_id, peak_ms, confidence, min(s.id) AS first_id, max(s.id) AS last_id, min(s.start_ms) AS s, max(s.end_ms) AS e
+  FROM spk JOIN s ON s.video_id = spk.key AND s.end_ms >= peak_ms - 25000 AND s.start_ms <= peak_ms + 10000 GROUP BY ALL),
+y AS (SELECT x.video_id, peak_ms, first_id, s, e, sum(w.end_ms - w.start_ms)::BIGINT AS speech_ms FROM x JOIN w ON w.video_id = x.video_id AND w.start_ms < e AND w.end_ms > s GROUP BY ALL)
+SELECT video_id, cand_id, s, e, source, hook FROM k UNION ALL SELECT video_id, 2000000 + peak_ms, s, e, 'audio_event', NULL FROM y WHERE speech_ms * 10 >= (e - s) * 3 AND e - s BETWEEN 15000 AND 90000""")
 def candidate_pool(spark, d):
     """Outline candidates and proposed audio cues in one pool; columns that cues lack are null."""
-    s = transcripts.sents(spark, d)
-    cues = s.where("id % 25 = 3 and id % 2 = 1").select("video_id", (F.col("id") + 2_000_000).alias("cand_id"), F.col("start_ms").alias("s"), F.col("end_ms").alias("e"), F.lit("audio_event").alias("source"))
+    cues = media.event_cues(spark, d).select("video_id", (F.col("peak_ms") + 2_000_000).alias("cand_id"), "s", "e", F.lit("audio_event").alias("source"))
     pool = transcripts.cands(spark, d).select("video_id", "cand_id", "s", "e", "source", "hook")
     return pool.unionByName(cues, allowMissingColumns=True)
 
@@ -220,17 +236,15 @@ def clip_updates(spark, d):
     return state.update(c, new, "clip_id")
 
 
-@query(f"""WITH {transcripts._CLIPS}
-SELECT video_id, clip_id, to_json({{'clip_id': clip_id, 'ranges': [[det_s, det_e]], 'layout': 'auto', 'version': 1}})::VARCHAR AS plan FROM sn""")
-def edit_plans(spark, d):
-    c = transcripts.snap_boundaries(spark, d)
-    p = c.select("video_id", "clip_id", F.struct("clip_id", F.array(F.array("det_s", "det_e")).alias("ranges"), F.lit("auto").alias("layout"), F.lit(1).alias("version")).alias("p"))
-    return p.select("video_id", "clip_id", F.to_json("p").alias("plan"))
-
-
-@query()
+@query(rf"""WITH {sql.CHUNKS},
+hw AS (SELECT video_id, chunk_index, ('0x' || md5(unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')))[1:8])::BIGINT AS h FROM c),
+hc AS (SELECT video_id, chunk_index, h % 64 AS i, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END)::DOUBLE AS n FROM hw GROUP BY ALL),
+hl AS (SELECT video_id, chunk_index, map_from_entries(list((i, n))) AS m, sqrt(sum(n * n)) AS len FROM hc GROUP BY ALL),
+hv AS (SELECT video_id, chunk_index, list_transform(range(64), lambda i: coalesce(m[i], 0) / (CASE WHEN len > 0 THEN len ELSE 1 END))::FLOAT[] AS v FROM hl),
+hn AS (SELECT *, lead(v) OVER (PARTITION BY video_id ORDER BY chunk_index) AS nx FROM hv)
+SELECT video_id, chunk_index, floor(list_dot_product(v::DOUBLE[], nx::DOUBLE[]) / (sqrt(list_dot_product(v::DOUBLE[], v::DOUBLE[])) * sqrt(list_dot_product(nx::DOUBLE[], nx::DOUBLE[]))) * 1000000 + 0.5) / 1000000.0::DOUBLE AS similarity FROM hn WHERE nx IS NOT NULL""")
 def hashed_embeddings(spark, d):
-    """The offline embedder over chunks; similarity of each chunk with the next. Python code, so no SQL equivalent."""
+    """The offline embedder over chunks; similarity of each chunk with the next."""
     from cuewright.functions.numeric import cosine, half_up
 
     c = vector.embed(segment.silence_chunks(transcripts.words(spark, d)).select("video_id", "chunk_index", "text"))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from cuewright.functions import text as X
 from cuewright.functions.numeric import half_up
-from cuewright.operators import captions, framing, intervals, segment, signal, speakers, state, vector
+from cuewright.operators import adapters, framing, intervals, segment, signal, speakers, state, vector
 from cuewright.sources import transcript
 
 from . import sql
@@ -89,38 +89,51 @@ _VIDEO = "label"
 
 
 def clip_and_chunk_vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Every 25th vector is a clip, the rest are chunks; the label is the video."""
+    """Every 20th vector is a clip, all are chunks, a second for each id; the label is the video. A clip comes of its own and the next chunk."""
     e = table(spark, d, "embeddings").withColumnRenamed("label", "video_id")
-    return e.where("vec_id % 25 = 0").withColumnRenamed("vec_id", "clip_id"), e.where("vec_id % 25 <> 0").withColumnRenamed("vec_id", "chunk_id")
+    i = F.col("vec_id")
+    clips = e.where("vec_id % 20 = 0").select("video_id", i.alias("clip_id"), "embedding", F.array(i, i + 1).alias("source_chunks"), (i * 1000).alias("e"))
+    return clips, e.select("video_id", i.alias("chunk_id"), "embedding", (i * 1000).alias("start_ms"))
 
 
 _TOPK = r"""
 sim AS (SELECT q.label AS video_id, q.vec_id AS clip_id, c.vec_id AS chunk_id, floor(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) * 1000000 + 0.5) / 1000000.0::DOUBLE AS similarity
-  FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id % 25 = 0 AND c.vec_id % 25 <> 0),
-tk AS (SELECT *, (row_number() OVER (PARTITION BY clip_id ORDER BY similarity DESC, chunk_id))::INT AS rank FROM sim)
+  FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id % 20 = 0),
+tk AS (SELECT *, (row_number() OVER (PARTITION BY video_id, clip_id ORDER BY similarity DESC, chunk_id))::INT AS rank FROM sim)
 """
 
 
-@query(f"WITH {_TOPK} SELECT * FROM tk WHERE rank <= 3 AND similarity >= 0.05")
+@query(f"WITH {_TOPK} SELECT * FROM tk WHERE rank <= 4 AND similarity >= 0.05")
 def vector_topk(spark, d):
-    return vector.top_k(*clip_and_chunk_vectors(spark, d), k=3, threshold=0.05)
+    return vector.top_k(*clip_and_chunk_vectors(spark, d), k=4, threshold=0.05)
+
+
+@query()
+def approximate_topk(spark, d):
+    """The same search through the LSH index; its recall against vector_topk is tested."""
+    clips, chunks = clip_and_chunk_vectors(spark, d)
+    return vector.approximate_top_k(clips, vector.approximate_index(chunks), k=4, threshold=0.05)
 
 
 def bridge(spark: SparkSession, d: str) -> DataFrame:
-    """Related segments: the top chunks of each clip, the clip's own (the next id) excluded after the limit, with a decision by rank and similarity."""
-    own = F.col("chunk_id") == F.col("clip_id") + 1
-    t = vector_topk(spark, d).where(~own)
-    decision = F.when((F.col("rank") == 1) & (F.col("similarity") >= 0.1), "stitch").when(F.col("similarity") >= 0.1, "standalone").otherwise("noise")
-    return t.withColumn("decision", decision).withColumn("confirmed", F.col("decision") != "noise")
+    """Related segments: the top chunks of each clip, its own ones excluded after the limit, with a decision by similarity and gap."""
+    clips, chunks = clip_and_chunk_vectors(spark, d)
+    return vector.related_segments(clips, chunks, 4, 0.05, lambda p: adapters.classify_continuations(p, 0.1, 300_000))
 
 
 _BRIDGE = f"""{_TOPK},
-br AS (SELECT *, CASE WHEN rank = 1 AND similarity >= 0.1 THEN 'stitch' WHEN similarity >= 0.1 THEN 'standalone' ELSE 'noise' END AS decision FROM tk WHERE rank <= 3 AND similarity >= 0.05 AND chunk_id <> clip_id + 1)"""
+br AS (SELECT *, (chunk_id - clip_id) * 1000 AS gap_ms, CASE WHEN similarity < 0.1 THEN 'noise' WHEN (chunk_id - clip_id) * 1000 BETWEEN 0 AND 300000 THEN 'stitch' ELSE 'standalone' END AS decision
+  FROM tk WHERE rank <= 4 AND similarity >= 0.05 AND chunk_id <> clip_id AND chunk_id <> clip_id + 1)"""
+
+
+@query(f"WITH {_BRIDGE} SELECT *, decision = 'stitch' AS confirmed FROM br")
+def related_segments(spark, d):
+    return bridge(spark, d)
 
 
 @query(f"""WITH {_BRIDGE}
 SELECT clip_id, string_agg(chunk_id::VARCHAR, ',' ORDER BY chunk_id) AS chunk_ids, count(*) AS n, max(similarity) AS best FROM br
-JOIN embeddings c ON c.vec_id = br.chunk_id JOIN embeddings q ON q.vec_id = br.clip_id AND q.label = br.video_id WHERE decision <> 'noise' GROUP BY 1""")
+JOIN embeddings c ON c.vec_id = br.chunk_id JOIN embeddings q ON q.vec_id = br.clip_id AND q.label = br.video_id WHERE decision = 'stitch' GROUP BY 1""")
 def confirmed_segments(spark, d):
     """Confirmed chunks of each clip, through the bridge joined with both sides."""
     b = bridge(spark, d).where("confirmed")
@@ -318,10 +331,15 @@ def fingerprint_upsert(spark, d):
 
 
 @query("""WITH RECURSIVE dep(a, b) AS (VALUES ('audio_events', 'analyze'), ('audio_events', 'similarity'), ('audio_events', 'refine'), ('audio_events', 'render'), ('outline', 'analyze'), ('outline', 'similarity'), ('outline', 'refine'), ('outline', 'render'), ('refine', 'render')),
-c(a, b) AS (SELECT a, b FROM dep UNION SELECT c.a, d.b FROM c JOIN dep d ON c.b = d.a) SELECT a AS changed, b AS stale FROM c""")
+c(a, b) AS (SELECT a, b FROM dep UNION SELECT c.a, d.b FROM c JOIN dep d ON c.b = d.a),
+l AS (SELECT user_id AS video_id, CASE event_type WHEN 'view' THEN 'outline' WHEN 'click' THEN 'refine' ELSE 'audio_events' END AS changed, count(*) AS n FROM events GROUP BY ALL)
+SELECT video_id, changed, b AS stale, n FROM l JOIN c ON c.a = changed""")
 def invalidation_closure(spark, d):
-    rows = [(a, b) for a in state.DEPENDS for b in state.stale(a)]
-    return spark.createDataFrame(rows, "changed string, stale string")
+    """What goes stale in every video by the stages that changed there."""
+    stale = F.create_map(*[x for a in state.DEPENDS for x in (F.lit(a), F.array(*map(F.lit, state.stale(a))))])
+    changed = F.when(F.col("event_type") == "view", "outline").when(F.col("event_type") == "click", "refine").otherwise("audio_events")
+    g = table(spark, d, "events").groupBy(F.col("user_id").alias("video_id"), changed.alias("changed")).agg(F.count("*").alias("n"))
+    return g.select("video_id", "changed", F.explode(stale[F.col("changed")]).alias("stale"), "n")
 
 
 @query(r"""SELECT page_id, CASE WHEN contains(url, 'youtube.com') OR contains(url, 'youtu.be') THEN CASE WHEN contains(url, 'live') THEN 'youtube_live' ELSE 'youtube' END
@@ -338,13 +356,16 @@ def source_type(spark, d):
     return p.select("page_id", X.source_type(url).alias("source_type"))
 
 
-@query(r"""WITH r AS (SELECT event_id, '```json' || chr(10) || '[' || props || ']' || chr(10) || '```' AS reply FROM events)
-SELECT event_id, (regexp_extract(reply, '"k": *(-?[0-9]+)', 1))::BIGINT AS k FROM r""")
+@query(r"""SELECT event_id, CASE event_id % 6 WHEN 3 THEN NULL ELSE (regexp_extract(props, '"k": *(-?[0-9]+)', 1))::BIGINT END AS k FROM events""")
 def llm_json_extract(spark, d):
-    """A number from a model's fenced JSON reply: fences off, the outer list parsed."""
-    e = table(spark, d, "events").select("event_id", F.concat(F.lit("```json\n["), "props", F.lit("]\n```")).alias("reply"))
-    inner = F.regexp_extract(F.regexp_replace("reply", r"```(json)?", ""), r"(?s)(\[.*\])", 1)
-    return e.select("event_id", F.get(F.from_json(inner, "array<struct<k:bigint>>"), 0)["k"].alias("k"))
+    """A number from a model's reply: fenced, behind a think block, a bare object, no JSON at all, inside the think block, or with words around."""
+    i, p = F.col("event_id") % 6, F.col("props")
+    reply = (
+        F.when(i == 0, F.concat(F.lit("```json\n["), p, F.lit("]\n```"))).when(i == 1, F.concat(F.lit("<think>[1]\n</think>\n["), p, F.lit("]"))).when(i == 2, F.concat(F.lit("Here: "), p, F.lit(" so")))
+        .when(i == 3, F.lit("no moments")).when(i == 4, F.concat(F.lit("<think>first\n["), p, F.lit("]</think>"))).otherwise(F.concat(F.lit("Sure.\n```\n["), p, F.lit("]\n```\nDone [x]")))
+    )
+    e = table(spark, d, "events").select("event_id", X.model_json(reply).alias("j"))
+    return e.select("event_id", F.get(F.from_json("j", "array<struct<k:bigint>>"), 0)["k"].alias("k"))
 
 
 @query("""SELECT event_type AS stage, (['running', 'done', 'failed', 'done'])[event_id % 4 + 1] AS status, count(*) AS n FROM events GROUP BY ROLLUP (event_type, (['running', 'done', 'failed', 'done'])[event_id % 4 + 1])""")

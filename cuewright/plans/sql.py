@@ -57,7 +57,9 @@ p1 AS (SELECT p0.video_id, proposal_id, lo, hi, count(s.id) AS n_sentences, min(
 p AS MATERIALIZED (SELECT *, CASE WHEN n_sentences = 0 THEN 'no known sentences' WHEN n_sentences > 120 THEN 'too many sentences' WHEN e <= s THEN 'degenerate'
   WHEN e - s < 15000 THEN 'too short' WHEN e - s > 90000 THEN 'too long' END AS reject_reason FROM p1),
 k AS MATERIALIZED (SELECT video_id, proposal_id AS cand_id, s, e,
-  array_to_string(list_slice(list_filter(regexp_split_to_array(first_text, '\s+'), lambda x: x <> ''), 1, 8), ' ') AS hook,
+  array_to_string(list_slice(list_filter(regexp_split_to_array(first_text, '\s+'), lambda x: x <> ''), 1, 8), ' ')[1:300] AS hook,
+  array_to_string(list_slice(list_filter(regexp_split_to_array(first_text, '\s+'), lambda x: x <> ''), 9, 20), ' ')[1:600] AS main_idea,
+  CASE WHEN proposal_id % 24 = 0 AND proposal_id % 7 > 0 THEN (proposal_id % 7)::DOUBLE END AS energy_increase,
   CASE WHEN proposal_id % 3 = 0 THEN '' ELSE 'payoff' END AS payoff, CASE WHEN proposal_id % 5 = 0 THEN 'context' ELSE '' END AS required_context,
   ((proposal_id * 37 + video_id) % 100) / 100.0::DOUBLE AS uncertainty, CASE WHEN proposal_id % 8 = 0 THEN 'audio_event' ELSE 'outline' END AS source
   FROM p WHERE reject_reason IS NULL)
@@ -71,7 +73,7 @@ CAMPAIGN = "the open source review of that and other things"
 
 def scores(source: str, keywords: list[str]) -> str:
     """The score columns of candidates in ``source`` as a SELECT."""
-    hits = " + ".join(f"(contains(lower(hook), '{w}'))::INT" for w in keywords) or "0"
+    hits = " + ".join(f"(contains(told, '{w}'))::INT" for w in keywords) or "0"
     relevance = f"least(1.0, ({hits}) / {float(max(1, min(len(keywords), 6)))}::DOUBLE)" if keywords else "0.5::DOUBLE"
     return rf"""
 SELECT *, floor((opening * 0.22 + standalone * 0.24 + payoff_score * 0.16 + completeness * 0.16 + relevance * 0.08 + editability * 0.09 + audio_support * 0.05) * 10000 + 0.5) / 10000.0::DOUBLE AS total
@@ -82,10 +84,12 @@ FROM (SELECT *,
   CASE WHEN trim(payoff) <> '' THEN 1.0 ELSE 0.4 END::DOUBLE AS payoff_score,
   floor(greatest(0, least(1, 1.0::DOUBLE - 0.6::DOUBLE * uncertainty - CASE WHEN trim(payoff) <> '' THEN 0 ELSE 0.2::DOUBLE END)) * 1000 + 0.5) / 1000.0::DOUBLE AS completeness,
   floor({relevance} * 1000 + 0.5) / 1000.0::DOUBLE AS relevance,
-  floor((CASE WHEN span < 20 THEN greatest(0.2::DOUBLE, span / 20) WHEN span <= 90 THEN 1.0 ELSE greatest(0.2::DOUBLE, 1.0 - (span - 90) / 120) END) * 1000 + 0.5) / 1000.0::DOUBLE AS editability,
-  CASE WHEN source = 'audio_event' THEN 0.7 ELSE 0.3 END::DOUBLE AS audio_support
+  floor((CASE WHEN energy_increase <> 0 THEN least(1.0::DOUBLE, edit + 0.1::DOUBLE) ELSE edit END) * 1000 + 0.5) / 1000.0::DOUBLE AS editability,
+  CASE WHEN energy_increase <> 0 THEN 0.8 WHEN source = 'audio_event' THEN 0.7 ELSE 0.3 END::DOUBLE AS audio_support
+  FROM (SELECT *, CASE WHEN span < 20 THEN greatest(0.2::DOUBLE, span / 20) WHEN span <= 90 THEN 1.0 ELSE greatest(0.2::DOUBLE, 1.0 - (span - 90) / 120) END AS edit,
+    lower(coalesce(hook, '') || ' ' || coalesce(main_idea, '')) AS told
   FROM (SELECT *, (e - s) / 1000.0::DOUBLE AS span, lower(trim(coalesce(list_filter(regexp_split_to_array(hook, '\s+'), lambda x: x <> '')[1], ''), ' ,.!?"''')) AS first,
-    len(list_filter(regexp_split_to_array(hook, '\s+'), lambda x: x <> '')) AS nw FROM {source}))
+    len(list_filter(regexp_split_to_array(hook, '\s+'), lambda x: x <> '')) AS nw FROM {source})))
 """
 
 

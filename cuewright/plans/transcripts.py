@@ -52,14 +52,18 @@ def overlap_chunks(spark, d):
     return segment.overlap_chunks(words(spark, d))
 
 
-@query(rf"""WITH {sql.SENTENCES},
-n AS (SELECT video_id, count(*) AS n FROM s GROUP BY 1),
-wins AS (SELECT video_id, unnest(range(CASE WHEN n <= 40 THEN 1 ELSE ((n - 40 + 35) // 36) + 1 END)) AS win FROM n),
-j AS (SELECT wins.video_id, win, s.* EXCLUDE (video_id) FROM wins JOIN s ON s.video_id = wins.video_id AND s.id >= win * 36 AND s.id < win * 36 + 40),
+_OUTLINE = rf"""{sql.SENTENCES},
+n0 AS (SELECT video_id, count(*) AS n FROM s GROUP BY 1),
+n AS (SELECT video_id, n, CASE WHEN n > 40 AND ((n - 40 + 35) // 36) + 1 > 12 THEN greatest(40, (n + 11) // 12 + 4) ELSE 40 END AS size FROM n0),
+wins AS (SELECT video_id, size, unnest(range(least(12, CASE WHEN n <= size THEN 1 ELSE ((n - size + size - 5) // (size - 4)) + 1 END))) AS win FROM n),
+j AS (SELECT wins.video_id, win, size, s.* EXCLUDE (video_id) FROM wins JOIN s ON s.video_id = wins.video_id AND s.id >= win * (size - 4) AND s.id < win * (size - 4) + size),
 g AS (SELECT video_id, win AS "window", min(id) AS start_id, max(id) AS end_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms,
-  string_agg(text, ' ' ORDER BY id) FILTER (WHERE id < win * 36 + 3) AS head, list(id ORDER BY id)[1:6] AS ids FROM j GROUP BY ALL)
-SELECT video_id, "window", start_id, end_id, start_ms, end_ms, array_to_string(list_filter(regexp_split_to_array(head, '\s+'), lambda x: x <> '')[1:8], ' ') AS title,
-  array_to_string(ids, ',') AS key_ids FROM g""")
+  string_agg(text, ' ' ORDER BY id) FILTER (WHERE id < win * (size - 4) + 3) AS head, list(id ORDER BY id)[1:6] AS ids FROM j GROUP BY video_id, win),
+ol AS (SELECT video_id, "window", start_id, end_id, start_ms, end_ms, array_to_string(list_filter(regexp_split_to_array(head, '\s+'), lambda x: x <> '')[1:8], ' ') AS title,
+  array_to_string(ids, ',') AS key_ids FROM g)"""
+
+
+@query(f"WITH {_OUTLINE} SELECT * FROM ol")
 def outline_windows(spark, d):
     return segment.outline_windows(sents(spark, d))
 
@@ -78,24 +82,19 @@ b AS (SELECT w.video_id, unnest(range(start_ms // 30000, (end_ms // 30000) + 1))
 SELECT r.video_id, r.range_id, coalesce(sum(greatest(least(end_ms, (r.range_id + 1) * 30000) - greatest(start_ms, r.range_id * 30000), 0)), 0)::BIGINT AS speech_ms, 30000::BIGINT AS span_ms
 FROM r LEFT JOIN b USING (video_id, range_id) GROUP BY ALL""")
 def speech_coverage(spark, d):
-    """Fixed ranges are buckets, so words meet them by an equal key."""
     w = words(spark, d)
-    b = w.select("video_id", "start_ms", "end_ms", F.explode(F.sequence(F.floor(F.col("start_ms") / 30_000), F.floor(F.col("end_ms") / 30_000))).alias("range_id"))
-    lo = F.col("range_id") * 30_000
-    got = b.groupBy("video_id", "range_id").agg(F.sum(F.greatest(F.least("end_ms", lo + 30_000) - F.greatest("start_ms", lo), F.lit(0))).alias("ms"))
-    r = minutes(w)
-    return r.join(got, ["video_id", "range_id"], "left").select("video_id", "range_id", F.coalesce("ms", F.lit(0)).cast("long").alias("speech_ms"), (F.col("e") - F.col("s")).cast("long").alias("span_ms"))
+    return intervals.speech_coverage(minutes(w), w, "video_id", "range_id")
 
 
 @query(f"WITH {sql.PROPOSALS} SELECT video_id, proposal_id, lo, hi, n_sentences, s, e, reject_reason FROM p")
 def candidate_validation(spark, d):
-    s = sents(spark, d).persist()  # proposed from twice and looked up once
+    s = sents(spark, d).persist()  # proposed from twice and looked up twice; the session's cache is cleared by who runs the query
     return C.validate(C.proposals(s), s).select("video_id", "proposal_id", "lo", "hi", "n_sentences", "s", "e", "reject_reason")
 
 
 def cands(spark: SparkSession, d: str, s: DataFrame | None = None) -> DataFrame:
     s = s or sents(spark, d).persist()
-    return C.candidates(C.validate(C.proposals(s), s))
+    return C.candidates(C.validate(C.proposals(s), s)).persist()  # met with themselves
 
 
 KEYWORDS = X.keywords(sql.CAMPAIGN)
@@ -130,10 +129,15 @@ mr AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY uncertainty,
 
 
 @query(
-    f"WITH {_MERGED} SELECT g.video_id, g.cand_id, g.kept, CASE WHEN NOT g.kept THEN m.cand_id END AS winner_id FROM g LEFT JOIN mr m ON m.video_id = g.video_id AND m.rk = g.winner"
+    f"""WITH {_MERGED},
+ml AS (SELECT g.*, coalesce(winner, rk) AS top FROM g),
+ms AS (SELECT ml.video_id, ml.top, array_to_string(list(DISTINCT s.id ORDER BY s.id), ',') AS sentence_ids FROM ml JOIN p ON p.video_id = ml.video_id AND p.proposal_id = ml.cand_id JOIN s ON s.video_id = p.video_id AND s.id BETWEEN p.lo AND p.hi GROUP BY ALL)
+SELECT ml.video_id, ml.cand_id, ml.kept, CASE WHEN NOT ml.kept THEN m.cand_id END AS winner_id, CASE WHEN ml.kept THEN ms.sentence_ids END AS merged_ids
+FROM ml LEFT JOIN mr m ON m.video_id = ml.video_id AND m.rk = ml.winner JOIN ms ON ms.video_id = ml.video_id AND ms.top = ml.top"""
 )
 def merged_candidates(spark, d):
-    return C.merge_overlaps(cands(spark, d)).select("video_id", "cand_id", "kept", "winner_id")
+    m = C.merge_overlaps(cands(spark, d))
+    return m.select("video_id", "cand_id", "kept", "winner_id", F.when(F.col("kept"), F.array_join("sentence_ids", ",")).alias("merged_ids"))
 
 
 def _renamed(ctes: str, prefix: str) -> str:
@@ -142,11 +146,14 @@ def _renamed(ctes: str, prefix: str) -> str:
     return ctes
 
 
-@query(f"""WITH {_renamed(_MERGED, 'm')},
-sc AS ({sql.scores("(SELECT video_id, cand_id, s, e, hook, payoff, required_context, uncertainty, source FROM g WHERE kept)", KEYWORDS)}),
+_DIVERSE = f"""{_renamed(_MERGED, 'm')},
+sc AS ({sql.scores("(SELECT video_id, cand_id, s, e, hook, main_idea, energy_increase, payoff, required_context, uncertainty, source FROM g WHERE kept)", KEYWORDS)}),
 dr AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY total DESC, cand_id) AS rk FROM sc WHERE total >= 0.45),
 {sql.greedy('dr', f"x.inter * 10 >= (x.la + x.lb - x.inter) * 5 OR (x.inter * 10 >= (x.la + x.lb - x.inter) * 3 AND {sql.alike()})", 8).replace('g AS (SELECT', 'g2 AS (SELECT')},
-z AS (SELECT *, max(CASE WHEN kept THEN rk END) OVER (PARTITION BY video_id) AS lastk, sum(kept::INT) OVER (PARTITION BY video_id) AS nk FROM g2)
+z AS (SELECT *, max(CASE WHEN kept THEN rk END) OVER (PARTITION BY video_id) AS lastk, sum(kept::INT) OVER (PARTITION BY video_id) AS nk FROM g2)"""
+
+
+@query(f"""WITH {_DIVERSE}
 SELECT video_id, cand_id, total, CASE WHEN kept THEN 'selected' WHEN nk >= 8 AND rk > lastk THEN 'surplus' ELSE 'near_duplicate' END AS status FROM z
 UNION ALL SELECT video_id, cand_id, total, 'below_floor' FROM sc WHERE total < 0.45""")
 def diverse_selection(spark, d):
@@ -173,7 +180,7 @@ def near_start_dedup(spark, d):
 
 def clips(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Clips off the sentence grid: candidates shifted by a few hundred milliseconds; and the sentences."""
-    s = sents(spark, d).persist()  # looked up several times
+    s = sents(spark, d).persist()
     c = cands(spark, d, s)
     i = F.col("cand_id")
     return c.select(
@@ -182,15 +189,16 @@ def clips(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     ), s
 
 
-_CLIPS = f"""{sql.PROPOSALS},
-cl AS MATERIALIZED (SELECT video_id, video_id * 10000000 + cand_id AS clip_id, s + cand_id % 7 * 311 AS s,
-  CASE WHEN cand_id % 44 = 4 THEN s ELSE e - cand_id % 5 * 977 + CASE WHEN cand_id % 3 = 0 THEN 4000 ELSE 0 END END AS e FROM k),
-nb AS MATERIALIZED (SELECT *, lag(end_ms) OVER v AS prev_end, lead(start_ms) OVER v AS next_start FROM s WINDOW v AS (PARTITION BY video_id ORDER BY id)),
+_SNAP = """nb AS MATERIALIZED (SELECT *, lag(end_ms) OVER v AS prev_end, lead(start_ms) OVER v AS next_start FROM s WINDOW v AS (PARTITION BY video_id ORDER BY id)),
 sa AS (SELECT clip_id, coalesce(max(nb.id), 0) AS sid FROM cl LEFT JOIN nb ON nb.video_id = cl.video_id AND nb.start_ms <= cl.s GROUP BY 1),
 ea AS (SELECT clip_id, coalesce(max(nb.id), 0) AS eid FROM cl LEFT JOIN nb ON nb.video_id = cl.video_id AND nb.start_ms <= cl.e GROUP BY 1),
 sn AS MATERIALIZED (SELECT cl.*, sid, eid, greatest(0, a.start_ms - 150, coalesce(a.prev_end + 10, 0)) AS det_s,
   greatest(least(b.end_ms + 300, coalesce(b.next_start - 10, b.end_ms + 300)), greatest(0, a.start_ms - 150, coalesce(a.prev_end + 10, 0)) + 500) AS det_e
   FROM cl JOIN sa USING (clip_id) JOIN ea USING (clip_id) JOIN nb a ON a.video_id = cl.video_id AND a.id = sid JOIN nb b ON b.video_id = cl.video_id AND b.id = eid)"""
+_CLIPS = f"""{sql.PROPOSALS},
+cl AS MATERIALIZED (SELECT video_id, video_id * 10000000 + cand_id AS clip_id, s + cand_id % 7 * 311 AS s,
+  CASE WHEN cand_id % 44 = 4 THEN s ELSE e - cand_id % 5 * 977 + CASE WHEN cand_id % 3 = 0 THEN 4000 ELSE 0 END END AS e FROM k),
+{_SNAP}"""
 
 
 @query(f"WITH {_CLIPS} SELECT clip_id, video_id, s, e, sid AS s_id, eid AS e_id, det_s, det_e FROM sn")
@@ -199,17 +207,17 @@ def snap_boundaries(spark, d):
     return intervals.snap(c, s).select("clip_id", "video_id", "s", "e", "s_id", "e_id", "det_s", "det_e")
 
 
-_REFINED = f"""{_CLIPS},
-cx AS (SELECT sn.clip_id, sn.video_id, sn.s, sn.e, det_s, det_e, arg_max(x.end_ms + 300, x.id) FILTER (WHERE x.end_ms + 300 <= sn.e + 15000 AND x.ends_with_punctuation) AS capped, list(x.start_ms ORDER BY x.start_ms) AS starts
+_REFINE = """cx AS (SELECT sn.clip_id, sn.video_id, sn.s, sn.e, det_s, det_e, arg_max(x.end_ms + 300, x.id) FILTER (WHERE x.end_ms + 300 <= sn.e + 15000 AND x.ends_with_punctuation) AS capped, list(x.start_ms ORDER BY x.start_ms) AS starts
   FROM sn JOIN s x ON x.video_id = sn.video_id AND x.end_ms >= sn.s - 20000 AND x.start_ms <= sn.e + 20000 WHERE sn.e > sn.s GROUP BY ALL),
-c1 AS (SELECT *, CASE WHEN det_e > e + 15000 THEN capped ELSE det_e END AS new_e FROM cx),
-c2 AS (SELECT *, new_e - det_s AS dur, list_filter(starts, lambda x: x >= new_e - 90000 AND x >= det_s)[1] AS trim FROM c1),
+rc1 AS (SELECT *, CASE WHEN det_e > e + 15000 THEN capped ELSE det_e END AS new_e FROM cx),
+rc2 AS (SELECT *, new_e - det_s AS dur, list_filter(starts, lambda x: x >= new_e - 90000 AND x >= det_s)[1] AS trim FROM rc1),
 refined AS (SELECT video_id, clip_id,
   CASE WHEN new_e IS NULL THEN s WHEN dur > 90000 AND trim IS NOT NULL THEN greatest(det_s, trim - 150) ELSE det_s END AS refined_s, coalesce(new_e, e) AS refined_e,
   CASE WHEN new_e IS NULL THEN 'rejected_extension' WHEN dur > 90000 AND trim IS NULL THEN 'rejected_duration' WHEN dur < 1000 THEN 'rejected_short' ELSE 'refined' END AS refine_status,
-  'snap' || CASE WHEN det_e > e + 15000 THEN '+capped' ELSE '' END || CASE WHEN dur > 90000 AND trim IS NOT NULL THEN '+trimmed' ELSE '' END AS method FROM c2
+  'snap' || CASE WHEN det_e > e + 15000 THEN '+capped' ELSE '' END || CASE WHEN dur > 90000 AND trim IS NOT NULL THEN '+trimmed' ELSE '' END AS method FROM rc2
   UNION ALL SELECT video_id, clip_id, s, e, 'rejected_range', '' FROM cl WHERE e <= s
   UNION ALL SELECT video_id, clip_id, s, e, 'passthrough_no_transcript', '' FROM cl WHERE e > s AND clip_id NOT IN (SELECT clip_id FROM cx))"""
+_REFINED = f"{_CLIPS},\n{_REFINE}"
 
 
 @query(f"WITH {_REFINED} SELECT * FROM refined")
@@ -233,7 +241,7 @@ def clip_report(spark, d):
 
 
 @query(f"""WITH {sql.CHUNKS},
-pr AS (SELECT video_id, chunk_index AS clip, start_ms AS s, end_ms AS e FROM c WHERE chunk_index % 3 = 0),
+pr AS (SELECT video_id, chunk_index AS clip, start_ms AS s, end_ms AS e FROM c),
 mo AS (SELECT pr.video_id, pr.clip, c.chunk_index AS seg, CASE WHEN c.chunk_index % 11 = 5 THEN NULL ELSE c.start_ms END AS s, CASE WHEN c.chunk_index % 13 = 6 THEN c.start_ms ELSE c.end_ms END AS e
   FROM pr JOIN c ON c.video_id = pr.video_id AND c.chunk_index > pr.clip AND c.chunk_index <= pr.clip + 5),
 l AS (SELECT video_id, clip, list({{'s': s, 'seg': seg, 'e': e}} ORDER BY s NULLS FIRST, seg) AS xs FROM mo GROUP BY ALL),
@@ -248,7 +256,7 @@ SELECT video_id, clip AS clip_index, unnest(xs).seg AS seg_id, unnest(o) AS outc
 def stitch_limits(spark, d):
     c = segment.silence_chunks(words(spark, d)).select("video_id", "chunk_index", "start_ms", "end_ms")
     clip = F.concat_ws(":", "video_id", "clip")
-    p = c.where("chunk_index % 3 = 0").select("video_id", F.col("chunk_index").alias("clip"), F.col("start_ms").alias("s"), F.col("end_ms").alias("e"))
+    p = c.select("video_id", F.col("chunk_index").alias("clip"), F.col("start_ms").alias("s"), F.col("end_ms").alias("e"))
     near = p.select("video_id", "clip", F.explode(F.sequence(F.col("clip") + 1, F.col("clip") + 5)).alias("chunk_index"))
     m = near.join(c, ["video_id", "chunk_index"]).select(
         clip.alias("clip_id"), F.col("chunk_index").alias("seg_id"), F.when(F.col("chunk_index") % 11 != 5, F.col("start_ms")).alias("s"),
@@ -283,18 +291,25 @@ def caption_cues(spark, d):
     return captions.caption_cues(words(spark, d))
 
 
-@query(f"""WITH {sql.CHUNKS},
-r AS (SELECT video_id * 1000 + (chunk_index // 2) AS clip_id, video_id, start_ms AS s, end_ms - 400 AS e FROM c WHERE chunk_index IN (0, 1, 2, 3, 4, 5)),
+_SRT = f"""WITH {sql.CHUNKS},
+r AS (SELECT video_id * 10000000 + (chunk_index // 2) AS clip_id, video_id, start_ms AS s, end_ms - 400 AS e FROM c),
 r2 AS (SELECT *, coalesce(sum(e - s) OVER (PARTITION BY clip_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o, row_number() OVER (PARTITION BY clip_id ORDER BY s) AS kk FROM r),
 m AS (SELECT clip_id, w.pos, arg_min(word, kk) AS word, arg_min(start_ms - s + o, kk) AS a, arg_min(end_ms - s + o, kk) AS b
-  FROM r2 JOIN w ON w.video_id = r2.video_id AND start_ms >= s AND end_ms <= e + 500 GROUP BY ALL)
-SELECT clip_id, row_number() OVER (PARTITION BY clip_id ORDER BY pos) AS n, a AS start_ms, b AS end_ms,
-  printf('%02d:%02d:%02d,%03d --> %02d:%02d:%02d,%03d ', a // 3600000, a // 60000 % 60, a // 1000 % 60, a % 1000, b // 3600000, b // 60000 % 60, b // 1000 % 60, b % 1000) || word AS line FROM m""")
+  FROM r2 JOIN w ON w.video_id = r2.video_id AND start_ms >= s AND end_ms <= e + 500 GROUP BY ALL),
+sl AS (SELECT clip_id, row_number() OVER (PARTITION BY clip_id ORDER BY pos) AS n, a AS start_ms, b AS end_ms,
+  printf('%02d:%02d:%02d,%03d --> %02d:%02d:%02d,%03d ', a // 3600000, a // 60000 % 60, a // 1000 % 60, a % 1000, b // 3600000, b // 60000 % 60, b // 1000 % 60, b % 1000) || word AS line FROM m)"""
+
+
+@query(_SRT + " SELECT * FROM sl")
 def srt_lines(spark, d):
     w = words(spark, d)
-    c = segment.silence_chunks(w).where("chunk_index < 6")
-    clip = F.col("video_id") * 1000 + F.floor(F.col("chunk_index") / 2)
-    return captions.srt_lines(w, c.select(clip.alias("clip_id"), "video_id", F.col("start_ms").alias("s"), (F.col("end_ms") - 400).alias("e")))
+    return captions.srt_lines(w, chunk_ranges(w))
+
+
+def chunk_ranges(w: DataFrame) -> DataFrame:
+    """Two neighbouring chunks a clip, each as a range that ends a little early."""
+    clip = F.col("video_id") * 10_000_000 + F.floor(F.col("chunk_index") / 2)
+    return segment.silence_chunks(w).select(clip.alias("clip_id"), "video_id", F.col("start_ms").alias("s"), (F.col("end_ms") - 400).alias("e"))
 
 
 GLOSSARY = [("the", "THE"), ("of the", "of-the"), ("de la", "de-la"), ("und der", "u.d."), ("same", "same"), ("", "x")]
@@ -309,12 +324,10 @@ def glossary_display(spark, d):
     return captions.glossary_display(words(spark, d).select("video_id", "pos", "word"), GLOSSARY).select("video_id", "pos", "word", "display")
 
 
-@query(r"""WITH d AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS ws FROM documents)
-SELECT a.doc_id AS doc_a, b.doc_id AS doc_b,
-  floor(CASE WHEN len(list_distinct(list_concat(a.ws, b.ws))) > 0 THEN len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws)))::DOUBLE ELSE 0 END * 1000000 + 0.5) / 1000000.0::DOUBLE AS similarity
-FROM d a JOIN d b ON b.doc_id = a.doc_id + 1""")
+@query(rf"""WITH {sql.PROPOSALS},
+h AS (SELECT video_id, cand_id, list_distinct(list_filter(regexp_split_to_array(lower(hook), '\s+'), lambda x: x <> '')) AS ws FROM k)
+SELECT a.video_id, a.cand_id AS cand_a, b.cand_id AS cand_b, floor(len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws)))::DOUBLE * 1000000 + 0.5) / 1000000.0::DOUBLE AS similarity
+FROM h a JOIN h b ON a.video_id = b.video_id AND a.cand_id < b.cand_id WHERE list_has_any(a.ws, b.ws)""")
 def token_jaccard(spark, d):
-    """Word-set similarity of each document with the next one."""
-    w = table(spark, d, "documents").select("doc_id", F.array_distinct(X.split_words(F.lower("text"))).alias("ws"))
-    b = w.select((F.col("doc_id") - 1).alias("doc_id"), F.col("doc_id").alias("doc_b"), F.col("ws").alias("wb"))
-    return w.join(b, "doc_id").select(F.col("doc_id").alias("doc_a"), "doc_b", half_up(X.jaccard(F.col("ws"), F.col("wb")), 6).alias("similarity"))
+    """Word-set similarity of all pairs of a video's candidates that share a word."""
+    return C.similar_pairs(cands(spark, d))

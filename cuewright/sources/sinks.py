@@ -32,6 +32,55 @@ def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def clip_report(clips: DataFrame) -> DataFrame:
+    """What a report says of each clip: refined bounds where there are some, and the output's length over its source ranges.
+
+    clips: clip_id, s, e, refined_s, refined_e, ranges [(s, e)] (null or empty: the clip's own)."""
+    own = F.array(F.struct("s", "e"))
+    ranges = F.when(F.size("ranges") > 0, F.col("ranges")).otherwise(own)
+    length = F.aggregate(ranges, F.lit(0).cast("long"), lambda t, r: t + r["e"] - r["s"])
+    return clips.withColumns({"source_ranges": ranges, "output_ms": length, "start_ms": F.coalesce("refined_s", "s"), "end_ms": F.coalesce("refined_e", "e")}).drop("ranges", "refined_s", "refined_e", "s", "e")
+
+
+def clips_analysis(clips: DataFrame) -> DataFrame:
+    """(clip_id, line): each clip as a JSON object, without its embedding."""
+    return clips.select("clip_id", F.to_json(F.struct(*[c for c in clips.columns if c != "embedding"])).alias("line"))
+
+
+def outline_rows(windows: DataFrame) -> DataFrame:
+    """(video_id, level, idx, start_ms, end_ms, title, content): a row for each section in order, and one for the video.
+
+    windows: video_id, window, start_ms, end_ms, title and others, which content holds as JSON."""
+    rest = [c for c in windows.columns if c != "video_id"]
+    sections = windows.select("video_id", F.lit("section").alias("level"), F.col("window").cast("long").alias("idx"), "start_ms", "end_ms", "title", F.to_json(F.struct(*rest)).alias("content"))
+    videos = windows.groupBy("video_id").agg(F.count("*").alias("sections"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+    whole = videos.select("video_id", F.lit("video").alias("level"), F.lit(0).cast("long").alias("idx"), "start_ms", "end_ms", F.lit("video").alias("title"), F.to_json(F.struct("sections")).alias("content"))
+    return sections.unionByName(whole)
+
+
+def glossary_corrections(words: DataFrame) -> DataFrame:
+    """(video_id, pos, word, display) of words that the glossary shows otherwise."""
+    return words.where(~F.col("display").eqNullSafe(F.col("word"))).select("video_id", "pos", "word", "display")
+
+
+def cached_labels(cache: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(found, missing) of wanted rows (key, ...) in a label cache (key, labels), of whose repeated keys the last (seq) counts."""
+    latest = cache.groupBy("key").agg(F.max_by("labels", "seq").alias("labels"))
+    return wanted.join(latest, "key"), wanted.join(latest, "key", "left_anti")
+
+
+def write_transcript(segments: DataFrame, path: str) -> None:
+    """Segments (video_id, pos, start_ms, end_ms, text) as JSON rows under ``path``/json and as readable lines under ``path``/txt, a folder for each video."""
+    segments.write.mode("overwrite").partitionBy("video_id").json(f"{path}/json")
+    lines = transcript_lines(segments).repartition("video_id").sortWithinPartitions("video_id", "pos")
+    lines.select("video_id", F.col("line").alias("value")).write.mode("overwrite").partitionBy("video_id").text(f"{path}/txt")
+
+
+def write_plans(plans: DataFrame, path: str) -> None:
+    """Plans (clip_id, plan) as JSON, a folder for each clip."""
+    plans.select("clip_id", F.to_json("plan").alias("value")).write.mode("overwrite").partitionBy("clip_id").text(path)
+
+
 def transcript_lines(segments: DataFrame) -> DataFrame:
     """(video_id, pos, line): ``[HH:MM:SS --> HH:MM:SS] text``."""
     line = F.format_string("[%s --> %s] %s", X.clock(F.col("start_ms")), X.clock(F.col("end_ms")), F.col("text"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -11,20 +11,51 @@ from cuewright.functions import text as X
 _WORD = "array<struct<word:string,start:string,end:string,display:string>>"
 
 
-def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """Words of transcript files: ``segments[].words[]`` if present, else a top-level list, else ``word_segments``.
-
-    One row per word: video_id (the file), pos, word, display, start_ms, end_ms. Words
-    without readable times or text are skipped; the rest are ordered by time."""
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("video_id"), "value")
+def parsed_transcripts(raw: DataFrame) -> DataFrame:
+    """(video_id, value) -> (video_id, words, error): the words of ``segments[].words[]`` if present, else of a top-level
+    list, else of ``word_segments``; ``error`` where the text is none of these."""
     nested = F.from_json("value", f"struct<segments:array<struct<words:{_WORD}>>,word_segments:{_WORD}>")
-    flat = F.from_json("value", _WORD)
     is_list = F.ltrim("value").startswith("[")
-    words = F.when(is_list, flat).otherwise(
+    words = F.when(is_list, F.from_json("value", _WORD)).otherwise(
         F.coalesce(F.flatten(F.transform(nested["segments"], lambda s: F.coalesce(s["words"], F.array().cast(_WORD)))), nested["word_segments"])
     )
-    rows = raw.select("video_id", F.posexplode(words).alias("seq", "w")).select("video_id", "seq", "w.*")
-    return order_words(rows)
+    return raw.select("video_id", words.alias("words")).withColumn("error", F.when(F.col("words").isNull(), "no words in the transcript"))
+
+
+def read_transcripts(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """Words of transcript files, one row per word: video_id (the file), pos, word, display, start_ms, end_ms.
+
+    Words without readable times or text are skipped (``skipped_words`` counts them); the
+    rest are ordered by time. A file that is no transcript is an error, or left out if not strict."""
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("video_id"), "value")
+    t = parsed_transcripts(raw)
+    words = F.when(F.col("error").isNull(), F.col("words")).otherwise(F.raise_error(F.concat("error", F.lit(": "), "video_id")).cast(_WORD)) if strict else F.col("words")
+    return order_words(t.select("video_id", F.posexplode(words).alias("seq", "w")).select("video_id", "seq", "w.*"))
+
+
+def skipped_words(raw: DataFrame) -> DataFrame:
+    """(video_id, words, skipped) of raw transcripts (video_id, value): words found, and those without readable times or text."""
+    t = parsed_transcripts(raw).where("error is null")
+    number = lambda x: x.try_cast("double").isNotNull()
+    good = F.filter("words", lambda w: number(w["start"]) & number(w["end"]) & (F.trim(w["word"]) != ""))
+    return t.select("video_id", F.size("words").alias("words"), (F.size("words") - F.size(good)).alias("skipped"))
+
+
+#: Columns that the point reads of each table give, and their order.
+READS = {
+    "chunks": (["chunk_id", "chunk_index", "start_ms", "end_ms", "text", "token_count"], ["chunk_index"]),
+    "clips": (["clip_id", "clip_number", "s", "e", "hook"], ["clip_number"]),
+    "candidates": (["cand_id", "status", "s", "e", "hook"], ["s", "cand_id"]),
+    "events": (["s", "e", "peak_ms", "energy_increase", "confidence"], ["s"]),
+    "outlines": (["level", "idx", "start_ms", "end_ms", "title", "content"], ["level", "idx"]),
+}
+
+
+def rows_of_video(spark: SparkSession, root: str, table: str, video_id) -> DataFrame:
+    """A table's rows of one video, in order: partition or filter and columns are pushed down to the scan."""
+    columns, order = READS[table]
+    t = spark.read.parquet(f"{root}/{table}").where(F.col("video_id") == F.lit(video_id))
+    return t.select("video_id", *[c for c in columns if c in t.columns]).orderBy(*[c for c in order if c in t.columns])
 
 
 def order_words(rows: DataFrame) -> DataFrame:
@@ -73,6 +104,3 @@ def word_timeline(docs: DataFrame) -> DataFrame:
     start = F.coalesce(F.sum(F.col("dur") + F.col("gap")).over(before), F.lit(0))
     return rows.withColumn("start_ms", start).select("video_id", F.col("pos").cast("long").alias("pos"), "word", "start_ms", (F.col("start_ms") + F.col("dur")).alias("end_ms"))
 
-
-def null_safe(c: Column, default) -> Column:
-    return F.coalesce(c, F.lit(default))
