@@ -364,6 +364,10 @@ def test_transcript_files(spark, tmp_path):
     (tmp_path / "b.json").write_text('[{"word": "x", "start": 0, "end": 1}, {"word": "", "start": 2, "end": 3}]')
     (tmp_path / "c.json").write_text('{"word_segments": [{"word": "y", "start": "bad", "end": 1}, {"word": "z", "start": 2, "end": 3}]}')
     got = transcript.read_transcripts(spark, f"file://{tmp_path}/*.json").collect()
+    (tmp_path / "d.json").write_text("not a transcript")
+    with pytest.raises(Exception, match="no words in the transcript"):
+        transcript.read_transcripts(spark, f"file://{tmp_path}/*.json").collect()
+    assert transcript.read_transcripts(spark, f"file://{tmp_path}/*.json", strict=False).count() == len(got)
     assert sorted((r.video_id[-6:], r.pos, r.word, r.start_ms) for r in got) == [("a.json", 0, "there", 200), ("a.json", 1, "hi", 1000), ("b.json", 0, "x", 0), ("c.json", 0, "z", 2000)]
 
 
@@ -374,8 +378,155 @@ def test_sinks_and_adapters(spark, tmp_path, timeline):
     assert adapters.backend_status(["surely_not_there"])[0].available is False
     pairs = spark.createDataFrame([(0.9, 10), (0.9, 90_000), (0.1, 5), (None, None)], "similarity double, gap_ms long")
     assert [r.decision for r in adapters.classify_continuations(pairs).collect()] == ["stitch", "standalone", "noise", "noise"]
-    c = spark.createDataFrame([("Podcast with LOGO, no subtitles, split screen",), (None,)], "t string").select(*[v.alias(k) for k, v in adapters.campaign_columns(F.col("t")).items()]).collect()
-    assert tuple(c[0]) == (True, False, "podcast", "split_screen") and tuple(c[1]) == (False, True, "default", "auto")
+    told = [("Add our logo to the top right, podcast style.",), ("motivational podcast, no subtitles",), ("a reaction, motivational",), ("use Split-Screen",), ("split screen, speaker crop",), ("Face Track LOGO Podcast",), ("Branded full frame",), (None,)]
+    c = spark.createDataFrame(told, "t string").select(*[v.alias(k) for k, v in adapters.campaign_columns(F.col("t")).items()]).collect()
+    assert [tuple(r) for r in c] == [
+        ("assets/logos/logo.png", False, True, "podcast_clip", "auto"), (None, False, False, "motivational_reel", "auto"), (None, False, True, "tiktok_reaction", "auto"), (None, False, True, None, "stacked_split"),
+        (None, True, True, None, "stacked_split"), (None, False, True, None, "speaker_crop"), (None, False, True, None, "branded_fit"), (None, False, True, None, "auto"),
+    ]
     sinks.write_table(df, f"file://{tmp_path}/w")
     sinks.replace_partitions(df.where("video_id = 51").limit(3), f"file://{tmp_path}/w")
     assert spark.read.parquet(f"file://{tmp_path}/w").where("video_id = 51").count() == 3
+
+
+def test_ranks_do_not_mix_videos_that_share_a_clip_id(spark):
+    q = spark.createDataFrame([(1, 1, [1.0, 0.0]), (2, 1, [1.0, 0.0])], "video_id long, clip_id long, embedding array<float>")
+    c = spark.createDataFrame([(v, 10 * v + i, [1.0, float(i)]) for v in (1, 2) for i in range(3)], "video_id long, chunk_id long, embedding array<float>")
+    got = sorted((r.video_id, r.chunk_id, r["rank"]) for r in vector.top_k(q, c, k=2).collect())
+    assert got == [(1, 10, 1), (1, 11, 2), (2, 20, 1), (2, 21, 2)]
+
+
+def test_embedder_equals_plain_hashing(spark):
+    import hashlib
+
+    texts = ["so it goes so it goes", "", "Ünder a  Tree\n", "x " * 500]
+    got = {r.t: r.embedding for r in vector.embed(spark.createDataFrame([(t,) for t in texts], "t string"), "t", 16).collect()}
+    for t in texts:
+        v = [0.0] * 16
+        for w in t.lower().split():
+            h = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
+            v[h % 16] += 1 if h >= 1 << 31 else -1
+        n = sum(x * x for x in v) ** 0.5 or 1.0
+        assert all(abs(a - b / n) < 1e-6 for a, b in zip(got[t], v, strict=True)), t
+
+
+def test_index_recall(spark):
+    from cuewright.plans import media
+
+    d = "/root/testdata/sf0.01"
+    exact = {(r.clip_id, r.chunk_id) for r in media.vector_topk(spark, d).collect()}
+    near = {(r.clip_id, r.chunk_id) for r in media.approximate_topk(spark, d).collect()}
+    assert len(exact & near) >= 0.9 * len(exact)
+
+
+def test_related_segments_leave_out_own_chunks_after_the_limit(spark):
+    clips = spark.createDataFrame([(1, 1, [1.0, 0.0], [10], 5000), (1, 2, None, [], 0)], "video_id long, clip_id long, embedding array<float>, source_chunks array<long>, e long")
+    chunks = spark.createDataFrame([(1, 10, [1.0, 0.0], 0), (1, 11, [1.0, 0.1], 6000), (1, 12, [1.0, 0.2], 90_000), (1, 13, [1.0, 0.3], 7000)], "video_id long, chunk_id long, embedding array<float>, start_ms long")
+    got = {r.chunk_id: (r.decision, r.confirmed) for r in vector.related_segments(clips, chunks, 3, 0.5).collect()}
+    assert got == {11: ("stitch", True), 12: ("standalone", False)}
+
+
+def test_merging_unites_sentences_and_relevance_reads_the_idea(spark):
+    kind = "video_id long, cand_id long, s long, e long, hook string, main_idea string, payoff string, required_context string, uncertainty double, source string, energy_increase double, sentence_ids array<long>"
+    rows = [(1, 1, 0, 30_000, "a hook", "about coils", "p", "", 0.1, "outline", None, [1, 2]), (1, 2, 1000, 30_000, "b", "", "p", "", 0.2, "outline", 9.0, [2, 3]), (1, 3, 90_000, 105_000, "c", "", "p", "", 0.2, "audio_event", 4.0, [9])]
+    df = spark.createDataFrame(rows, kind)
+    m = {r.cand_id: (r.kept, r.winner_id, r.sentence_ids) for r in candidates.merge_overlaps(df).collect()}
+    assert m == {1: (True, None, [1, 2, 3]), 2: (False, 1, [2, 3]), 3: (True, None, [9])}
+    s = {r.cand_id: r for r in candidates.scores(df, "the coils of it").collect()}
+    assert s[1].relevance == 0.5 and s[2].relevance == 0.0
+    assert (s[1].audio_support, s[2].audio_support, s[3].audio_support) == (0.3, 0.8, 0.8) and (s[1].editability, s[3].editability) == (1.0, 0.85)
+
+
+def test_known_stitch_limits_and_dedup(spark):
+    kind = "clip_id long, seg_id long, s long, e long"
+    more = spark.createDataFrame([(1, 1, 200_000, 250_000), (2, 1, 32_000, 50_000), (3, 1, 30_000, 70_000), (3, 2, 70_000, 120_000), (4, 1, 5000, None), (4, 2, 40_000, 30_000)], kind)
+    first = spark.createDataFrame([(i, 0, 30_000) for i in range(1, 5)], "clip_id long, s long, e long")
+    got = {(r.clip_id, r.seg_id): r.outcome for r in intervals.stitch_limits(first, more).collect()}
+    assert got == {(1, 1): "too_far", (2, 1): "kept", (3, 1): "kept", (3, 2): "too_long", (4, 1): "unreadable", (4, 2): "empty"}
+
+
+def test_second_range_starts_where_the_first_ended(spark):
+    r = spark.createDataFrame([(1, 0, 2000), (1, 10_000, 12_000)], "clip_id long, s long, e long")
+    assert [(x.out_s, x.out_e) for x in intervals.output_timeline(r, "clip_id").orderBy("s").collect()] == [(0, 2000), (2000, 4000)]
+
+
+def test_overlap_join_equals_the_pairs(spark):
+    rng = random.Random(3)
+    rows = [(rng.randint(0, 2), i, s := rng.randint(0, 900), s + rng.choice([-5, 0, 10, 400])) for i in range(120)]
+    a, b = spark.createDataFrame(rows[:60], "k long, i long, a0 long, a1 long"), spark.createDataFrame(rows[60:], "k long, j long, b0 long, b1 long")
+    got = sorted((r.i, r.j) for r in intervals.overlap_join(a, b, "k", ("a0", "a1"), ("b0", "b1"), 50).collect())
+    want = sorted((x[1], y[1]) for x in rows[:60] for y in rows[60:] if x[0] == y[0] and x[2] <= x[3] and y[2] <= y[3] and x[2] <= y[3] and y[2] <= x[3])
+    assert got == want
+
+
+def test_faces_associate_as_in_the_loop(spark):
+    rng = random.Random(6)
+    rows = [(c, p, p % 9 == 8, [(rng.randint(0, 1279), rng.randint(0, 719)) for _ in range(rng.randint(0, 3))]) for c in range(4) for p in range(30)]
+    for c in range(4):  # faces that stay near
+        for p in range(30):
+            rows.append((c + 10, p, p == 15, [(300 + p * 3, 200), (900 - p * 2, 220 + p)][: 1 + p % 3]))
+    df = spark.createDataFrame(rows, "clip_id long, pos long, cut boolean, boxes array<struct<cx:long,cy:long>>")
+    got = {(r.clip_id, r.pos, r.box): r.track_id for r in framing.associate(df).collect()}
+    want = {}
+    for c in {r[0] for r in rows}:
+        tracks, new = [], 0
+        for _, p, cut, boxes in sorted(r for r in rows if r[0] == c):
+            tracks, now, used = [] if cut else tracks, [], set()
+            for t, x, y in tracks:
+                near = sorted((abs(bx - x) + abs(by - y), j) for j, (bx, by) in enumerate(boxes) if j not in used)
+                if near and near[0][0] < 1280 * 0.12:
+                    j = near[0][1]
+                    used.add(j)
+                    now.append((t, *boxes[j]))
+                    want[c, p, j] = t
+            for j, box in enumerate(boxes):
+                if j not in used:
+                    now.append((new, *box))
+                    want[c, p, j] = new
+                    new += 1
+            tracks = now
+    assert got == want
+
+
+def test_model_replies(spark):
+    told = ["```json\n[1]\n```", "<think>[0]</think> [2]", 'x {"a": 3} y', "none", "<think>so [4]", "<think>a [5] b</think>", None, "[7] and [8]"]
+    df = spark.createDataFrame(list(enumerate(told)), "i int, t string").select("i", text.model_json(F.col("t")).alias("j"))
+    got = {r.i: r.j for r in df.collect()}
+    assert got == {0: "[1]", 1: "[2]", 2: '[{"a": 3}]', 3: None, 4: "[4]", 5: "[5]", 6: None, 7: "[7] and [8]"}
+
+
+def test_written_tables_are_read_by_video(spark, tmp_path, timeline):
+    _, df = timeline
+    root = f"file://{tmp_path}"
+    chunks = segment.silence_chunks(df, Chunking(min_ms=0)).withColumn("chunk_id", F.col("chunk_index"))
+    sinks.write_table(chunks, f"{root}/chunks")
+    got = transcript.rows_of_video(spark, root, "chunks", 51)
+    assert [r.chunk_index for r in got.collect()] == sorted(r.chunk_index for r in chunks.where("video_id = 51").collect())
+    assert "PartitionFilters: [isnotnull(video_id" in got._jdf.queryExecution().executedPlan().toString()
+    sinks.write_transcript(chunks.withColumn("pos", F.col("chunk_index")), f"{root}/t")
+    lines = spark.read.text(f"{root}/t/txt").where("video_id = 51").count()
+    assert lines == chunks.where("video_id = 51").count() == spark.read.json(f"{root}/t/json").where("video_id = 51").count()
+    plans = spark.createDataFrame([(1, (2, "x")), (2, (3, "y"))], "clip_id long, plan struct<version:int,layout:string>")
+    sinks.write_plans(plans, f"{root}/plans")
+    assert sorted(r.value for r in spark.read.text(f"{root}/plans").collect()) == ['{"version":2,"layout":"x"}', '{"version":3,"layout":"y"}']
+    sinks.write_report(sinks.plan_json(plans, "clip_id"), f"{root}/r")
+    assert spark.read.json(f"{root}/r").count() == 2
+
+
+def test_rows_without_windows_or_with_bad_ranges_pass_or_go(spark, timeline):
+    _, df = timeline
+    s = segment.sentences(df.where("video_id = 51"))
+    clips = spark.createDataFrame([(51, 1, 10_000, 40_000), (51, 2, 9_000_000, 9_030_000), (51, 3, 5000, 5000), (7000, 4, 0, 20_000)], "video_id long, clip_id long, s long, e long")
+    more = spark.createDataFrame([(51, 1, 1, 41_000, 60_000), (51, 1, 2, 300_000, 320_000), (51, 3, 1, 6000, 30_000)], "video_id long, clip_id long, seg_id long, s long, e long")
+    got = {r.clip_id: r for r in intervals.refine_all(clips, more, s).collect()}
+    assert {k: r.refine_status for k, r in got.items()} == {1: "refined", 2: "passthrough_no_transcript", 3: "rejected_range", 4: "passthrough_no_transcript"}
+    assert got[3].ranges is None and got[2].output_ms == 30_000 and got[1].output_ms == sum(x.e - x.s for x in got[1].ranges)
+    ends = spark.createDataFrame([(51, 30_000)], "video_id long, duration_ms long")
+    assert max(r.refined_e for r in intervals.refine(clips.where("clip_id = 1"), s, durations=ends).collect()) <= 30_000 + 300
+
+
+def test_overlay_and_defaults(spark):
+    c = spark.createDataFrame([("a", None, "top"), ("b", False, None)], "campaign_id string, fade boolean, logo string")
+    assert [tuple(r) for r in adapters.overlay({"fade": True, "music": "x"}, c).select("fade", "logo", "music").collect()] == [(True, "top", "x"), (False, None, "x")]
+    d = adapters.with_default_campaign(c).collect()
+    assert (d[0].fade, d[1].fade, d[0].layout, d[0].min_clip_duration) == (True, False, "auto", 45)

@@ -25,6 +25,18 @@ def test_cues_carry_state_between_batches(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_an_end_mark_gives_out_the_open_cue(spark, tmp_path):
+    rows = [(1, i, f"w{i}", i * 400, i * 400 + 350) for i in range(11)]
+    df = spark.createDataFrame(rows, WORDS)
+    df.where("pos < 9").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    df.where("pos >= 9").union(spark.createDataFrame([(1, 99, None, None, None), (2, 0, None, None, None)], WORDS)).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    stream = spark.readStream.schema(WORDS).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    for name, idle in (("ended_out", None), ("idle_out", "10 minutes")):
+        got = run(spark, utterances.cues(stream, idle=idle), name)
+        want = captions.caption_cues(df).select("video_id", "start_ms", "end_ms", "text")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_sessions_close_behind_the_watermark(spark, tmp_path):
     rows = [(1, "2024-01-01 00:00:00"), (1, "2024-01-01 01:00:00"), (1, "2024-01-02 00:00:00"), (2, "2024-01-01 00:00:00"), (9, "2024-02-01 00:00:00")]
     df = spark.createDataFrame(rows, "user_id long, t string").select("user_id", F.col("t").cast("timestamp_ntz").alias("ts"))
