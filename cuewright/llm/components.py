@@ -2,7 +2,8 @@
 
 First tasks contract links: each takes at most ``per_task`` of them, joins their nodes by
 union-find and passes on one link per node, to the least node it knows. If the links
-fit one task of that size, that is all. Else large-star and small-star steps follow:
+fit one task of that size, that is all: one task's contraction is the whole result, and a
+step over it would change nothing. Else large-star and small-star steps follow:
 every node points its larger (smaller) neighbours at the least node it knows, until
 nothing changes. A step is one aggregation to the minimum per node and one join with
 it, so a node with very many links costs one partially aggregated group and one skewed
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 PER_TASK = 500_000
 
@@ -63,10 +64,12 @@ def components(edges: DataFrame, name: str = "components", per_task: int = PER_T
     now = materialize(edges.where("a <> b").select("a", "b"), name)
     tasks = max(1, -(-now.count() // per_task))
     dealt = now.repartition(tasks) if tasks > 1 else now.coalesce(1)  # one task of at most per_task links
-    now = materialize(dealt.mapInPandas(_contract, "a long, b long"), name)
+    raw, now = now, materialize(dealt.mapInPandas(_contract, "a long, b long"), name)
+    release(raw)
     before = None
     for _ in range(most if tasks > 1 else 0):
-        now = materialize(_star(_star(now, True).distinct(), False).distinct(), name)
+        old, now = now, materialize(_star(_star(now, True).distinct(), False).distinct(), name)
+        release(old)
         seen = now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("b", "a").cast("decimal(20,0)"))).first()
         if seen == before:
             break

@@ -115,7 +115,12 @@ _CANONICAL = r"""
 
 
 def oracle_sql() -> dict[str, str]:
+    slots = ",".join(map(str, sharding.fill(SHARDS)))
     return {
+        "op5_sharding": f"""
+WITH t AS (SELECT [{slots}] AS xs), d AS (SELECT doc_id, (('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT % {sharding.TABLE})::INT AS slot FROM documents)
+SELECT doc_id, slot, 'shard-' || lpad((SELECT xs FROM t)[slot + 1]::VARCHAR, 3, '0') AS shard FROM d
+""",
         "op1_warc_revisits": f"""
 WITH {_CANONICAL},
   base AS (SELECT page_id, canonical, md5(html) AS d, substr(md5(html), 1, 16) AS tag, page_id % 3 AS r,

@@ -59,7 +59,7 @@ def slot_of(doc_id: Column, size: int = TABLE) -> Column:
 def place(docs: DataFrame, shards: list[str], size: int = TABLE, weights: dict[str, int] | None = None) -> DataFrame:
     """docs with ``slot`` and ``shard``. Every row is placed: null ids by the empty text, repeated rows alike.
 
-    Columns of docs named slot or shard are replaced. The table is broadcast; its size is checked against MAX_TABLE."""
+    Texts are not read, so null, empty and very long ones make no difference; an empty table gives no rows. Columns of docs named slot or shard are replaced. The table is broadcast; its size is checked against MAX_TABLE."""
     require(docs, "doc_id")
     rows = [(slot, shards[i]) for slot, i in enumerate(fill(shards, size, weights))]
     table = docs.sparkSession.createDataFrame(rows, "slot int, shard string")

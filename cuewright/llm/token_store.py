@@ -75,7 +75,10 @@ def merkle(hashes: list[bytes]) -> bytes:
 
 
 def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, width: int = 2) -> None:
-    """Encode every whole text (null: empty), append the end id, and write the store to an empty path."""
+    """Encode every whole text (null: empty), append the end id, and write the store to an empty path.
+
+    Repeated rows and null ids are documents of their own; very long texts are cut into chunks
+    as any other; an empty table gives an empty store; other columns are ignored."""
     require(docs, "doc_id", "text")
     spark, vocabulary = docs.sparkSession, vocabulary or tokens.vocabulary_path()
     kind = "<u2" if width == 2 else "<u4"

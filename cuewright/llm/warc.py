@@ -1,7 +1,7 @@
 """WARC not-modified revisits: an as-of join by canonical URL.
 
-A revisit record (HTTP 304) has no payload. It is resolved to the latest earlier full
-response of the same canonical URL whose validators agree, and gets that response's
+A revisit record (HTTP 304) has no payload. It is held against the latest earlier full
+response of the same canonical URL: if their validators agree it gets that response's
 payload digest and headers, with the headers that a 304 may change taken from the revisit.
 
 Records are range-sorted by (canonical URL, time, record id), so that one URL with very
@@ -51,7 +51,9 @@ def resolve(records: DataFrame, name: str = "warc") -> DataFrame:
     validator on both sides: taken, unchecked), ``validator_mismatch``,
     ``no_earlier_response``. Ties in time go by record_id, null ids first; a response with
     equal time and a smaller id is earlier. A null URL has no canonical form and its
-    revisits are orphans; null headers are empty; other statuses are ignored."""
+    revisits are orphans; null headers are empty, a null digest stays null; other statuses are
+ignored; repeated revisits are resolved each, a repeated response counts once; empty and very
+long URLs are taken whole; an empty table gives no rows."""
     require(records, "record_id", "url", "ts", "status", "headers", "digest")
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     rows = records.where(F.col("status").isin(200, 304)).select(
