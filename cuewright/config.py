@@ -1,4 +1,4 @@
-"""Default parameters of the operators; times in milliseconds."""
+"""Default parameters of the operators; times in milliseconds. Fixed values throughout: results must be those of these numbers."""
 
 from __future__ import annotations
 

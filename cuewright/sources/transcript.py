@@ -75,8 +75,8 @@ def read_srt(spark: SparkSession, path: str) -> DataFrame:
 
 
 def srt_cues(raw: DataFrame) -> DataFrame:
-    blocks = raw.select("video_id", F.posexplode(F.split(F.trim("value"), r"\n\s*\n")).alias("cue", "block"))
-    lines = F.split(F.trim("block"), "\n")
+    blocks = raw.select("video_id", F.posexplode(F.split(F.trim("value", F.lit(" \n\t")), r"\n\s*\n")).alias("cue", "block"))
+    lines = F.split(F.trim("block", F.lit(" \n\t")), "\n")
     times = F.split(F.get(lines, 1), " --> ")
     return (
         blocks.where(F.size(lines) >= 3)

@@ -530,3 +530,28 @@ def test_overlay_and_defaults(spark):
     assert [tuple(r) for r in adapters.overlay({"fade": True, "music": "x"}, c).select("fade", "logo", "music").collect()] == [(True, "top", "x"), (False, None, "x")]
     d = adapters.with_default_campaign(c).collect()
     assert (d[0].fade, d[1].fade, d[0].layout, d[0].min_clip_duration) == (True, False, "auto", 45)
+
+
+def test_srt_files_round_trip(spark, tmp_path):
+    (tmp_path / "a.srt").write_text("1\r\n00:00:01,500 --> 00:00:02,000\r\nHello\r\nthere\r\n\r\nbroken\r\n\r\n2\r\n00:01:00,000 --> 00:01:01,250\r\nEnd\r\n")
+    got = [(r.start_ms, r.end_ms, r.text) for r in transcript.read_srt(spark, f"file://{tmp_path}/*.srt").orderBy("start_ms").collect()]
+    assert got == [(1500, 2000, "Hello there"), (60_000, 61_250, "End")]
+    words = spark.createDataFrame([(1, 0, "Hi", 0, 400), (1, 1, "you.", 500, 900)], WORDS)
+    lines = captions.srt_lines(words, spark.createDataFrame([(7, 1, 0, 2000)], "clip_id long, video_id long, s long, e long"))
+    assert captions.srt_files(lines).first().srt == "1\n00:00:00,000 --> 00:00:00,400\nHi\n\n2\n00:00:00,500 --> 00:00:00,900\nyou.\n"
+
+
+def test_lists_of_ranges(spark):
+    df = spark.sql("SELECT array(named_struct('s', 0L, 'e', 10L)) a, array(named_struct('s', 5L, 'e', 15L)) b, CAST(array() AS array<struct<s:bigint,e:bigint>>) c")
+    r = df.select(numeric.iou(F.col("a"), F.col("b")), numeric.coverage(F.col("a"), F.col("b")), numeric.iou(F.col("a"), F.col("c")), numeric.ranges_length(F.col("a")), numeric.ranges_overlap(F.col("a"), F.col("b"))).first()
+    assert tuple(r) == (1 / 3, 0.5, 0.0, 10, 5)
+
+
+def test_log_joins_keep_the_newest(spark):
+    log = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "k long, seq long, v string")
+    assert {(r.k, r.v) for r in state.upsert(log, ["k"], ["seq"]).collect()} == {(1, "b"), (2, "c")}
+    new = spark.createDataFrame([(1, 9, "n")], "k long, seq long, v string")
+    assert sorted((r.k, r.v) for r in state.replace_by(log, new, "k").collect()) == [(1, "n"), (2, "c")]
+    plans = spark.createDataFrame([(1, 1, "x"), (1, 2, "y")], "k long, version long, p string")
+    more = spark.createDataFrame([(1, "z"), (3, "w")], "k long, p string")
+    assert sorted((r.k, r.version, r.p) for r in state.append_version(plans, more, "k").collect()) == [(1, 1, "x"), (1, 2, "y"), (1, 3, "z"), (3, 1, "w")]
