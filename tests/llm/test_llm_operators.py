@@ -504,7 +504,7 @@ def test_search_against_brute_force(spark, awkward):
     rows = awkward + [(200 + i, words(rng, rng.randint(1, 60))) for i in range(150)]
     d = docs(spark, rows)
     queries = spark.createDataFrame([(i, t) for i, t in rows if i is not None and i % 5 == 0], "query_id long, text string")
-    p = search.SearchParams(k=4, buffer_docs=50, shard_docs=20, common=4, batch=3, block_terms=400, sample=2)
+    p = search.SearchParams(k=4, buffer_docs=50, shard_docs=20, common=4, batch=3, block_terms=400, passes=(1, 3))
     got = collections.defaultdict(list)
     for r in search.top_k(d, queries, p).collect():
         got[r.query_id].append((r["rank"], r.doc_id, r.score))
