@@ -11,7 +11,8 @@ Two texts are linked when |A & B| / |A | B| is at least ``similarity``, t below.
 2. Pairs under a shingle are dropped where the sizes, or the places of the shingle in both
    sets, allow no t. Under a shingle of more than ``NEXT`` + 1 texts only some pivots are
    paired with all others; the others meet again in a further round, with more pivots,
-   unless the links found by then have joined them.
+   unless the links found by then have joined them. The texts of a shingle that ``CROWD`` of
+   them share are dealt to blocks, of which every two meet, so no task holds them all.
 3. Every text has a bitmap of its shingles' parities, of about as many bits as shingles. Two
    bitmaps differ in at most as many bits as the sets do in shingles, so pairs whose bitmaps
    differ in more than t allows are dropped.
@@ -39,6 +40,7 @@ _STEP = 0x9E3779B97F4A7C15
 NEXT = 16
 PIVOTS = 8
 PER_TASK = 500_000  # pairs of one forest
+CROWD = 200_000  # rows of a shingle that one task holds
 #: One of so many nodes is counted; shingles that so many of those hold count as common, the most common of them first.
 SAMPLE, LEAST, COMMON = 16, 4, 1 << 18
 
@@ -140,29 +142,34 @@ def _may(n: np.ndarray, pos: np.ndarray, root: np.ndarray, a, b, similarity: flo
 _STEPS = "key long, a long, b long, n long, pos long"
 
 
-def _search(frames: Iterator[pd.DataFrame], similarity: float, pivots: int) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (key, node) -> pairs (a, b; n is 0) to compare, and the rows (a is the node) of crowded keys that must meet again."""
+def _search(frames: Iterator[pd.DataFrame], similarity: float, pivots: int, few_rows: int, crowd_rows: int) -> Iterator[pd.DataFrame]:
+    """Rows sorted by (key, node) -> pairs (a, b; n is 0) to compare, and the rows (a is the node) of keys that must meet again;
+    n is negative for keys of over crowd_rows rows, which no task holds: they are dealt anew first."""
 
     def pairs(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
         both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         zero = np.zeros(len(both), np.int64)
         return pd.DataFrame({"key": zero, "a": both[:, 0], "b": both[:, 1], "n": zero, "pos": zero})
 
+    def dealt(rows: list[np.ndarray]) -> pd.DataFrame:
+        key, node, n, pos, _ = rows
+        return pd.DataFrame({"key": key, "a": node, "b": np.zeros(len(key), np.int64), "n": -n, "pos": pos})
+
     def met(key, node, n, pos, root) -> Iterator[pd.DataFrame]:
         if not len(key):
             return
         starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(np.append(starts, len(key)))
-        few = np.repeat(size <= NEXT + 1, size)
+        few = np.repeat(size <= few_rows + 1, size)
         left, right = [], []
-        for d in range(1, min(NEXT, int(size.max()) - 1) + 1):
+        for d in range(1, min(few_rows, int(size.max()) - 1) + 1):
             a = np.flatnonzero((key[d:] == key[:-d]) & few[d:])
             a = a[_may(n, pos, root, a, a + d, similarity)]
             left.append(node[a])
             right.append(node[a + d])
         if left and sum(map(len, left)):
             yield pairs(np.concatenate(left), np.concatenate(right))
-        for s, m in zip(starts[size > NEXT + 1].tolist(), size[size > NEXT + 1].tolist(), strict=True):
+        for s, m in zip(starts[size > few_rows + 1].tolist(), size[size > few_rows + 1].tolist(), strict=True):
             if (root[s : s + m] == root[s]).all():
                 continue
             for p in range(s, s + min(pivots, m)):  # by node: much the same for all keys of a group
@@ -174,11 +181,16 @@ def _search(frames: Iterator[pd.DataFrame], similarity: float, pivots: int) -> I
             if m - pivots > 1:
                 yield pd.DataFrame({"key": key[rest], "a": node[rest], "b": np.zeros(m - pivots, np.int64), "n": n[rest], "pos": pos[rest]})
 
-    held = None  # of the key that may go on in the next frame
+    held, crowd = None, None  # rows of the key that may go on in the next frame; a key that has too many
     for f in frames:
         now = [f[c].to_numpy(np.int64) for c in ("key", "node", "n", "pos", "root")]
         if held is not None:
             now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            held = None
+        if crowd is not None:
+            same = now[0] == crowd
+            yield dealt([x[same] for x in now])
+            now = [x[~same] for x in now]
         if not len(now[0]):
             continue
         fresh = np.append(True, (now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1]))  # texts of one set come once
@@ -186,10 +198,21 @@ def _search(frames: Iterator[pd.DataFrame], similarity: float, pivots: int) -> I
         cut = int(np.searchsorted(now[0], now[0][-1]))  # keys ascend
         yield from met(*(x[:cut] for x in now))
         held = [x[cut:] for x in now]
+        if len(held[0]) > crowd_rows:
+            yield dealt(held)
+            held, crowd = None, held[0][0]
     if held is not None:
         yield from met(*held)
 
 
+def _dealt(crowded: DataFrame) -> DataFrame:
+    """Rows (key, node, n, pos) of keys with too many, in groups of bounded size: its nodes go to blocks, every two blocks meet."""
+    counts = crowded.groupBy("key").agg(F.ceil(F.count("*") * 4 / CROWD).cast("int").alias("blocks"))  # fewer rows than rows / CROWD
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = crowded.join(counts, "key").withColumn("i", mine).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), "node", "n", "pos")
+
+
 def _likely(pairs: DataFrame, bits: DataFrame, similarity: float) -> DataFrame:
     """The pairs of nodes whose bitmaps allow the similarity."""
 
@@ -258,13 +281,16 @@ def links(docs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int, simila
     bits = nodes.select("node", "least.n", "least.bits")
     found, pivots = None, PIVOTS
     while True:
-        now = pivots
-        step = materialize(keyed.repartition("key").sortWithinPartitions("key", "node").mapInPandas(lambda it: _search(it, similarity, now), _STEPS), "shingles-pairs")  # noqa: B023
+        limits = (pivots, NEXT, CROWD)
+        step = materialize(keyed.repartition("key").sortWithinPartitions("key", "node").mapInPandas(lambda it: _search(it, similarity, *limits), _STEPS), "shingles-pairs")  # noqa: B023
         pairs = materialize(_likely(step.where("n = 0").select("a", "b").distinct(), bits, similarity), "shingles-likely")
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("node", "least.id", "least.hash")
         sets = materialize(_sets(docs.join(ends, ["id", "hash"]).select("node", "text"), width), "shingles-sets")
         found = _confirmed(pairs, found, sets, similarity)
         again = step.where("n > 0").select("key", F.col("a").alias("node"), "n", "pos")
+        crowded = step.where("n < 0").select("key", F.col("a").alias("node"), (-F.col("n")).alias("n"), "pos")
+        if not crowded.isEmpty():
+            again = again.union(_dealt(crowded))
         if again.isEmpty():
             return found
         keyed = again.join(components(found, "shingles-components"), "node", "left").select("key", "node", "n", "pos", F.coalesce("root", "node").alias("root"))

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 pytest.importorskip("cuewright.llm.queries")
@@ -36,9 +37,10 @@ def edited(rng, text, edits):
     return " ".join(w)
 
 
-@pytest.mark.parametrize("next_", [1, 16])
-def test_near_copies_against_brute_force(spark, monkeypatch, next_):
+@pytest.mark.parametrize(("next_", "crowd"), [(1, 200_000), (16, 200_000), (4, 12)])
+def test_near_copies_against_brute_force(spark, monkeypatch, next_, crowd):
     monkeypatch.setattr(shingles, "NEXT", next_)
+    monkeypatch.setattr(shingles, "CROWD", crowd)
     monkeypatch.setattr(shingles, "PIVOTS", 2)
     rng = random.Random(9)
     line = words(rng, 12)
@@ -53,6 +55,15 @@ def test_near_copies_against_brute_force(spark, monkeypatch, next_):
     assert sorted((1 << 63) - 1 if r.doc_id is None else r.doc_id for r in got.collect()) == survivors(rows)
 
 
+def test_bitmaps_never_count_too_many_differences():
+    rng = np.random.default_rng(3)
+    for n, m, both in ((10, 12, 8), (300, 290, 250), (100, 1, 0), (64, 65, 64), (5000, 4000, 3900)):
+        pool = rng.integers(0, 1 << 63, n + m, dtype=np.uint64)
+        a, b = pool[:n], np.concatenate([pool[:both], pool[n : n + m - both]])
+        assert shingles.fewest_differences(shingles.parities(a), shingles.parities(b)) <= n + m - 2 * both
+    assert shingles.fewest_differences(shingles.parities(pool[:70]), shingles.parities(pool[:70])) == 0
+
+
 def test_the_pipeline_leaves_no_near_copy(spark):
     rng = random.Random(4)
     while True:
