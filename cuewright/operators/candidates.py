@@ -159,14 +159,14 @@ def greedy(ranked: DataFrame, clash, most: int | None = None) -> DataFrame:
     """Keep rows in rank order unless they clash with one kept before; at most ``most``.
 
     ranked: (video_id, rk, s, e, words, ...); clash(later, earlier) is a column over two
-    structs of such rows and true only for rows that overlap in time. Clashing pairs come
+    structs of such rows (the earlier one of rk, s, e and words) and true only for rows that overlap in time. Clashing pairs come
     from a bucketed overlap join; the fold over a video carries ranks alone, for each row
     the earlier ranks it clashes with. Adds ``kept`` and ``winner`` (the rank of the first
     kept row it clashes with)."""
     fields = [c for c in ranked.columns if c != "video_id"]
     low, high = F.coalesce(F.least("s", "e"), F.lit(-1)), F.coalesce(F.greatest("s", "e"), F.lit(-1))
     x = ranked.select("video_id", low.alias("x0"), high.alias("x1"), F.struct(*fields).alias("x"))
-    y = ranked.select("video_id", low.alias("y0"), high.alias("y1"), F.struct(*fields).alias("y"))
+    y = ranked.select("video_id", low.alias("y0"), high.alias("y1"), F.struct(*[c for c in ("rk", "s", "e", "words") if c in fields]).alias("y"))
     met = overlap_join(x, y, "video_id", ("x0", "x1"), ("y0", "y1")).where(F.col("y.rk") <= F.col("x.rk"))  # every row meets itself
     earlier = F.when((F.col("y.rk") < F.col("x.rk")) & clash(F.col("x"), F.col("y")), F.col("y.rk"))
     rows = met.groupBy("video_id", F.col("x.rk").alias("rk")).agg(F.first("x").alias("x"), F.array_sort(F.collect_list(earlier)).alias("es"))
