@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, quality, search, sharding, simhash, token_store, toxicity, url_rules, warc
+from . import decontamination, divergence, filter_audit, packing, quality, search, sharding, simhash, token_store, toxicity, url_rules, warc
 from .common import new_path
 
 RULES = [
@@ -95,10 +95,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_warc_revisits, op2_quality, op3_token_store, op4_decontamination, op5_sharding,
         op6_url_rules, op7_toxicity, op8_simhash, op9_search, op10_packing,
+        op11_filter_audit, op13_source_divergence,
     ]
     return {f.__name__: f for f in found}
 
@@ -114,9 +123,60 @@ _CANONICAL = r"""
 """
 
 
+_AUDIT = r"""
+WITH RECURSIVE
+  orders(o) AS (SELECT '' UNION ALL SELECT o || f FROM orders, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) l(f) WHERE NOT contains(o, f)),
+  steps AS (SELECT o, k, substr(o, k, 1) AS f, 1 << strpos('ABCDE', substr(o, k, 1)) AS bit,
+      list_sum(list_transform(range(1, k), lambda i: 1 << strpos('ABCDE', substr(o, i, 1)))) AS earlier
+    FROM orders, (SELECT unnest(range(1, 6)) AS k) WHERE length(o) = 5),
+  d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+  w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+  m AS (SELECT doc_id, part, CASE WHEN len(ws) < 200 THEN 2 ELSE 0 END
+      + CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 4 ELSE 0 END
+      + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 8 ELSE 0 END
+      + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 16 ELSE 0 END + CASE WHEN doc_id > least THEN 32 ELSE 0 END AS mask FROM w),
+  lab AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+  c AS (SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM m LEFT JOIN lab USING (doc_id) GROUP BY part, mask),
+  r AS (SELECT part, o AS filter_order, k::INT AS step, f,
+      coalesce(sum(n) FILTER (mask & (coalesce(earlier, 0)::INT | bit) = 0), 0)::BIGINT AS kept,
+      coalesce(sum(n) FILTER (mask & bit > 0 AND mask & coalesce(earlier, 0)::INT = 0), 0)::BIGINT AS removed,
+      coalesce(sum(n) FILTER (mask & bit > 0 AND mask & coalesce(earlier, 0)::INT > 0), 0)::BIGINT AS redundant,
+      coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+      coalesce(sum(good) FILTER (mask & bit > 0 AND mask & coalesce(earlier, 0)::INT = 0), 0)::BIGINT AS good_lost,
+      coalesce(sum(toxic) FILTER (mask & bit > 0 AND mask & coalesce(earlier, 0)::INT = 0), 0)::BIGINT AS toxic_lost
+    FROM c, steps GROUP BY part, o, k, f)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  sum(removed) OVER (PARTITION BY part, f)::BIGINT AS shapley FROM r
+"""
+
+_DIVERGENCE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+  tok AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+  kept AS (SELECT lang, term, count(*) AS ln FROM tok GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+  grp AS (SELECT DISTINCT lang, source FROM d),
+  cnt AS (SELECT lang, source, term, count(*) AS n FROM tok GROUP BY lang, source, term),
+  dense AS (SELECT g.lang, g.source, k.term, k.ln, coalesce(c.n, 0) AS n
+    FROM grp g JOIN kept k USING (lang) LEFT JOIN cnt c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+  p AS (SELECT lang, source, term, n,
+      (1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER (PARTITION BY lang, source) + count(*) OVER (PARTITION BY lang, source)))::BIGINT AS p FROM dense),
+  q AS (SELECT lang, term, (1 + (1000000000::HUGEINT * (ln + 1)) // (sum(ln) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang)))::BIGINT AS q FROM kept),
+  summed AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS v
+    FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+  pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.v, 0)::BIGINT AS value
+    FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN summed s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+  term AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM (FROM pair UNION ALL FROM term))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     slots = ",".join(map(str, sharding.fill(SHARDS)))
     return {
+        "op11_filter_audit": _AUDIT,
+        "op13_source_divergence": _DIVERGENCE,
         "op5_sharding": f"""
 WITH t AS (SELECT [{slots}] AS xs), d AS (SELECT doc_id, (('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT % {sharding.TABLE})::INT AS slot FROM documents)
 SELECT doc_id, slot, 'shard-' || lpad((SELECT xs FROM t)[slot + 1]::VARCHAR, 3, '0') AS shard FROM d
