@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, divergence, filter_audit, packing, quality, search, sharding, simhash, token_store, toxicity, url_rules, warc
+from . import decontamination, divergence, filter_audit, packing, quality, search, secret_scan, sharding, simhash, token_store, toxicity, url_rules, warc
 from .common import new_path
 
 RULES = [
@@ -99,6 +99,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.spans(table(spark, sf_dir, "documents")))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -107,7 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_warc_revisits, op2_quality, op3_token_store, op4_decontamination, op5_sharding,
         op6_url_rules, op7_toxicity, op8_simhash, op9_search, op10_packing,
-        op11_filter_audit, op13_source_divergence,
+        op11_filter_audit, op12_secret_scan, op13_source_divergence,
     ]
     return {f.__name__: f for f in found}
 
