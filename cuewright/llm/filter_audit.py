@@ -4,8 +4,9 @@
    of full texts, each with the smallest id seen. Of two rows with one text the larger id is
    emitted as non-minimum at once, so a task sends on one row per distinct text, however often
    it is copied; the owners of the fingerprints merge the chains in the same way.
-2. The filters that look at one text alone are judged once per chain link. Every row becomes
-   a mask of the filters it fails.
+2. The filters that look at one text alone are judged once per chain link, before routing; what
+   a task sends is written, so a lost executor costs no second look at the texts. Every row
+   becomes a mask of the filters it fails.
 3. ``combineByKey`` adds vectors of counts by mask; all orders are read from one vector a part.
 
 Filters: A under ``min_words`` words, B under ``distinct_pct`` percent distinct words, C over
@@ -27,14 +28,18 @@ import itertools
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import materialize, release, require
 
 FILTERS = "ABCDE"
+#: Bytes of text in a batch that a task passes on.
+_BATCH = 8 << 20
 _COPY = 1 << FILTERS.index("E")
 _MASKS = 1 << len(FILTERS)
 _CAPITALS = bytes(range(65, 91))
@@ -101,36 +106,51 @@ class _Chains:
         self.chains, self.size = {}, 0
 
 
-def _lost(found: tuple) -> Iterator[tuple]:
-    """Rows (id, part, mask, rows) of a non-minimum id under a key that spreads them."""
-    mask, doc_id, parts = found
-    key = xxhash.xxh64_intdigest(repr(doc_id))
-    for part, n in parts.items():
-        yield key, (doc_id, part, mask | _COPY, n)
-
-
-def _send(rows: Iterable, p: AuditParams) -> Iterator[tuple]:
-    chains = _Chains(p.fingerprint)
-    for doc_id, text, part in rows:
-        raw = bytes(text)
-        found = chains.add(raw, doc_id, {part: 1}, lambda raw=raw: text_mask(raw, p))
-        if found:
-            yield from _lost(found)
-        if chains.size > p.held_bytes:
-            yield from ((fp, (None, *link)) for fp, link in chains.drain())
-    yield from ((fp, (None, *link)) for fp, link in chains.drain())
+def _send(batches: Iterator[pa.RecordBatch], schema: pa.Schema, p: AuditParams) -> Iterator[pa.RecordBatch]:
+    """What a task passes on: the smallest id of each text with the text, and non-minimum ids without."""
+    chains, rows, size = _Chains(p.fingerprint), [], 0
+
+    def lost(mask: int, doc_id, parts: dict[str, int]) -> tuple:
+        return xxhash.xxh64_intdigest(repr(doc_id)), None, mask | _COPY, doc_id, parts
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        key, raw, mask, doc_id, parts = zip(*rows, strict=True)
+        signed = [k - (1 << 64) if k >> 63 else k for k in key]
+        columns = [signed, raw, mask, doc_id, [list(x.items()) for x in parts]]
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    for batch in batches:
+        for doc_id, raw, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found = chains.add(raw, doc_id, {part: 1}, lambda raw=raw: text_mask(raw, p))
+            if found:
+                rows.append(lost(*found))
+        full = chains.size > p.held_bytes
+        for fp, link in chains.drain() if full else ():
+            rows.append((fp, *link))
+            size += len(link[0])
+            if size > _BATCH:
+                yield packed(rows)
+                rows, size = [], 0
+    for fp, link in chains.drain():
+        rows.append((fp, *link))
+        size += len(link[0])
+        if size > _BATCH:
+            yield packed(rows)
+            rows, size = [], 0
+    if rows:
+        yield packed(rows)
 
 
 def _settle(rows: Iterable, p: AuditParams) -> Iterator[tuple]:
+    """(id, part, mask, rows) of all documents whose texts, or lost ids, came to this task."""
     chains = _Chains(p.fingerprint)
-    for _, row in rows:
-        if len(row) == 4:
-            yield row
-            continue
-        _, raw, mask, doc_id, parts = row
-        found = chains.add(raw, doc_id, parts, lambda mask=mask: mask)
+    for _, (raw, mask, doc_id, parts) in rows:
+        found = (mask, doc_id, dict(parts))
+        if raw is not None:
+            found = chains.add(bytes(raw), doc_id, dict(parts), lambda mask=mask: mask)
         if found:
-            yield from (x for _, x in _lost(found))
+            mask, doc_id, parts = found
+            yield from ((doc_id, part, mask | _COPY, n) for part, n in parts.items())
     for _, (_, mask, doc_id, parts) in chains.drain():
         yield from ((doc_id, part, mask, n) for part, n in parts.items())
 
@@ -139,14 +159,21 @@ def masks(docs: DataFrame, part: str = "lang", p: AuditParams = AuditParams()) -
     """(doc_id, part, mask, rows): the filters each document fails, bit i for the i-th of ``FILTERS``.
 
     Rows of one id and text are one row of the result per part and task; bit E marks the
-    non-minimum ids of a text. Written to the shared folder."""
+    non-minimum ids of a text. Written to the shared folder, as are the judged texts on their way."""
     require(docs, "doc_id", "text", part)
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary"), F.coalesce(F.col(part).cast("string"), F.lit(""))).rdd
-    parts = max(rows.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    settled = rows.mapPartitions(lambda x: _send(x, p)).partitionBy(parts, int).mapPartitions(lambda x: _settle(x, p))
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *T.StructType.fromDDL("part string, mask int, rows long").fields])
-    return materialize(spark.createDataFrame(settled, schema), "audit-masks")
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType
+    fields = T.StructType().add("key", T.LongType()).add("text", T.BinaryType()).add("mask", T.IntegerType()).add("doc_id", kind)
+    fields = fields.add("parts", T.MapType(T.StringType(), T.LongType()))
+    schema = to_arrow_schema(fields)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary"), F.coalesce(F.col(part).cast("string"), F.lit("")))
+    sent = materialize(rows.mapInArrow(lambda x: _send(x, schema, p), fields), "audit-sent")
+    routed = sent.rdd.map(lambda r: (r[0], tuple(r[1:])))
+    parts = max(routed.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    settled = routed.partitionBy(parts, int).mapPartitions(lambda x: _settle(x, p))
+    out = T.StructType().add("doc_id", kind).add("part", T.StringType()).add("mask", T.IntegerType()).add("rows", T.LongType())
+    out = materialize(spark.createDataFrame(settled, out), "audit-masks")
+    release(sent)
+    return out
 
 
 def _grow(vector: list[int], value: tuple) -> list[int]:
