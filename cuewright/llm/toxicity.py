@@ -71,7 +71,9 @@ def _words(texts: list[str | None], p: ToxicityParams):
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (start, end, score), end exclusive, in linear time.
 
-    Neighbours of one sign are joined first: a maximal segment never cuts such a run."""
+    Neighbours of one sign are joined first: a maximal segment never cuts such a run. Links to the
+    nearest candidate that begins lower skip those that cannot absorb a run, so every link is
+    followed once between two changes of the list, whichever way the sums drift."""
     if not len(scores) or scores.max() <= 0:
         return []
     up = scores > 0
@@ -79,22 +81,24 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     starts = np.concatenate([[0], edge])
     sums = np.add.reduceat(scores, starts)
     ends = np.append(edge, len(scores))
-    found: list[list[float]] = []  # [start, end, sum before, sum after]; the candidates of the scan
+    found: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum after; the candidates of the scan
+    lower: list[int] = []  # of each candidate the nearest earlier one with a smaller sum before, or -1
     total = 0.0
     for s, e, x in zip(starts.tolist(), ends.tolist(), sums.tolist(), strict=True):
         before, total = total, total + x
         if x <= 0:
             continue
-        item = [s, e, before, total]
+        j = len(found) - 1
         while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= item[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= item[3]:
-                found.append(item)
+            while j >= 0 and found[j][2] >= before:
+                j = lower[j]
+            if j < 0 or found[j][3] >= total:
                 break
-            item = [found[j][0], e, found[j][2], total]
-            del found[j:]
+            s, before, up_to = found[j][0], found[j][2], lower[j]
+            del found[j:], lower[j:]
+            j = up_to
+        found.append((s, e, before, total))
+        lower.append(j)
     return [(int(s), int(e), b - a) for s, e, a, b in found]
 
 
