@@ -4,7 +4,9 @@ Listed rules name a host (with all its subdomains) and a path prefix; the longes
 fits decides. Other URLs are judged by association rules: every labelled URL is a set of
 tokens (host labels, registered name, path words, query keys) and its class, Spark's
 FP-growth mines frequent sets, and rules from tokens to the class ``bad`` are kept by
-support, confidence and lift. Of tokens that occur in the same labelled URLs only one is
+support, confidence, lift and significance: the chance that a set without influence has so large a
+share of bad URLs, times the number of sets tried, is at most ``error``, so noise is dropped
+and small true rules live at every size. Of tokens that occur in the same labelled URLs only one is
 mined, so sets of them are not multiplied; of rules only the shortest are kept, as a rule
 whose tokens hold another's fires nowhere else. Rules match by an inverted index from
 token to rule: a rule fires when all its tokens are met. What is shuffled goes by the
@@ -18,6 +20,7 @@ the verdict is allow."""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -25,7 +28,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, require
+from .common import materialize, release, require
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BAD = "class=bad"
@@ -34,9 +37,9 @@ BAD = "class=bad"
 @dataclass(frozen=True)
 class MiningParams:
     support: float = 0.002  # of the labelled URLs, for tokens and class together
-    least: int = 25  # bad URLs that a rule must rest on, however few are labelled
     confidence: float = 0.5
     lift: float = 1.2
+    error: float = 0.05  # chance that any rule of a table without true ones is kept
     index_rows: int = 200_000  # entries of the index that are broadcast at once
 
 
@@ -97,10 +100,10 @@ def _one_of_each(marked: DataFrame) -> DataFrame:
 
 
 def mine(pages: DataFrame, labels: DataFrame, params: MiningParams = MiningParams()) -> DataFrame:
-    """(rule_id, antecedent, confidence, lift, support) of rules from tokens to the bad class, of pages (row, page_id, tokens).
+    """(rule_id, antecedent, confidence, lift, support, p) of rules from tokens to the bad class, of pages (row, page_id, tokens).
 
     A page's label is that of its page_id in ``labels``: bad when quality is 0 or toxic is 1."""
-    none = pages.sparkSession.createDataFrame([], "rule_id long, antecedent array<string>, confidence double, lift double, support double")
+    none = pages.sparkSession.createDataFrame([], "rule_id long, antecedent array<string>, confidence double, lift double, support double, p double")
     known = (
         labels.where(F.col("doc_id").isNotNull())
         .groupBy("doc_id")
@@ -109,17 +112,35 @@ def mine(pages: DataFrame, labels: DataFrame, params: MiningParams = MiningParam
     )
     marked = pages.select(F.col("page_id").alias("doc_id"), "row", "tokens").join(known, "doc_id").where(F.size("tokens") > 0)
     marked = materialize(marked.select("row", "tokens", "bad"), "url-marked")
-    n = marked.count()
-    if not n:
+    n, bad = marked.agg(F.count("*"), F.sum("bad")).first()
+    if not n or bad in (0, n):  # nothing to mine, or nothing to tell apart
+        release(marked)
         return none
-    kept = marked.select("row", "bad", F.explode("tokens").alias("token")).join(_one_of_each(marked), "token")
+    base = bad / n
+    single = _one_of_each(marked)
+    # sets of fewer bad URLs, and no others, could not pass even if only single tokens were tried
+    least = max(2, math.ceil(math.log(params.error / max(single.count(), 1)) / math.log(base)))
+    kept = marked.select("row", "bad", F.explode("tokens").alias("token")).join(single, "token")
     items = F.array_sort(F.collect_list("token"))  # of one URL
     baskets = kept.groupBy("row", "bad").agg(items.alias("items"))
     baskets = materialize(baskets.select(F.when(F.col("bad") == 1, F.array_append("items", F.lit(BAD))).otherwise(F.col("items")).alias("items")), "url-baskets")
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(params.support, params.least / n)), minConfidence=params.confidence).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(params.support, least / n)), minConfidence=params.confidence).fit(baskets)
+    tried = model.freqItemsets.where(~F.array_contains("items", BAD)).count()
     rules = model.associationRules.where((F.element_at("consequent", 1) == BAD) & (F.col("lift") >= params.lift))
-    rules = rules.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "lift", "support").withColumn("rule_id", F.monotonically_increasing_id())
-    return shortest(materialize(rules.select("rule_id", "antecedent", "confidence", "lift", "support"), "url-rules"))
+    rules = rules.withColumn("ln_p", ln_tail(F.col("confidence"), F.col("support") * n / F.col("confidence"), base) + math.log(max(tried, 1)))
+    rules = rules.where(F.col("ln_p") <= math.log(params.error))
+    rules = rules.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "lift", "support", F.exp("ln_p").alias("p")).withColumn("rule_id", F.monotonically_increasing_id())
+    rules = materialize(rules.select("rule_id", "antecedent", "confidence", "lift", "support", "p"), "url-rules")
+    out = shortest(rules)
+    for df in (marked, baskets, rules):
+        release(df)
+    return out
+
+
+def ln_tail(share: Column, n: Column, base: float) -> Column:
+    """ln of Chernoff's bound on the chance that n draws of chance ``base`` have a share of bad ones as large: -n KL(share, base)."""
+    clean = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(F.lit(0.0))
+    return F.when(share > base, -n * (share * F.log(share / base) + clean)).otherwise(F.lit(0.0))
 
 
 def shortest(rules: DataFrame) -> DataFrame:
