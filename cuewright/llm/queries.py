@@ -28,7 +28,8 @@ def captures(pages: DataFrame) -> DataFrame:
     """Three capture records of each page: a full response, and revisits after and before it.
 
     The later revisit carries the response's entity tag (weakly), but another one where page_id is
-    divisible by 3, and only the date where page_id leaves 1 by 3. The earlier one has no validator."""
+    divisible by 3, and only the date where page_id leaves 1 by 3. The earlier one has no validator.
+    Where page_id leaves 4 by 5 the response has no tag, so a revisit with a tag alone cannot be checked."""
     rest, tag = F.col("page_id") % 3, F.substring(F.md5("html"), 1, 16)
     ts = F.lit(1_700_000_000) + F.col("page_id") * 7919 % 1_000_003
     day = F.concat(F.lit("day "), (F.col("page_id") % 28).cast("string"))
@@ -40,7 +41,7 @@ def captures(pages: DataFrame) -> DataFrame:
         headers = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*values)), lambda _, v: v.isNotNull())
         return F.struct((F.col("page_id") * 4 + k).alias("record_id"), ts.alias("ts"), F.lit(status).alias("status"), headers.alias("headers"), digest.alias("digest"))
 
-    full = record(1, ts, 200, F.concat(F.lit('"'), tag, F.lit('"')), day, ["content-type", F.lit("text/html")], F.md5("html"))
+    full = record(1, ts, 200, F.when(F.col("page_id") % 5 != 4, F.concat(F.lit('"'), tag, F.lit('"'))), day, ["content-type", F.lit("text/html")], F.md5("html"))
     other = F.when(rest == 0, F.lit('"other"')).when(rest == 2, F.concat(F.lit('W/"'), tag, F.lit('"')))
     later = record(2, ts + 600, 304, other, F.when(rest == 1, day), ["content-type", F.lit("text/plain")], nothing)
     early = record(3, ts - 600, 304, nothing, nothing, [], nothing)
@@ -188,9 +189,9 @@ SELECT doc_id, slot, 'shard-' || lpad((SELECT xs FROM t)[slot + 1]::VARCHAR, 3,
         "op1_warc_revisits": f"""
 WITH {_CANONICAL},
   base AS (SELECT page_id, canonical, md5(html) AS d, substr(md5(html), 1, 16) AS tag, page_id % 3 AS r,
-      1700000000 + (page_id * 7919) % 1000003 AS ts, 'day ' || (page_id % 28) AS day FROM canon),
+      1700000000 + (page_id * 7919) % 1000003 AS ts, page_id % 5 <> 4 AS tagged, 'day ' || (page_id % 28) AS day FROM canon),
   rec AS (
-    SELECT page_id * 4 + 1 AS record_id, canonical, ts, 200 AS status, '"' || tag || '"' AS etag, tag AS bare_tag, day AS lm, 'max-age=1' AS cc, 'text/html' AS ct, d FROM base
+    SELECT page_id * 4 + 1 AS record_id, canonical, ts, 200 AS status, CASE WHEN tagged THEN '"' || tag || '"' END AS etag, CASE WHEN tagged THEN tag END AS bare_tag, day AS lm, 'max-age=1' AS cc, 'text/html' AS ct, d FROM base
     UNION ALL
     SELECT page_id * 4 + 2, canonical, ts + 600, 304, CASE r WHEN 0 THEN '"other"' WHEN 2 THEN 'W/"' || tag || '"' END,
       CASE r WHEN 0 THEN 'other' WHEN 2 THEN tag END, CASE WHEN r = 1 THEN day END, 'max-age=2', 'text/plain', NULL FROM base
@@ -204,6 +205,7 @@ WITH {_CANONICAL},
   judged AS (SELECT *, CASE WHEN sid IS NULL THEN 'no_earlier_response'
       WHEN bare_tag IS NOT NULL AND sbare IS NOT NULL THEN CASE WHEN bare_tag = sbare THEN 'resolved' ELSE 'validator_mismatch' END
       WHEN lm IS NOT NULL AND slm IS NOT NULL THEN CASE WHEN lm = slm THEN 'resolved' ELSE 'validator_mismatch' END
+      WHEN bare_tag IS NOT NULL OR lm IS NOT NULL THEN 'validator_one_sided'
       ELSE 'no_validator' END AS outcome FROM found)
 SELECT record_id, canonical, outcome,
   CASE WHEN outcome IN ('resolved', 'no_validator') THEN sid END AS source_id,

@@ -21,6 +21,8 @@ from .common import ranked_blocks, require
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
 
 RESOLVED, MISMATCH, UNCHECKED, ORPHAN = "resolved", "validator_mismatch", "no_validator", "no_earlier_response"
+#: The revisit has a validator, but the response none of its kind: nothing can be checked, nothing is taken.
+ONE_SIDED = "validator_one_sided"
 
 
 def canonical_url(url: Column) -> Column:
@@ -47,13 +49,14 @@ def resolve(records: DataFrame, name: str = "warc") -> DataFrame:
     digest, headers (merged; the revisit's own where unresolved).
 
     A response is a row of status 200. Outcomes: ``resolved`` (entity tags agree weakly,
-    or without a tag on both sides the Last-Modified dates agree), ``no_validator`` (no
-    validator on both sides: taken, unchecked), ``validator_mismatch``,
+    or without a tag on both sides the Last-Modified dates agree), ``no_validator`` (the
+    revisit has none, so it claims nothing that could be checked: taken), ``validator_mismatch``,
+    ``validator_one_sided`` (the revisit has one, the response none of that kind: not taken),
     ``no_earlier_response``. Ties in time go by record_id, null ids first; a response with
     equal time and a smaller id is earlier. A null URL has no canonical form and its
     revisits are orphans; null headers are empty, a null digest stays null; other statuses are
-ignored; repeated revisits are resolved each, a repeated response counts once; empty and very
-long URLs are taken whole; an empty table gives no rows."""
+    ignored; repeated revisits are resolved each, a repeated response counts once; empty and very
+    long URLs are taken whole; an empty table gives no rows."""
     require(records, "record_id", "url", "ts", "status", "headers", "digest")
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     rows = records.where(F.col("status").isin(200, 304)).select(
@@ -77,6 +80,7 @@ long URLs are taken whole; an empty table gives no rows."""
         F.when(F.col("source").isNull(), ORPHAN)
         .when(_tag(a).isNotNull() & _tag(b).isNotNull(), F.when(_tag(a) == _tag(b), RESOLVED).otherwise(MISMATCH))
         .when(a["last-modified"].isNotNull() & b["last-modified"].isNotNull(), F.when(a["last-modified"] == b["last-modified"], RESOLVED).otherwise(MISMATCH))
+        .when(_tag(a).isNotNull() | a["last-modified"].isNotNull(), ONE_SIDED)
         .otherwise(UNCHECKED)
     )
     found = found.withColumn("outcome", outcome)
