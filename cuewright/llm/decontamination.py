@@ -14,7 +14,8 @@ not memory. Documents are never shuffled. A match starts where Myers' algorithm,
 from its end, finds the same distance.
 
 Defined cases: null, empty and wordless documents and items match nothing; items of
-under ``min_words`` words match unedited only, as a whole word sequence; repeated items each match; null ids are carried."""
+under ``min_words`` words match unedited only, as a whole word sequence; rows that repeat an item's id and
+text are one item, items of one text and other ids each match; null ids are carried."""
 
 from __future__ import annotations
 
@@ -205,9 +206,9 @@ def _grams(w: np.ndarray, lengths: list[int]):
 
 
 def _blocks(benchmark: DataFrame, p: MatchParams) -> Iterator[list[tuple]]:
-    """Items in lists of about block_bytes of text, one at a time."""
+    """Items in lists of about block_bytes of text, one at a time; rows that repeat an item are one."""
     require(benchmark, "item_id", "text")
-    items = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null")
+    items = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n = -(-size // p.block_bytes)
     key = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(n, 1)))

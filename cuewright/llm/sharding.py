@@ -59,17 +59,17 @@ def slot_of(doc_id: Column, size: int = TABLE) -> Column:
 def place(docs: DataFrame, shards: list[str], size: int = TABLE, weights: dict[str, int] | None = None) -> DataFrame:
     """docs with ``slot`` and ``shard``. Every row is placed: null ids by the empty text, repeated rows alike.
 
-    Texts are not read, so null, empty and very long ones make no difference; an empty table gives no rows. Columns of docs named slot or shard are replaced. The table is broadcast; its size is checked against MAX_TABLE."""
+    Texts are not read, so null, empty and very long ones make no difference; an empty table gives no rows. Columns of docs named slot or shard, in whatever case, are replaced. The table is broadcast; its size is checked against MAX_TABLE."""
     require(docs, "doc_id")
     rows = [(slot, shards[i]) for slot, i in enumerate(fill(shards, size, weights))]
     table = docs.sparkSession.createDataFrame(rows, "slot int, shard string")
-    return docs.drop("slot", "shard").withColumn("slot", slot_of(F.col("doc_id"), size)).join(F.broadcast(table), "slot").select(
-        *[c for c in docs.columns if c not in ("slot", "shard")], "slot", "shard"
-    )
+    kept = [c for c in docs.columns if c.lower() not in ("slot", "shard")]
+    return docs.select(*kept, slot_of(F.col("doc_id"), size).alias("slot")).join(F.broadcast(table), "slot").select(*kept, "slot", "shard")
 
 
 def write_shards(docs: DataFrame, path: str, shards: list[str], size: int = TABLE, parts: int = 1) -> None:
-    """Write docs below ``path`` in a folder for each shard. ``parts`` tasks share a shard's rows, so a large one is not one task's."""
+    """Write docs below ``path`` in a folder for each shard. ``parts`` tasks share a shard's rows, dealt by
+    their ids, so a large one is not one task's."""
     placed = place(docs, shards, size)
-    salt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts))
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(parts))
     placed.repartition("shard", salt).write.partitionBy("shard").parquet(path)
