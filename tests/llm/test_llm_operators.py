@@ -586,3 +586,77 @@ def test_components_against_brute_force(spark, per_task):
 def test_shared_dir_is_the_sessions(spark):
     found = spark.conf.get("spark.checkpoint.dir", None)
     assert common.shared_dir(spark) == found.rstrip("/") if found else common.shared_dir(spark).startswith("file://")
+
+
+def test_segment_scan_is_linear_whichever_way_the_sums_drift():
+    import time
+
+    rng = np.random.default_rng(4)
+
+    def seconds(x):
+        best = math.inf
+        for _ in range(3):
+            began = time.perf_counter()
+            toxicity.segments(x)
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    n = 200_000
+    for one in (lambda m: np.tile([1.0, -2.0], m // 2), lambda m: np.tile([2.0, -1.0], m // 2), lambda m: rng.normal(0, 1, m), lambda m: rng.normal(-0.3, 1, m)):
+        assert seconds(one(2 * n)) <= 2.5 * seconds(one(n)) + 0.05
+
+
+def test_url_rules_of_noise_are_dropped_and_small_true_ones_kept(spark):
+    rng = random.Random(11)
+    rows = [(i, f"http://h{rng.randint(0, 30)}.test/w{rng.randint(0, 40)}/{i}", int(rng.random() < 0.26)) for i in range(600)]
+    labels = lambda found: spark.createDataFrame([(i, 1 - b, 0) for i, _, b in found], "doc_id long, quality int, toxic int")
+    pages = lambda found: spark.createDataFrame([(i, u) for i, u, _ in found], "page_id long, url string")
+    assert {r.verdict for r in url_rules.judge(pages(rows), labels(rows), []).collect()} == {"allow"}
+    planted = rows + [(1000 + i, f"http://h{i % 30}.test/pills/{i}", 1) for i in range(12)]
+    blocked = {r.page_id for r in url_rules.judge(pages(planted), labels(planted), []).where("verdict = 'block'").collect()}
+    assert blocked == {1000 + i for i in range(12)}
+
+
+def test_url_rule_bound_is_above_the_binomial_tail(spark):
+    cases = [(k, n) for n in (1, 5, 12, 40) for k in range(n + 1)]
+    df = spark.createDataFrame([(k / n, float(n)) for k, n in cases], "share double, n double")
+    got = [r[0] for r in df.select(url_rules.ln_tail(df["share"], df["n"], 0.26)).collect()]
+    for (k, n), x in zip(cases, got, strict=True):
+        tail = sum(math.comb(n, i) * 0.26**i * 0.74 ** (n - i) for i in range(k, n + 1))
+        assert math.log(tail) <= x + 1e-9
+        if k == n:
+            assert x == pytest.approx(n * math.log(0.26))
+
+
+def test_sharding_replaces_columns_of_any_case(spark):
+    docs = spark.createDataFrame([(1, 5, "mine"), (None, 6, "too"), (1, 5, "mine")], "doc_id long, Slot int, SHARD string")
+    out = sharding.place(docs, ["a", "b"], 101)
+    assert out.columns == ["doc_id", "slot", "shard"] and out.count() == 3
+    assert {(r.doc_id, r.slot) for r in out.collect()} == {(r.doc_id, r.s) for r in docs.select("doc_id", sharding.slot_of(docs["doc_id"], 101).alias("s")).collect()}
+
+
+def test_shards_are_written_without_texts(spark, tmp_path):
+    docs = spark.createDataFrame([(i,) for i in range(50)], "doc_id long")
+    sharding.write_shards(docs, str(tmp_path / "shards"), ["a", "b"], 101, parts=3)
+    assert spark.read.parquet(str(tmp_path / "shards")).count() == 50
+
+
+def test_one_sided_validators_take_nothing(spark):
+    tag, day = {"etag": '"x"'}, {"last-modified": "day 1"}
+    cases = [({}, {}), ({}, tag), (tag, {}), (tag, day), (day, tag), (day, {}), (tag | day, day), (tag, tag | day)]
+    rows = []
+    for i, (revisit, response) in enumerate(cases):
+        rows += [(2 * i, f"http://a.b/{i}", 1, 200, response, f"d{i}"), (2 * i + 1, f"http://a.b/{i}", 2, 304, revisit, None)]
+    out = warc.resolve(spark.createDataFrame(rows, "record_id long, url string, ts long, status int, headers map<string,string>, digest string"))
+    got = {r.record_id // 2: (r.outcome, r.digest) for r in out.collect()}
+    want = ["no_validator", "no_validator", "validator_one_sided", "validator_one_sided", "validator_one_sided", "validator_one_sided", "resolved", "resolved"]
+    taken = [x in ("no_validator", "resolved") for x in want]
+    assert got == {i: (x, f"d{i}" if t else None) for i, (x, t) in enumerate(zip(want, taken, strict=True))}
+
+
+def test_items_repeated_whole_are_one(spark):
+    item = "the quick brown fox jumps over the lazy dog again"
+    items = spark.createDataFrame([(1, item)] * 300 + [(2, item)], "item_id long, text string")
+    out = decontamination.contaminated(docs(spark, [(5, "x " + item + " y")]), items)
+    assert sorted((r.doc_id, r.item_id, r.distance) for r in out.collect()) == [(5, 1, 0), (5, 2, 0)]
+    assert sum(len(b) for b in decontamination._blocks(items, decontamination.MatchParams())) == 2
