@@ -9,7 +9,9 @@ from pyspark.sql.window import Window
 from cuewright.config import Fusion
 from cuewright.functions import text as X
 from cuewright.functions.numeric import clamp, half_up, overlap
+from cuewright.storage import written
 
+from . import similarity
 from .intervals import overlap_join
 
 #: Openers that weaken a hook, pronouns that lean on earlier talk.
@@ -123,61 +125,70 @@ def scores(cands: DataFrame, campaign: str = "", cfg: Fusion = Fusion()) -> Data
 
 
 def pair_table(c: DataFrame) -> DataFrame:
-    """Overlapping pairs of one video's candidates, earlier rank first: (video_id, rk, e_rk, inter, len_a, len_b, hook_a, hook_b)."""
-    a = c.select("video_id", "rk", F.col("s").alias("s1"), F.col("e").alias("e1"), F.col("hook").alias("hook_a"))
-    b = c.select(F.col("video_id").alias("v2"), F.col("rk").alias("e_rk"), F.col("s").alias("s2"), F.col("e").alias("e2"), F.col("hook").alias("hook_b"))
-    p = a.join(b, (F.col("video_id") == F.col("v2")) & (F.col("e_rk") < F.col("rk")) & (F.col("s2") < F.col("e1")) & (F.col("e2") > F.col("s1")))
-    return p.select(
-        "video_id", "rk", "e_rk", overlap(F.col("s1"), F.col("e1"), F.col("s2"), F.col("e2")).alias("inter"),
-        (F.col("e1") - F.col("s1")).alias("len_a"), (F.col("e2") - F.col("s2")).alias("len_b"), "hook_a", "hook_b",
-    )
+    """Overlapping pairs of one video's candidates, earlier rank first: (video_id, rk, e_rk, inter, len_a, len_b).
+
+    Only ranks and times are dealt to the buckets of the overlap join."""
+    a = c.select("video_id", "rk", F.col("s").alias("s1"), F.col("e").alias("e1"))
+    b = c.select("video_id", F.col("rk").alias("e_rk"), F.col("s").alias("s2"), F.col("e").alias("e2"))
+    p = overlap_join(a, b, "video_id", ("s1", "e1"), ("s2", "e2"))
+    inter = overlap(F.col("s1"), F.col("e1"), F.col("s2"), F.col("e2"))
+    p = p.where(F.col("e_rk") < F.col("rk")).select("video_id", "rk", "e_rk", inter.alias("inter"), (F.col("e1") - F.col("s1")).alias("len_a"), (F.col("e2") - F.col("s2")).alias("len_b"))
+    return p.where("inter > 0")
 
 
 def union() -> Column:
     return F.col("len_a") + F.col("len_b") - F.col("inter")
 
 
-def _inter(x: Column, y: Column) -> Column:
-    return overlap(x["s"], x["e"], y["s"], y["e"])
+def iou_at_least(share: float) -> Column:
+    """Of pair_table's rows, in whole numbers."""
+    return F.col("inter") * 10 >= union() * round(share * 10)
 
 
-def _union(x: Column, y: Column) -> Column:
-    return x["e"] - x["s"] + y["e"] - y["s"] - _inter(x, y)
+def alike(pairs: DataFrame, r: DataFrame, cfg: Fusion) -> DataFrame:
+    """Of pairs (video_id, rk, e_rk) of r's rows those with nearly the same content.
 
+    Where both rows have an ``embedding``, by cosine, from the exact similarity join; else by
+    the Jaccard similarity of their ``words``."""
+    keys = ["video_id", "rk", "e_rk"]
+    held = "embedding" in r.columns
+    told = lambda n, w: r.select("video_id", F.col("rk").alias(n), F.col("words").alias(w), *([F.col("embedding").isNotNull().alias(f"has_{w}")] if held else []))
+    both = pairs.select(*keys).join(told("rk", "wa"), ["video_id", "rk"]).join(told("e_rk", "wb"), ["video_id", "e_rk"])
+    same = X.jaccard(F.col("wa"), F.col("wb")) >= cfg.near_similarity
+    if not held:
+        return both.where(same).select(*keys)
+    vectors = F.col("has_wa") & F.col("has_wb")
+    near = similarity.cosine_pairs(r.where("embedding is not null").select("video_id", "rk", "embedding"), "video_id", "rk", "embedding", cfg.near_similarity)
+    by_vector = both.where(vectors).select(*keys).join(near.select("video_id", F.col("id_a").alias("e_rk"), F.col("id_b").alias("rk")), keys, "left_semi")
+    return by_vector.unionByName(both.where(~vectors & same).select(*keys))
 
-def iou_at_least(x: Column, y: Column, tenths: int) -> Column:
-    return _inter(x, y) * 10 >= _union(x, y) * tenths
 
+def near_duplicates(pairs: DataFrame, r: DataFrame, cfg: Fusion, more: Column | None = None) -> DataFrame:
+    """(video_id, rk, e_rk): pairs of high overlap (or that satisfy ``more``), and those of some overlap with nearly the same content."""
+    keys = ["video_id", "rk", "e_rk"]
+    high = iou_at_least(cfg.diversity_iou) if more is None else iou_at_least(cfg.diversity_iou) | more
+    some = pairs.where(~high & iou_at_least(cfg.near_iou))
+    return pairs.where(high).select(*keys).unionByName(alike(some, r, cfg))
 
-def near_duplicate(x: Column, y: Column, cfg: Fusion) -> Column:
-    """High overlap, or some overlap with nearly the same words."""
-    alike = X.jaccard(x["words"], y["words"]) >= cfg.near_similarity
-    return iou_at_least(x, y, round(cfg.diversity_iou * 10)) | (iou_at_least(x, y, round(cfg.near_iou * 10)) & alike)
 
-
-def greedy(ranked: DataFrame, clash, most: int | None = None) -> DataFrame:
+def greedy(r: DataFrame, clashes: DataFrame, most: int | None = None) -> DataFrame:
     """Keep rows in rank order unless they clash with one kept before; at most ``most``.
 
-    ranked: (video_id, rk, s, e, words, ...); clash(later, earlier) is a column over two
-    structs of such rows (the earlier one of rk, s, e and words) and true only for rows that overlap in time. Clashing pairs come
-    from a bucketed overlap join; the fold over a video carries ranks alone, for each row
-    the earlier ranks it clashes with. Adds ``kept`` and ``winner`` (the rank of the first
-    kept row it clashes with)."""
-    fields = [c for c in ranked.columns if c != "video_id"]
-    low, high = F.coalesce(F.least("s", "e"), F.lit(-1)), F.coalesce(F.greatest("s", "e"), F.lit(-1))
-    x = ranked.select("video_id", low.alias("x0"), high.alias("x1"), F.struct(*fields).alias("x"))
-    y = ranked.select("video_id", low.alias("y0"), high.alias("y1"), F.struct(*[c for c in ("rk", "s", "e", "words") if c in fields]).alias("y"))
-    met = overlap_join(x, y, "video_id", ("x0", "x1"), ("y0", "y1")).where(F.col("y.rk") <= F.col("x.rk"))  # every row meets itself
-    earlier = F.when((F.col("y.rk") < F.col("x.rk")) & clash(F.col("x"), F.col("y")), F.col("y.rk"))
-    rows = met.groupBy("video_id", F.col("x.rk").alias("rk")).agg(F.first("x").alias("x"), F.array_sort(F.collect_list(earlier)).alias("es"))
-    barred = F.col("x.low") if "low" in fields else F.lit(False)
-    g = rows.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("rk", "es", barred.alias("low"), "x")), lambda p, q: p["rk"] - q["rk"]).alias("xs"))
+    r: (video_id, rk, ...), with a true ``low`` for rows that are never kept; clashes: (video_id, rk,
+    e_rk), a row and an earlier one that bars it. The fold over a video carries ranks alone, for each row
+    the earlier ranks it clashes with; all other columns join its result by rank. Adds
+    ``kept`` and ``winner`` (the rank of the first kept row it clashes with)."""
+    barred = F.col("low") if "low" in r.columns else F.lit(False)
+    earlier = clashes.groupBy("video_id", "rk").agg(F.array_sort(F.collect_list("e_rk")).alias("es"))
+    rows = r.select("video_id", "rk", barred.alias("low")).join(earlier, ["video_id", "rk"], "left")
+    x = F.struct("rk", F.coalesce("es", F.array().cast("array<int>")).alias("es"), "low")
+    g = rows.groupBy("video_id").agg(F.array_sort(F.collect_list(x), lambda p, q: p["rk"] - q["rk"]).alias("xs"))
     room = (lambda k: F.size(k) < most) if most else (lambda k: F.lit(True))
     kept = F.aggregate("xs", F.array().cast("array<int>"), lambda k, z: F.when(room(k) & ~z["low"] & ~F.arrays_overlap(k, z["es"]), F.concat(k, F.array(z["rk"]))).otherwise(k))
     out = g.withColumn("ks", kept).select("video_id", "ks", F.inline("xs"))
     own = F.array_contains("ks", F.col("rk"))
     winner = F.array_min(F.array_intersect("es", "ks"))
-    return out.select("video_id", *[F.col("x")[c].alias(c) for c in fields], own.alias("kept"), F.when(~own, winner).alias("winner"))
+    return r.join(out.select("video_id", "rk", own.alias("kept"), F.when(~own, winner).alias("winner")), ["video_id", "rk"])
 
 
 def with_words(c: DataFrame) -> DataFrame:
@@ -193,8 +204,8 @@ def merge_overlaps(c: DataFrame, cfg: Fusion = Fusion()) -> DataFrame:
 
     ``winner_id`` is where it went; the winner's ``sentence_ids`` (where candidates have
     them) are the sorted union, its span does not grow."""
-    r = ranked(c, F.asc("uncertainty"), F.asc("cand_id"))
-    g = greedy(r, lambda x, y: iou_at_least(x, y, round(cfg.merge_iou * 10)))
+    r = written(ranked(c, F.asc("uncertainty"), F.asc("cand_id")), "ranked")
+    g = greedy(r, pair_table(r).where(iou_at_least(cfg.merge_iou)))
     group = Window.partitionBy("video_id", F.coalesce("winner", "rk"))
     if "sentence_ids" in c.columns:
         every = F.array_sort(F.array_distinct(F.flatten(F.collect_list("sentence_ids").over(group))))
@@ -206,28 +217,36 @@ def merge_overlaps(c: DataFrame, cfg: Fusion = Fusion()) -> DataFrame:
 def select_diverse(c: DataFrame, campaign: str = "", cfg: Fusion = Fusion()) -> DataFrame:
     """Score what merging kept, and take the best that are not near-duplicates of one taken, up to the target.
 
-    Rows under the quality floor rank last and are never taken."""
+    Rows under the quality floor rank last and are never taken. Candidates may have an
+    ``embedding``; those that do are alike by cosine, others by words. ``reason`` says why a row has its status."""
     kept = merge_overlaps(c, cfg).where("kept").drop("kept", "winner_id")
-    s = with_words(scores(kept, campaign, cfg)).select("video_id", "cand_id", "s", "e", "words", "total", (F.col("total") < cfg.min_score).alias("low"))
-    r = ranked(s, F.asc("low"), F.desc("total"), F.asc("cand_id"))
-    g = greedy(r, lambda x, y: near_duplicate(x, y, cfg), cfg.target)
+    has = ["embedding"] if "embedding" in c.columns else []
+    s = with_words(scores(kept, campaign, cfg)).select("video_id", "cand_id", "s", "e", "words", *has, "total", (F.col("total") < cfg.min_score).alias("low"))
+    r = written(ranked(s, F.asc("low"), F.desc("total"), F.asc("cand_id")), "ranked")
+    g = greedy(r, near_duplicates(pair_table(r), r, cfg), cfg.target)
     video = Window.partitionBy("video_id")
     taken = F.col("kept") & ~F.col("low")
     last = F.max(F.when(taken, F.col("rk"))).over(video)
     full = F.sum(taken.cast("int")).over(video) >= cfg.target
     status = F.when(F.col("low"), "below_floor").when(F.col("kept"), "selected").when(full & (F.col("rk") > last), "surplus").otherwise("near_duplicate")
-    return g.select("video_id", "cand_id", "total", status.alias("status"))
+    names = r.select("video_id", F.col("rk").alias("winner"), F.col("cand_id").alias("winner_id"))
+    g = g.withColumn("status", status).join(names, ["video_id", "winner"], "left")
+    place = F.row_number().over(Window.partitionBy("video_id", "status").orderBy("rk"))
+    reason = (
+        F.when(F.col("status") == "below_floor", F.lit(f"below quality floor {cfg.min_score}"))
+        .when(F.col("status") == "selected", F.concat(F.lit("ranked #"), place.cast("string")))
+        .when(F.col("status") == "surplus", F.lit(f"surplus beyond target {cfg.target}"))
+        .otherwise(F.concat(F.lit("near-duplicate of "), F.col("winner_id").cast("string")))
+    )
+    return g.select("video_id", "cand_id", "total", "status", reason.alias("reason"))
 
 
 def dedup_refined(c: DataFrame, cfg: Fusion = Fusion()) -> DataFrame:
-    """Clips in order of score; one goes when IoU, coverage of the shorter, or overlap with the same words is high."""
-    r = ranked(with_words(scores(c, "", cfg)).select("video_id", "cand_id", "s", "e", "words", "total"), F.desc("total"), F.asc("cand_id"))
-
-    def clash(x, y):
-        small = F.least(x["e"] - x["s"], y["e"] - y["s"])
-        return near_duplicate(x, y, cfg) | (_inter(x, y) * 10 >= small * round(cfg.coverage * 10))
-
-    return greedy(r, clash).select("video_id", "cand_id", "total", "kept")
+    """Clips in order of score; one goes when IoU, coverage of the shorter, or overlap with the same content is high."""
+    has = ["embedding"] if "embedding" in c.columns else []
+    r = written(ranked(with_words(scores(c, "", cfg)).select("video_id", "cand_id", "s", "e", "words", *has, "total"), F.desc("total"), F.asc("cand_id")), "ranked")
+    covered = F.col("inter") * 10 >= F.least("len_a", "len_b") * round(cfg.coverage * 10)
+    return greedy(r, near_duplicates(pair_table(r), r, cfg, covered)).select("video_id", "cand_id", "total", "kept")
 
 
 def similar_pairs(c: DataFrame, text: str = "hook") -> DataFrame:

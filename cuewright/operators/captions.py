@@ -8,6 +8,9 @@ from pyspark.sql.window import Window
 
 from cuewright.config import Captions
 from cuewright.functions import text as X
+from cuewright.names import spare
+
+from . import glossary
 
 
 def cue_of_word(words: DataFrame, cfg: Captions = Captions(), run_key: str = "run") -> DataFrame:
@@ -108,38 +111,66 @@ def srt_files(lines: DataFrame) -> DataFrame:
     return g.select("clip_id", F.array_join(F.transform("b", lambda x: x["block"]), "\n").alias("srt"))
 
 
-def glossary_display(words: DataFrame, entries: list[tuple[str, str]]) -> DataFrame:
+#: Glossaries of up to this many entries run as windows, larger ones as an automaton.
+FEW = 8
+#: Characters of entries that are sent to the tasks at once; a larger glossary takes several passes.
+SENT = 16_000_000
+
+
+def cleaned(entries: list[tuple[str, str]]) -> list[tuple[tuple[str, ...], str]]:
+    """Entries as lower-cased words and replacement; those that are empty or change nothing are skipped."""
+    pairs = [(m.strip(), r.strip()) for m, r in entries]
+    return [(tuple(m.lower().split()), r) for m, r in pairs if m.split() and r and m != r]
+
+
+def glossary_display(words: DataFrame, entries: list[tuple[str, str]], few: int = FEW, sent: int = SENT) -> DataFrame:
     """words with ``display``: entries (match, replacement) over consecutive words, ignoring case.
 
     Matches of one entry do not overlap, left to right; later entries overwrite. The
     replacement stands at the first word, the others are shown empty. Entries that are
     empty or change nothing are skipped. Of matches of one entry that overlap each other a
-    scan from the left takes the first, then the first that does not overlap it."""
-    video = Window.partitionBy("video_id").orderBy("pos")
+    scan from the left takes the first, then the first that does not overlap it.
+
+    A few entries are windows over each video. More are one automaton over words that every task
+    builds from the broadcast entries and runs once over the sorted words of its videos; entries
+    beyond ``sent`` characters go in several such passes, in order."""
+    found = cleaned(entries)
     out = words.withColumn("display", F.col("word"))
-    for match, replacement in entries:
-        match, replacement = match.strip(), replacement.strip()
-        parts = match.lower().split()
-        if not parts or not replacement or match == replacement:
-            continue
-        hit = F.lit(True)
-        for i, p in enumerate(parts):
-            hit = hit & F.coalesce(F.lower(F.lead("word", i).over(video) if i else F.col("word")) == p, F.lit(False))
-        m = len(parts)
-        out = out.withColumn("_hit", hit)
-        if m > 1 and any(parts[i:] == parts[: m - i] for i in range(1, m)):  # only such entries can overlap themselves
-            out = _spaced(out, m)
-        cover = F.lit(False)
-        for i in range(1, m):
-            cover = cover | F.coalesce(F.lag("_hit", i).over(video), F.lit(False))
-        out = out.withColumn("_cover", cover)
-        out = out.withColumn("display", F.when(F.col("_hit"), replacement).when(F.col("_cover"), "").otherwise(F.col("display"))).drop("_hit", "_cover")
+    if len(found) <= few:
+        for parts, replacement in found:
+            out = _windowed(out, parts, replacement)
+        return out
+    at = 0
+    while at < len(found):
+        size, end = 0, at
+        while end < len(found) and (end == at or size < sent):
+            size += sum(map(len, found[end][0])) + len(found[end][1])
+            end += 1
+        out = glossary.apply(out, found[at:end])
+        at = end
     return out
 
 
-def _spaced(words: DataFrame, m: int) -> DataFrame:
+def _windowed(out: DataFrame, parts: tuple[str, ...], replacement: str) -> DataFrame:
+    video, (hit_, cover_) = Window.partitionBy("video_id").orderBy("pos"), spare(["hit", "cover"], out)
+    hit = F.lit(True)
+    for i, p in enumerate(parts):
+        hit = hit & F.coalesce(F.lower(F.lead("word", i).over(video) if i else F.col("word")) == p, F.lit(False))
+    m = len(parts)
+    out = out.withColumn(hit_, hit)
+    if m > 1 and any(parts[i:] == parts[: m - i] for i in range(1, m)):  # only such entries can overlap themselves
+        out = _spaced(out, m, hit_)
+    cover = F.lit(False)
+    for i in range(1, m):
+        cover = cover | F.coalesce(F.lag(hit_, i).over(video), F.lit(False))
+    out = out.withColumn(cover_, cover)
+    return out.withColumn("display", F.when(F.col(hit_), replacement).when(F.col(cover_), "").otherwise(F.col("display"))).drop(hit_, cover_)
+
+
+def _spaced(words: DataFrame, m: int, hit: str) -> DataFrame:
     """Keep the hits that a left-to-right scan takes: a fold over each video's hit places."""
-    hits = words.where("_hit").groupBy("video_id").agg(F.array_sort(F.collect_list("pos")).alias("at"))
+    (taken_,) = spare(["taken"], words)
+    hits = words.where(hit).groupBy("video_id").agg(F.array_sort(F.collect_list("pos")).alias("at"))
     kept = F.aggregate("at", F.array().cast("array<bigint>"), lambda s, x: F.when((F.size(s) == 0) | (x - F.try_element_at(s, F.lit(-1)) >= m), F.concat(s, F.array(x))).otherwise(s))
-    taken = hits.select("video_id", F.explode(kept).alias("pos"), F.lit(True).alias("_taken"))
-    return words.join(taken, ["video_id", "pos"], "left").withColumn("_hit", F.coalesce("_taken", F.lit(False))).drop("_taken")
+    taken = hits.select("video_id", F.explode(kept).alias("pos"), F.lit(True).alias(taken_))
+    return words.join(taken, ["video_id", "pos"], "left").withColumn(hit, F.coalesce(taken_, F.lit(False))).drop(taken_)

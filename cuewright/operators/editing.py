@@ -10,6 +10,7 @@ from cuewright.functions import text as X
 from cuewright.functions.numeric import half_up, overlap
 
 from .adapters import LAYOUTS
+from .intervals import overlap_join
 
 def caption_lines(cue_words: DataFrame) -> DataFrame:
     """Words with video_id, run, cue, pos, word -> (video_id, first_word, line_1, line_2): a cue in at most two lines.
@@ -92,11 +93,22 @@ def top_classes(scores: DataFrame, keys: list[str], labels: dict[str, str], leas
 
 
 def content_bounds(lines: DataFrame, dark: int = 8) -> DataFrame:
-    """lines (clip_id, line, luma, sample) -> first and last line that is not dark in all samples; the whole frame if under half remains."""
-    g = lines.groupBy("clip_id", "line").agg(F.bool_and(F.col("luma") <= dark).alias("black"))
-    b = g.groupBy("clip_id").agg(F.min(F.when(~F.col("black"), F.col("line"))).alias("a"), F.max(F.when(~F.col("black"), F.col("line"))).alias("b"), F.max("line").alias("last"))
-    ok = (F.col("b") - F.col("a") + 1) * 2 >= F.col("last") + 1
-    return b.select("clip_id", F.when(ok, F.col("a")).otherwise(0).alias("top"), F.when(ok, F.col("b")).otherwise(F.col("last")).alias("bottom"))
+    """lines (clip_id, axis (row or column), line, luma), one row per sampled frame -> (clip_id, x, y, w, h): from the first to the
+    last row and column that is not dark in all samples.
+
+    The whole frame where an axis is dark throughout, or where the content's last line less its first
+    is under half of the lines on either axis: flashes and noise are no content."""
+    g = lines.groupBy("clip_id", "axis", "line").agg(F.bool_and(F.col("luma") <= dark).alias("black"))
+    lit = lambda axis: F.when((F.col("axis") == axis) & ~F.col("black"), F.col("line"))
+    size = lambda axis: F.coalesce(F.max(F.when(F.col("axis") == axis, F.col("line"))) + 1, F.lit(0))
+    b = g.groupBy("clip_id").agg(
+        F.min(lit("column")).alias("x0"), F.max(lit("column")).alias("x1"), F.min(lit("row")).alias("y0"), F.max(lit("row")).alias("y1"), size("column").alias("width"), size("row").alias("height")
+    )
+    wide = (F.col("x1") - F.col("x0")) * 2 >= F.col("width")
+    ok = F.coalesce(wide & ((F.col("y1") - F.col("y0")) * 2 >= F.col("height")), F.lit(False))
+    pick = lambda found, whole, name: F.when(ok, found).otherwise(whole).cast("long").alias(name)
+    span = lambda a: F.col(f"{a}1") - F.col(f"{a}0") + 1
+    return b.select("clip_id", pick(F.col("x0"), F.lit(0), "x"), pick(F.col("y0"), F.lit(0), "y"), pick(span("x"), F.col("width"), "w"), pick(span("y"), F.col("height"), "h"))
 
 
 def bounds_in_use(clips: DataFrame, estimated: DataFrame, threshold: int = 8, width: int = 1280, height: int = 720) -> DataFrame:
@@ -194,6 +206,5 @@ def main_tracks(faces: DataFrame) -> DataFrame:
 
 def clipped_speech(segs: DataFrame, ranges: DataFrame) -> DataFrame:
     """Parts of speech segments inside ranges (conv_id, range_id, a, b): (conv_id, range_id, seg_id, speaker, s, e)."""
-    r = ranges.select(F.col("conv_id").alias("c"), "range_id", "a", "b")
-    j = segs.join(r, (F.col("conv_id") == F.col("c")) & (F.col("s") < F.col("b")) & (F.col("e") > F.col("a")))
+    j = overlap_join(segs.select("conv_id", "seg_id", "speaker", "s", "e"), ranges.select("conv_id", "range_id", "a", "b"), "conv_id", ("s", "e"), ("a", "b"))
     return j.where(overlap(F.col("s"), F.col("e"), F.col("a"), F.col("b")) > 0).select("conv_id", "range_id", "seg_id", "speaker", F.greatest("s", "a").alias("s"), F.least("e", "b").alias("e"))

@@ -11,6 +11,7 @@ from cuewright.config import Framing
 from cuewright.functions.numeric import half_up, upper_median
 
 from .editing import layout as known_layout
+from .intervals import overlap_join
 
 LAYOUTS = ["speaker_crop", "stacked_split", "center_crop"]
 
@@ -147,56 +148,63 @@ def scene_plan(samples: DataFrame, cfg: Framing = Framing(), work_area: tuple[in
     )
 
 
-def interpolated_anchors(centres: DataFrame, points: DataFrame) -> DataFrame:
-    """points (clip_id, point_id, t) with x: linear between the samples (t, x, cut) around t, the end samples outside,
-    the later sample across a cut, the known side where one is missing.
+def interpolated(centres: DataFrame, points: DataFrame, values: list[str], flags: list[str]) -> DataFrame:
+    """points (clip_id, point_id, t) with ``values`` and ``flags`` of centres (clip_id, t, cut, ...) at t.
 
-    As-of both ways by one union and two running windows instead of a range join."""
-    rows = centres.select("clip_id", F.col("t"), F.struct("t", "x", "cut").alias("c"), F.lit(None).cast("long").alias("point_id"))
+    At or before the first sample and at or after the last that sample counts. Between two, values are
+    linear, but across a cut, and where the earlier one's first value is missing, the later sample
+    counts, and where the later one's is missing the earlier. Flags are those of the sample
+    that counts, of the later one where values are linear. A point at a sample's own time lies
+    between it and the one before. As-of both ways by one union and one window order."""
+    rows = centres.select("clip_id", F.col("t"), F.struct("t", "cut", *values, *flags).alias("c"), F.lit(None).cast("long").alias("point_id"))
     rows = rows.unionByName(points.select("clip_id", "t", F.lit(None).cast(rows.schema["c"].dataType).alias("c"), F.col("point_id").cast("long")))
-    w = Window.partitionBy("clip_id").orderBy("t", F.col("point_id").asc_nulls_first())
+    w = Window.partitionBy("clip_id").orderBy("t", F.col("point_id").asc_nulls_last())  # points before samples of their time
     back = F.last("c", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    fore = F.first("c", ignorenulls=True).over(Window.partitionBy("clip_id").orderBy("t", F.col("point_id").asc_nulls_last()).rowsBetween(0, Window.unboundedFollowing))
-    r = rows.withColumns({"a": back, "b": fore}).where("c is null")
-    x = (
-        F.when(F.col("a").isNull(), F.col("b.x"))
-        .when(F.col("b").isNull() | (F.col("a.t") == F.col("b.t")), F.col("a.x"))
-        .when(F.col("b.cut"), F.col("b.x"))
-        .when(F.col("a.x").isNull(), F.col("b.x"))
-        .when(F.col("b.x").isNull(), F.col("a.x"))
-        .otherwise(F.col("a.x") + (F.col("b.x") - F.col("a.x")) * (F.col("t") - F.col("a.t")) / (F.col("b.t") - F.col("a.t")))
-    )
-    return r.select("clip_id", "point_id", "t", half_up(x, 3).alias("x"))
+    fore = F.first("c", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    end = F.max("c.t").over(Window.partitionBy("clip_id"))
+    r = rows.withColumns({"a": back, "b": fore, "end": end}).where("c is null")
+    later = F.col("a").isNull() | (F.col("b.t") == F.col("end")) & (F.col("t") == F.col("end")) | F.col("b.cut") | F.col(f"a.{values[0]}").isNull()
+    earlier = F.col("b").isNull() | F.col(f"b.{values[0]}").isNull()
+    one = F.when(F.col("b").isNull(), F.col("a")).when(later, F.col("b")).when(earlier, F.col("a"))
+    share = (F.col("t") - F.col("a.t")) / (F.col("b.t") - F.col("a.t"))
+    linear = lambda v: F.when(one.isNotNull(), one[v]).otherwise(F.col(f"a.{v}") + (F.col(f"b.{v}") - F.col(f"a.{v}")) * share)
+    return r.select("clip_id", "point_id", "t", *[half_up(linear(v), 3).alias(v) for v in values], *[F.coalesce(one, F.col("b"))[f].alias(f) for f in flags])
+
+
+def interpolated_anchors(centres: DataFrame, points: DataFrame) -> DataFrame:
+    """points (clip_id, point_id, t) with x of centres (clip_id, t, x, cut), see ``interpolated``."""
+    return interpolated(centres, points, ["x"], [])
 
 
-def resolved_anchors(points: DataFrame, plan: DataFrame, smoothed: DataFrame, rois: DataFrame, cfg: Framing = Framing()) -> DataFrame:
+def resolved_anchors(
+    points: DataFrame, plan: DataFrame, smoothed: DataFrame, rois: DataFrame, cfg: Framing = Framing(), work_area: tuple[int, int, int, int] | None = None, bounds: tuple[int, int, int, int] | None = None
+) -> DataFrame:
     """points (clip_id, point_id, t) -> (clip_id, point_id, t, kind, cx, cy, needs_review): what the crop follows at t.
 
     rois: (clip_id, idx, t0, t1 (null: open), x, y, w, h), of which the last added that holds t
     wins over all; plan: (clip_id, scene, t0, t1, kind, cx, cy, needs_review), the first segment
     that holds t; smoothed: (clip_id, t, x, y, cut, lost), followed in face scenes and held,
-    for review, where the track is lost. Points outside every segment stand at the centre."""
-    at = F.col("t")
-    r = rois.select(F.col("clip_id").alias("c"), "idx", "t0", "t1", (F.col("x") + F.col("w") / 2).alias("mx"), (F.col("y") + F.col("h") / 2).alias("my"))
-    hit = (F.col("clip_id") == F.col("c")) & (at >= F.coalesce("t0", F.lit(-1 << 60))) & (at <= F.coalesce("t1", F.lit(1 << 60)))
-    manual = points.join(r, hit).groupBy("clip_id", "point_id").agg(F.max_by(F.struct("mx", "my"), "idx").alias("m"))
-    g = plan.select(F.col("clip_id").alias("c"), F.col("t0").alias("s0"), F.col("t1").alias("s1"), F.struct("kind", "cx", "cy", "needs_review").alias("seg"))
-    inside = (F.col("clip_id") == F.col("c")) & at.between(F.col("s0"), F.col("s1"))
-    scene = points.join(g, inside).groupBy("clip_id", "point_id").agg(F.min_by("seg", "s0").alias("seg"))
-    x = interpolated_anchors(smoothed.select("clip_id", "t", "x", "cut"), points).select("clip_id", "point_id", F.col("x").alias("fx"))
-    y = interpolated_anchors(smoothed.select("clip_id", "t", F.col("y").alias("x"), "cut"), points).select("clip_id", "point_id", F.col("x").alias("fy"))
-    gone = latest_at(points, smoothed.select("clip_id", "t", "lost"), ["lost"])
+    for review, where the track is lost. Points outside every segment stand, for review, at the middle of
+    the work area (x, y, w, h) if one is set, else of the content bounds, else of the frame."""
+    last = points.groupBy("clip_id").agg(F.min("t").alias("from_t"), F.max("t").alias("to_t"))
+    r = rois.join(last, "clip_id").select("clip_id", "idx", F.coalesce("t0", "from_t").alias("r0"), F.coalesce("t1", "to_t").alias("r1"), (F.col("x") + F.col("w") / 2).alias("mx"), (F.col("y") + F.col("h") / 2).alias("my"))
+    at = points.select("clip_id", "point_id", "t")
+    manual = overlap_join(at, r, "clip_id", ("t", "t"), ("r0", "r1")).groupBy("clip_id", "point_id").agg(F.max_by(F.struct("mx", "my"), "idx").alias("m"))
+    g = plan.select("clip_id", F.col("t0").alias("s0"), F.col("t1").alias("s1"), F.struct("kind", "cx", "cy", "needs_review").alias("seg"))
+    scene = overlap_join(at, g, "clip_id", ("t", "t"), ("s0", "s1")).groupBy("clip_id", "point_id").agg(F.min_by("seg", "s0").alias("seg"))
+    follow = interpolated(smoothed, points, ["x", "y"], ["lost"]).select("clip_id", "point_id", F.col("x").alias("fx"), F.col("y").alias("fy"), "lost")
     j = points
-    for d in (manual, scene, x, y, gone.drop("t")):
+    for d in (manual, scene, follow):
         j = j.join(d, ["clip_id", "point_id"], "left")
+    x, y, w, h = work_area or bounds or (0, 0, cfg.width, cfg.height)
+    nowhere = "workarea" if work_area else "center"
     seen = F.col("fx").isNotNull()
     face, lost = F.col("seg.kind") == "face", F.coalesce("lost", F.lit(False))
-    kind = F.when(F.col("m").isNotNull(), "manual").when(face, F.when(seen & ~lost, "face").otherwise("retain")).otherwise(F.coalesce("seg.kind", F.lit("center")))
+    kind = F.when(F.col("m").isNotNull(), "manual").when(face, F.when(seen & ~lost, "face").otherwise("retain")).otherwise(F.coalesce("seg.kind", F.lit(nowhere)))
     pick = lambda m, f, s, d: F.when(F.col("m").isNotNull(), F.col(m)).when(face & seen, F.col(f)).otherwise(F.coalesce(F.col(s).cast("double"), F.lit(float(d))))
     review = F.when(F.col("m").isNotNull(), False).when(face, ~(seen & ~lost)).otherwise(F.coalesce("seg.needs_review", F.lit(True)))
-    return j.select(
-        "clip_id", "point_id", "t", kind.alias("kind"), pick("m.mx", "fx", "seg.cx", cfg.width // 2).alias("cx"), pick("m.my", "fy", "seg.cy", cfg.height // 2).alias("cy"), review.alias("needs_review")
-    )
+    middle = (x + w / 2, y + h / 2) if work_area else (x + w // 2, y + h // 2)
+    return j.select("clip_id", "point_id", "t", kind.alias("kind"), pick("m.mx", "fx", "seg.cx", middle[0]).alias("cx"), pick("m.my", "fy", "seg.cy", middle[1]).alias("cy"), review.alias("needs_review"))
 
 
 def latest_at(points: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -244,9 +252,12 @@ def fill_bars(edges: DataFrame, most_range: float = 3.0, most_std: float = 1.0)
 
 
 def crop_window(cx: Column, cy: Column, cfg: Framing = Framing(), zoom: float = 1.0) -> tuple[Column, ...]:
-    """x, y, w, h of the 9:16 window around a centre with headroom, inside the frame."""
+    """x, y, w, h of the 9:16 window around a centre with headroom, inside the frame; a frame narrower than that shortens it."""
     h = max(480, int(cfg.height / zoom)) if cfg.height >= 480 else cfg.height
-    w = min(cfg.width, int(h * 9 / 16))
+    w = int(h * 9 / 16)
+    if w > cfg.width:
+        w = cfg.width
+        h = min(cfg.height, int(w * 16 / 9))
     x = F.least(F.greatest(F.floor(cx - w / 2), F.lit(0)), F.lit(cfg.width - w))
     y = F.least(F.greatest(F.floor(cy - h * 0.35), F.lit(0)), F.lit(cfg.height - h))
     return x, y, F.lit(w), F.lit(h)

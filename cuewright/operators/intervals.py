@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cuewright.config import Refine
+from cuewright.names import spare
 from cuewright.functions.numeric import overlap
 
 
@@ -38,11 +39,12 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str, l: tuple[str, str]
     Both sides are dealt to buckets of the time axis, so the join is on (key, bucket) and a
     long video is many groups; a pair counts in the first bucket that both cover. ``right``
     must not share column names with ``left`` but for the key. Empty intervals meet nothing."""
+    (at,) = spare(["cell"], left, right)
     cell = lambda c: F.floor(F.col(c) / width)
-    deal = lambda d, x: d.where(F.col(x[0]) <= F.col(x[1])).withColumn("_cell", F.explode(F.sequence(cell(x[0]), cell(x[1]))))
-    j = deal(left, l).join(deal(right, r), [key, "_cell"])
-    once = F.col("_cell") == F.greatest(cell(l[0]), cell(r[0]))
-    return j.where(once & (F.col(l[0]) <= F.col(r[1])) & (F.col(r[0]) <= F.col(l[1]))).drop("_cell")
+    deal = lambda d, x: d.where(F.col(x[0]) <= F.col(x[1])).withColumn(at, F.explode(F.sequence(cell(x[0]), cell(x[1]))))
+    j = deal(left, l).join(deal(right, r), [key, at])
+    once = F.col(at) == F.greatest(cell(l[0]), cell(r[0]))
+    return j.where(once & (F.col(l[0]) <= F.col(r[1])) & (F.col(r[0]) <= F.col(l[1]))).drop(at)
 
 
 def speech_coverage(ranges: DataFrame, words: DataFrame, key: str, range_id: str) -> DataFrame:

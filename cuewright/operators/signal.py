@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from cuewright.config import Spikes
 from cuewright.functions.numeric import clamp, half_up
 
+from .intervals import overlap_join
+
 
 def frames(samples: DataFrame, per_frame: int, cfg: Spikes = Spikes()) -> DataFrame:
     """samples (key, pos, x) -> (key, frame, rms, db); a last part frame is dropped."""
@@ -58,16 +60,15 @@ def merge_events(e: DataFrame, cfg: Spikes = Spikes()) -> DataFrame:
 def event_cues(events: DataFrame, sents: DataFrame, words: DataFrame, cfg: Spikes = Spikes()) -> DataFrame:
     """Candidates around spikes (key = video_id): the sentences near the peak, if spoken enough and of fit length."""
     ev = events.select(F.col("key").alias("video_id"), F.col("peak_ms"), "confidence", (F.col("peak_ms") - cfg.pre_ms).alias("lo"), (F.col("peak_ms") + cfg.post_ms).alias("hi"))
-    near = sents.select(F.col("video_id").alias("v"), "id", "start_ms", "end_ms")
-    hit = (F.col("video_id") == F.col("v")) & (F.col("end_ms") >= F.col("lo")) & (F.col("start_ms") <= F.col("hi"))
-    c = ev.join(near, hit).groupBy("video_id", "peak_ms", "confidence").agg(
+    near = sents.select("video_id", "id", "start_ms", "end_ms")
+    c = overlap_join(ev, near, "video_id", ("lo", "hi"), ("start_ms", "end_ms")).groupBy("video_id", "peak_ms", "confidence").agg(
         F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.min("start_ms").alias("s"), F.max("end_ms").alias("e")
     )
     # the words of whole sentences: their summed length is the speech inside the span
     spoken = F.sum(F.col("end_ms") - F.col("start_ms"))
-    w = words.select(F.col("video_id").alias("v"), "start_ms", "end_ms")
-    inside = (F.col("video_id") == F.col("v")) & (F.col("start_ms") < F.col("e")) & (F.col("end_ms") > F.col("s"))
-    out = c.join(w, inside).groupBy("video_id", "peak_ms", "confidence", "first_id", "last_id", "s", "e").agg(spoken.alias("speech_ms"))
+    w = words.select("video_id", "start_ms", "end_ms")
+    met = overlap_join(c, w, "video_id", ("s", "e"), ("start_ms", "end_ms")).where((F.col("start_ms") < F.col("e")) & (F.col("end_ms") > F.col("s")))
+    out = met.groupBy("video_id", "peak_ms", "confidence", "first_id", "last_id", "s", "e").agg(spoken.alias("speech_ms"))
     span = F.col("e") - F.col("s")
     out = out.where((F.col("speech_ms") * 10 >= span * round(cfg.coverage * 10)) & span.between(cfg.min_span_ms, cfg.max_span_ms))
     return out.withColumn("uncertainty", half_up(1.0 - 0.5 * F.col("confidence"), 3)).drop("confidence")

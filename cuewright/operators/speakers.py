@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from cuewright.config import Speakers
 
+from .intervals import overlap_join
+
 
 def stable_turns(segs: DataFrame, cfg: Speakers = Speakers(), keep_short: bool = False) -> DataFrame:
     """(conv_id, speaker, s, e, n): a speaker's neighbouring segments with gaps under join_ms as one turn; short turns go.
@@ -27,9 +29,9 @@ def stable_turns(segs: DataFrame, cfg: Speakers = Speakers(), keep_short: bool =
 
 def speaker_at(points: DataFrame, segs: DataFrame, point_id: str, t: str) -> DataFrame:
     """points with ``speaker``: of the first segment (by seg_id) that holds time t, bounds included; else null."""
-    s = segs.select(F.col("conv_id").alias("c"), F.col("s").alias("s0"), F.col("e").alias("e0"), F.col("speaker").alias("who"), "seg_id")
-    hit = (F.col("conv_id") == F.col("c")) & F.col(t).between(F.col("s0"), F.col("e0"))
-    got = points.join(s, hit).groupBy("conv_id", point_id).agg(F.min_by("who", "seg_id").alias("speaker"))
+    s = segs.select("conv_id", F.col("s").alias("s0"), F.col("e").alias("e0"), F.col("speaker").alias("who"), "seg_id")
+    at = points.select("conv_id", *dict.fromkeys([point_id, t]))
+    got = overlap_join(at, s, "conv_id", (t, t), ("s0", "e0")).groupBy("conv_id", point_id).agg(F.min_by("who", "seg_id").alias("speaker"))
     return points.join(got, ["conv_id", point_id], "left")
 
 
@@ -47,8 +49,10 @@ def switches(turns: DataFrame, tracks: dict[str, int], cfg: Speakers = Speakers(
     A turn that another speaker's overlaps holds the current one, as does a switch under
     hold_ms ago; the hold depends on earlier switches, so the turns are folded in order."""
     a = turns.withColumn("turn", F.row_number().over(Window.partitionBy("conv_id").orderBy("s", "e", "speaker")))
-    b = a.select(F.col("conv_id").alias("c"), F.col("s").alias("s2"), F.col("e").alias("e2"), F.col("speaker").alias("other"))
-    crossed = a.join(b, (F.col("conv_id") == F.col("c")) & (F.col("other") != F.col("speaker")) & (F.col("s2") < F.col("e")) & (F.col("e2") > F.col("s")), "left_semi").select("conv_id", "turn", F.lit(True).alias("crossed"))
+    b = a.select("conv_id", F.col("s").alias("s2"), F.col("e").alias("e2"), F.col("speaker").alias("other"))
+    met = overlap_join(a.select("conv_id", "turn", "s", "e", "speaker"), b, "conv_id", ("s", "e"), ("s2", "e2"))
+    met = met.where((F.col("other") != F.col("speaker")) & (F.col("s2") < F.col("e")) & (F.col("e2") > F.col("s")))
+    crossed = met.select("conv_id", "turn").distinct().withColumn("crossed", F.lit(True))
     t = a.join(crossed, ["conv_id", "turn"], "left").where(F.col("speaker").isin(*tracks))
     xs = F.array_sort(F.collect_list(F.struct("turn", "s", "speaker", F.coalesce("crossed", F.lit(False)).alias("crossed"))))
     g = t.groupBy("conv_id").agg(xs.alias("xs"))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cuewright.functions.text import fingerprint
+from cuewright.names import spare
+from cuewright.storage import written
 
 #: Which stages a changed stage makes stale.
 DEPENDS = {
@@ -103,15 +105,18 @@ def clean_up(tables: dict[str, DataFrame], videos: DataFrame) -> tuple[dict[str,
     counts = [t.groupBy("video_id").agg(F.count("*").alias("removed")).select("video_id", F.lit(n).alias("table"), "removed") for n, t in {**gone, "related_segments": links}.items()]
     left = {n: t.join(v, "video_id", "left_anti") for n, t in tables.items() if n not in ("related_segments", "pipeline_runs")}
     left["related_segments"] = tables["related_segments"].join(gone["clips"].select("clip_id"), "clip_id", "left_anti")
-    runs = tables["pipeline_runs"].join(v.withColumn("_gone", F.lit(True)), "video_id", "left")
-    left["pipeline_runs"] = runs.where(F.col("_gone").isNull() | ~F.col("stage").isin(RERUN)).drop("_gone")
+    (mark,) = spare(["gone"], tables["pipeline_runs"])
+    runs = tables["pipeline_runs"].join(v.withColumn(mark, F.lit(True)), "video_id", "left")
+    left["pipeline_runs"] = runs.where(F.col(mark).isNull() | ~F.col("stage").isin(RERUN)).drop(mark)
     return left, reduce(DataFrame.union, counts)
 
 
 def mark_stitched(links: DataFrame, clips: DataFrame) -> DataFrame:
-    """links (clip_id, confirmed, stitched) with the confirmed ones of ``clips`` (clip_id) marked as stitched."""
-    c = clips.select("clip_id").distinct().withColumn("_used", F.lit(True))
-    return links.join(c, "clip_id", "left").withColumn("stitched", F.coalesce(F.col("stitched"), F.lit(False)) | (F.coalesce("_used", F.lit(False)) & F.col("confirmed"))).drop("_used")
+    """links (clip_id, confirmed, stitched) with the confirmed ones of ``clips`` (clip_id) marked as stitched; a null counts as false."""
+    (used,) = spare(["used"], links)
+    c = clips.select("clip_id").distinct().withColumn(used, F.lit(True))
+    no = lambda x: F.coalesce(F.col(x), F.lit(False))
+    return links.join(c, "clip_id", "left").withColumn("stitched", no("stitched") | (no(used) & no("confirmed"))).select(*links.columns)
 
 
 def replace_by(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -122,9 +127,10 @@ def replace_by(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def update(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """table with the non-null values of ``changes`` (one row per key) put in."""
     cols = [c for c in changes.columns if c != key]
-    c = changes.select(key, *[F.col(x).alias(f"_{x}") for x in cols])
+    new = dict(zip(cols, spare([f"new_{x}" for x in cols], table), strict=True))
+    c = changes.select(key, *[F.col(x).alias(n) for x, n in new.items()])
     out = table.join(c, key, "left")
-    return out.withColumns({x: F.coalesce(F.col(f"_{x}"), F.col(x)) for x in cols}).select(*table.columns)
+    return out.withColumns({x: F.coalesce(F.col(n), F.col(x)) for x, n in new.items()}).select(*table.columns)
 
 
 def stale(stage: str) -> list[str]:
@@ -139,6 +145,36 @@ def stale(stage: str) -> list[str]:
     return sorted(seen)
 
 
+def reached(edges: DataFrame, starts: DataFrame, most: int = 10_000) -> DataFrame:
+    """(origin, stage, steps): all that depends on an origin through edges (stage, dependent), with the fewest steps; cycles end.
+
+    starts: (origin). Breadth first: each round joins the newest stages with the edges and keeps
+    what was not reached before, so it ends after the longest shortest path. Every round is
+    written to the shared folder; the origin itself is listed where a cycle returns to it."""
+    e = written(edges.where("stage is not null and dependent is not null").select("stage", "dependent").distinct(), "edges")
+    fresh = written(starts.select("origin", F.col("origin").alias("stage")).where("origin is not null").distinct(), "reached")
+    rounds: list[DataFrame] = []
+    for step in range(1, most + 1):
+        found = fresh.join(e, "stage").select("origin", F.col("dependent").alias("stage")).distinct()
+        if rounds:
+            found = found.join(reduce(DataFrame.union, rounds), ["origin", "stage"], "left_anti")
+        fresh = written(found.withColumn("steps", F.lit(step)), "reached")
+        if fresh.isEmpty():
+            break
+        rounds.append(fresh.select("origin", "stage", "steps"))
+        fresh = fresh.drop("steps")
+    else:
+        raise ValueError(f"paths of over {most} steps")
+    return reduce(DataFrame.union, rounds) if rounds else fresh
+
+
+def invalidate_by(log: DataFrame, edges: DataFrame, changes: DataFrame) -> DataFrame:
+    """log (video_id, stage, ...) without the rows of stages that a video's changes (video_id, stage) make stale by edges (stage, dependent)."""
+    gone = reached(edges, changes.select(F.col("stage").alias("origin")))
+    gone = changes.select("video_id", F.col("stage").alias("origin")).join(gone.select("origin", "stage"), "origin").select("video_id", "stage").distinct()
+    return log.join(gone, ["video_id", "stage"], "left_anti").select(*log.columns)
+
+
 def invalidate(log: DataFrame, changed: list[str], stage: str = "stage") -> DataFrame:
     """log without the rows of stages that the changed ones make stale."""
     gone = sorted({s for c in changed for s in stale(c)})

@@ -1,9 +1,7 @@
-"""Vector operators: exact and approximate top-k per video, related segments, hashing embedder."""
+"""Vector operators: exact top-k per video, related segments, hashing embedder. ``vector_index`` searches a stored index."""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,37 +25,6 @@ def top_k(queries: DataFrame, chunks: DataFrame, k: int = 3, threshold: float =
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).where(F.coalesce("similarity", F.lit(0.0)) >= threshold)
 
 
-def _unit(v: Column) -> Column:
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
-
-
-def approximate_index(chunks: DataFrame, bucket: float = 0.8, tables: int = 24, seed: int = 42):
-    """A fitted LSH model over the chunks' unit vectors, and the chunks with their hashes.
-
-    The model holds random directions only; all chunks are hashed."""
-    v = chunks.where("embedding is not null").withColumn("features", array_to_vector(_unit(F.col("embedding").cast("array<double>"))))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(v)
-    return model, model.transform(v)
-
-
-def approximate_top_k(queries: DataFrame, index, k: int = 3, threshold: float = 0.5) -> DataFrame:
-    """As ``top_k``, over the chunks that share a bucket of some table with the query (``approximate_index``).
-
-    Candidates meet by (video, table, bucket), are told apart once, and are scored exactly."""
-    model, hashed = index
-    q = model.transform(queries.where("embedding is not null").withColumn("features", array_to_vector(_unit(F.col("embedding").cast("array<double>")))))
-    key = lambda d, i: d.select("video_id", i, F.posexplode("hashes").alias("table", "h")).select("video_id", i, "table", F.col("h").cast("string").alias("h"))
-    pairs = key(q, "clip_id").join(key(hashed, "chunk_id"), ["video_id", "table", "h"]).select("video_id", "clip_id", "chunk_id").distinct()
-    one = lambda n: F.when(n == 0, 1.0).otherwise(n)
-    a = queries.select("video_id", "clip_id", F.col("embedding").alias("q"), one(norm(F.col("embedding"))).alias("qn"))
-    c = hashed.select("video_id", "chunk_id", F.col("embedding").alias("c"), one(norm(F.col("embedding"))).alias("cn"))
-    sim = half_up(dot(F.col("q"), F.col("c")) / (F.col("qn") * F.col("cn")), 6)
-    s = pairs.join(a, ["video_id", "clip_id"]).join(c, ["video_id", "chunk_id"]).select("video_id", "clip_id", "chunk_id", sim.alias("similarity"))
-    w = Window.partitionBy("video_id", "clip_id").orderBy(F.desc("similarity"), "chunk_id")
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).where(F.coalesce("similarity", F.lit(0.0)) >= threshold)
-
-
 def related_segments(clips: DataFrame, chunks: DataFrame, k: int = 3, threshold: float = 0.5, classify=classify_continuations) -> DataFrame:
     """The top-k chunks of each clip but its own ones, with a decision on each.
 

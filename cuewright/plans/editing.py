@@ -71,14 +71,20 @@ def roi_validation(spark, d):
     return table(spark, d, "events").select("event_id", framing.roi_error(x, i % 50, i % 5 * 90, i % 5 * 160 + i % 9 * 4, t0, t1).alias("error"))
 
 
-@query("""WITH l AS (SELECT user_id AS clip_id, event_id % 20 AS line, CASE WHEN event_id % 20 IN (0, 1, 18) OR user_id % 7 = 0 THEN event_id % 9 ELSE event_id % 200 END AS luma FROM events),
-g AS (SELECT clip_id, line, bool_and(luma <= 8) AS black FROM l GROUP BY ALL),
-b AS (SELECT clip_id, min(CASE WHEN NOT black THEN line END) AS a, max(CASE WHEN NOT black THEN line END) AS b, max(line) AS last FROM g GROUP BY 1)
-SELECT clip_id, CASE WHEN (b - a + 1) * 2 >= last + 1 THEN a ELSE 0 END AS top, CASE WHEN (b - a + 1) * 2 >= last + 1 THEN b ELSE last END AS bottom FROM b""")
+@query("""WITH l AS (SELECT user_id AS clip_id, CASE WHEN event_id % 2 = 0 THEN 'row' ELSE 'column' END AS axis, event_id // 2 % 10 AS line,
+  CASE WHEN event_id // 2 % 10 IN (0, 1, 9) OR (user_id % 5 = 0 AND event_id // 2 % 10 > 4) OR user_id % 7 = 0 THEN event_id % 9 ELSE 9 + event_id % 200 END AS luma FROM events),
+g AS (SELECT clip_id, axis, line, bool_and(luma <= 8) AS black FROM l GROUP BY ALL),
+b AS (SELECT clip_id, min(line) FILTER (axis = 'column' AND NOT black) AS x0, max(line) FILTER (axis = 'column' AND NOT black) AS x1, min(line) FILTER (axis = 'row' AND NOT black) AS y0, max(line) FILTER (axis = 'row' AND NOT black) AS y1,
+  coalesce(max(line) FILTER (axis = 'column') + 1, 0) AS w, coalesce(max(line) FILTER (axis = 'row') + 1, 0) AS h FROM g GROUP BY 1),
+o AS (SELECT *, coalesce(x1 - x0 >= w / 2.0 AND y1 - y0 >= h / 2.0, false) AS ok FROM b)
+SELECT clip_id, CASE WHEN ok THEN x0 ELSE 0 END AS x, CASE WHEN ok THEN y0 ELSE 0 END AS y, CASE WHEN ok THEN x1 - x0 + 1 ELSE w END AS w, CASE WHEN ok THEN y1 - y0 + 1 ELSE h END AS h FROM o""")
 def content_bounds(spark, d):
+    """Ten rows and ten columns a clip with dark bars; some clips are dark in half of their lines, some throughout."""
     i, u = F.col("event_id"), F.col("user_id")
-    luma = F.when((i % 20).isin(0, 1, 18) | (u % 7 == 0), i % 9).otherwise(i % 200)
-    return E.content_bounds(table(spark, d, "events").select(u.alias("clip_id"), (i % 20).alias("line"), luma.alias("luma")))
+    line = F.floor(i / 2) % 10
+    luma = F.when(line.isin(0, 1, 9) | (u % 5 == 0) & (line > 4) | (u % 7 == 0), i % 9).otherwise(9 + i % 200)
+    axis = F.when(i % 2 == 0, "row").otherwise("column")
+    return E.content_bounds(table(spark, d, "events").select(u.alias("clip_id"), axis.alias("axis"), line.alias("line"), luma.alias("luma")))
 
 
 @query(f"""WITH {media._FACES}, g AS (SELECT clip_id, track_id, count(*) AS n, avg(cx) AS x FROM fc WHERE track_id IS NOT NULL GROUP BY ALL),
@@ -226,6 +232,23 @@ def invalidated_log(spark, d):
     return state.invalidate(log, ["audio_events"])
 
 
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    """A dependency graph over users: everyone's next ones by the counts of their events, which has cycles."""
+    n = table(spark, d, "events").groupBy(F.col("user_id").alias("stage")).agg(F.count("*").alias("n"), F.max("user_id").alias("u"))
+    next_ = F.array((F.col("u") * 2 + F.col("n") % 7) % 151, F.floor(F.col("u") / 3) * (F.col("n") % 2)).cast("array<long>")
+    return n.select("stage", F.explode(next_).alias("dependent"))
+
+
+@query("""WITH RECURSIVE n AS (SELECT user_id AS u, count(*) AS n FROM events GROUP BY 1),
+ed AS (SELECT DISTINCT u AS stage, unnest([(u * 2 + n % 7) % 151, (u // 3) * (n % 2)])::BIGINT AS dependent FROM n),
+re AS (SELECT u AS origin, dependent AS stage FROM n JOIN ed ON ed.stage = u WHERE u % 10 = 0 UNION SELECT re.origin, ed.dependent FROM re JOIN ed USING (stage))
+SELECT origin, stage FROM re""")
+def stale_stages(spark, d):
+    """All that depends on every tenth user through a table of edges with cycles."""
+    e = _edges(spark, d)
+    return state.reached(e, e.where("stage % 10 = 0").select(F.col("stage").alias("origin"))).select("origin", "stage")
+
+
 @query("""WITH c AS (SELECT c_custkey, arg_max(CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus END, o_orderkey) AS st FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1)
 SELECT k.c_custkey AS clip_id, coalesce(st, c_mktsegment) AS status, floor(c_acctbal * 100 + 0.5) / 100.0::DOUBLE AS score FROM customer k LEFT JOIN c USING (c_custkey)""")
 def clip_updates(spark, d):

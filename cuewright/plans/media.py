@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from cuewright.functions import text as X
 from cuewright.functions.numeric import half_up
-from cuewright.operators import adapters, framing, intervals, segment, signal, speakers, state, vector
+from cuewright.operators import adapters, framing, intervals, segment, signal, similarity, speakers, state, vector, vector_index
+from cuewright.storage import new_path
 from cuewright.sources import transcript
 
 from . import sql
@@ -110,9 +111,44 @@ def vector_topk(spark, d):
 
 @query()
 def approximate_topk(spark, d):
-    """The same search through the LSH index; its recall against vector_topk is tested."""
+    """The same search through a stored inverted file; its recall against vector_topk and the pairs it scores are tested.
+
+    These vectors have no clusters, so most cells are probed; codes leave under a fifth of the pairs to score."""
     clips, chunks = clip_and_chunk_vectors(spark, d)
-    return vector.approximate_top_k(clips, vector.approximate_index(chunks), k=4, threshold=0.05)
+    path = new_path(spark, "vector-index")
+    vector_index.create(chunks, path)
+    return vector_index.search(clips, path, k=4, threshold=0.05, probes=PROBES, refine=REFINE)
+
+
+PROBES, REFINE = 27, 36
+
+
+def _all_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector, and one of eight a second time with a small change, as a near copy of another video's take."""
+    e = table(spark, d, "embeddings").select((F.col("label") % 3).alias("video_id"), F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    moved = F.transform("v", lambda x, i: x + F.when(i % 8 == F.col("id") % 8, 0.05).otherwise(0.0))
+    return e.unionByName(e.where("id % 8 = 0").select("video_id", (F.col("id") + 1_000_000).alias("id"), moved.alias("v")))
+
+
+_NEAR = """
+e AS (SELECT label % 3 AS video_id, vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+al AS (SELECT * FROM e UNION ALL SELECT video_id, id + 1000000, list_transform(v, lambda x, i: x + CASE WHEN (i - 1) % 8 = id % 8 THEN 0.05 ELSE 0.0 END) FROM e WHERE id % 8 = 0)"""
+
+
+@query(f"""WITH {_NEAR}
+SELECT a.video_id, a.id AS id_a, b.id AS id_b, floor(list_cosine_similarity(a.v, b.v) * 1000000 + 0.5) / 1000000.0::DOUBLE AS similarity
+FROM al a JOIN al b ON a.video_id = b.video_id AND a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.92""")
+def similar_vectors(spark, d):
+    """Pairs of one video's vectors that count as the same content, by the exact threshold join."""
+    pairs = similarity.cosine_pairs(_all_vectors(spark, d), "video_id", "id", "v", 0.92)
+    return pairs.select("video_id", "id_a", "id_b", half_up(F.col("similarity"), 6).alias("similarity"))
+
+
+@query(f"""WITH {_NEAR}
+SELECT a.video_id, a.id AS id_a, b.id AS id_b FROM al a JOIN al b ON a.video_id = b.video_id AND a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.35""")
+def related_vectors(spark, d):
+    """The same join at a threshold that many pairs reach."""
+    return similarity.cosine_pairs(_all_vectors(spark, d), "video_id", "id", "v", 0.35).drop("similarity")
 
 
 def bridge(spark: SparkSession, d: str) -> DataFrame:
@@ -290,8 +326,8 @@ def scene_plan(spark, d):
 @query(f"""WITH {_FACES},
 ce AS (SELECT clip_id, pos * 250 AS t, cx::DOUBLE AS x, cut FROM fc),
 pt AS (SELECT DISTINCT clip_id, pos AS point_id, pos * 400 AS t FROM fc),
-ab AS (SELECT pt.clip_id, pt.point_id, pt.t, max(a.t) FILTER (WHERE a.t <= pt.t) AS ta, min(a.t) FILTER (WHERE a.t >= pt.t) AS tb FROM pt JOIN ce a USING (clip_id) GROUP BY ALL)
-SELECT ab.clip_id, ab.point_id, ab.t, floor(CASE WHEN ta IS NULL THEN b.x WHEN tb IS NULL OR ta = tb THEN a.x WHEN b.cut THEN b.x WHEN a.x IS NULL THEN b.x WHEN b.x IS NULL THEN a.x
+ab AS (SELECT pt.clip_id, pt.point_id, pt.t, max(a.t) FILTER (WHERE a.t < pt.t) AS ta, min(a.t) FILTER (WHERE a.t >= pt.t) AS tb, max(a.t) AS tl FROM pt JOIN ce a USING (clip_id) GROUP BY ALL)
+SELECT ab.clip_id, ab.point_id, ab.t, floor(CASE WHEN ta IS NULL THEN b.x WHEN tb IS NULL THEN a.x WHEN ab.t = tl OR b.cut THEN b.x WHEN a.x IS NULL THEN b.x WHEN b.x IS NULL THEN a.x
   ELSE a.x + (b.x - a.x) * (ab.t - ta) / (tb - ta) END * 1000 + 0.5) / 1000.0::DOUBLE AS x
 FROM ab LEFT JOIN ce a ON a.clip_id = ab.clip_id AND a.t = ta LEFT JOIN ce b ON b.clip_id = ab.clip_id AND b.t = tb""")
 def interp_anchor(spark, d):

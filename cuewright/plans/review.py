@@ -56,10 +56,10 @@ ro(idx, r0, r1, rx) AS (VALUES (0, 0, 3000, 10), (1, 2000, 5000, 200), (2, 9000,
 mn AS (SELECT clip_id, point_id, arg_max(rx, idx) + 45.0::DOUBLE AS mx, 180.0::DOUBLE AS my FROM pt JOIN ro ON t >= r0 AND t <= coalesce(r1, 1000000000) WHERE clip_id % 7 = 0 GROUP BY ALL),
 sg AS (SELECT pt.clip_id, point_id, arg_min(kind, t0) AS kind, arg_min(cx, t0)::DOUBLE AS cx, arg_min(cy, t0)::DOUBLE AS cy, arg_min(needs_review, t0) AS needs_review FROM pt JOIN sp ON sp.clip_id = pt.clip_id AND t BETWEEN t0 AND t1 GROUP BY ALL),
 sx AS (SELECT cam.clip_id, cam.pos * 250 AS t, x, y, cut, lost FROM cam JOIN fc USING (clip_id, pos)),
-ab AS (SELECT pt.clip_id, point_id, pt.t, max(sx.t) FILTER (WHERE sx.t <= pt.t) AS ta, min(sx.t) FILTER (WHERE sx.t >= pt.t) AS tb FROM pt JOIN sx USING (clip_id) GROUP BY ALL),
-il AS (SELECT ab.clip_id, point_id, a.lost,
-  floor(CASE WHEN ta IS NULL THEN b.x WHEN tb IS NULL OR ta = tb THEN a.x WHEN b.cut THEN b.x WHEN a.x IS NULL THEN b.x WHEN b.x IS NULL THEN a.x ELSE a.x + (b.x - a.x) * (ab.t - ta) / (tb - ta) END * 1000 + 0.5) / 1000.0::DOUBLE AS fx,
-  floor(CASE WHEN ta IS NULL THEN b.y WHEN tb IS NULL OR ta = tb THEN a.y WHEN b.cut THEN b.y WHEN a.y IS NULL THEN b.y WHEN b.y IS NULL THEN a.y ELSE a.y + (b.y - a.y) * (ab.t - ta) / (tb - ta) END * 1000 + 0.5) / 1000.0::DOUBLE AS fy
+ab AS (SELECT pt.clip_id, point_id, pt.t, max(sx.t) FILTER (WHERE sx.t < pt.t) AS ta, min(sx.t) FILTER (WHERE sx.t >= pt.t) AS tb, max(sx.t) AS tl FROM pt JOIN sx USING (clip_id) GROUP BY ALL),
+il AS (SELECT ab.clip_id, point_id, CASE WHEN ta IS NULL THEN b.lost WHEN tb IS NULL THEN a.lost WHEN ab.t = tl OR b.cut OR a.x IS NULL THEN b.lost WHEN b.x IS NULL THEN a.lost ELSE b.lost END AS lost,
+  floor(CASE WHEN ta IS NULL THEN b.x WHEN tb IS NULL THEN a.x WHEN ab.t = tl OR b.cut THEN b.x WHEN a.x IS NULL THEN b.x WHEN b.x IS NULL THEN a.x ELSE a.x + (b.x - a.x) * (ab.t - ta) / (tb - ta) END * 1000 + 0.5) / 1000.0::DOUBLE AS fx,
+  floor(CASE WHEN ta IS NULL THEN b.y WHEN tb IS NULL THEN a.y WHEN ab.t = tl OR b.cut THEN b.y WHEN a.y IS NULL THEN b.y WHEN b.y IS NULL THEN a.y ELSE a.y + (b.y - a.y) * (ab.t - ta) / (tb - ta) END * 1000 + 0.5) / 1000.0::DOUBLE AS fy
   FROM ab LEFT JOIN sx a ON a.clip_id = ab.clip_id AND a.t = ta LEFT JOIN sx b ON b.clip_id = ab.clip_id AND b.t = tb),
 an AS (SELECT pt.clip_id, pt.point_id, pt.t, CASE WHEN mx IS NOT NULL THEN 'manual' WHEN kind = 'face' THEN CASE WHEN fx IS NOT NULL AND NOT coalesce(lost, false) THEN 'face' ELSE 'retain' END ELSE coalesce(kind, 'center') END AS kind,
   CASE WHEN mx IS NOT NULL THEN mx WHEN kind = 'face' AND fx IS NOT NULL THEN fx ELSE coalesce(cx, 640) END AS cx, CASE WHEN mx IS NOT NULL THEN my WHEN kind = 'face' AND fx IS NOT NULL THEN fy ELSE coalesce(cy, 360) END AS cy,

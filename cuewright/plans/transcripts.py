@@ -157,7 +157,7 @@ z AS (SELECT *, max(CASE WHEN kept THEN rk END) OVER (PARTITION BY video_id) AS
 SELECT video_id, cand_id, total, CASE WHEN kept THEN 'selected' WHEN nk >= 8 AND rk > lastk THEN 'surplus' ELSE 'near_duplicate' END AS status FROM z
 UNION ALL SELECT video_id, cand_id, total, 'below_floor' FROM sc WHERE total < 0.45""")
 def diverse_selection(spark, d):
-    return C.select_diverse(cands(spark, d), sql.CAMPAIGN)
+    return C.select_diverse(cands(spark, d), sql.CAMPAIGN).drop("reason")
 
 
 @query(f"""WITH {sql.PROPOSALS},
@@ -324,6 +324,27 @@ def glossary_display(spark, d):
     return captions.glossary_display(words(spark, d).select("video_id", "pos", "word"), GLOSSARY).select("video_id", "pos", "word", "display")
 
 
+def _frequent_pairs(w: DataFrame, most: int) -> list[tuple[str, str]]:
+    """A large glossary, here of the table's most frequent pairs of unlike words; as long as asked for."""
+    b = F.lower(F.lead("word").over(Window.partitionBy("video_id").orderBy("pos")))
+    pairs = w.select(F.lower("word").alias("a"), b.alias("b")).where("b is not null and a <> b").groupBy("a", "b").count()
+    found = pairs.orderBy(F.desc("count"), "a", "b").limit(most).collect()
+    return [(f"{r.a} {r.b}", f"G{i}") for i, r in enumerate(found, 1)]
+
+
+@query(f"""WITH {sql.WORDS},
+bi AS (SELECT video_id, pos, lower(word) AS a, lower(lead(word) OVER (PARTITION BY video_id ORDER BY pos)) AS b FROM w),
+ct AS (SELECT a, b, count(*) AS n FROM bi WHERE b IS NOT NULL AND a <> b GROUP BY ALL),
+tp AS (SELECT a, b, row_number() OVER (ORDER BY n DESC, a, b) AS e FROM (FROM ct ORDER BY n DESC, a, b LIMIT 3000)),
+m AS (SELECT video_id, pos, e FROM bi JOIN tp USING (a, b))
+SELECT w.video_id, w.pos, word, CASE WHEN m1.e IS NULL AND m0.e IS NULL THEN word WHEN coalesce(m1.e, 0) > coalesce(m0.e, 0) THEN 'G' || m1.e::VARCHAR ELSE '' END AS display
+FROM w LEFT JOIN m m1 ON m1.video_id = w.video_id AND m1.pos = w.pos LEFT JOIN m m0 ON m0.video_id = w.video_id AND m0.pos = w.pos - 1""")
+def large_glossary(spark, d):
+    """Display texts by a glossary of three thousand entries, by the automaton."""
+    w = words(spark, d).select("video_id", "pos", "word")
+    return captions.glossary_display(w, _frequent_pairs(w, 3000))
+
+
 @query(rf"""WITH {sql.PROPOSALS},
 h AS (SELECT video_id, cand_id, list_distinct(list_filter(regexp_split_to_array(lower(hook), '\s+'), lambda x: x <> '')) AS ws FROM k)
 SELECT a.video_id, a.cand_id AS cand_a, b.cand_id AS cand_b, floor(len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws)))::DOUBLE * 1000000 + 0.5) / 1000000.0::DOUBLE AS similarity

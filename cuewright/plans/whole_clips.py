@@ -162,16 +162,15 @@ def inserted(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {media._MERGED},
-fr AS (SELECT user_id, s, e, row_number() OVER (PARTITION BY user_id ORDER BY s) AS rn FROM mr),
-li AS (SELECT user_id, s, e FROM fr WHERE rn IN (1, 2, 3, 4)),
+li AS (SELECT user_id, s, e FROM mr),
 le AS (SELECT user_id, sum(e - s) AS len FROM li GROUP BY 1),
 it AS (SELECT a.user_id, b.user_id AS other, sum(greatest(least(a.e, b.e) - greatest(a.s, b.s), 0)) AS inter FROM li a JOIN li b ON b.user_id = a.user_id + 1 GROUP BY ALL)
 SELECT it.user_id AS list_a, other AS list_b, floor(CASE WHEN x.len + y.len - inter > 0 THEN inter / (x.len + y.len - inter)::DOUBLE ELSE 0 END * 1000000 + 0.5) / 1000000.0::DOUBLE AS iou,
   floor(CASE WHEN least(x.len, y.len) > 0 THEN inter / least(x.len, y.len)::DOUBLE ELSE 0 END * 1000000 + 0.5) / 1000000.0::DOUBLE AS coverage FROM it JOIN le x ON x.user_id = it.user_id JOIN le y ON y.user_id = other""")
 def range_list_iou(spark, d):
-    """Overlap of whole lists of ranges: the first four of each user against the next user's."""
+    """Overlap of whole lists of ranges, of each user's against the next user's."""
     m = media.merged_ranges(spark, d)
-    g = m.groupBy("user_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("s", "e"))), 1, 4).alias("r"))
+    g = m.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("r"))
     o = g.select((F.col("user_id") - 1).alias("user_id"), F.col("user_id").alias("list_b"), F.col("r").alias("q"))
     j = g.join(o, "user_id")
     return j.select(F.col("user_id").alias("list_a"), "list_b", half_up(iou(F.col("r"), F.col("q")), 6).alias("iou"), half_up(coverage(F.col("r"), F.col("q")), 6).alias("coverage"))

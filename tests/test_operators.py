@@ -410,15 +410,6 @@ def test_embedder_equals_plain_hashing(spark):
         assert all(abs(a - b / n) < 1e-6 for a, b in zip(got[t], v, strict=True)), t
 
 
-def test_index_recall(spark):
-    from cuewright.plans import media
-
-    d = "/root/testdata/sf0.01"
-    exact = {(r.clip_id, r.chunk_id) for r in media.vector_topk(spark, d).collect()}
-    near = {(r.clip_id, r.chunk_id) for r in media.approximate_topk(spark, d).collect()}
-    assert len(exact & near) >= 0.9 * len(exact)
-
-
 def test_related_segments_leave_out_own_chunks_after_the_limit(spark):
     clips = spark.createDataFrame([(1, 1, [1.0, 0.0], [10], 5000), (1, 2, None, [], 0)], "video_id long, clip_id long, embedding array<float>, source_chunks array<long>, e long")
     chunks = spark.createDataFrame([(1, 10, [1.0, 0.0], 0), (1, 11, [1.0, 0.1], 6000), (1, 12, [1.0, 0.2], 90_000), (1, 13, [1.0, 0.3], 7000)], "video_id long, chunk_id long, embedding array<float>, start_ms long")
