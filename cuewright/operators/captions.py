@@ -169,8 +169,9 @@ def _windowed(out: DataFrame, parts: tuple[str, ...], replacement: str) -> DataF
 
 def _spaced(words: DataFrame, m: int, hit: str) -> DataFrame:
     """Keep the hits that a left-to-right scan takes: a fold over each video's hit places."""
-    (taken_,) = spare(["taken"], words)
-    hits = words.where(hit).groupBy("video_id").agg(F.array_sort(F.collect_list("pos")).alias("at"))
+    taken_, place_ = spare(["taken", "place"], words)
+    words = words.withColumn(place_, F.row_number().over(Window.partitionBy("video_id").orderBy("pos")).cast("long"))  # places may have gaps
+    hits = words.where(hit).groupBy("video_id").agg(F.array_sort(F.collect_list(place_)).alias("at"))
     kept = F.aggregate("at", F.array().cast("array<bigint>"), lambda s, x: F.when((F.size(s) == 0) | (x - F.try_element_at(s, F.lit(-1)) >= m), F.concat(s, F.array(x))).otherwise(s))
-    taken = hits.select("video_id", F.explode(kept).alias("pos"), F.lit(True).alias(taken_))
-    return words.join(taken, ["video_id", "pos"], "left").withColumn(hit, F.coalesce(taken_, F.lit(False))).drop(taken_)
+    taken = hits.select("video_id", F.explode(kept).alias(place_), F.lit(True).alias(taken_))
+    return words.join(taken, ["video_id", place_], "left").withColumn(hit, F.coalesce(taken_, F.lit(False))).drop(taken_, place_)

@@ -64,8 +64,8 @@ CANDS = "video_id long, cand_id long, s long, e long, hook string, payoff string
 
 def test_selection_compares_vectors_where_there_are_some(spark):
     near, far = [1.0, 0.02], [0.0, 1.0]
-    # overlap of 0.43: near-duplicates only if their content is alike
-    pair = lambda video, a, b, hook: [(video, 1, 0, 40_000, "what a story it was", "p", "", 0.0, "outline", a), (video, 2, 16_000, 56_000, hook, "p", "", 0.1, "outline", b)]
+    # overlap of 0.40: near-duplicates only if their content is alike
+    pair = lambda video, a, b, hook: [(video, 1, 0, 40_000, "what a story it was", "p", "", 0.0, "outline", a), (video, 2, 17_000, 57_000, hook, "p", "", 0.1, "outline", b)]
     rows = pair(1, [1.0, 0.0], near, "entirely other words here") + pair(2, [1.0, 0.0], far, "what a story it was")
     rows += pair(3, [1.0, 0.0], None, "what a story it was") + pair(4, None, None, "entirely other words here")
     df = spark.createDataFrame(rows, CANDS)
