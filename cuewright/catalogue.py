@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuewright.plans import editing, media, registry, review, transcripts, whole_clips  # noqa: F401  (they register their queries)
+from cuewright.plans import editing, media, registry, review, surfaces, transcripts, whole_clips  # noqa: F401  (they register their queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
