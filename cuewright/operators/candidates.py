@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,14 +21,54 @@ FILLER_OPENERS = ["so", "and", "well", "you know", "um", "uh", "like", "okay", "
 PRONOUN_OPENERS = ["it", "this", "that", "these", "those", "they", "them", "he", "she", "his", "her", "its", "there"]
 
 
-def proposals(sents: DataFrame) -> DataFrame:
-    """The offline proposer: spans of 3 to 9 sentences from every fourth one, some reversed or beyond the end."""
-    end = F.col("id") + 2 + F.col("id") % 7
-    flip = F.col("proposal_id") % 20 == 0
-    p = sents.where("id % 4 = 0").select("video_id", F.col("id").alias("proposal_id"), F.col("id").alias("a"), end.alias("b"))
-    p = p.select("video_id", "proposal_id", F.when(flip, F.col("b")).otherwise(F.col("a")).alias("start_id"), F.when(flip, F.col("a")).otherwise(F.col("b")).alias("end_id"))
-    lost = sents.where("id % 36 = 4").select("video_id", (F.col("id") + 1_000_000).alias("proposal_id"), (F.col("id") + 900_000).alias("start_id"), (F.col("id") + 900_003).alias("end_id"))
-    return p.unionByName(lost)
+@dataclass(frozen=True)
+class Proposer:
+    """Where clips may begin and end, in milliseconds, and what speaks for a beginning."""
+
+    least_ms: int = 20_000
+    most_ms: int = 90_000
+    pause_ms: int = 700
+    question: float = 1.0
+    after_pause: float = 0.6
+    loud: float = 0.8
+    long_enough: float = 0.3
+    leaning: float = 1.2  # off for an opener that leans on earlier talk
+    least_score: float = 0.6
+
+
+def propose(sents: DataFrame, events: DataFrame | None = None, p: Proposer = Proposer()) -> DataFrame:
+    """(video_id, proposal_id, start_id, end_id, hook, score, why) by cues in the text: the offline proposer.
+
+    sents: video_id, id, start_ms, end_ms, text, ends_with_punctuation; events: (video_id, peak_ms), rises in
+    energy. A sentence may open a clip for a question, a pause before it, a rise in energy in its time, and enough
+    words; fillers and pronouns at its start speak against it. The clip ends at the first whole sentence
+    after least_ms that a pause follows, else at the last whole sentence within most_ms; openings without
+    such an end, or under least_score, are not proposed. Sentences of one video only are looked at, over a window of most_ms."""
+    w = Window.partitionBy("video_id").orderBy("start_ms", "id")
+    before, after = F.col("start_ms") - F.lag("end_ms").over(w), F.lead("start_ms").over(w) - F.col("end_ms")
+    s = sents.select("video_id", "id", "start_ms", "end_ms", "text", F.coalesce("ends_with_punctuation", F.lit(False)).alias("whole"))
+    s = s.withColumns({"before": before, "after": after})
+    if events is None:
+        s = s.withColumn("loud", F.lit(False))
+    else:
+        peaks = events.select("video_id", F.col("peak_ms").alias("p0"), F.col("peak_ms").alias("p1"))
+        hit = overlap_join(s.select("video_id", "id", "start_ms", "end_ms"), peaks, "video_id", ("start_ms", "end_ms"), ("p0", "p1")).select("video_id", "id").distinct()
+        s = s.join(hit.withColumn("loud", F.lit(True)), ["video_id", "id"], "left").withColumn("loud", F.coalesce("loud", F.lit(False)))
+    ahead = Window.partitionBy("video_id").orderBy("start_ms").rangeBetween(0, p.most_ms)
+    s = s.withColumn("ahead", F.collect_list(F.struct("end_ms", "id", "whole", (F.coalesce("after", F.lit(p.pause_ms)) >= p.pause_ms).alias("rests"))).over(ahead))
+    fits = F.filter("ahead", lambda x: x["whole"] & (x["end_ms"] - F.col("start_ms") >= p.least_ms) & (x["end_ms"] - F.col("start_ms") <= p.most_ms) & (x["id"] >= F.col("id")))
+    rests = F.array_min(F.filter(fits, lambda x: x["rests"]))
+    end = F.coalesce(rests, F.array_max(fits))["id"]
+    first, words = X.first_word(F.col("text")), F.size(X.split_words(F.col("text")))
+    cues = {
+        "question": (F.rtrim("text").endswith("?"), p.question), "pause": (F.coalesce(F.col("before") >= p.pause_ms, F.lit(True)), p.after_pause),
+        "energy": (F.col("loud"), p.loud), "length": (words.between(3, 25), p.long_enough), "leans": (first.isin(FILLER_OPENERS + PRONOUN_OPENERS), -p.leaning),
+    }
+    score = sum((F.when(c, v).otherwise(0.0) for c, v in cues.values()), F.lit(0.0))
+    why = F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, (c, v) in cues.items() if v > 0])), ", ")
+    hook = X.capped(F.array_join(F.slice(X.split_words(F.col("text")), 1, 20), " "), "hook")
+    out = s.select("video_id", F.col("id").alias("proposal_id"), F.col("id").alias("start_id"), end.alias("end_id"), hook.alias("hook"), half_up(score, 3).alias("score"), why.alias("why"))
+    return out.where(F.col("end_id").isNotNull() & (F.col("score") >= p.least_score))
 
 
 def validate(props: DataFrame, sents: DataFrame, min_ms: int = 15_000, max_ms: int = 90_000, max_sentences: int = 120, join_gap_ms: int = 60_000) -> DataFrame:
@@ -80,18 +122,6 @@ def first_accepted(valid: DataFrame, most: int = 24) -> DataFrame:
     return valid.where("reject_reason is null").withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).drop("n")
 
 
-def candidates(valid: DataFrame) -> DataFrame:
-    """Accepted proposals with the texts that an editor model would write, derived offline."""
-    i = F.col("proposal_id")
-    hook = F.array_join(F.slice(X.split_words(F.col("first_text")), 1, 8), " ")
-    return valid.where("reject_reason is null").select(
-        "video_id", i.alias("cand_id"), "s", "e", X.capped(hook, "hook").alias("hook"), X.capped(F.array_join(F.slice(X.split_words(F.col("first_text")), 9, 12), " "), "text").alias("main_idea"),
-        F.when((i % 24 == 0) & (i % 7 > 0), (i % 7).cast("double")).alias("energy_increase"), "sentence_ids",
-        F.when(i % 3 == 0, "").otherwise("payoff").alias("payoff"), F.when(i % 5 == 0, "context").otherwise("").alias("required_context"),
-        ((i * 37 + F.col("video_id")) % 100 / 100.0).alias("uncertainty"), F.when(i % 8 == 0, "audio_event").otherwise("outline").alias("source"),
-    )
-
-
 def scores(cands: DataFrame, campaign: str = "", cfg: Fusion = Fusion()) -> DataFrame:
     """cands with the seven component scores and their weighted total.
 
@@ -264,22 +294,38 @@ def similar_pairs(c: DataFrame, text: str = "hook") -> DataFrame:
 def insert_winners(selected: DataFrame, chunks: DataFrame, least_ms: int = 15_000) -> DataFrame:
     """Selected candidates (video_id, cand_id, rank, s, e, hook, main_idea, rationale, total) as numbered clips.
 
-    Those under least_ms are refused. Texts are cut to their fields' lengths. ``source_chunks``
-    are the chunks (video_id, chunk_index, start_ms, end_ms) whose closed range meets the clip's."""
+    Those under least_ms are refused (``insertion_statuses``). Texts are cut to their fields' lengths. ``source_chunks``
+    are the chunks (video_id, chunk_index, start_ms, end_ms) whose closed range meets the clip's. ``provenance``
+    is JSON of source, sentence_ids, uncertainty (where candidates have them) and the score; an ``embedding`` goes along,
+    made of hook and reason where the job asks an embedder (``vector.embed``, ``models.embed_with``)."""
     rows = selected.where(F.col("e") - F.col("s") >= least_ms)
+    told = [F.col(c) for c in ("source", "sentence_ids", "uncertainty") if c in selected.columns]
+    provenance = F.to_json(F.struct(*told, F.col("total").alias("fusion_score")))
+    more = [provenance.alias("provenance"), *([F.col("embedding")] if "embedding" in selected.columns else [])]
     number = F.row_number().over(Window.partitionBy("video_id").orderBy("rank", "cand_id")).cast("long")
     hook, idea, why = (F.coalesce(F.col(x), F.lit("")) for x in ("hook", "main_idea", "rationale"))
     said = F.filter(F.array(why, F.when(idea != "", F.concat(F.lit("idea: "), X.capped(idea, "idea"))).otherwise("")), lambda x: x != "")
     none = lambda x: F.when(x != "", x)
     clips = rows.select(
         "video_id", number.alias("clip_number"), "cand_id", "s", "e", (F.col("e") - F.col("s")).alias("duration_ms"), none(hook).alias("hook"),
-        none(X.capped(F.array_join(said, " "), "text")).alias("reason"), none(X.capped(F.when(hook != "", hook).otherwise(idea), "title")).alias("title"), "total",
+        none(X.capped(F.array_join(said, " "), "text")).alias("reason"), none(X.capped(F.when(hook != "", hook).otherwise(idea), "title")).alias("title"), "total", *more,
     )
     met = overlap_join(clips.select("video_id", "cand_id", "s", "e"), chunks.select("video_id", "chunk_index", "start_ms", "end_ms"), "video_id", ("s", "e"), ("start_ms", "end_ms"))
     of = met.groupBy("video_id", "cand_id").agg(F.array_sort(F.collect_list("chunk_index")).alias("source_chunks"))
     return clips.join(of, ["video_id", "cand_id"], "left").withColumn("source_chunks", F.coalesce("source_chunks", F.array().cast("array<bigint>")))
 
 
+def insertion_statuses(considered: DataFrame, least_ms: int = 15_000) -> DataFrame:
+    """(video_id, cand_id, status, reason) after insertion, of all candidates that selection looked at (s, e, status, reason).
+
+    Selected ones become ``selected``, or ``rejected`` where they are too short; near-duplicates and those under the floor
+    are ``rejected``; surplus ones stay ``proposed``. None goes without a status."""
+    short = (F.col("status") == "selected") & (F.col("e") - F.col("s") < least_ms)
+    status = F.when(short, "rejected").when(F.col("status") == "selected", "selected").when(F.col("status") == "surplus", "proposed").otherwise("rejected")
+    reason = F.when(short, F.lit(f"shorter than {least_ms // 1000}s")).otherwise(F.coalesce("reason", F.lit("")))
+    return considered.select("video_id", "cand_id", status.alias("status"), reason.alias("reason"))
+
+
 def extracted_clips(replies: DataFrame, least_s: float = 15.0) -> DataFrame:
     """(chunk_id, n, start, end, duration_s, hook) from a model's replies (chunk_id, reply), a JSON list of clips each.
 

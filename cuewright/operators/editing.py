@@ -82,6 +82,24 @@ def discovery_windows(sents: DataFrame, size: int = 120, target: int = 24) -> Da
     return g.withColumn("asked", F.greatest(F.lit(2), F.floor(F.lit(target) / n) + 1).cast("long"))
 
 
+def section_windows(sents: DataFrame, sections: DataFrame, size: int = 120, target: int = 8) -> DataFrame:
+    """(video_id, window, start_id, end_id, n_sentences, asked): what discovery reads at once, by outline sections.
+
+    sections: (video_id, idx, start_id, end_id). A section's known sentences, in slices of ``size``; sections without any
+    give no window. A video without sections goes in slices over all its sentences. A sentence in two sections is in both's
+    windows. Numbers run in the sections' order; every window is asked for its share of the target and one more, two at least."""
+    ids = sents.select("video_id", "id").distinct()
+    s = sections.select("video_id", F.col("idx").cast("long").alias("idx"), F.col("start_id").cast("long").alias("a"), F.col("end_id").cast("long").alias("b"))
+    inside = overlap_join(s, ids.withColumn("id_", F.col("id")), "video_id", ("a", "b"), ("id", "id_"), width=size).select("video_id", "idx", "id")
+    whole = ids.join(s.select("video_id").distinct(), "video_id", "left_anti").select("video_id", F.lit(0).cast("long").alias("idx"), "id")
+    w = Window.partitionBy("video_id", "idx").orderBy("id")
+    cut = inside.unionByName(whole).withColumn("slice", F.floor((F.row_number().over(w) - 1) / size))
+    g = cut.groupBy("video_id", "idx", "slice").agg(F.min("id").alias("start_id"), F.max("id").alias("end_id"), F.count("*").alias("n_sentences"))
+    number = F.row_number().over(Window.partitionBy("video_id").orderBy("idx", "slice")) - 1
+    asked = F.greatest(F.lit(2), F.floor(F.lit(target) / F.count("*").over(Window.partitionBy("video_id"))) + 1)
+    return g.select("video_id", number.cast("long").alias("window"), "start_id", "end_id", "n_sentences", asked.cast("long").alias("asked"))
+
+
 def top_classes(scores: DataFrame, keys: list[str], labels: dict[str, str], least: float, k: int = 5) -> DataFrame:
     """(keys, label, confidence): mean score by class inside each key, the k best, the first that has a label and is confident."""
     g = scores.groupBy(*keys, "class").agg(half_up(F.avg("score"), 6).alias("confidence"))
@@ -145,30 +163,68 @@ def speaker_tracks(clips: DataFrame, speech: DataFrame, faces: DataFrame, speake
     return j.select("clip_id", status.alias("status"), mapping.alias("mapping"))
 
 
-def edit_plan(clips: DataFrame, cues: DataFrame, scenes: DataFrame, rois: DataFrame, settings: dict[str, str]) -> DataFrame:
+#: What a plan's parts have where the job's settings say nothing.
+PLAN_DEFAULTS = {
+    "audio": {"normalize_loudness": True, "peak_limit_db": -1.5, "duck_music": True, "denoise": False, "audio_fade": False, "fade_duration": 0.5},
+    "branding": {"logo": None, "logo_position": "top-right", "music": None, "music_volume": 0.1, "fade": True},
+    "export": {"width": 1080, "height": 1920, "codec": "libx264", "preset": "fast", "crf": 23, "audio_bitrate": "128k", "fps": None, "setsar": True},
+    "style": dict.fromkeys(["font", "font_size", "primary_color", "highlight_color", "outline_color", "outline_width", "shadow", "margin_v", "margin_v_top", "max_lines"]),
+    "versions": {"whisper_model": None, "embed_model": None, "llm_model": None, "face_model": "blaze_face_short_range"},
+}
+PLAN_VERSION = 2
+REVIEW_NOTE = "parts of this clip are framed by work area, centre or a held anchor; check that the subject is in view"
+DETAIL_NOTE = "a larger export does not bring back detail that a narrow crop of a small source lost"
+LIMITS = ["crop paths are worked out again from the plan's inputs; equal inputs and fingerprint give equal frames"]
+
+
+def _part(name: str, settings: dict) -> Column:
+    """A plan's part of constants: ``name.key`` of the settings over the default."""
+    text = lambda v: F.lit(None).cast("string") if v is None else F.lit(v)
+    return F.struct(*[text(settings.get(f"{name}.{k}", v)).alias(k) for k, v in PLAN_DEFAULTS[name].items()])
+
+
+def edit_plan(clips: DataFrame, cues: DataFrame, scenes: DataFrame, rois: DataFrame, settings: dict[str, str], cuts: DataFrame | None = None, samples: DataFrame | None = None) -> DataFrame:
     """(clip_id, plan, fingerprint): everything a renderer needs of a clip as one struct.
 
-    clips: clip_id, clip_number, layout, ranges [(s, e)], timeline [(s, e, out_s, out_e)];
-    cues: (clip_id, cue_id, start_ms, end_ms, text); scenes: (clip_id, scene, kind, cx, cy,
-    needs_review); rois: (clip_id, idx, x, y, w, h), kept as they are. The fingerprint covers
-    the settings and the layout, so equal ones give equal renders."""
+    clips: clip_id, clip_number, layout, ranges [(s, e)], timeline [(s, e, out_s, out_e)], and, where the job has them,
+    layout_reason, placement, bounds (x, y, w, h), source_width and source_height; cues: (clip_id, cue_id, start_ms, end_ms, text);
+    scenes: (clip_id, scene, kind, cx, cy, needs_review); rois: (clip_id, idx, x, y, w, h), kept as they are; cuts: (clip_id, t), the
+    scene cuts; samples: (clip_id, n), faces per sample, for the share with one. settings: flat names; those of a part (``audio.``,
+    ``branding.``, ``export.``, ``style.``, ``versions.``) override its defaults, ``framing.full_screen_vertical`` is true unless set. The fingerprint covers
+    the layout and all settings but the versions of models, so equal ones give equal renders."""
     per = lambda d, order, *cols, name: d.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct(order, *cols))).alias(name))
-    c = per(cues, "cue_id", "start_ms", "end_ms", "text", name="cues")
-    s = per(scenes, "scene", "kind", "cx", "cy", "needs_review", name="scene_crops")
-    r = per(rois, "idx", "x", "y", "w", "h", name="manual_rois")
-    j = clips.join(c, "clip_id", "left").join(s, "clip_id", "left").join(r, "clip_id", "left")
-    kind = {x: d.schema[x].dataType for d, x in ((c, "cues"), (s, "scene_crops"), (r, "manual_rois"))}
-    j = j.withColumns({k: F.coalesce(k, F.array().cast(t)) for k, t in kind.items()})
+    parts = [per(cues, "cue_id", "start_ms", "end_ms", "text", name="cues"), per(scenes, "scene", "kind", "cx", "cy", "needs_review", name="scene_crops"), per(rois, "idx", "x", "y", "w", "h", name="manual_rois")]
+    if cuts is not None:
+        parts.append(per(cuts, "t", name="cuts"))
+    j = clips
+    for d in parts:
+        name = d.columns[1]
+        j = j.join(d, "clip_id", "left").withColumn(name, F.coalesce(name, F.array().cast(d.schema[name].dataType)))
+    if samples is not None:
+        share = samples.groupBy("clip_id").agg(half_up(F.avg((F.coalesce("n", F.lit(0)) > 0).cast("double")), 3).alias("face_fraction"))
+        j = j.join(share, "clip_id", "left")
+    given = lambda c, kind, default=None: F.coalesce(F.col(c).cast(kind), F.lit(default).cast(kind)) if c in j.columns else F.lit(default).cast(kind)
+    bounds, share, reason = given("bounds", "struct<x:bigint,y:bigint,w:bigint,h:bigint>"), given("face_fraction", "double"), given("layout_reason", "string", "")
     length = F.aggregate("ranges", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"])
     review = F.exists("scene_crops", lambda x: x["needs_review"])
+    full = F.lit(str(settings.get("framing.full_screen_vertical", "true")).lower() == "true")
+    size = F.concat(given("source_width", "string", "?"), F.lit("x"), given("source_height", "string", "?"))
+    export = _part("export", settings)
     plan = F.struct(
-        F.lit(1).alias("plan_version"), "clip_number", "clip_id", F.col("ranges").alias("source_ranges"), "timeline", length.alias("output_ms"), "layout",
-        F.struct("cues", F.size("cues").alias("cue_count")).alias("captions"),
-        F.struct("scene_crops", F.size("scene_crops").alias("scene_count"), "manual_rois", review.alias("needs_review")).alias("framing"),
-        F.struct(*[F.lit(v).alias(k) for k, v in sorted(settings.items())]).alias("settings"),
+        F.lit(PLAN_VERSION).alias("plan_version"), "clip_number", "clip_id", F.col("ranges").alias("source_ranges"), "timeline", length.alias("output_ms"),
+        F.struct("cues", given("placement", "string", "bottom").alias("placement"), F.size("cues").alias("cue_count"), _part("style", settings).alias("style")).alias("captions"),
+        (F.col("cuts") if cuts is not None else F.array().cast("array<struct<t:bigint>>")).alias("scenes"), "layout", reason.alias("layout_reason"), share.alias("face_fraction"),
+        F.struct(
+            full.alias("full_screen_vertical"), "layout", reason.alias("layout_reason"), "scene_crops", F.size("scene_crops").alias("scene_count"), "manual_rois", bounds.alias("content_bounds"),
+            share.alias("face_fraction"), review.alias("needs_review"), F.when(review, REVIEW_NOTE).otherwise("").alias("review_note"),
+        ).alias("framing"),
+        _part("audio", settings).alias("audio"), _part("branding", settings).alias("branding"),
+        export.withField("upscaled_from", size).withField("detail_note", F.lit(DETAIL_NOTE)).alias("export"), _part("versions", settings).alias("versions"),
+        F.array(*map(F.lit, LIMITS)).alias("limits"), F.struct(*[F.lit(v).alias(k) for k, v in sorted(settings.items())]).alias("settings"),
     )
-    mark = X.fingerprint(*[F.lit(f"{k}={v}") for k, v in sorted(settings.items())], F.col("layout"))
-    return j.select("clip_id", plan.alias("plan"), mark.alias("fingerprint"))
+    covered = {k: v for k, v in settings.items() if not k.startswith("versions.")}
+    mark = X.fingerprint(*[F.lit(f"{k}={v}") for k, v in sorted(covered.items())], F.col("layout"))
+    return j.select("clip_id", plan.withField("config_fingerprint", mark).alias("plan"), mark.alias("fingerprint"))
 
 
 def review_list(clips: DataFrame, plans: DataFrame, cands: DataFrame) -> DataFrame:

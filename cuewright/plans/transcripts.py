@@ -12,7 +12,7 @@ from cuewright.operators import candidates as C
 from cuewright.operators import captions, intervals, segment
 from cuewright.sources import transcript
 
-from . import sql
+from . import fixtures, sql
 from .registry import query, table
 
 
@@ -89,12 +89,12 @@ def speech_coverage(spark, d):
 @query(f"WITH {sql.PROPOSALS} SELECT video_id, proposal_id, lo, hi, n_sentences, s, e, reject_reason FROM p")
 def candidate_validation(spark, d):
     s = sents(spark, d).persist()  # proposed from twice and looked up twice; the session's cache is cleared by who runs the query
-    return C.validate(C.proposals(s), s).select("video_id", "proposal_id", "lo", "hi", "n_sentences", "s", "e", "reject_reason")
+    return C.validate(fixtures.proposals(s), s).select("video_id", "proposal_id", "lo", "hi", "n_sentences", "s", "e", "reject_reason")
 
 
 def cands(spark: SparkSession, d: str, s: DataFrame | None = None) -> DataFrame:
     s = s or sents(spark, d).persist()
-    return C.candidates(C.validate(C.proposals(s), s)).persist()  # met with themselves
+    return fixtures.candidates(C.validate(fixtures.proposals(s), s)).persist()  # met with themselves
 
 
 KEYWORDS = X.keywords(sql.CAMPAIGN)

@@ -12,7 +12,7 @@ from cuewright.operators import adapters, captions, intervals, segment
 from cuewright.operators import candidates as C
 from cuewright.sources import sinks
 
-from . import media, sql, transcripts
+from . import fixtures, media, sql, transcripts
 from .registry import query
 
 _SENTENCES_AND_CHUNKS = sql.SENTENCES + "," + sql.CHUNKS[len(sql.WORDS) :].lstrip().lstrip(",")
@@ -110,7 +110,7 @@ def verdict_clips(spark, d):
 def join_proposals(s: DataFrame) -> DataFrame:
     i = F.col("proposal_id")
     more = F.when(i % 12 == 0, F.array(i + 12, i + 13, i + 1)).when(i % 12 == 4, F.array(i + 400, i + 401)).when(i % 24 == 8, F.array(F.lit(9_000_000).cast("long"))).when(i % 24 == 20, F.array(i, i + 1))
-    return C.proposals(s).withColumn("join_ids", more)
+    return fixtures.proposals(s).withColumn("join_ids", more)
 
 
 @query(f"""WITH {sql.PROPOSALS},
@@ -134,7 +134,7 @@ def join_validation(spark, d):
 def capped_candidates(spark, d):
     """The first accepted proposals of each video, up to the most that discovery takes."""
     s = transcripts.sents(spark, d).persist()
-    return C.first_accepted(C.validate(C.proposals(s), s), 5).select("video_id", "proposal_id", "lo", "hi", "s", "e")
+    return C.first_accepted(C.validate(fixtures.proposals(s), s), 5).select("video_id", "proposal_id", "lo", "hi", "s", "e")
 
 
 _WINNERS = transcripts._DIVERSE + """,
