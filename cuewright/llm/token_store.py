@@ -36,6 +36,8 @@ from .common import block_offsets, require
 from .hashing import mix
 
 WINDOW, LEAST, MOST, MASK_BITS = 16, 64, 1024, 8
+#: Documents of a manifest block, about; more of them make more blocks.
+BLOCK_DOCUMENTS = 250_000
 _M = 0x9E3779B97F4A7C15
 _F = 0xFFFFFFFF
 _ZEROS = memoryview(bytes(4 * MOST))
@@ -139,13 +141,14 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, width
     def root(ids: pd.Series) -> pd.Series:
         return ids.map(lambda x: merkle(list(x)))
 
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-uses.where("k = 0").count() // BLOCK_DOCUMENTS))
     recipes = (
         uses.groupBy("row")
         .agg(F.min("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("k", "chunk_id"))).alias("c"), F.sum("n").cast("long").alias("n_tokens"))
         .select("doc_id", "row", F.col("c.chunk_id").alias("chunks"), "n_tokens")
         .withColumn("root", root("chunks"))
-        .repartitionByRange(F.col("doc_id"), F.col("row"))
-        .sortWithinPartitions("doc_id", "row")
+        .repartitionByRange(ranges, F.col("doc_id"), F.col("root"), F.col("row"))
+        .sortWithinPartitions("doc_id", "root", "row")
         .withColumn("block", F.spark_partition_id())
     )
     recipes.write.option("compression", "zstd").parquet(f"{path}/recipes")
@@ -159,7 +162,7 @@ def _recipes(spark: SparkSession, path: str) -> DataFrame:
 def _blocks(recipes: DataFrame) -> DataFrame:
     """Per block: documents, ids, and the digest chain over its documents' roots in order.
 
-    A block is a range partition of recipes, so its list of roots (16 bytes a document) is bounded by it."""
+    A block is a range partition of recipes of about BLOCK_DOCUMENTS documents at most, so its list of roots is bounded whatever the table's size."""
 
     @F.pandas_udf("binary")
     def root(ids: pd.Series) -> pd.Series:
@@ -167,7 +170,7 @@ def _blocks(recipes: DataFrame) -> DataFrame:
 
     return (
         recipes.groupBy("block")
-        .agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("ids"), F.array_sort(F.collect_list(F.struct("doc_id", "row", "root"))).alias("r"))
+        .agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("ids"), F.array_sort(F.collect_list(F.struct("doc_id", "root", "row"))).alias("r"))
         .select("block", "documents", "ids", root("r.root").alias("root"))
     )
 
@@ -183,7 +186,7 @@ def combine(crc: int, more: int, size: int) -> int:
 def read_index(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, n_chunks) of all documents, from the files, verified.
 
-    start: the ids of all documents before it in (doc_id, row) order. ids_crc32: of the ids as little-endian unsigned 32-bit integers."""
+    start: the ids of all documents before it by doc_id, those of one id by their Merkle root, so the order does not depend on the partitioning of the input. ids_crc32: of the ids as little-endian unsigned 32-bit integers."""
     if not verify(spark, path):
         raise ValueError("the recipes do not match the manifest")
     kind = "<u2" if width == 2 else "<u4"
@@ -219,7 +222,7 @@ def read_index(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("k", "chunk_id", "n", "crc"))).alias("parts"), F.sum("n").alias("found"))
     )
     of_block = block_offsets(recipes.groupBy("block").agg(F.sum("n_tokens").alias("ids")).withColumn("all", F.lit(1)), ["all"], "ids", "before")
-    inside = Window.partitionBy("block").orderBy("doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("block").orderBy("doc_id", "root", "row").rowsBetween(Window.unboundedPreceding, -1)
     starts = recipes.select("doc_id", "row", "block", "n_tokens", "root", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("inside"))
     out = starts.join(of_block.select("block", "before"), "block").join(rows, ["row", "block"], "left")
     checked = F.when(F.col("found") == F.col("n_tokens"), joined("parts", "root")).otherwise(F.raise_error("a chunk is missing"))
