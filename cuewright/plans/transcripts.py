@@ -11,6 +11,7 @@ from cuewright.functions.numeric import half_up
 from cuewright.operators import candidates as C
 from cuewright.operators import captions, intervals, segment
 from cuewright.sources import transcript
+from cuewright.storage import written
 
 from . import fixtures, sql
 from .registry import query, table
@@ -88,13 +89,13 @@ def speech_coverage(spark, d):
 
 @query(f"WITH {sql.PROPOSALS} SELECT video_id, proposal_id, lo, hi, n_sentences, s, e, reject_reason FROM p")
 def candidate_validation(spark, d):
-    s = sents(spark, d).persist()  # proposed from twice and looked up twice; the session's cache is cleared by who runs the query
+    s = written(sents(spark, d), "shared")  # proposed from twice and looked up twice
     return C.validate(fixtures.proposals(s), s).select("video_id", "proposal_id", "lo", "hi", "n_sentences", "s", "e", "reject_reason")
 
 
 def cands(spark: SparkSession, d: str, s: DataFrame | None = None) -> DataFrame:
-    s = s or sents(spark, d).persist()
-    return fixtures.candidates(C.validate(fixtures.proposals(s), s)).persist()  # met with themselves
+    s = s or written(sents(spark, d), "shared")
+    return written(fixtures.candidates(C.validate(fixtures.proposals(s), s)), "shared")  # met with themselves
 
 
 KEYWORDS = X.keywords(sql.CAMPAIGN)
@@ -180,7 +181,7 @@ def near_start_dedup(spark, d):
 
 def clips(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Clips off the sentence grid: candidates shifted by a few hundred milliseconds; and the sentences."""
-    s = sents(spark, d).persist()
+    s = written(sents(spark, d), "shared")
     c = cands(spark, d, s)
     i = F.col("cand_id")
     return c.select(

@@ -11,6 +11,7 @@ from cuewright.functions.numeric import coverage, half_up, iou
 from cuewright.operators import adapters, captions, intervals, segment
 from cuewright.operators import candidates as C
 from cuewright.sources import sinks
+from cuewright.storage import written
 
 from . import fixtures, media, sql, transcripts
 from .registry import query
@@ -26,12 +27,12 @@ def _pairs(c: Column) -> Column:
 def chunk_clips(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Every chunk as a clip, its next three chunks as continuations, and the sentences."""
     w = transcripts.words(spark, d)
-    c = segment.silence_chunks(w).select("video_id", "chunk_index", F.col("start_ms").alias("s"), F.col("end_ms").alias("e")).persist()  # met with itself
+    c = written(segment.silence_chunks(w).select("video_id", "chunk_index", F.col("start_ms").alias("s"), F.col("end_ms").alias("e")), "shared")  # met with itself
     clip = lambda i: F.col("video_id") * 10_000_000 + F.col(i)
     clips = c.select("video_id", clip("chunk_index").alias("clip_id"), "s", "e")
     near = c.select("video_id", F.col("chunk_index").alias("first"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("k")).withColumn("chunk_index", F.col("first") + F.col("k"))
     more = near.join(c, ["video_id", "chunk_index"]).select("video_id", clip("first").alias("clip_id"), F.col("k").cast("long").alias("seg_id"), "s", "e")
-    return clips, more, segment.sentences(w).persist()
+    return clips, more, written(segment.sentences(w), "sentences")
 
 
 _STITCHED = f"""{_SENTENCES_AND_CHUNKS},
@@ -124,7 +125,7 @@ SELECT jo.video_id, jo.proposal_id, n_sentences, n_joins, join_s, join_e, nullif
   WHEN js IS NOT NULL AND least(abs(join_s - e), abs(s - join_e)) > 60000 THEN 'joins too far' ELSE reject_reason END AS reject_reason FROM jo LEFT JOIN jk USING (video_id, proposal_id)""")
 def join_validation(spark, d):
     """Proposals that join passages which are not contiguous."""
-    s = transcripts.sents(spark, d).persist()
+    s = written(transcripts.sents(spark, d), "shared")
     v = C.validate(join_proposals(s), s)
     ids = F.array_join("sentence_ids", ",")
     return v.select("video_id", "proposal_id", "n_sentences", "n_joins", "join_s", "join_e", F.when(ids != "", ids).alias("ids"), "reject_reason")
@@ -133,7 +134,7 @@ def join_validation(spark, d):
 @query(f"WITH {sql.PROPOSALS}, z AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY proposal_id) AS n FROM p WHERE reject_reason IS NULL) SELECT video_id, proposal_id, lo, hi, s, e FROM z WHERE n IN (1, 2, 3, 4, 5)")
 def capped_candidates(spark, d):
     """The first accepted proposals of each video, up to the most that discovery takes."""
-    s = transcripts.sents(spark, d).persist()
+    s = written(transcripts.sents(spark, d), "shared")
     return C.first_accepted(C.validate(fixtures.proposals(s), s), 5).select("video_id", "proposal_id", "lo", "hi", "s", "e")
 
 
@@ -259,7 +260,7 @@ y AS (SELECT x.video_id, peak_ms, s, e, sum(w.end_ms - w.start_ms)::BIGINT AS sp
 SELECT video_id, peak_ms, CASE WHEN video_id % 2 = 0 THEN 'cheers at ' || peak_ms::VARCHAR END AS hook, CASE WHEN video_id % 2 = 0 THEN 'a score' END AS main_idea, NULL::VARCHAR AS payoff FROM y WHERE speech_ms * 10 >= (e - s) * 3 AND e - s BETWEEN 15000 AND 90000""")
 def enriched_cues(spark, d):
     """Audio cues with the texts a model wrote for some; an empty text changes nothing."""
-    cues = media.event_cues(spark, d).persist()
+    cues = written(media.event_cues(spark, d), "shared")
     hook = F.concat(F.lit("cheers at "), F.col("peak_ms").cast("string"))
     replies = cues.where("video_id % 2 = 0").select("video_id", "peak_ms", hook.alias("hook"), F.lit("a score").alias("main_idea"), F.lit("").alias("payoff"))
     return C.enriched(cues, replies).select("video_id", "peak_ms", "hook", "main_idea", "payoff")
