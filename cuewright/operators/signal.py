@@ -58,17 +58,25 @@ def merge_events(e: DataFrame, cfg: Spikes = Spikes()) -> DataFrame:
 
 
 def event_cues(events: DataFrame, sents: DataFrame, words: DataFrame, cfg: Spikes = Spikes()) -> DataFrame:
-    """Candidates around spikes (key = video_id): the sentences near the peak, if spoken enough and of fit length."""
-    ev = events.select(F.col("key").alias("video_id"), F.col("peak_ms"), "confidence", (F.col("peak_ms") - cfg.pre_ms).alias("lo"), (F.col("peak_ms") + cfg.post_ms).alias("hi"))
+    """Candidates around spikes (key = video_id): the sentences near the peak, if spoken enough and of fit length.
+
+    ``rationale`` says why in words, ``provenance`` in JSON, with ``energy_increase`` and ``label`` where events have them."""
+    has = [c for c in ("energy_increase", "label") if c in events.columns]
+    ev = events.select(F.col("key").alias("video_id"), F.col("peak_ms"), "confidence", *has, (F.col("peak_ms") - cfg.pre_ms).alias("lo"), (F.col("peak_ms") + cfg.post_ms).alias("hi"))
     near = sents.select("video_id", "id", "start_ms", "end_ms")
-    c = overlap_join(ev, near, "video_id", ("lo", "hi"), ("start_ms", "end_ms")).groupBy("video_id", "peak_ms", "confidence").agg(
+    c = overlap_join(ev, near, "video_id", ("lo", "hi"), ("start_ms", "end_ms")).groupBy("video_id", "peak_ms", "confidence", *has).agg(
         F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.min("start_ms").alias("s"), F.max("end_ms").alias("e")
     )
     # the words of whole sentences: their summed length is the speech inside the span
     spoken = F.sum(F.col("end_ms") - F.col("start_ms"))
     w = words.select("video_id", "start_ms", "end_ms")
     met = overlap_join(c, w, "video_id", ("s", "e"), ("start_ms", "end_ms")).where((F.col("start_ms") < F.col("e")) & (F.col("end_ms") > F.col("s")))
-    out = met.groupBy("video_id", "peak_ms", "confidence", "first_id", "last_id", "s", "e").agg(spoken.alias("speech_ms"))
+    out = met.groupBy("video_id", "peak_ms", "confidence", *has, "first_id", "last_id", "s", "e").agg(spoken.alias("speech_ms"))
     span = F.col("e") - F.col("s")
     out = out.where((F.col("speech_ms") * 10 >= span * round(cfg.coverage * 10)) & span.between(cfg.min_span_ms, cfg.max_span_ms))
-    return out.withColumn("uncertainty", half_up(1.0 - 0.5 * F.col("confidence"), 3)).drop("confidence")
+    rise = F.concat(F.lit(" +"), F.col("energy_increase").cast("string"), F.lit(" dB")) if "energy_increase" in has else F.lit("")
+    second = F.format_string("%.1f", F.col("peak_ms") / 1000)
+    why = F.concat(F.lit("audio spike"), rise, F.lit(" at "), second, F.lit(" s; speech covers "), F.floor(F.col("speech_ms") * 100 / span + 0.5).cast("string"), F.lit(" %"))
+    told = F.to_json(F.struct(F.lit("audio_event").alias("source"), F.col("peak_ms").alias("event_peak"), *has))
+    out = out.withColumns({"uncertainty": half_up(1.0 - 0.5 * F.col("confidence"), 3), "rationale": why, "provenance": told})
+    return out.drop("confidence", *has)

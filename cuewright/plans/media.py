@@ -83,7 +83,7 @@ SELECT video_id, peak_ms, first_id, last_id, s, e, speech_ms, floor((1.0::DOUBLE
 FROM y WHERE speech_ms * 10 >= (e - s) * 3 AND e - s BETWEEN 15000 AND 90000""")
 def event_cues(spark, d):
     w = transcript.word_timeline(table(spark, d, "documents"))
-    return signal.event_cues(spikes(spark, d), segment.sentences(w), w)
+    return signal.event_cues(spikes(spark, d), segment.sentences(w), w).drop("rationale", "provenance")
 
 
 _VIDEO = "label"

@@ -132,3 +132,14 @@ def test_inserted_clips_tell_where_they_come_from(spark):
     looked = spark.createDataFrame([(1, 7, 0, 20_000, "selected", "ranked #1"), (1, 8, 0, 9000, "selected", "ranked #2"), (1, 9, 0, 1, "surplus", "s"), (1, 10, 0, 1, "near_duplicate", None)], "video_id long, cand_id long, s long, e long, status string, reason string")
     got = {r.cand_id: (r.status, r.reason) for r in candidates.insertion_statuses(looked).collect()}
     assert got == {7: ("selected", "ranked #1"), 8: ("rejected", "shorter than 15s"), 9: ("proposed", "s"), 10: ("rejected", "")}
+
+
+def test_event_cues_say_why(spark):
+    from cuewright.operators import signal
+
+    events = spark.createDataFrame([(1, 30_000, 0.8, 9.5, "laughter")], "key long, peak_ms long, confidence double, energy_increase double, label string")
+    sents = spark.createDataFrame([(1, i, i * 2000, i * 2000 + 1900) for i in range(30)], "video_id long, id long, start_ms long, end_ms long")
+    words = sents.select("video_id", "start_ms", "end_ms")
+    (cue,) = signal.event_cues(events, sents, words).collect()
+    assert cue.rationale == "audio spike +9.5 dB at 30.0 s; speech covers 95 %"
+    assert json.loads(cue.provenance) == {"source": "audio_event", "event_peak": 30000, "energy_increase": 9.5, "label": "laughter"}
