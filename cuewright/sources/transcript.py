@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cuewright.functions import text as X
 
+#: Characters of text that one task takes apart. A word is some 100 bytes as a row, and the windows over a timeline sort
+#: it up to five times in one stage, so this is a few hundred MB of a task's memory: nothing spills.
+TASK_CHARS = 2_000_000
+
 _WORD = "array<struct<word:string,start:string,end:string,display:string>>"
 
 
@@ -93,11 +99,14 @@ def word_timeline(docs: DataFrame) -> DataFrame:
 
     Words last 80 ms a letter and 40 more; the pauses between them depend on punctuation
     and position. Documents are dealt by id before they are exploded, so this and the
-    later windows over video_id share one shuffle of texts instead of one of words."""
+    later windows over video_id share one shuffle of texts instead of one of words. The number of
+    tasks follows the characters of all texts: from shuffled bytes alone, Spark would make too few."""
     ends = X.ends_sentence(F.col("word"))
     beat = F.col("pos") * 7919 + F.col("video_id") * 104729
     gap = F.when(ends, F.when(beat % 5 == 0, 1500).otherwise(600)).otherwise(F.when(beat % 97 == 0, 1300).otherwise(60))
-    rows = docs.select(F.col("doc_id").alias("video_id"), "text").repartition("video_id")
+    docs = docs.select(F.col("doc_id").alias("video_id"), "text")
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    rows = docs.repartition(max(1, math.ceil(chars / TASK_CHARS)), "video_id")
     rows = rows.select("video_id", F.posexplode(X.split_words(F.col("text"))).alias("pos", "word"))
     rows = rows.withColumn("dur", (80 * F.length("word") + 40).cast("long")).withColumn("gap", gap.cast("long"))
     before = Window.partitionBy("video_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
