@@ -145,10 +145,10 @@ def speaker_tracks(clips: DataFrame, speech: DataFrame, faces: DataFrame, speake
     """(clip_id, status, mapping {speaker: track}): voices to faces, by an explicit map of speakers to sides only.
 
     clips: (clip_id); speech: (clip_id, speaker); faces: (clip_id, track_id, cx). left is the
-    track of the least mean place, right that of the greatest; without two tracks, speech or a
-    map there is no mapping, and nothing is guessed."""
+    track of the least mean place, right that of the greatest, in the order of (place, track) where places
+    are equal; without two tracks, speech or a map there is no mapping, and nothing is guessed."""
     g = faces.where("track_id is not null").groupBy("clip_id", "track_id").agg(F.avg("cx").alias("x"))
-    t = g.groupBy("clip_id").agg(F.count_distinct("track_id").alias("tracks"), F.min_by("track_id", F.struct("x", "track_id")).alias("left"), F.max_by("track_id", F.struct("x", -F.col("track_id"))).alias("right"))
+    t = g.groupBy("clip_id").agg(F.count_distinct("track_id").alias("tracks"), F.min_by("track_id", F.struct("x", "track_id")).alias("left"), F.max_by("track_id", F.struct("x", "track_id")).alias("right"))
     j = clips.join(t, "clip_id", "left").join(speech.select("clip_id", F.lit(True).alias("spoken")).distinct(), "clip_id", "left")
     sides = {k: v for k, v in speaker_map.items() if v in ("left", "right")}
     entries = F.map_from_arrays(F.array(*map(F.lit, sides)), F.array(*map(F.col, sides.values()))) if sides else None

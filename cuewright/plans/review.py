@@ -123,7 +123,8 @@ def scene_cuts(spark, d):
     """Frames of sixteen pixels out of the vectors."""
     e = table(spark, d, "embeddings")
     pos = (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("long")
-    f = e.select(F.col("label").alias("clip_id"), pos.alias("pos"), F.transform(F.slice("embedding", 1, 16), lambda x: F.floor(x * 200)).alias("pixels"))
+    pixel = lambda x: F.floor(x * F.lit(200).cast("float"))  # noqa: E731  (in single precision, as the vectors are)
+    f = e.select(F.col("label").alias("clip_id"), pos.alias("pos"), F.transform(F.slice("embedding", 1, 16), pixel).alias("pixels"))
     return framing.scene_cuts(f, 28.0).select("clip_id", "pos", "diff", "cut")
 
 

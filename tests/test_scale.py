@@ -1,7 +1,11 @@
 """Work that follows the input: tasks by characters, rows that meet in one place, results at ties."""
 
+import duckdb
 from pyspark.sql import functions as F
 
+from cuewright import catalogue  # noqa: F401  (registers the queries)
+from cuewright.operators.editing import speaker_tracks
+from cuewright.plans.registry import ORACLES, QUERIES
 from cuewright.sources import transcript
 
 
@@ -17,3 +21,30 @@ def test_texts_may_be_null_or_lack(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "one")], "doc_id long, text string")
     assert [tuple(r) for r in transcript.word_timeline(docs).collect()] == [(3, 0, "one", 0, 280)]
     assert transcript.word_timeline(docs.where("false")).count() == 0
+
+
+def _against_sql(spark, tmp_path, query, **tables):
+    """(rows of the query, rows of its SQL) over small tables."""
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = QUERIES[query](spark, str(tmp_path))
+    con = duckdb.connect()
+    for name in tables:
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLES[query]})").fetchall()
+    key = lambda r: [(x is None, str(x)) for x in r]
+    return sorted(map(tuple, got.collect()), key=key), sorted(want, key=key)
+
+
+def test_scene_cuts_take_pixels_in_single_precision(spark, tmp_path):
+    values = [[k / 200 + 0.0] * 16 for k in range(1, 200)]
+    e = spark.createDataFrame([(i, 1, v) for i, v in enumerate(values)], "vec_id long, label int, embedding array<float>")
+    got, want = _against_sql(spark, tmp_path, "scene_cuts", embeddings=e)
+    assert got == want
+
+
+def test_tracks_at_the_same_place_are_ordered_by_number(spark):
+    clips = spark.createDataFrame([(1,)], "clip_id long")
+    faces = spark.createDataFrame([(1, t, x) for t, x in ((0, 70), (1, 70), (2, 10), (3, 10))], "clip_id long, track_id long, cx long")
+    m = speaker_tracks(clips, clips.withColumn("speaker", F.lit("a")), faces, {"a": "left", "b": "right"})
+    assert m.first()["mapping"] == {"a": 2, "b": 1}
