@@ -13,8 +13,8 @@ from cuewright.names import spare
 from . import glossary
 
 
-def cue_of_word(words: DataFrame, cfg: Captions = Captions(), run_key: str = "run") -> DataFrame:
-    """words with ``run`` and ``cue`` (0.. inside the run).
+def cue_of_word(words: DataFrame, cfg: Captions = Captions(), run_key: str = "run", keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
+    """words, of timelines named by ``keys``, with ``run`` and ``cue`` (0.. inside the run).
 
     Closing punctuation always ends a cue, so a run between punctuation marks is folded on
     its own: a cue closes at max_words words, max_chars letters, max_ms, or at a comma once it
@@ -24,12 +24,12 @@ def cue_of_word(words: DataFrame, cfg: Captions = Captions(), run_key: str = "ru
     if "display" not in words.columns:
         words = words.withColumn("display", F.col("word"))
     words = words.withColumn("display", X.shown(F.col("display"), F.col("word")))
-    video = Window.partitionBy("video_id").orderBy("pos")
+    video = Window.partitionBy(*keys).orderBy("pos")
     ends = X.ends_sentence(F.col("word"))
     w = words.withColumn(run_key, F.coalesce(F.sum(ends.cast("int")).over(video.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     size = (F.length("display") + 1).cast("long").alias("size")
     items = F.array_sort(F.collect_list(F.struct("pos", "word", "display", "start_ms", "end_ms", size, F.endswith("word", F.lit(",")).alias("comma"))))
-    g = w.groupBy("video_id", run_key).agg(items.alias("items"))
+    g = w.groupBy(*keys, run_key).agg(items.alias("items"))
     zero = F.struct(
         F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("chars"), F.lit(0).cast("long").alias("from"), F.lit(0).cast("long").alias("cue"),
         F.array().cast("array<bigint>").alias("cues"),
@@ -46,32 +46,40 @@ def cue_of_word(words: DataFrame, cfg: Captions = Captions(), run_key: str = "ru
         )
 
     g = g.withColumn("cues", F.aggregate("items", zero, step, lambda s: s["cues"]))
-    return g.select("video_id", run_key, F.inline(F.arrays_zip("items", "cues"))).select("video_id", run_key, "items.pos", "items.word", "items.display", "items.start_ms", "items.end_ms", F.col("cues").alias("cue"))
+    return g.select(*keys, run_key, F.inline(F.arrays_zip("items", "cues"))).select(*keys, run_key, "items.pos", "items.word", "items.display", "items.start_ms", "items.end_ms", F.col("cues").alias("cue"))
 
 
-def caption_cues(words: DataFrame, cfg: Captions = Captions()) -> DataFrame:
-    """One row per cue, numbered per video: times, number of words, text."""
-    g = cue_of_word(words, cfg).groupBy("video_id", "run", "cue").agg(
+def caption_cues(words: DataFrame, cfg: Captions = Captions(), keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
+    """One row per cue, numbered per video (per ``keys``): times, number of words, text."""
+    g = cue_of_word(words, cfg, keys=keys).groupBy(*keys, "run", "cue").agg(
         F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n_words"), F.min("pos").alias("first_word"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "display"))), lambda x: x["display"]), " ").alias("text"),
     )
-    number = F.row_number().over(Window.partitionBy("video_id").orderBy("first_word")).cast("long")
-    return g.withColumn("cue_id", number).select("video_id", "cue_id", "start_ms", "end_ms", "n_words", "text")
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("first_word")).cast("long")
+    return g.withColumn("cue_id", number).select(*keys, "cue_id", "start_ms", "end_ms", "n_words", "text")
 
 
 def on_output_time(words: DataFrame, ranges: DataFrame, slack_ms: int = 500) -> DataFrame:
     """Words of clips on their output time; words outside the ranges, but for ``slack_ms`` over an end, are left out.
 
-    ranges: (clip_id, video_id, s, e). A word maps by the first range that holds it. The join
-    is on video and minute. Returns clip_id and the words' columns with the new times."""
-    w = Window.partitionBy("clip_id").orderBy("s", "e")
-    r = ranges.withColumn("out", F.coalesce(F.sum(F.col("e") - F.col("s")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("k", F.row_number().over(w))
+    ranges: (clip_id, video_id, s, e); a clip is of one video. A word maps by the first range that holds it.
+    The ranges of each minute are one row that is put among the minute's words and carried along, so words that are
+    dealt by video stay where they are. Returns clip_id, video_id and the words' columns with the new times."""
+    w = Window.partitionBy("video_id", "clip_id").orderBy("s", "e")
+    r = ranges.select("clip_id", "video_id", "s", "e")
+    r = r.withColumn("out", F.coalesce(F.sum(F.col("e") - F.col("s")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("k", F.row_number().over(w))
     r = r.withColumn("cell", F.explode(F.sequence(F.floor(F.col("s") / 60_000), F.floor((F.col("e") + slack_ms) / 60_000))))
-    m = words.withColumn("cell", F.floor(F.col("start_ms") / 60_000)).join(r, ["video_id", "cell"])
-    m = m.where((F.col("start_ms") >= F.col("s")) & (F.col("end_ms") <= F.col("e") + slack_ms))
+    r = r.groupBy("video_id", "cell").agg(F.array_sort(F.collect_list(F.struct("clip_id", "k", "s", "e", "out"))).alias("near"))
     rest = [c for c in words.columns if c not in ("video_id", "pos", "start_ms", "end_ms")]
-    moved = F.struct((F.col("start_ms") - F.col("s") + F.col("out")).alias("start_ms"), (F.col("end_ms") - F.col("s") + F.col("out")).alias("end_ms"), *rest)
-    return m.groupBy("clip_id", "video_id", "pos").agg(F.min_by(moved, "k").alias("x")).select("clip_id", "video_id", "pos", "x.*")
+    word = F.struct("pos", "start_ms", "end_ms", *rest)
+    u = words.select("video_id", F.floor(F.col("start_ms") / 60_000).alias("cell"), word.alias("w")).unionByName(r, allowMissingColumns=True)
+    held = Window.partitionBy("video_id", "cell").orderBy(F.col("w").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    u = u.withColumn("near", F.first("near", ignorenulls=True).over(held)).where("w is not null and near is not null")
+    inside = F.filter("near", lambda x: (F.col("w.start_ms") >= x["s"]) & (F.col("w.end_ms") <= x["e"] + slack_ms))
+    first = F.filter(inside, lambda x, i: (i == 0) | ~x["clip_id"].eqNullSafe(F.get(inside, i - 1)["clip_id"]))  # by clip, then k
+    m = u.select("video_id", "w", F.explode(first).alias("r"))
+    moved = lambda c: (F.col(f"w.{c}") - F.col("r.s") + F.col("r.out")).alias(c)
+    return m.select("r.clip_id", "video_id", "w.pos", moved("start_ms"), moved("end_ms"), *[F.col(f"w.{c}").alias(c) for c in rest])
 
 
 def srt_lines(words: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -79,7 +87,7 @@ def srt_lines(words: DataFrame, ranges: DataFrame) -> DataFrame:
 
     ranges: (clip_id, video_id, s, e), disjoint. Returns clip_id, n (from 1, in source order), start_ms, end_ms, line."""
     m = on_output_time(words, ranges)
-    n = F.row_number().over(Window.partitionBy("clip_id").orderBy("pos")).cast("long")
+    n = F.row_number().over(Window.partitionBy("video_id", "clip_id").orderBy("pos")).cast("long")
     line = F.concat(X.srt_time(F.col("start_ms")), F.lit(" --> "), X.srt_time(F.col("end_ms")), F.lit(" "), F.col("word"))
     return m.withColumn("n", n).select("clip_id", "n", "start_ms", "end_ms", line.alias("line"))
 
@@ -91,8 +99,7 @@ def burn_passes(lines: DataFrame, size: int = 80) -> DataFrame:
 
 def clip_cues(words: DataFrame, ranges: DataFrame, cfg: Captions = Captions()) -> DataFrame:
     """Caption cues of clips: words on output time, shown by their ``display`` where there is one."""
-    w = on_output_time(words, ranges).drop("video_id").withColumnRenamed("clip_id", "video_id")
-    return caption_cues(w, cfg).withColumnRenamed("video_id", "clip_id")
+    return caption_cues(on_output_time(words, ranges), cfg, ("video_id", "clip_id")).drop("video_id")
 
 
 def placement(tracks: DataFrame, height: int = 720, forced: str = "auto") -> DataFrame:

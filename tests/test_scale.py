@@ -6,6 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from cuewright import catalogue  # noqa: F401  (registers the queries)
+from cuewright.operators.captions import on_output_time
 from cuewright.operators.editing import speaker_tracks
 from cuewright.plans.registry import ORACLES, QUERIES
 from cuewright.sources import transcript
@@ -63,3 +64,22 @@ def test_a_chunk_whose_words_cancel_out_has_the_similarity_of_its_sql(spark, tmp
     got, want = _against_sql(spark, tmp_path, "hashed_embeddings", documents=docs)
     same = lambda rows: [tuple("nan" if x != x else x for x in r) for r in rows]
     assert len(got) == 3 and same(got) == same(want)
+
+
+def _later_exchanges(df) -> int:
+    """Shuffles besides those of the texts."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.split("== Initial Plan ==")[-1].count("ENSURE_REQUIREMENTS")
+
+
+def test_words_of_clips_stay_in_the_task_of_their_video(spark):
+    for name in ("srt_lines", "clip_cues"):
+        assert _later_exchanges(QUERIES[name](spark, "/root/testdata/sf0.001")) == 0
+
+
+def test_a_word_maps_by_the_first_range_of_each_clip(spark):
+    words = spark.createDataFrame([(1, i, f"w{i}", i * 1000, i * 1000 + 900) for i in range(130)], "video_id long, pos long, word string, start_ms long, end_ms long")
+    ranges = spark.createDataFrame([(7, 1, 0, 3000), (7, 1, 2000, 5000), (8, 1, 1000, 2000), (8, 1, 59_000, 62_000)], "clip_id long, video_id long, s long, e long")
+    got = sorted((r.clip_id, r.pos, r.start_ms) for r in on_output_time(words, ranges).collect())
+    first = [(7, 0, 0), (7, 1, 1000), (7, 2, 2000), (7, 3, 4000), (7, 4, 5000)]
+    assert got == [*first, (8, 1, 0), (8, 59, 1000), (8, 60, 2000), (8, 61, 3000)]
