@@ -21,6 +21,10 @@ FILLER_OPENERS = ["so", "and", "well", "you know", "um", "uh", "like", "okay", "
 PRONOUN_OPENERS = ["it", "this", "that", "these", "those", "they", "them", "he", "she", "his", "her", "its", "there"]
 
 
+#: Sentences that travel together when proposals look theirs up.
+BLOCK = 64
+
+
 @dataclass(frozen=True)
 class Proposer:
     """Where clips may begin and end, in milliseconds, and what speaks for a beginning."""
@@ -80,20 +84,27 @@ def validate(props: DataFrame, sents: DataFrame, min_ms: int = 15_000, max_ms: i
     if "join_ids" not in props.columns:
         props = props.withColumn("join_ids", F.lit(None).cast("array<bigint>"))
     p = props.select("video_id", "proposal_id", F.least("start_id", "end_id").alias("lo"), F.greatest("start_id", "end_id").alias("hi"), "join_ids")
-    # the join is on equal sentence ids, not on a range; ids beyond the video's own are unknown
+    # sentences travel in blocks of ids, so a proposal meets one or two rows; ids beyond the video's own are unknown
     ends = sents.groupBy("video_id").agg(F.min("id").alias("least"), F.max("id").alias("most"))
     known = p.where("lo is not null and hi is not null").join(ends, "video_id")
-    span = F.when((F.col("lo") <= F.col("most")) & (F.col("hi") >= F.col("least")), F.sequence(F.greatest("lo", "least"), F.least("hi", "most")))
-    inside = F.coalesce(span, F.array().cast("array<bigint>"))
-    further = F.filter(F.array_distinct(F.coalesce("join_ids", F.array().cast("array<bigint>"))), lambda i: i.isNotNull() & ~i.between(F.col("lo"), F.col("hi")))
-    ids = known.select("video_id", "proposal_id", F.explode(F.concat(F.transform(inside, lambda i: F.struct(i.alias("id"), F.lit(False).alias("extra"))), F.transform(further, lambda i: F.struct(i.alias("id"), F.lit(True).alias("extra"))))).alias("x"))
-    ids = ids.select("video_id", "proposal_id", "x.*")
-    s = sents.select("video_id", "id", "start_ms", "end_ms", "text")
-    of = lambda c, extra: F.when(F.col("extra") == extra, F.col(c))
-    g = ids.join(s, ["video_id", "id"]).groupBy("video_id", "proposal_id").agg(
-        F.count(of("id", False)).alias("n_sentences"), F.min(of("start_ms", False)).alias("s"), F.max(of("end_ms", False)).alias("e"), F.min_by("text", of("id", False)).alias("first_text"),
-        F.count(of("id", True)).alias("n_joins"), F.min(of("start_ms", True)).alias("join_s"), F.max(of("end_ms", True)).alias("join_e"),
-        F.array_sort(F.collect_list(F.struct("extra", "id"))).alias("ids"),
+    block = lambda i: F.floor(i / BLOCK)
+    none = F.array().cast("array<bigint>")
+    span = F.when((F.col("lo") <= F.col("most")) & (F.col("hi") >= F.col("least")), F.sequence(block(F.greatest("lo", "least")), block(F.least("hi", "most"))))
+    further = F.filter(F.array_distinct(F.coalesce("join_ids", none)), lambda i: i.isNotNull() & ~i.between(F.col("lo"), F.col("hi")))
+    asked = known.withColumn("further", further).select("video_id", "proposal_id", "lo", "hi", "further", F.explode(F.array_distinct(F.concat(F.coalesce(span, none), F.transform("further", block)))).alias("block"))
+    s = sents.groupBy("video_id", block(F.col("id")).alias("block")).agg(F.array_sort(F.collect_list(F.struct("id", "start_ms", "end_ms", "text"))).alias("near"))
+    met = asked.join(s, ["video_id", "block"]).select(
+        "video_id", "proposal_id", F.filter("near", lambda x: x["id"].between(F.col("lo"), F.col("hi"))).alias("own"), F.filter("near", lambda x: F.array_contains("further", x["id"])).alias("more")
+    )
+    of = lambda c, f: F.transform(c, lambda x: x[f])
+    met = met.where((F.size("own") > 0) | (F.size("more") > 0)).select(
+        "video_id", "proposal_id", F.size("own").alias("n"), F.array_min(of("own", "start_ms")).alias("s"), F.array_max(of("own", "end_ms")).alias("e"), F.get("own", 0)["id"].alias("first"), F.get("own", 0)["text"].alias("text"),
+        F.size("more").alias("m"), F.array_min(of("more", "start_ms")).alias("js"), F.array_max(of("more", "end_ms")).alias("je"), of("own", "id").alias("own_ids"), of("more", "id").alias("more_ids"),
+    )
+    every = lambda c: F.array_sort(F.flatten(F.collect_list(c)))
+    g = met.groupBy("video_id", "proposal_id").agg(
+        F.sum("n").alias("n_sentences"), F.min("s").alias("s"), F.max("e").alias("e"), F.min_by("text", "first").alias("first_text"),
+        F.sum("m").alias("n_joins"), F.min("js").alias("join_s"), F.max("je").alias("join_e"), F.concat(every("own_ids"), every("more_ids")).alias("ids"),
     )
     out = p.join(g, ["video_id", "proposal_id"], "left")
     length = F.col("e") - F.col("s")
@@ -109,10 +120,9 @@ def validate(props: DataFrame, sents: DataFrame, min_ms: int = 15_000, max_ms: i
         .when(length < min_ms, "too short")
         .when(length > max_ms, "too long")
     )
-    sentence_ids = F.transform("ids", lambda x: x["id"])
     return out.select(
         "video_id", "proposal_id", "lo", "hi", F.coalesce("n_sentences", F.lit(0)).alias("n_sentences"), "s", "e", "first_text", reason.alias("reject_reason"),
-        F.coalesce("n_joins", F.lit(0)).alias("n_joins"), "join_s", "join_e", sentence_ids.alias("sentence_ids"),
+        F.coalesce("n_joins", F.lit(0)).alias("n_joins"), "join_s", "join_e", F.col("ids").alias("sentence_ids"),
     )
 
 

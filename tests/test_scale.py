@@ -6,6 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from cuewright import catalogue  # noqa: F401  (registers the queries)
+from cuewright.operators import candidates
 from cuewright.operators.captions import on_output_time
 from cuewright.operators.editing import speaker_tracks
 from cuewright.plans.registry import ORACLES, QUERIES
@@ -83,3 +84,14 @@ def test_a_word_maps_by_the_first_range_of_each_clip(spark):
     got = sorted((r.clip_id, r.pos, r.start_ms) for r in on_output_time(words, ranges).collect())
     first = [(7, 0, 0), (7, 1, 1000), (7, 2, 2000), (7, 3, 4000), (7, 4, 5000)]
     assert got == [*first, (8, 1, 0), (8, 59, 1000), (8, 60, 2000), (8, 61, 3000)]
+
+
+def test_proposals_meet_blocks_of_sentences(spark, monkeypatch):
+    monkeypatch.setattr(candidates, "BLOCK", 2)
+    known = [1, 2, 4, 5, 6, 9]  # ids may have gaps
+    s = spark.createDataFrame([(1, i, i * 10_000, i * 10_000 + 9000, f"t{i}") for i in known], "video_id long, id long, start_ms long, end_ms long, text string")
+    p = spark.createDataFrame([(1, 0, 3, 6, [9, 1, 77]), (1, 1, 6, 3, None), (1, 2, 7, 8, None), (1, 3, 40, 50, None)], "video_id long, proposal_id long, start_id long, end_id long, join_ids array<long>")
+    got = {r.proposal_id: (r.n_sentences, r.s, r.e, r.first_text, r.n_joins, r.sentence_ids) for r in candidates.validate(p, s).collect()}
+    assert got[0] == (3, 40_000, 69_000, "t4", 2, [4, 5, 6, 1, 9])
+    assert got[1] == (3, 40_000, 69_000, "t4", 0, [4, 5, 6])
+    assert got[2][:2] == got[3][:2] == (0, None)
