@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cuewright.functions import text as X
+from cuewright.names import spare
 
 #: Fixed format: the head of an ASS caption script.
 ASS_HEAD = """[Script Info]
@@ -51,11 +53,17 @@ def outline_rows(windows: DataFrame) -> DataFrame:
     """(video_id, level, idx, start_ms, end_ms, title, content): a row for each section in order, and one for the video.
 
     windows: video_id, window, start_ms, end_ms, title and others, which content holds as JSON."""
-    rest = [c for c in windows.columns if c != "video_id"]
-    sections = windows.select("video_id", F.lit("section").alias("level"), F.col("window").cast("long").alias("idx"), "start_ms", "end_ms", "title", F.to_json(F.struct(*rest)).alias("content"))
-    videos = windows.groupBy("video_id").agg(F.count("*").alias("sections"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
-    whole = videos.select("video_id", F.lit("video").alias("level"), F.lit(0).cast("long").alias("idx"), "start_ms", "end_ms", F.lit("video").alias("title"), F.to_json(F.struct("sections")).alias("content"))
-    return sections.unionByName(whole)
+    of, nth, row = spare(["of", "nth", "row"], windows)
+    video = Window.partitionBy("video_id")
+    whole = F.struct(F.count("*").over(video).alias("sections"), F.min("start_ms").over(video).alias("start_ms"), F.max("end_ms").over(video).alias("end_ms"))
+    told = windows.withColumns({of: whole, nth: F.row_number().over(video.orderBy("window"))})
+    as_row = lambda *values: F.struct(*[v.alias(c) for c, v in zip(("level", "idx", "start_ms", "end_ms", "title", "content"), values)])
+    rest = F.to_json(F.struct(*[c for c in windows.columns if c != "video_id"]))
+    section = as_row(F.lit("section"), F.col("window").cast("long"), F.col("start_ms"), F.col("end_ms"), F.col("title"), rest)
+    video_row = as_row(F.lit("video"), F.lit(0).cast("long"), F.col(of)["start_ms"], F.col(of)["end_ms"], F.lit("video"), F.to_json(F.struct(F.col(of)["sections"].alias("sections"))))
+    # the video's row goes with its first section's: the windows are worked out once
+    rows = F.when(F.col(nth) == 1, F.array(section, video_row)).otherwise(F.array(section))
+    return told.select("video_id", F.explode(rows).alias(row)).select("video_id", f"{row}.*")
 
 
 def glossary_corrections(words: DataFrame) -> DataFrame:

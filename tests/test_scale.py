@@ -10,7 +10,7 @@ from cuewright.operators import candidates
 from cuewright.operators.captions import on_output_time
 from cuewright.operators.editing import speaker_tracks
 from cuewright.plans.registry import ORACLES, QUERIES
-from cuewright.sources import transcript
+from cuewright.sources import sinks, transcript
 
 
 def test_a_task_takes_a_bounded_number_of_characters(spark, monkeypatch):
@@ -95,3 +95,14 @@ def test_proposals_meet_blocks_of_sentences(spark, monkeypatch):
     assert got[0] == (3, 40_000, 69_000, "t4", 2, [4, 5, 6, 1, 9])
     assert got[1] == (3, 40_000, 69_000, "t4", 0, [4, 5, 6])
     assert got[2][:2] == got[3][:2] == (0, None)
+
+
+def test_outline_rows_come_from_one_pass(spark):
+    plan = QUERIES["outline_rows"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 1  # the sections and the videos' rows were two
+
+
+def test_outline_rows_of_a_video_and_its_sections(spark):
+    w = spark.createDataFrame([(1, 5, 10, 20, "a"), (1, 6, 15, 40, "b"), (2, 0, 0, 9, "c")], "video_id long, window long, start_ms long, end_ms long, title string")
+    got = sorted(tuple(r)[:6] for r in sinks.outline_rows(w).collect())
+    assert got == [(1, "section", 5, 10, 20, "a"), (1, "section", 6, 15, 40, "b"), (1, "video", 0, 10, 40, "video"), (2, "section", 0, 0, 9, "c"), (2, "video", 0, 0, 9, "video")]
