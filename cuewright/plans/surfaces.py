@@ -10,7 +10,7 @@ from cuewright.operators import candidates as C
 from cuewright.operators import editing as E
 from cuewright.operators import segment
 from cuewright.sources import drift
-from cuewright.storage import new_path
+from cuewright.storage import new_path, written
 
 from . import sql, transcripts
 from .registry import query, table
@@ -90,7 +90,8 @@ gw AS (SELECT video_id, idx, sl, min(id) AS start_id, max(id) AS end_id, count(*
 SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY idx, sl) - 1 AS "window", start_id, end_id, n_sentences, greatest(2, 8 // count(*) OVER (PARTITION BY video_id) + 1) AS asked FROM gw""")
 def section_windows(spark: SparkSession, d: str) -> DataFrame:
     """Discovery windows by outline sections; every third video has no outline and goes in slices."""
-    s = transcripts.sents(spark, d)
+    # ids and times, worked out once: titles are not asked for
+    s = written(transcripts.sents(spark, d).select("video_id", "id", "start_ms", "end_ms"), "shared").withColumn("text", F.lit(""))
     o = segment.outline_windows(s).where("video_id % 3 > 0").select("video_id", F.col("window").alias("idx"), "start_id", "end_id")
     return E.section_windows(s, o, 7)
 

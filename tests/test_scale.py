@@ -106,3 +106,8 @@ def test_outline_rows_of_a_video_and_its_sections(spark):
     w = spark.createDataFrame([(1, 5, 10, 20, "a"), (1, 6, 15, 40, "b"), (2, 0, 0, 9, "c")], "video_id long, window long, start_ms long, end_ms long, title string")
     got = sorted(tuple(r)[:6] for r in sinks.outline_rows(w).collect())
     assert got == [(1, "section", 5, 10, 20, "a"), (1, "section", 6, 15, 40, "b"), (1, "video", 0, 10, 40, "video"), (2, "section", 0, 0, 9, "c"), (2, "video", 0, 0, 9, "video")]
+
+
+def test_section_windows_work_out_sentences_once(spark):
+    plan = QUERIES["section_windows"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "documents" not in plan and "posexplode" not in plan  # read from what was written
