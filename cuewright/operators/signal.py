@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from cuewright.config import Spikes
 from cuewright.functions.numeric import clamp, half_up
+from cuewright.storage import written
 
 from .intervals import overlap_join
 
@@ -57,16 +58,23 @@ def merge_events(e: DataFrame, cfg: Spikes = Spikes()) -> DataFrame:
     ).drop("island")
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """rows, written: their size is known to the planner then. Spikes are few beside words, so they are sent to the tasks that
+    hold the timelines while they fit spark.sql.autoBroadcastJoinThreshold, and words stay where they were dealt; more are joined by a shuffle."""
+    return written(rows, "spikes")
+
+
 def event_cues(events: DataFrame, sents: DataFrame, words: DataFrame, cfg: Spikes = Spikes()) -> DataFrame:
     """Candidates around spikes (key = video_id): the sentences near the peak, if spoken enough and of fit length.
 
     ``rationale`` says why in words, ``provenance`` in JSON, with ``energy_increase`` and ``label`` where events have them."""
     has = [c for c in ("energy_increase", "label") if c in events.columns]
-    ev = events.select(F.col("key").alias("video_id"), F.col("peak_ms"), "confidence", *has, (F.col("peak_ms") - cfg.pre_ms).alias("lo"), (F.col("peak_ms") + cfg.post_ms).alias("hi"))
+    ev = _few(events.select(F.col("key").alias("video_id"), F.col("peak_ms"), "confidence", *has, (F.col("peak_ms") - cfg.pre_ms).alias("lo"), (F.col("peak_ms") + cfg.post_ms).alias("hi")))
     near = sents.select("video_id", "id", "start_ms", "end_ms")
     c = overlap_join(ev, near, "video_id", ("lo", "hi"), ("start_ms", "end_ms")).groupBy("video_id", "peak_ms", "confidence", *has).agg(
         F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.min("start_ms").alias("s"), F.max("end_ms").alias("e")
     )
+    c = _few(c)
     # the words of whole sentences: their summed length is the speech inside the span
     spoken = F.sum(F.col("end_ms") - F.col("start_ms"))
     w = words.select("video_id", "start_ms", "end_ms")

@@ -111,3 +111,9 @@ def test_outline_rows_of_a_video_and_its_sections(spark):
 def test_section_windows_work_out_sentences_once(spark):
     plan = QUERIES["section_windows"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "documents" not in plan and "posexplode" not in plan  # read from what was written
+
+
+def test_words_stay_where_they_are_for_a_few_spikes(spark):
+    plan = QUERIES["event_cues"](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+    joins = [x for x in plan.split("== Initial Plan ==")[-1].splitlines() if "Join" in x]
+    assert joins and all("BroadcastHashJoin" in x for x in joins)
