@@ -76,14 +76,21 @@ def sentence_at(points: DataFrame, sents: DataFrame, point_id: str, t: str, out:
     return u.where("kind = 1").select("video_id", point_id, got.alias(out))
 
 
+def neighbours(sents: DataFrame) -> DataFrame:
+    """sents with ``prev_end`` and ``next_start``, by id, unless they have them: who writes sentences adds them where they are made, in no further shuffle."""
+    if "prev_end" in sents.columns and "next_start" in sents.columns:
+        return sents
+    by_id = Window.partitionBy("video_id").orderBy("id")
+    return sents.withColumns({"prev_end": F.lag("end_ms").over(by_id), "next_start": F.lead("start_ms").over(by_id)})
+
+
 def snap(clips: DataFrame, sents: DataFrame, cfg: Refine = Refine()) -> DataFrame:
     """clips (video_id, clip_id, s, e) with s_id, e_id, det_s, det_e: moved to sentence bounds with padding, not into other words.
 
     Both ends are looked up in one pass: sentences, with their neighbours' bounds, and the
     clips' ends are ordered by time together, and the last sentence so far is carried along."""
-    by_id = Window.partitionBy("video_id").orderBy("id")
     fields = ["id", "start_ms", "end_ms", "prev_end", "next_start"]
-    n = sents.select("video_id", "id", "start_ms", "end_ms").withColumns({"prev_end": F.lag("end_ms").over(by_id), "next_start": F.lead("start_ms").over(by_id)})
+    n = neighbours(sents).select("video_id", *fields)
     marks = n.select("video_id", F.col("start_ms").alias("at"), F.struct(*fields).alias("m"))
     ends = F.explode(F.array(F.struct(F.col("s").alias("at"), F.lit(0).alias("which")), F.struct(F.col("e").alias("at"), F.lit(1).alias("which"))))
     asked = clips.select("video_id", F.struct("clip_id", "s", "e").alias("c"), ends.alias("p")).select("video_id", "p.at", "p.which", "c")
@@ -121,14 +128,15 @@ def refine(clips: DataFrame, sents: DataFrame, cfg: Refine = Refine(), verdicts:
         c = c.join(verdicts.select("video_id", "clip_id", F.least("start_id", "end_id").alias("v0"), F.greatest("start_id", "end_id").alias("v1"), "complete"), ["video_id", "clip_id"], "left")
     else:
         c = c.withColumns({"v0": F.lit(None).cast("long"), "v1": F.lit(None).cast("long"), "complete": F.lit(None).cast("boolean")})
-    by_id = Window.partitionBy("video_id").orderBy("id")
-    around = sents.select(
-        "video_id", "id", "start_ms", "end_ms", "ends_with_punctuation", F.lag("end_ms").over(by_id).alias("prev_end"), F.lead("start_ms").over(by_id).alias("next_start")
-    )
+    fields, more = ["id", "start_ms", "end_ms", "ends_with_punctuation"], ["prev_end", "next_start"]
+    if verdicts is not None:  # nothing else asks for a sentence's neighbours
+        fields += more
+    around = (sents if verdicts is None else neighbours(sents)).select("video_id", *fields)
     c = c.withColumns({"c0": F.col("s") - cfg.context_ms, "c1": F.col("e") + cfg.context_ms, "cap": F.col("e") + cfg.extension_ms})
     near = overlap_join(c.select("video_id", "clip_id", "c0", "c1"), around, "video_id", ("c0", "c1"), ("start_ms", "end_ms"))
-    fields = ["id", "start_ms", "end_ms", "ends_with_punctuation", "prev_end", "next_start"]
     window = near.groupBy("video_id", "clip_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("around"))
+    if verdicts is None:
+        window = window.withColumn("around", F.transform("around", lambda z: F.struct(*[z[f].alias(f) for f in fields], *[F.lit(None).cast("long").alias(f) for f in more])))
     g = c.join(window, ["video_id", "clip_id"], "left").withColumn("around", F.coalesce("around", F.array().cast(window.schema["around"].dataType)))
     # the validator's sentences
     at = lambda x: F.get(F.filter("around", lambda z: z["id"] == x), 0)
@@ -174,7 +182,7 @@ def refine_all(clips: DataFrame, more: DataFrame, sents: DataFrame, cfg: Refine
     clips: (video_id, clip_id, s, e); more: (video_id, clip_id, seg_id, s, e), of which
     ``stitch_limits`` keeps some. A rejected clip has no ranges; a rejected continuation is
     left out. Returns clip_id, video_id, refine_status, ranges [(s, e, out_s, out_e)], output_ms."""
-    kept = more.join(stitch_limits(clips.select("clip_id", "s", "e"), more.select("clip_id", "seg_id", "s", "e")).where("outcome = 'kept'"), ["clip_id", "seg_id"], "left_semi")
+    kept = _stitched(clips, more).where("outcome = 'kept'")
     parts = clips.select("video_id", F.struct("clip_id", F.lit(None).cast("long").alias("seg_id")).alias("clip_id"), "s", "e").union(
         kept.select("video_id", F.struct("clip_id", F.col("seg_id").cast("long").alias("seg_id")), "s", "e")
     )
@@ -202,7 +210,13 @@ def stitch_limits(primary: DataFrame, more: DataFrame, max_gap_ms: int = 45_000,
 
     primary: (clip_id, s, e); more: (clip_id, seg_id, s, e). A fold over each clip's few continuations:
     state is the running end and total. Returns clip_id, seg_id, outcome."""
-    items = F.array_sort(F.collect_list(F.struct("s", "seg_id", "e")))
+    return _stitched(primary, more, max_gap_ms, max_total_ms).select("clip_id", "seg_id", "outcome")
+
+
+def _stitched(primary: DataFrame, more: DataFrame, max_gap_ms: int = 45_000, max_total_ms: int = 90_000) -> DataFrame:
+    """What stitch_limits returns, and the continuations' other columns."""
+    rest = [c for c in more.columns if c not in ("clip_id", "s", "seg_id", "e")]
+    items = F.array_sort(F.collect_list(F.struct("s", "seg_id", "e", *rest)))
     g = more.groupBy("clip_id").agg(items.alias("items")).join(primary.select("clip_id", F.col("s").alias("p0"), F.col("e").alias("p1")), "clip_id")
     zero = F.struct(F.col("p1").alias("end"), (F.col("p1") - F.col("p0")).alias("total"), F.array().cast("array<string>").alias("out"))
 
@@ -221,4 +235,4 @@ def stitch_limits(primary: DataFrame, more: DataFrame, max_gap_ms: int = 45_000,
         )
 
     g = g.withColumn("out", F.aggregate("items", zero, step, lambda s: s["out"]))
-    return g.select("clip_id", F.inline(F.arrays_zip("items", "out"))).select("clip_id", "items.seg_id", F.col("out").alias("outcome"))
+    return g.select("clip_id", F.inline(F.arrays_zip("items", "out"))).select("clip_id", "items.*", F.col("out").alias("outcome"))

@@ -30,9 +30,11 @@ def chunk_clips(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Data
     c = written(segment.silence_chunks(w).select("video_id", "chunk_index", F.col("start_ms").alias("s"), F.col("end_ms").alias("e")), "shared")  # met with itself
     clip = lambda i: F.col("video_id") * 10_000_000 + F.col(i)
     clips = c.select("video_id", clip("chunk_index").alias("clip_id"), "s", "e")
-    near = c.select("video_id", F.col("chunk_index").alias("first"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("k")).withColumn("chunk_index", F.col("first") + F.col("k"))
-    more = near.join(c, ["video_id", "chunk_index"]).select("video_id", clip("first").alias("clip_id"), F.col("k").cast("long").alias("seg_id"), "s", "e")
-    return clips, more, written(segment.sentences(w), "sentences")
+    by_index = Window.partitionBy("video_id").orderBy("chunk_index")  # numbers have no gaps
+    ahead = F.array(*[F.struct(F.lit(k).cast("long").alias("seg_id"), F.lead("s", k).over(by_index).alias("s"), F.lead("e", k).over(by_index).alias("e")) for k in (1, 2, 3)])
+    more = c.select("video_id", clip("chunk_index").alias("clip_id"), ahead.alias("ahead")).select("video_id", "clip_id", F.inline("ahead")).where("s is not null")
+    s = intervals.neighbours(segment.sentences(w)).select("video_id", "id", "start_ms", "end_ms", "ends_with_punctuation", "prev_end", "next_start")
+    return clips, more, written(s, "sentences")
 
 
 _STITCHED = f"""{_SENTENCES_AND_CHUNKS},

@@ -9,6 +9,7 @@ from cuewright import catalogue  # noqa: F401  (registers the queries)
 from cuewright.operators import candidates
 from cuewright.operators.captions import on_output_time
 from cuewright.operators.editing import speaker_tracks
+from cuewright.plans import whole_clips
 from cuewright.plans.registry import ORACLES, QUERIES
 from cuewright.sources import sinks, transcript
 
@@ -117,3 +118,14 @@ def test_words_stay_where_they_are_for_a_few_spikes(spark):
     plan = QUERIES["event_cues"](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
     joins = [x for x in plan.split("== Initial Plan ==")[-1].splitlines() if "Join" in x]
     assert joins and all("BroadcastHashJoin" in x for x in joins)
+
+
+def test_continuations_come_from_one_pass_and_keep_their_columns(spark, tmp_path):
+    d = str(tmp_path)
+    spark.read.parquet("/root/testdata/sf0.001/documents.parquet").write.parquet(f"{d}/documents.parquet")
+    clips, more, sents = whole_clips.chunk_clips(spark, d)
+    assert {"prev_end", "next_start"} <= set(sents.columns) and "text" not in sents.columns
+    assert "Join" not in more._jdf.queryExecution().optimizedPlan().toString()
+    at = {(r.video_id, r.clip_id % 10_000_000): (r.s, r.e) for r in clips.collect()}
+    want = sorted((v, i, k, *at[v, i + k]) for v, i in at for k in (1, 2, 3) if (v, i + k) in at)
+    assert want and sorted((r.video_id, r.clip_id % 10_000_000, r.seg_id, r.s, r.e) for r in more.collect()) == want
