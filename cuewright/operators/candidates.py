@@ -259,10 +259,11 @@ def select_diverse(c: DataFrame, campaign: str = "", cfg: Fusion = Fusion()) ->
 
     Rows under the quality floor rank last and are never taken. Candidates may have an
     ``embedding``; those that do are alike by cosine, others by words. ``reason`` says why a row has its status."""
-    kept = merge_overlaps(c, cfg).where("kept").drop("kept", "winner_id")
     has = ["embedding"] if "embedding" in c.columns else []
-    s = with_words(scores(kept, campaign, cfg)).select("video_id", "cand_id", "s", "e", "words", *has, "total", (F.col("total") < cfg.min_score).alias("low"))
-    r = written(ranked(s, F.asc("low"), F.desc("total"), F.asc("cand_id")), "ranked")
+    # merging leaves a winner's texts and span as they are, so scores are taken first and texts stay out of its shuffles
+    s = with_words(scores(c, campaign, cfg)).select("video_id", "cand_id", "s", "e", "uncertainty", "words", *has, "total", (F.col("total") < cfg.min_score).alias("scored_low"))
+    kept = merge_overlaps(s, cfg).where("kept").drop("kept", "winner_id", "uncertainty").withColumnRenamed("scored_low", "low")
+    r = written(ranked(kept, F.asc("low"), F.desc("total"), F.asc("cand_id")), "ranked")
     g = greedy(r, near_duplicates(pair_table(r), r, cfg), cfg.target)
     video = Window.partitionBy("video_id")
     taken = F.col("kept") & ~F.col("low")
@@ -292,12 +293,15 @@ def dedup_refined(c: DataFrame, cfg: Fusion = Fusion()) -> DataFrame:
 def similar_pairs(c: DataFrame, text: str = "hook") -> DataFrame:
     """(video_id, cand_a, cand_b, similarity): content similarity of all pairs of a video's candidates, by their word sets.
 
-    A video's candidates are few; they meet by word, so pairs without a common word (similarity 0) are not made."""
-    w = c.select("video_id", "cand_id", F.array_distinct(X.split_words(F.lower(text))).alias("ws")).withColumn("n", F.size("ws"))
-    each = w.select("video_id", "cand_id", "n", F.explode("ws").alias("w"))
-    other = each.select("video_id", F.col("cand_id").alias("cand_b"), F.col("n").alias("m"), "w")
-    j = each.withColumnRenamed("cand_id", "cand_a").join(other, ["video_id", "w"]).where("cand_a < cand_b")
-    g = j.groupBy("video_id", "cand_a", "cand_b", "n", "m").agg(F.count("*").alias("both"))
+    Pairs without a common word (similarity 0) are left out. Candidates meet in blocks of ``BLOCK``, whole word sets at once: a
+    pair is never shuffled, and a long video is many pairs of blocks."""
+    number = F.row_number().over(Window.partitionBy("video_id").orderBy("cand_id")) - 1
+    w = c.select("video_id", "cand_id", F.array_distinct(X.split_words(F.lower(text))).alias("ws")).withColumn("block", F.floor(number / BLOCK))
+    b = w.groupBy("video_id", "block").agg(F.collect_list(F.struct("cand_id", "ws")).alias("xs"))
+    later = b.select("video_id", F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("block"), F.col("xs").alias("ys"))
+    met = b.join(later, ["video_id", "block"]).select("video_id", F.explode("xs").alias("x"), "ys").select("video_id", "x", F.explode("ys").alias("y")).where("x.cand_id < y.cand_id")
+    both = F.size(F.array_intersect("x.ws", "y.ws"))
+    g = met.select("video_id", F.col("x.cand_id").alias("cand_a"), F.col("y.cand_id").alias("cand_b"), F.size("x.ws").alias("n"), F.size("y.ws").alias("m"), both.alias("both")).where("both > 0")
     return g.select("video_id", "cand_a", "cand_b", half_up(F.col("both") / (F.col("n") + F.col("m") - F.col("both")), 6).alias("similarity"))
 
 

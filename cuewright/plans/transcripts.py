@@ -94,7 +94,7 @@ def candidate_validation(spark, d):
 
 
 def cands(spark: SparkSession, d: str, s: DataFrame | None = None) -> DataFrame:
-    s = s or written(sents(spark, d), "shared")
+    s = s or written(sents(spark, d).select("video_id", "id", "start_ms", "end_ms", "text"), "shared")
     return written(fixtures.candidates(C.validate(fixtures.proposals(s), s)), "shared")  # met with themselves
 
 

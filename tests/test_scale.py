@@ -129,3 +129,26 @@ def test_continuations_come_from_one_pass_and_keep_their_columns(spark, tmp_path
     at = {(r.video_id, r.clip_id % 10_000_000): (r.s, r.e) for r in clips.collect()}
     want = sorted((v, i, k, *at[v, i + k]) for v, i in at for k in (1, 2, 3) if (v, i + k) in at)
     assert want and sorted((r.video_id, r.clip_id % 10_000_000, r.seg_id, r.s, r.e) for r in more.collect()) == want
+
+
+def test_texts_stay_out_of_merging_before_selection(spark, monkeypatch):
+    seen = []
+    merge = candidates.merge_overlaps
+    monkeypatch.setattr(candidates, "merge_overlaps", lambda c, cfg: seen.append(c.columns) or merge(c, cfg))
+    candidates.select_diverse(cands_of(spark, [(0, "one two"), (1, "one two three")]))
+    assert seen and not {"hook", "main_idea", "sentence_ids"} & set(seen[0])
+
+
+def cands_of(spark, hooks):
+    rows = [(1, i, i * 100_000, i * 100_000 + 30_000, h, "idea", "payoff", "", 0.5, "outline", [i]) for i, h in hooks]
+    return spark.createDataFrame(rows, "video_id long, cand_id long, s long, e long, hook string, main_idea string, payoff string, required_context string, uncertainty double, source string, sentence_ids array<long>")
+
+
+def test_similar_pairs_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(candidates, "BLOCK", 2)
+    hooks = {0: "a b", 1: "b c", 2: "x", 3: "A A b", 4: None, 5: "", 6: "x c"}
+    df = candidates.similar_pairs(cands_of(spark, hooks.items()))
+    words = {i: set((h or "").lower().split()) for i, h in hooks.items()}
+    want = [(1, a, b, round(len(words[a] & words[b]) / len(words[a] | words[b]), 6)) for a in words for b in words if a < b and words[a] & words[b]]
+    assert sorted(tuple(r) for r in df.collect()) == sorted(want)
+    assert "explode(ws" not in df._jdf.queryExecution().optimizedPlan().toString()  # not a row for each word
