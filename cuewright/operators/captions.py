@@ -13,14 +13,14 @@ from cuewright.names import spare
 from . import glossary
 
 
-def cue_of_word(words: DataFrame, cfg: Captions = Captions(), run_key: str = "run", keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
-    """words, of timelines named by ``keys``, with ``run`` and ``cue`` (0.. inside the run).
+def cues(words: DataFrame, cfg: Captions = Captions(), run_key: str = "run", keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
+    """Cues of words, of timelines named by ``keys``: ``run``, ``cue`` (0.. inside the run) and ``items``, the cue's words in order.
 
     Closing punctuation always ends a cue, so a run between punctuation marks is folded on
     its own: a cue closes at max_words words, max_chars letters, max_ms, or at a comma once it
     has three words and six tenths of the time. Letters are those shown: ``display`` where
     words have one. The fold is an aggregate over the run's array and carries four numbers
-    and the cue of each word."""
+    and the cues' last places; the array is then cut there, so words are not grouped again."""
     if "display" not in words.columns:
         words = words.withColumn("display", F.col("word"))
     words = words.withColumn("display", X.shown(F.col("display"), F.col("word")))
@@ -28,32 +28,49 @@ def cue_of_word(words: DataFrame, cfg: Captions = Captions(), run_key: str = "ru
     ends = X.ends_sentence(F.col("word"))
     w = words.withColumn(run_key, F.coalesce(F.sum(ends.cast("int")).over(video.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     size = (F.length("display") + 1).cast("long").alias("size")
-    items = F.array_sort(F.collect_list(F.struct("pos", "word", "display", "start_ms", "end_ms", size, F.endswith("word", F.lit(",")).alias("comma"))))
+    items = F.sort_array(F.collect_list(F.struct("pos", "word", "display", "start_ms", "end_ms", size, F.endswith("word", F.lit(",")).alias("comma"))))
     g = w.groupBy(*keys, run_key).agg(items.alias("items"))
-    zero = F.struct(
-        F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("chars"), F.lit(0).cast("long").alias("from"), F.lit(0).cast("long").alias("cue"),
-        F.array().cast("array<bigint>").alias("cues"),
-    )
+    zero = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("n", "chars", "from")], F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
 
     def step(s, x):
-        n, chars = s["n"] + 1, s["chars"] + x["size"]
+        n, chars, at = s["n"] + 1, s["chars"] + x["size"], s["at"] + 1
         since = F.when(s["n"] == 0, x["start_ms"]).otherwise(s["from"])
         dur = x["end_ms"] - since
         full = (n >= cfg.max_words) | (chars >= cfg.max_chars) | (dur >= cfg.max_ms) | ((n >= 3) & (dur * 10 >= cfg.max_ms * 6) & x["comma"])
-        return F.struct(
-            F.when(full, F.lit(0).cast("long")).otherwise(n).alias("n"), F.when(full, F.lit(0).cast("long")).otherwise(chars).alias("chars"),
-            since.alias("from"), F.when(full, s["cue"] + 1).otherwise(s["cue"]).alias("cue"), F.concat(s["cues"], F.array(s["cue"])).alias("cues"),
-        )
+        state = lambda n, chars, ends: F.struct(n.alias("n"), chars.alias("chars"), since.alias("from"), at.alias("at"), ends.alias("ends"))
+        none = F.lit(0).cast("long")
+        return F.when(full, state(none, none, F.concat(s["ends"], F.array(at)))).otherwise(state(n, chars, s["ends"]))
+
+    ends = F.aggregate("items", zero, step, lambda s: F.array_distinct(F.concat(s["ends"], F.array(s["at"]))))  # the last cue ends with the run
+    g = g.withColumn("ends", ends)
+
+    def cut(end, i):
+        begin = F.coalesce(F.get("ends", i - 1), F.lit(0))
+        return F.struct(i.cast("long").alias("cue"), F.slice("items", begin + 1, end - begin).alias("items"))
+
+    return g.select(*keys, run_key, F.inline(F.transform("ends", cut)))
+
+
+def cue_of_word(words: DataFrame, cfg: Captions = Captions(), run_key: str = "run", keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
+    """words with ``run`` and ``cue`` of ``cues``."""
+    g = cues(words, cfg, run_key, keys).select(*keys, run_key, "cue", F.explode("items").alias("w"))
+    return g.select(*keys, run_key, "w.pos", "w.word", "w.display", "w.start_ms", "w.end_ms", "cue")
+
 
-    g = g.withColumn("cues", F.aggregate("items", zero, step, lambda s: s["cues"]))
-    return g.select(*keys, run_key, F.inline(F.arrays_zip("items", "cues"))).select(*keys, run_key, "items.pos", "items.word", "items.display", "items.start_ms", "items.end_ms", F.col("cues").alias("cue"))
+def with_items(cue_words: DataFrame) -> DataFrame:
+    """Words with video_id, run and cue as rows of ``cues``, which are left as they are."""
+    if "items" in cue_words.columns:
+        return cue_words
+    item = F.struct("pos", *[c for c in cue_words.columns if c not in ("video_id", "run", "cue", "pos")])
+    return cue_words.groupBy("video_id", "run", "cue").agg(F.sort_array(F.collect_list(item)).alias("items"))
 
 
 def caption_cues(words: DataFrame, cfg: Captions = Captions(), keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
     """One row per cue, numbered per video (per ``keys``): times, number of words, text."""
-    g = cue_of_word(words, cfg, keys=keys).groupBy(*keys, "run", "cue").agg(
-        F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n_words"), F.min("pos").alias("first_word"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "display"))), lambda x: x["display"]), " ").alias("text"),
+    of = lambda c: F.transform("items", lambda x: x[c])
+    g = cues(words, cfg, keys=keys).select(
+        *keys, F.array_min(of("start_ms")).alias("start_ms"), F.array_max(of("end_ms")).alias("end_ms"), F.size("items").cast("long").alias("n_words"),
+        F.get("items", 0)["pos"].alias("first_word"), F.array_join(of("display"), " ").alias("text"),
     )
     number = F.row_number().over(Window.partitionBy(*keys).orderBy("first_word")).cast("long")
     return g.withColumn("cue_id", number).select(*keys, "cue_id", "start_ms", "end_ms", "n_words", "text")
