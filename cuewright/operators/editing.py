@@ -10,23 +10,30 @@ from cuewright.functions import text as X
 from cuewright.functions.numeric import half_up, overlap
 
 from .adapters import LAYOUTS
+from .captions import with_items
 from .intervals import overlap_join
 
-def caption_lines(cue_words: DataFrame) -> DataFrame:
-    """Words with video_id, run, cue, pos, word -> (video_id, first_word, line_1, line_2): a cue in at most two lines.
+def caption_lines(cues: DataFrame) -> DataFrame:
+    """Cues, or their words with video_id, run, cue, pos, word -> (video_id, first_word, line_1, line_2): a cue in at most two lines.
 
     The break is after the first word that reaches half of the letters and ends a phrase, or
-    reaches six tenths, or has at most three words behind it; one word must remain."""
-    cue = Window.partitionBy("video_id", "run", "cue")
-    upto = cue.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    size = F.length("word") + 1
-    w = cue_words.withColumns({"acc": F.sum(size).over(upto), "total": F.sum(size).over(cue), "left": F.count("*").over(cue) - F.count("*").over(upto)})
-    stop = X.ends_sentence(F.col("word")) | F.endswith("word", F.lit(",")) | (F.col("acc") * 10 >= F.col("total") * 6) | (F.col("left") <= 3)
-    at = F.min(F.when((F.col("acc") * 2 >= F.col("total")) & (F.col("left") >= 1) & stop, F.col("pos"))).over(cue)
-    w = w.withColumn("second", F.coalesce(F.col("pos") > at, F.lit(False)))
-    line = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("pos", "word")))), lambda x: x["word"]), " ")
-    g = w.groupBy("video_id", "run", "cue").agg(F.min("pos").alias("first_word"), line(~F.col("second")).alias("line_1"), line(F.col("second")).alias("line_2"))
-    return g.drop("run", "cue")
+    reaches six tenths, or has at most three words behind it; one word must remain. It is a fold over the cue's words."""
+    size = lambda x: (F.length(x["word"]) + 1).cast("long")
+    none = F.lit(0).cast("long")
+    c = with_items(cues).select("video_id", "items", F.size("items").alias("n"), F.aggregate("items", none, lambda s, x: s + size(x)).alias("total"))
+
+    def step(s, x):
+        acc, at = s["acc"] + size(x), s["at"] + 1
+        left = F.col("n") - at
+        stop = (acc * 10 >= F.col("total") * 6) | (left <= 3) | F.endswith(x["word"], F.lit(",")) | X.ends_sentence(x["word"])
+        cut = F.when((s["cut"] == 0) & (acc * 2 >= F.col("total")) & (left >= 1) & stop, at).otherwise(s["cut"])
+        return F.struct(acc.alias("acc"), at.alias("at"), cut.alias("cut"))
+
+    cut = F.aggregate("items", F.struct(none.alias("acc"), F.lit(0).alias("at"), F.lit(0).alias("cut")), step, lambda s: F.when(s["cut"] == 0, s["at"]).otherwise(s["cut"]))
+    line = lambda a, n: F.array_join(F.transform(F.slice("items", a, n), lambda x: x["word"]), " ")
+    return c.withColumn("cut", cut).select(
+        "video_id", F.get("items", 0)["pos"].alias("first_word"), line(F.lit(1), F.col("cut")).alias("line_1"), line(F.col("cut") + 1, F.col("n") - F.col("cut")).alias("line_2")
+    )
 
 
 def apply_caption_text(cues: DataFrame, edits: DataFrame) -> DataFrame:
