@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from cuewright.functions import text as X
 from cuewright.names import spare
+from cuewright.operators.captions import with_items
 
 #: Fixed format: the head of an ASS caption script.
 ASS_HEAD = """[Script Info]
@@ -100,15 +101,14 @@ def plan_json(plans: DataFrame, key: str) -> DataFrame:
     return plans.select(key, F.to_json(F.struct(*[c for c in plans.columns if c != key])).alias("plan"))
 
 
-def ass_scripts(cue_words: DataFrame) -> DataFrame:
-    """(video_id, script) from words with run and cue: one dialogue line a cue, each word with its length in centiseconds."""
-    cs = F.floor((F.col("end_ms") - F.col("start_ms")) / 10)
-    word = F.concat(F.lit("{\\kf"), cs.cast("string"), F.lit("}"), X.ass_escape(F.col("word")))
-    w = cue_words.withColumn("piece", word)
-    g = w.groupBy("video_id", "run", "cue").agg(
-        F.min("pos").alias("first"), F.min("start_ms").alias("a"), F.max("end_ms").alias("b"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), " ").alias("text"),
-    )
+def ass_scripts(cues: DataFrame) -> DataFrame:
+    """(video_id, script) from cues, or from their words with run and cue: one dialogue line a cue, each word with its length in centiseconds."""
+    of = lambda c: F.transform("items", lambda x: x[c])
+    cs = lambda x: F.floor((x["end_ms"] - x["start_ms"]) / 10)
+    word = lambda x: F.concat(F.lit("{\\kf"), cs(x).cast("string"), F.lit("}"), X.ass_escape(x["word"]))
+    g = with_items(cues).select(
+        "video_id", F.get("items", 0)["pos"].alias("first"), F.array_min(of("start_ms")).alias("a"), F.array_max(of("end_ms")).alias("b"), F.array_join(F.transform("items", word), " ").alias("text")
+    )
     line = F.concat(F.lit("Dialogue: 0,"), X.ass_time(F.col("a")), F.lit(","), X.ass_time(F.col("b")), F.lit(",Default,,0,0,0,,"), F.col("text"))
-    lines = g.select("video_id", "first", line.alias("line")).groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("first", "line"))).alias("l"))
+    lines = g.select("video_id", "first", line.alias("line")).groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct("first", "line"))).alias("l"))
     return lines.select("video_id", F.concat(F.lit(ASS_HEAD), F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("script"))

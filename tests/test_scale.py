@@ -6,9 +6,9 @@ import duckdb
 from pyspark.sql import functions as F
 
 from cuewright import catalogue  # noqa: F401  (registers the queries)
-from cuewright.operators import candidates
+from cuewright.operators import candidates, captions
 from cuewright.operators.captions import on_output_time
-from cuewright.operators.editing import speaker_tracks
+from cuewright.operators.editing import caption_lines, speaker_tracks
 from cuewright.plans import whole_clips
 from cuewright.plans.registry import ORACLES, QUERIES
 from cuewright.sources import sinks, transcript
@@ -152,3 +152,22 @@ def test_similar_pairs_meet_in_blocks(spark, monkeypatch):
     want = [(1, a, b, round(len(words[a] & words[b]) / len(words[a] | words[b]), 6)) for a in words for b in words if a < b and words[a] & words[b]]
     assert sorted(tuple(r) for r in df.collect()) == sorted(want)
     assert "explode(ws" not in df._jdf.queryExecution().optimizedPlan().toString()  # not a row for each word
+
+
+def test_words_of_a_cue_are_grouped_once(spark):
+    for name, most in (("caption_cues", 1), ("caption_lines", 1), ("ass_dialogue", 2)):  # dialogue lines meet in their script
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("collect_list(") == most
+
+
+def test_cues_of_a_long_run_and_their_words_give_the_same_lines(spark):
+    rows = [(1, i, "w" * (i % 9 + 1) + ("," if i % 5 == 2 else ""), i * 300, i * 300 + 250) for i in range(3000)] + [(2, 0, "One.", 0, 90)]
+    words = spark.createDataFrame(rows, "video_id long, pos long, word string, start_ms long, end_ms long")
+    key = lambda r: tuple(map(str, r))
+    cues, each = captions.cues(words), captions.cue_of_word(words)
+    assert each.count() == len(rows)  # the last words of a run are a cue
+    lines = sorted(map(tuple, caption_lines(cues).collect()), key=key)
+    assert lines == sorted(map(tuple, caption_lines(each).collect()), key=key)
+    told = {(v, p): f"{a} {b}".strip() for v, p, a, b in lines}
+    assert {(r.video_id, r[1]): r.text for r in cues.selectExpr("video_id", "items[0].pos", "array_join(items.word, ' ') text").collect()} == told
+    assert sorted(map(tuple, sinks.ass_scripts(cues).collect())) == sorted(map(tuple, sinks.ass_scripts(each).collect()))
