@@ -9,7 +9,7 @@ from cuewright import catalogue  # noqa: F401  (registers the queries)
 from cuewright.operators import candidates, captions
 from cuewright.operators.captions import on_output_time
 from cuewright.operators.editing import caption_lines, speaker_tracks
-from cuewright.plans import whole_clips
+from cuewright.plans import transcripts, whole_clips
 from cuewright.plans.registry import ORACLES, QUERIES
 from cuewright.sources import sinks, transcript
 
@@ -171,3 +171,23 @@ def test_cues_of_a_long_run_and_their_words_give_the_same_lines(spark):
     told = {(v, p): f"{a} {b}".strip() for v, p, a, b in lines}
     assert {(r.video_id, r[1]): r.text for r in cues.selectExpr("video_id", "items[0].pos", "array_join(items.word, ' ') text").collect()} == told
     assert sorted(map(tuple, sinks.ass_scripts(cues).collect())) == sorted(map(tuple, sinks.ass_scripts(each).collect()))
+
+
+def _columns_written(spark, monkeypatch, module, query):
+    seen, write = [], module.written
+    monkeypatch.setattr(module, "written", lambda df, name: seen.append(set(df.columns)) or write(df, name))
+    QUERIES[query](spark, "/root/testdata/sf0.001")
+    return seen
+
+
+def test_texts_are_not_written_for_clips_bounds(spark, monkeypatch):
+    seen = _columns_written(spark, monkeypatch, transcripts, "edit_plans")
+    assert len(seen) == 2 and not {"text", "hook", "main_idea", "sentence_ids"} & set.union(*seen)
+
+
+def test_texts_are_not_written_for_joined_passages(spark, monkeypatch):
+    assert _columns_written(spark, monkeypatch, whole_clips, "join_validation") == [{"video_id", "id", "start_ms", "end_ms"}]
+
+
+def test_candidates_that_are_taken_once_are_not_written(spark, monkeypatch):
+    assert len(_columns_written(spark, monkeypatch, transcripts, "editorial_scores")) == 1  # the sentences
