@@ -64,9 +64,9 @@ def raw_chunk_of_word(words: DataFrame, cfg: Chunking = Chunking()) -> DataFrame
     clean = F.lag("stop").over(_video())
     target = F.when(F.col("gap") >= cfg.silence_ms, F.when(clean, F.col("pos")).otherwise(F.coalesce(nearest, F.col("pos"))))
     w = w.withColumn("target", target).withColumn("n", F.count("*").over(Window.partitionBy("video_id")))
-    # a cut lies at most look_ahead words after its silence, so it is found looking back: no join
-    back = F.collect_list("target").over(_video().rowsBetween(-cfg.look_ahead, 0))
-    w = w.withColumn("cut", F.array_contains(back, F.col("pos")))
+    # targets never go back: a later silence before the same sentence end has the same one. So the last is looked at: no join
+    last_target = F.max("target").over(_video().rowsBetween(Window.unboundedPreceding, 0))
+    w = w.withColumn("cut", F.coalesce(last_target == F.col("pos"), F.lit(False)))
     w = w.withColumn("span", F.sum(F.col("cut").cast("int")).over(_video()))
     span = Window.partitionBy("video_id", "span")
     last = F.max("pos").over(span)
@@ -83,11 +83,12 @@ def raw_chunk_of_word(words: DataFrame, cfg: Chunking = Chunking()) -> DataFrame
     return w.withColumn("chunk_start", F.when(second, F.col("extra")).otherwise(F.col("lo"))).select(*words.columns, "gap", "chunk_start")
 
 
-def _chunks(words: DataFrame, cfg: Chunking, *more) -> DataFrame:
+def _chunks(words: DataFrame, cfg: Chunking, *times: str) -> DataFrame:
+    """Chunks with their words as ``items``: pos, word and the times that are asked for."""
     g = raw_chunk_of_word(words, cfg).groupBy("video_id", "chunk_start")
     c = g.agg(
         F.min("start_ms").alias("start_ms"), F.max_by("end_ms", "pos").alias("end_ms"), F.coalesce(F.min_by("gap", "pos"), F.lit(0)).cast("long").alias("silence_gap_before_ms"),
-        F.max("pos").alias("end_word"), F.array_sort(F.collect_list(F.struct("pos", "word", "start_ms", "end_ms"))).alias("items"), *more,
+        F.max("pos").alias("end_word"), F.array_sort(F.collect_list(F.struct("pos", "word", *times))).alias("items"),
     )
     c = c.where(F.col("end_ms") - F.col("start_ms") >= cfg.min_ms).withColumn("text", _text(F.col("items"))).withColumn("token_count", X.approx_tokens(F.col("text")))
     index = F.row_number().over(Window.partitionBy("video_id").orderBy("chunk_start")) - 1
@@ -106,11 +107,12 @@ def silence_chunks(words: DataFrame, cfg: Chunking = Chunking()) -> DataFrame:
 def overlap_chunks(words: DataFrame, cfg: Chunking = Chunking()) -> DataFrame:
     """Chunks with the words of the chunk before that end within overlap_ms of the start put in front.
 
-    A chunk carries its words, so the chunk before is one row back: words are shuffled once."""
-    before = F.lag("items").over(Window.partitionBy("video_id").orderBy("chunk_index"))
-    c = _chunks(words, cfg).withColumn("before", before)
-    lead = F.filter("before", lambda x: x["end_ms"] >= F.col("start_ms") - cfg.overlap_ms)
-    c = c.withColumn("lead", F.when(F.size(lead) > 0, lead))
+    A chunk carries its words, so the chunk before is one row back: words are shuffled once. Only the words
+    that the next chunk takes are handed on."""
+    chunk = Window.partitionBy("video_id").orderBy("start_word")  # as they were numbered: not sorted again
+    c = _chunks(words, cfg, "start_ms", "end_ms").withColumn("next", F.lead("start_ms").over(chunk))
+    c = c.withColumn("tail", F.filter("items", lambda x: x["end_ms"] >= F.col("next") - cfg.overlap_ms)).withColumn("lead", F.lag("tail").over(chunk))
+    c = c.withColumn("lead", F.when(F.size("lead") > 0, F.col("lead")))
     text = F.concat_ws(" ", _text(F.col("lead")), "text")
     return c.select(
         "video_id", "chunk_index", F.coalesce(F.get("lead", 0)["start_ms"], F.col("start_ms")).alias("start_ms"), "end_ms", text.alias("text"), X.approx_tokens(text).alias("token_count"),

@@ -108,8 +108,9 @@ def word_timeline(docs: DataFrame) -> DataFrame:
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     rows = docs.repartition(max(1, math.ceil(chars / TASK_CHARS)), "video_id")
     rows = rows.select("video_id", F.posexplode(X.split_words(F.col("text"))).alias("pos", "word"))
+    rows = rows.withColumn("pos", F.col("pos").cast("long"))  # before the window: later ones over pos find the rows sorted
     rows = rows.withColumn("dur", (80 * F.length("word") + 40).cast("long")).withColumn("gap", gap.cast("long"))
     before = Window.partitionBy("video_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.col("dur") + F.col("gap")).over(before), F.lit(0))
-    return rows.withColumn("start_ms", start).select("video_id", F.col("pos").cast("long").alias("pos"), "word", "start_ms", (F.col("start_ms") + F.col("dur")).alias("end_ms"))
+    return rows.withColumn("start_ms", start).select("video_id", "pos", "word", "start_ms", (F.col("start_ms") + F.col("dur")).alias("end_ms"))
 
