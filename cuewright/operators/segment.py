@@ -36,7 +36,9 @@ def sentence_of_word(words: DataFrame, cfg: Sentences = Sentences()) -> DataFram
     cuts = F.aggregate(pauses, start, lambda s, x: F.when(x - F.element_at(s, -1) >= cfg.min_words, F.concat(s, F.array(x))).otherwise(s))
     end = F.col("punct") | F.col("last") | (F.col("pause") & F.array_contains(cuts, F.col("at")))  # the fold runs at pauses only
     w = w.withColumn("end", end)
-    sentence = F.coalesce(F.sum(F.col("end").cast("int")).over(_before()), F.lit(0)).cast("long")
+    # runs follow each other, so this is the order of pos, and the one that the rows lie in
+    before = Window.partitionBy("video_id").orderBy("run", "pos").rowsBetween(Window.unboundedPreceding, -1)
+    sentence = F.coalesce(F.sum(F.col("end").cast("int")).over(before), F.lit(0)).cast("long")
     return w.withColumn("sentence", sentence).drop("run", "at", "pause", "last", "end")
 
 

@@ -1,12 +1,15 @@
 """Work that follows the input: tasks by characters, rows that meet in one place, results at ties."""
 
 import hashlib
+import random
+import re
 
 import duckdb
 from pyspark.sql import functions as F
 
 from cuewright import catalogue  # noqa: F401  (registers the queries)
-from cuewright.operators import candidates, captions
+from cuewright.config import Chunking
+from cuewright.operators import candidates, captions, segment
 from cuewright.operators.captions import on_output_time
 from cuewright.operators.editing import caption_lines, speaker_tracks
 from cuewright.plans import transcripts, whole_clips
@@ -191,3 +194,44 @@ def test_texts_are_not_written_for_joined_passages(spark, monkeypatch):
 
 def test_candidates_that_are_taken_once_are_not_written(spark, monkeypatch):
     assert len(_columns_written(spark, monkeypatch, transcripts, "editorial_scores")) == 1  # the sentences
+
+
+def test_words_are_sorted_once_for_each_order(spark):
+    """By pos, then by chunks or runs, then as groups; chunks and sentences of a video once, if they are looked at in order."""
+    most = {"word_timeline": 1, "silence_chunks": 3, "transcript_text": 3, "clips_analysis": 3, "overlap_chunks": 3, "sentence_units": 2, "outline_windows": 3, "proposed_clips": 3}
+    for name, n in most.items():
+        df = QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("- Sort [") <= n, name
+        assert _later_exchanges(df) == 0, name
+
+
+def test_words_of_silence_chunks_are_collected_once_without_times(spark):
+    for name in ("silence_chunks", "transcript_text", "clips_analysis"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("collect_list(") == 1 and re.search(r"collect_list\(struct\(pos, pos#\d+L, word, word#\d+\)", plan)
+
+
+def test_a_text_may_have_more_words_than_its_places_times_a_prime_fit_an_integer(spark):
+    n = 272_000
+    docs = spark.createDataFrame([(1, "a " * n)], "doc_id long, text string")
+    last = transcript.word_timeline(docs).where(F.col("pos") == n - 1).first()
+    gaps = [1300 if (i * 7919 + 104729) % 97 == 0 else 60 for i in range(n - 1)]
+    assert last.start_ms == sum(gaps) + 120 * (n - 1)
+
+
+def test_chunks_of_dense_silences_start_where_a_loop_cuts(spark):
+    rng, rows, cuts = random.Random(5), [], {}
+    for v in range(3):
+        t, words = 0, []
+        for i in range(400):
+            t += rng.choice((60, 60, 1300))
+            words.append((v, i, rng.choice(("aaa", "aaa", "aaa", "aaa", "aa.")) if v else "aaa", t, t + 200))
+            t += 200
+        stop, gap = [w[2].endswith(".") for w in words], [0, *(b[3] - a[4] for a, b in zip(words, words[1:]))]
+        for p in range(1, 400):
+            if gap[p] >= 1200:
+                cuts.setdefault(v, {0}).add(p if stop[p - 1] else next((q + 1 for q in range(p, min(p + 20, 400)) if stop[q]), p))
+        rows += words
+    words = spark.createDataFrame(rows, "video_id long, pos long, word string, start_ms long, end_ms long")
+    got = segment.raw_chunk_of_word(words, Chunking(max_tokens=10**9)).collect()
+    assert len(got) == 1200 and all(r.chunk_start == max(c for c in cuts[r.video_id] if c <= r.pos) for r in got)
