@@ -9,7 +9,7 @@ from cuewright import sql_functions
 from cuewright.operators import candidates as C
 from cuewright.operators import editing as E
 from cuewright.operators import segment
-from cuewright.sources import drift
+from cuewright.sources import drift, transcript
 from cuewright.storage import new_path, written
 
 from . import sql, transcripts
@@ -19,14 +19,12 @@ from .registry import query, table
 @query(rf"""WITH {sql.WORDS} SELECT video_id, pos, word, greatest(1, length(word) // 4) AS tokens, regexp_matches(word, '[.!?…]+$') AS ends,
   printf('%02d:%02d:%02d,%03d', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60, start_ms % 1000) AS at FROM w""")
 def sql_words(spark: SparkSession, d: str) -> DataFrame:
-    """Words by the table function, with the scalar functions, as SQL text; times come from the timeline."""
+    """Words by the table function, with the scalar functions, as SQL text; times come from the timeline's steps."""
     sql_functions.register(spark)
-    docs, timed = table(spark, d, "documents").select("doc_id", "text"), transcripts.words(spark, d).select("video_id", "pos", "start_ms")
     return spark.sql(
-        """SELECT w.video_id, w.pos, word, token_estimate(word) AS tokens, ends_sentence(word) AS ends, srt_clock(start_ms) AS at
-        FROM (SELECT d.doc_id AS video_id, t.pos, t.word FROM {docs} d, LATERAL text_words(d.text) t) w JOIN {timed} m ON m.video_id = w.video_id AND m.pos = w.pos""",
-        docs=docs,
-        timed=timed,
+        """SELECT video_id, pos, word, token_estimate(word) AS tokens, ends_sentence(word) AS ends, srt_clock(start_ms) AS at
+        FROM timed_words(TABLE(SELECT video_id, text, running_sums(step_ms) AS start_ms FROM {lines}))""",
+        lines=transcript.timelines(table(spark, d, "documents")).select("video_id", "text", "step_ms"),
     )
 
 

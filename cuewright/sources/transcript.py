@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -94,23 +94,41 @@ def srt_cues(raw: DataFrame) -> DataFrame:
     )
 
 
+def _lasts(word: Column) -> Column:
+    return (80 * F.length(word) + 40).cast("long")
+
+
+def _rests(word: Column, pos: Column, video: Column) -> Column:
+    beat = pos * 7919 + video * 104729
+    return F.when(X.ends_sentence(word), F.when(beat % 5 == 0, 1500).otherwise(600)).otherwise(F.when(beat % 97 == 0, 1300).otherwise(60)).cast("long")
+
+
+def dealt(docs: DataFrame) -> DataFrame:
+    """(video_id, text) of documents, dealt by id to tasks of TASK_CHARS characters: the number of tasks follows the
+    characters of all texts; from shuffled bytes alone, Spark would make too few."""
+    docs = docs.select(F.col("doc_id").alias("video_id"), "text")
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    return docs.repartition(max(1, math.ceil(chars / TASK_CHARS)), "video_id")
+
+
 def word_timeline(docs: DataFrame) -> DataFrame:
     """A deterministic word timeline of documents: (video_id, pos, word, start_ms, end_ms).
 
     Words last 80 ms a letter and 40 more; the pauses between them depend on punctuation
     and position. Documents are dealt by id before they are exploded, so this and the
-    later windows over video_id share one shuffle of texts instead of one of words. The number of
-    tasks follows the characters of all texts: from shuffled bytes alone, Spark would make too few."""
-    ends = X.ends_sentence(F.col("word"))
-    beat = F.col("pos") * 7919 + F.col("video_id") * 104729
-    gap = F.when(ends, F.when(beat % 5 == 0, 1500).otherwise(600)).otherwise(F.when(beat % 97 == 0, 1300).otherwise(60))
-    docs = docs.select(F.col("doc_id").alias("video_id"), "text")
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    rows = docs.repartition(max(1, math.ceil(chars / TASK_CHARS)), "video_id")
-    rows = rows.select("video_id", F.posexplode(X.split_words(F.col("text"))).alias("pos", "word"))
+    later windows over video_id share one shuffle of texts instead of one of words."""
+    rows = dealt(docs).select("video_id", F.posexplode(X.split_words(F.col("text"))).alias("pos", "word"))
     rows = rows.withColumn("pos", F.col("pos").cast("long"))  # before the window: later ones over pos find the rows sorted
-    rows = rows.withColumn("dur", (80 * F.length("word") + 40).cast("long")).withColumn("gap", gap.cast("long"))
+    rows = rows.withColumn("dur", _lasts(F.col("word"))).withColumn("gap", _rests(F.col("word"), F.col("pos"), F.col("video_id")))
     before = Window.partitionBy("video_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.col("dur") + F.col("gap")).over(before), F.lit(0))
     return rows.withColumn("start_ms", start).select("video_id", "pos", "word", "start_ms", (F.col("start_ms") + F.col("dur")).alias("end_ms"))
 
+
+def timelines(docs: DataFrame) -> DataFrame:
+    """The word timeline with one row a document: (video_id, text, word, lasts_ms, step_ms), the last three as arrays in the
+    words' order: the words, what each lasts, and the time from its start to the next one's. A word starts when the steps
+    before it are over; words are neither sorted nor shuffled."""
+    rows = dealt(docs).withColumn("word", X.split_words(F.col("text"))).withColumn("lasts_ms", F.transform("word", _lasts))
+    rests = F.transform("word", lambda w, i: _rests(w, i.cast("long"), F.col("video_id")))
+    return rows.withColumn("step_ms", F.zip_with("lasts_ms", rests, lambda a, b: a + b))
