@@ -30,10 +30,13 @@ def sql_words(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {transcripts._CUES} SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY first_word) AS cue_id, start_ms, end_ms, n_words, text FROM q5")
 def sql_cues(spark: SparkSession, d: str) -> DataFrame:
-    """Cues by the partitioned table function, as SQL text."""
+    """Cues by the table function, which takes a video a row, as SQL text."""
     sql_functions.register(spark)
-    words = transcripts.words(spark, d).select("video_id", "pos", "word", "start_ms", "end_ms")
-    return spark.sql("SELECT * FROM range_cues(TABLE(SELECT * FROM {words}) PARTITION BY video_id ORDER BY pos)", words=words)
+    return spark.sql(
+        """SELECT * FROM range_cues(TABLE(SELECT video_id, word, start_ms, zip_with(start_ms, lasts_ms, (a, b) -> a + b) AS end_ms
+        FROM (SELECT video_id, word, lasts_ms, running_sums(step_ms) AS start_ms FROM {lines})))""",
+        lines=transcript.timelines(table(spark, d, "documents")).select("video_id", "word", "lasts_ms", "step_ms"),
+    )
 
 
 @query("""WITH n AS (SELECT o_custkey AS clip_id, o_orderkey, o_orderkey % 3 AS kind, (o_orderkey * 37 % 90000)::BIGINT AS ms, o_orderkey % 5 AS scenes FROM orders)

@@ -130,5 +130,4 @@ def timelines(docs: DataFrame) -> DataFrame:
     words' order: the words, what each lasts, and the time from its start to the next one's. A word starts when the steps
     before it are over; words are neither sorted nor shuffled."""
     rows = dealt(docs).withColumn("word", X.split_words(F.col("text"))).withColumn("lasts_ms", F.transform("word", _lasts))
-    rests = F.transform("word", lambda w, i: _rests(w, i.cast("long"), F.col("video_id")))
-    return rows.withColumn("step_ms", F.zip_with("lasts_ms", rests, lambda a, b: a + b))
+    return rows.withColumn("step_ms", F.transform("word", lambda w, i: _lasts(w) + _rests(w, i.cast("long"), F.col("video_id"))))

@@ -19,6 +19,11 @@ def test_sql_words_shuffles_texts_only(spark):
     assert plan.count("Exchange") == 1 and "Join" not in plan  # two word tables met in a sort-merge join
 
 
+def test_sql_cues_shuffles_texts_only(spark):
+    plan = _plan(spark, "sql_cues")
+    assert plan.count("Exchange") == 1 and "BatchEvalPythonUDTF" not in plan  # words were shuffled and pickled one by one
+
+
 def test_steps_add_up_to_the_timeline(spark, monkeypatch):
     sql_functions.register(spark)
     monkeypatch.setattr(sql_functions, "OUT", 3)
@@ -70,6 +75,10 @@ def test_cues_of_rows_and_of_arrays_are_those_of_a_loop(spark):
             videos[v].append((word, at, end))
             at = (end or at) + rng.choice([0, 60, 900])
     want = {(v, *cue) for v, words in videos.items() for cue in _loop(words)}
+    for words in videos.values():  # the rule a word at a time, as streams use it
+        cue = sql_functions._OpenCue()
+        found = [cue.take() for w in words if w[0] and w[2] is not None and cue.add(*w)]
+        assert [*found, *([cue.take()] if cue.n else [])] == [c[1:] for c in _loop(words)]
     rows = spark.createDataFrame([(v, i, *w) for v, words in videos.items() for i, w in enumerate(words)], "video_id long, pos long, word string, start_ms long, end_ms long").repartition(3)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)  # a cue is open across batches
     try:
