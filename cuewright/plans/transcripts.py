@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from cuewright.functions import text as X
 from cuewright.functions.numeric import half_up
 from cuewright.operators import candidates as C
-from cuewright.operators import captions, intervals, segment
+from cuewright.operators import captions, glossary, intervals, segment
 from cuewright.sources import transcript
 from cuewright.storage import written
 
@@ -332,14 +332,6 @@ def glossary_display(spark, d):
     return captions.glossary_display(words(spark, d).select("video_id", "pos", "word"), GLOSSARY).select("video_id", "pos", "word", "display")
 
 
-def _frequent_pairs(w: DataFrame, most: int) -> list[tuple[str, str]]:
-    """A large glossary, here of the table's most frequent pairs of unlike words; as long as asked for."""
-    b = F.lower(F.lead("word").over(Window.partitionBy("video_id").orderBy("pos")))
-    pairs = w.select(F.lower("word").alias("a"), b.alias("b")).where("b is not null and a <> b").groupBy("a", "b").count()
-    found = pairs.orderBy(F.desc("count"), "a", "b").limit(most).collect()
-    return [(f"{r.a} {r.b}", f"G{i}") for i, r in enumerate(found, 1)]
-
-
 @query(f"""WITH {sql.WORDS},
 bi AS (SELECT video_id, pos, lower(word) AS a, lower(lead(word) OVER (PARTITION BY video_id ORDER BY pos)) AS b FROM w),
 ct AS (SELECT a, b, count(*) AS n FROM bi WHERE b IS NOT NULL AND a <> b GROUP BY ALL),
@@ -348,9 +340,9 @@ m AS (SELECT video_id, pos, e FROM bi JOIN tp USING (a, b))
 SELECT w.video_id, w.pos, word, CASE WHEN m1.e IS NULL AND m0.e IS NULL THEN word WHEN coalesce(m1.e, 0) > coalesce(m0.e, 0) THEN 'G' || m1.e::VARCHAR ELSE '' END AS display
 FROM w LEFT JOIN m m1 ON m1.video_id = w.video_id AND m1.pos = w.pos LEFT JOIN m m0 ON m0.video_id = w.video_id AND m0.pos = w.pos - 1""")
 def large_glossary(spark, d):
-    """Display texts by a glossary of three thousand entries, by the automaton."""
-    w = words(spark, d).select("video_id", "pos", "word")
-    return captions.glossary_display(w, _frequent_pairs(w, 3000))
+    """Display texts by a glossary of three thousand entries, here the most frequent word pairs, by the automaton."""
+    found = glossary.frequent_pairs(table(spark, d, "documents").select("text"), 3000)
+    return captions.glossary_display(words(spark, d).select("video_id", "pos", "word"), [(f"{a} {b}", f"G{i}") for i, (a, b, _) in enumerate(found, 1)])
 
 
 @query(rf"""WITH {sql.PROPOSALS},
